@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import search, stats
+from .plans import search, stats, text
 from .registry import Query
 
-_PLANS = (stats, search)
+_PLANS = (stats, search, text)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
