@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph, relational, search, stats, text
+from .plans import graph, relational, search, stats, structured, text
 from .registry import Query
 
-_PLANS = (stats, search, text, graph, relational)
+_PLANS = (stats, search, text, graph, relational, structured)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
