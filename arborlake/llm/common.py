@@ -89,8 +89,19 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows up to which a small side is broadcast after it was counted.
+_BROADCAST_ROWS = 100_000
+
+
+def if_small(side: DataFrame) -> tuple[DataFrame, bool]:
+    """A checkpointed side, marked for broadcast if its counted rows are few; and whether they are."""
+    side = side.checkpoint()
+    small = side.count() <= _BROADCAST_ROWS
+    return (F.broadcast(side) if small else side), small
+
+
 #: Classes that are looked up as literals; tables with more are joined.
-_LITERAL_CLASSES = 10_000
+_LITERAL_CLASSES = 256
 
 
 def sampled_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:

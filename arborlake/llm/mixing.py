@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare, written
+from .common import WORD, if_small, prepare, written
 
 #: Hash seeds tried per source; the one whose draw comes nearest to the target is used.
 SEEDS = 8
@@ -86,7 +86,11 @@ def plan(
         F.floor(rate).alias("whole"),
         (rate - F.floor(rate)).alias("part"),
     )
+    # one row per source: broadcast where those are few, so that rows stay where they are; else
+    # joined and written, so that Spark can split a hot source before it is summed
+    aims, few = if_small(aims)
     rated = sized.join(aims, sized["source"].eqNullSafe(aims["s"])).drop("s")
+    rated = rated if few else written(rated, "rated")
     named = F.coalesce(F.col("key").cast("string"), F.lit(""))
     extra = [F.sum(F.when(draw(named, i) < F.col("part"), F.col("size")).otherwise(0)) for i in range(SEEDS)]
     tried = rated.groupBy("source").agg(
@@ -97,7 +101,7 @@ def plan(
     missed = F.transform(
         "extra", lambda x, i: F.struct(F.abs(F.col("base") + x - F.col("target")).alias("off"), i.alias("seed"))
     )
-    best = tried.select(F.col("source").alias("s"), F.array_min(missed)["seed"].alias("seed"))
+    best, _ = if_small(tried.select(F.col("source").alias("s"), F.array_min(missed)["seed"].alias("seed")))
     drawn = F.element_at(F.array(*[draw(named, i) for i in range(SEEDS)]), F.col("seed") + 1)
     return (
         rated.join(best, rated["source"].eqNullSafe(best["s"]))
