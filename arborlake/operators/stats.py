@@ -74,7 +74,7 @@ def document_statistics(elements: DataFrame) -> DataFrame:
         F.sum(length).alias("characters"),
         F.sum(F.regexp_count("text", F.lit(r"\S+"))).cast("long").alias("words"),
         F.round(F.avg(length), 6).alias("avg_length"),
-        F.max(length).alias("max_length"),
+        F.max(length).cast("long").alias("max_length"),
         F.count_distinct("element_type").alias("types"),
         F.bool_or(F.col("element_type") == "header").alias("has_header"),
     )
@@ -137,7 +137,7 @@ def alerts(health: DataFrame, most_failed: float = 0.1, oldest: int = 3600) -> D
 
 
 def hourly(queue: DataFrame) -> DataFrame:
-    return queue.groupBy(F.date_trunc("hour", "created_at").alias("hour")).agg(
+    return queue.groupBy(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status") == "completed").alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"),

@@ -55,12 +55,12 @@ _sql(
 _sql(
     "sql_windows",
     ("conversations",),
-    """SELECT conv_id, turn, rank() OVER (PARTITION BY conv_id ORDER BY length(text)) AS r, dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS dr,
-    ntile(3) OVER (PARTITION BY conv_id ORDER BY turn) AS third, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
-    sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM conversations""",
+    """SELECT conv_id, turn, CAST(rank() OVER (PARTITION BY conv_id ORDER BY length(text)) AS INT) AS r, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS INT) AS dr,
+    CAST(ntile(3) OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS third, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+    CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM conversations""",
 )
 _sql("sql_string_functions", ("customer",), "SELECT c_custkey, upper(c_name) AS u, substring(c_name, 1, 8) AS s, replace(c_name, '#', '-') AS r, lpad(CAST(c_nationkey AS STRING), 3, '0') AS p, concat(c_name, '/', c_mktsegment) AS j FROM customer")
-_sql("sql_math_functions", ("lineitem",), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt(l_quantity), 6) AS root, floor(l_extendedprice / 1000) AS k, round(ln(l_extendedprice), 6) AS lg, abs(l_discount - 0.05) < 0.001 AS five FROM lineitem")
+_sql("sql_math_functions", ("lineitem",), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt(l_quantity), 6) AS root, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS k, round(ln(l_extendedprice), 6) AS lg, abs(l_discount - 0.05) < 0.001 AS five FROM lineitem")
 _sql("sql_case", ("orders",), "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), 'pending') AS state FROM orders")
 
 

@@ -42,7 +42,7 @@ def _csv(spark, sf_dir):
     return rows.select(F.col("c_mktsegment").alias("doc_id"), body.alias("content"))
 
 
-CSV = """c AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r FROM customer WHERE c_custkey < 400)"""
+CSV = """c AS (SELECT *, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::INT AS r FROM customer WHERE c_custkey < 400)"""
 
 
 @R.query("csv_cells", f"""WITH {CSV} SELECT c_mktsegment AS doc_id, r::INT AS row, 0 AS col, 'customer_id' AS header, c_custkey::VARCHAR AS value FROM c
@@ -103,7 +103,7 @@ def _markdown(spark, sf_dir):
     return rows.select(F.col("conv_id").alias("doc_id"), body.alias("content"))
 
 
-@R.query("markdown_elements", r"""WITH c AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 6 AS p, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, regexp_replace(text, '\s+', ' ', 'g') AS raw FROM conversations WHERE conv_id < 200)
+@R.query("markdown_elements", r"""WITH c AS (SELECT conv_id AS doc_id, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 6)::INT AS p, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, regexp_replace(text, '\s+', ' ', 'g') AS raw FROM conversations WHERE conv_id < 200)
 SELECT doc_id, p::INT AS position, 'header' AS element_type, (turn % 3 + 1)::INT AS level, role AS text FROM c
 UNION ALL SELECT doc_id, p + 2, 'list_item', NULL, raw FROM c UNION ALL SELECT doc_id, p + 4, 'code_block', NULL, '# code' FROM c""")
 def markdown_elements(spark, sf_dir):
