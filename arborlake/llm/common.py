@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: space, tab, line feed, VT, FF, CR.
@@ -89,14 +89,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-#: Rows up to which a small side is broadcast after it was counted.
-_BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a small side is broadcast after it was counted.
+_BROADCAST_ROWS, _BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def if_small(side: DataFrame) -> tuple[DataFrame, bool]:
-    """A checkpointed side, marked for broadcast if its counted rows are few; and whether they are."""
+def if_small(side: DataFrame, size: Column | None = None) -> tuple[DataFrame, bool]:
+    """A checkpointed side, marked for broadcast if its counted rows are few; and whether they are.
+
+    size: bytes of a row where rows can be large.
+    """
     side = side.checkpoint()
-    small = side.count() <= _BROADCAST_ROWS
+    rows, size_sum = side.agg(F.count(F.lit(1)), F.sum(F.lit(0) if size is None else size)).first()
+    small = rows <= _BROADCAST_ROWS and (size_sum or 0) <= _BROADCAST_BYTES
     return (F.broadcast(side) if small else side), small
 
 

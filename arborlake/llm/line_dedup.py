@@ -2,9 +2,10 @@
 
 Pages are grouped by host.  A line's ratio is the number of the host's pages that
 contain it over the host's pages; lines above a boilerplate ratio are dropped from
-all pages of that host.  The lines that go are few per host (at most distinct
-lines per page / ratio), so pages meet them as one set per host and their text is
-never shuffled line by line.
+all pages of that host.  Lines are counted by hash first and by their text only
+where the hash is frequent.  The lines that go are few per host (at most distinct
+lines per page / ratio), so pages meet them as one set per host: no page's text is
+shuffled, unless the sets of all hosts together are too large to broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import if_small, prepare, written
 
 #: Tags, comments and unseen elements, each of which ends a line.
 MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
@@ -55,11 +56,21 @@ def drop_boilerplate(
         pages.select(F.col(key).alias("key"), host.alias("host"), lines_of(text).alias("lines")), "lines"
     )
     totals = lined.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    spread = lined.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-    counts = spread.groupBy("host", "line").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
-    common = counts.join(totals, "host").where(F.col("on") > F.lit(ratio) * F.col("host_pages"))
-    sets = common.groupBy("host").agg(F.collect_list("line").alias("common"))
-    sites = totals.join(sets, "host", "left")
+
+    def frequent(lines: DataFrame, value: str) -> DataFrame:
+        counts = lines.groupBy("host", value).agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
+        return counts.join(totals, "host").where(F.col("on") > F.lit(ratio) * F.col("host_pages"))
+
+    # first by hash: equal lines have equal hashes, so this finds every frequent line and few others
+    hashes = lined.select("host", F.explode(F.transform(F.array_distinct("lines"), lambda x: F.xxhash64(x))).alias("hash"))
+    likely = frequent(hashes, "hash").groupBy("host").agg(F.collect_list("hash").alias("likely"))
+    candidates, _ = if_small(likely, 8 * F.size("likely"))
+    exact = lined.join(candidates, "host").select(
+        "host",
+        F.explode(F.filter(F.array_distinct("lines"), lambda x: F.array_contains(F.col("likely"), F.xxhash64(x)))).alias("line"),
+    )
+    sets = frequent(exact, "line").groupBy("host").agg(F.collect_list("line").alias("common"))
+    sites, _ = if_small(totals.join(sets, "host", "left"), F.coalesce(F.octet_length(F.array_join("common", "")), F.lit(0)))
     kept = F.when(
         F.col("common").isNotNull(),
         F.filter("lines", lambda x: ~F.array_contains(F.col("common"), x)),
