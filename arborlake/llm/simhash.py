@@ -160,6 +160,8 @@ def near_duplicates(
     by_print = first.join(moved, "fp", "left").select(
         "fp", F.coalesce("group_first", "first").alias("component_id")
     )
+    # written first, so that the last join is a plain one whose hot fingerprints Spark can split
+    by_print = by_print.checkpoint()
     return prints.join(by_print, "fp").select(
         F.col("key").alias(key),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
