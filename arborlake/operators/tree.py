@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_scratch(spark: SparkSession) -> None:
-    """Make checkpoints possible: the cluster's folder, or one of its own for a local session."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = f"file://{tempfile.mkdtemp(prefix='arborlake-')}"
-        context.setCheckpointDir(folder)
+from ..session import shared_scratch
 
 
 def ancestry(elements: DataFrame, depth: int = 32) -> DataFrame:

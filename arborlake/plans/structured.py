@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import context, vectors
-from ..operators.tree import shared_scratch
 from ..registry import Registry
+from ..session import shared_scratch
 from ..sources import structured
 from ..streaming import queue as streaming
 from . import bindings as b

@@ -263,9 +263,6 @@ def allowed_urls(spark, sf_dir):
 w AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT t, depth + 1 FROM w JOIN e ON s = node WHERE depth < 6)
 SELECT node, min(depth)::INT AS depth FROM w GROUP BY node""")
 def nations_reached(spark, sf_dir):
-    from ..operators.tree import shared_scratch
-
-    shared_scratch(spark)
     edges = b.table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("source"), ((F.col("n_nationkey") * 3 + 1) % 25).cast("long").alias("target")
     )

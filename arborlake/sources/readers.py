@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_scratch
 from . import text as tx
 
 
@@ -110,6 +111,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     seeds: column node; edges: columns source, target.  Each round joins the frontier
     only and is checkpointed; a round without new nodes ends the walk.
     """
+    shared_scratch(seeds.sparkSession)
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen
     for step in range(1, depth + 1):

@@ -104,7 +104,6 @@ def test_sql_documents(spark, sf_dir):
 
 
 def test_reachable(spark):
-    tree.shared_scratch(spark)
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
     seeds = spark.createDataFrame([("a",)], "node string")
     assert {tuple(r) for r in readers.reachable(seeds, links, 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
