@@ -63,12 +63,16 @@ def shard_map(
         buckets = levels.groupBy("depth", "prefix").agg(
             F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")
         )
-        fitting = buckets.where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS))
+        fitting = buckets.where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS)).checkpoint()
+        inside = fitting.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+        shards = fitting.join(inside, ["depth", "prefix"], "left_anti").checkpoint()
+        # fine rows look for their shard at the depths that have any: 61 numbers at most
+        used = sorted(r[0] for r in shards.select("depth").distinct().collect())
         found = (
-            levels.join(fitting, ["depth", "prefix"])
-            .groupBy("fine")
-            .agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("bucket"))
-            .withColumn("round", F.lit(depth))
+            sums.select("fine", F.explode(F.array(*map(F.lit, used))).alias("depth") if used else F.lit(-1).alias("depth"))
+            .withColumn("prefix", F.expr(f"shiftright(fine, {depth} - depth)"))
+            .join(shards, ["depth", "prefix"])
+            .select("fine", F.struct("depth", "prefix", "shard_bytes", "shard_docs").alias("bucket"), F.lit(depth).alias("round"))
             .checkpoint()
         )
         rounds.append((depth, found))
