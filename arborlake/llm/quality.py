@@ -137,7 +137,8 @@ def fit(
     chosen = sampled_per_class(known, "__label", "__key", max_docs_per_class).dropDuplicates()
     texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     # chosen holds about two times max_docs_per_class keys, whatever the size of the input
-    sample = texts.join(F.broadcast(chosen), "__key").select("__key", "__label", "__text").coalesce(1)
+    # and only these rows, not the scan, meet in one task
+    sample = texts.join(F.broadcast(chosen), "__key").select("__key", "__label", "__text").repartition(1)
 
     def fitted(batches):
         rows = []
