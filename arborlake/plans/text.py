@@ -153,9 +153,6 @@ def text_dates(spark, sf_dir):
     )
 
 
-FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y", "%B %d, %Y", "%d %B %Y", "%b. %d, %Y")
-
-
 @R.query("date_forms", f"WITH {b.DATES} SELECT date_pk, strftime(ts, '%Y-%m-%d') AS iso, CASE WHEN date_pk % 6 = 0 THEN 'ISO' WHEN date_pk % 6 = 1 THEN 'US' WHEN date_pk % 6 = 2 THEN 'EU' END AS locale FROM dates")
 def date_forms(spark, sf_dir):
     spark_forms = ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy", "MMMM dd, yyyy", "dd MMMM yyyy", "MMM. dd, yyyy")
