@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import WORD, if_small, prepare, written
 
 #: Hash seeds tried per source; the one whose draw comes nearest to the target is used.
-SEEDS = 8
+SEEDS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -53,10 +53,57 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 
 def draw(key: Column, seed: int) -> Column:
     """A number in [0, 1) from 32 bits of an MD5 digest of key and seed."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed // 4}")))
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed // 4}")))
     return F.conv(F.substring(digest, 8 * (seed % 4) + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def source_rates(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(s, source_size, target, whole, part, seed): one row per source of sized (key, source, size).
+
+    whole and part are the floor and fraction of the rate; seed is the hash seed whose
+    draw over the source's documents comes nearest to the target.
+    """
+    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    aims = aims.select(
+        F.col("source").alias("s"), "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part")
+    )
+    # one row per source: broadcast where those are few, so that rows stay where they are; else
+    # joined and written, so that Spark can split a hot source before it is summed
+    aims, few = if_small(aims)
+    rated = sized.join(aims, sized["source"].eqNullSafe(aims["s"])).drop("s")
+    rated = rated if few else written(rated, "rated")
+    extra = [F.sum(F.when(draw(F.col("key"), i) < F.col("part"), F.col("size")).otherwise(0)) for i in range(SEEDS)]
+    tried = rated.groupBy("source").agg(
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.first("whole").alias("whole"),
+        F.first("part").alias("part"),
+        F.array(*extra).alias("extra"),
+    )
+    base = F.col("whole") * F.col("source_size")
+    missed = F.transform("extra", lambda x, i: F.struct(F.abs(base + x - F.col("target")).alias("off"), i.alias("seed")))
+    rates = tried.select(
+        F.col("source").alias("s"), "source_size", "target", "whole", "part", F.array_min(missed)["seed"].alias("seed")
+    )
+    return if_small(rates)[0]
+
+
+def _sized(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    return written(
+        documents.select(
+            F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")
+        ),
+        "mix",
+    )
+
+
+def _copies(key: Column) -> Column:
+    """floor(rate) copies and the Bernoulli one, from the columns whole, part and seed."""
+    drawn = F.element_at(F.array(*[draw(key, i) for i in range(SEEDS)]), F.col("seed") + 1)
+    return (F.col("whole") + F.when(drawn < F.col("part"), 1).otherwise(0)).cast("long")
+
+
 def plan(
     documents: DataFrame,
     *,
@@ -73,64 +120,37 @@ def plan(
     the empty string.  Only key, text and source are read; null is a source.
     """
     prepare(documents.sparkSession)
-    sized = written(
-        documents.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")),
-        "mix",
-    )
-    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    aims = aims.select(
-        F.col("source").alias("s"),
+    sized = _sized(documents, key, text, source)
+    rates = source_rates(sized, weights, most)
+    return sized.join(rates, sized["source"].eqNullSafe(rates["s"])).select(
+        F.col("key").alias(key),
+        F.col("source").alias(source),
+        "size",
         "source_size",
         "target",
-        F.floor(rate).alias("whole"),
-        (rate - F.floor(rate)).alias("part"),
-    )
-    # one row per source: broadcast where those are few, so that rows stay where they are; else
-    # joined and written, so that Spark can split a hot source before it is summed
-    aims, few = if_small(aims)
-    rated = sized.join(aims, sized["source"].eqNullSafe(aims["s"])).drop("s")
-    rated = rated if few else written(rated, "rated")
-    named = F.coalesce(F.col("key").cast("string"), F.lit(""))
-    extra = [F.sum(F.when(draw(named, i) < F.col("part"), F.col("size")).otherwise(0)) for i in range(SEEDS)]
-    tried = rated.groupBy("source").agg(
-        F.first("target").alias("target"),
-        (F.first("whole") * F.first("source_size")).alias("base"),
-        F.array(*extra).alias("extra"),
-    )
-    missed = F.transform(
-        "extra", lambda x, i: F.struct(F.abs(F.col("base") + x - F.col("target")).alias("off"), i.alias("seed"))
-    )
-    best, _ = if_small(tried.select(F.col("source").alias("s"), F.array_min(missed)["seed"].alias("seed")))
-    drawn = F.element_at(F.array(*[draw(named, i) for i in range(SEEDS)]), F.col("seed") + 1)
-    return (
-        rated.join(best, rated["source"].eqNullSafe(best["s"]))
-        .select(
-            F.col("key").alias(key),
-            F.col("source").alias(source),
-            "size",
-            "source_size",
-            "target",
-            (F.col("whole") + F.when(drawn < F.col("part"), 1).otherwise(0)).cast("long").alias("copies"),
-        )
+        _copies(F.col("key")).alias("copies"),
     )
 
 
-def mix(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mix(
+    documents: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1),
+    most: int = 3,
+) -> DataFrame:
     """The mixed documents: each row of the input as often as its plan says, same columns.
 
-    Rates and draws depend on (key, source) only, so the plan is reduced to one row
-    per such pair before it is joined.
+    Rows meet their source's rate where they are; no text is shuffled while sources
+    are few enough to broadcast.
     """
-    decided = (
-        plan(documents, key=key, text=text, source=source, **options)
-        .select(F.col(key).alias("__k"), F.col(source).alias("__s"), F.col("copies").alias("__n"))
-        .where("__n > 0")
-        .dropDuplicates()
-    )
-    matched = documents.join(
-        decided, documents[key].eqNullSafe(decided["__k"]) & documents[source].eqNullSafe(decided["__s"])
-    )
-    return matched.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(
-        *[F.col(c) for c in documents.columns]
-    )
+    prepare(documents.sparkSession)
+    rates = source_rates(_sized(documents, key, text, source), weights, most)
+    columns = documents.columns
+    plain = documents.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
+    own_key, own_source = F.col(f"__c{columns.index(key)}"), plain[f"__c{columns.index(source)}"]
+    rated = plain.join(rates, own_source.eqNullSafe(rates["s"])).withColumn("__n", _copies(own_key))
+    repeated = rated.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return repeated.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
