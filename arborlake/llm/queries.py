@@ -139,7 +139,7 @@ WITH sized AS (
          r.rate - floor(r.rate) AS part, seed,
          ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':' || (seed // 4)), 8 * (seed % 4) + 1, 8))::BIGINT
            / 4294967296.0::DOUBLE AS u
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range(8) AS t(seed)
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range(32) AS t(seed)
 ), tried AS (
   SELECT source, seed, abs(any_value(whole) * any_value(source_size) + sum(CASE WHEN u < part THEN size ELSE 0 END)
                            - any_value(target)) AS off
