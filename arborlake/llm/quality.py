@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, sampled_per_class, utf8
 
-_REMEMBER, _KEY = 300_000, 48
+_REMEMBER, _KEY = 200_000, 48
 #: Stands for the bigram of a word and itself; no word holds white space.
 _TWICE = b" "
 
