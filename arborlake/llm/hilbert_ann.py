@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import prepare, written
 
@@ -143,6 +144,9 @@ def search(
         return spark.createDataFrame([], result)
     dim, n = common["dim"], common["n"]
     plan = Curves(dim, curves, axes, bits)
+    # the index keeps single precision where the vectors have no more, which loses nothing
+    kind = vectors.schema[vector].dataType
+    stored = np.float32 if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else np.float64
     rows_of_block = min(block_rows, max(1, math.ceil(n / blocks)))
     ranges = max(2 * curves, math.ceil(n * curves / (4 * block_rows)))
 
@@ -169,7 +173,7 @@ def search(
                 continue
             column = batch.column("vector")
             matrix = np.asarray(column.flatten(), dtype=np.float64).reshape(m, dim)
-            raw = [row.tobytes() for row in matrix]
+            raw = [row.tobytes() for row in matrix.astype(stored)]
             keys = plan.keys(matrix)
             for c in range(curves):
                 yield pa.RecordBatch.from_pydict(
@@ -270,7 +274,7 @@ def search(
             nonlocal waiting
             if waiting and ids:
                 own = np.frombuffer(b"".join(w[0] for w in waiting), dtype=np.int64)
-                q = np.frombuffer(b"".join(w[1] for w in waiting), dtype=np.float64).reshape(-1, dim)
+                q = np.frombuffer(b"".join(w[1] for w in waiting), dtype=stored).reshape(-1, dim).astype(np.float64)
                 yield _batch(own, *nearest(q, own, ids, mats, k))
             waiting = []
 
@@ -281,7 +285,7 @@ def search(
                     at, ids, mats = (curve, block), [], []
                 if kind == 0:
                     ids.append(np.frombuffer(i, dtype=np.int64))
-                    mats.append(np.frombuffer(v, dtype=np.float64).reshape(-1, dim))
+                    mats.append(np.frombuffer(v, dtype=stored).reshape(-1, dim).astype(np.float64))
                 else:
                     waiting.append((i, v))
                     if len(waiting) >= _QUERIES:
