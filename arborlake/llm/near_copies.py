@@ -1,0 +1,134 @@
+"""Links between texts whose word shingles have a Jaccard similarity of at least a bound.
+
+Candidates meet in a band of a MinHash sketch: 24 bands of 4 values, so that a pair at
+0.8 is missed with probability (1 - 0.8 ** 4) ** 24, about 3 in a million, and closer
+pairs less often.  Every candidate is then confirmed on the whole shingle sets, so all
+links are true.
+
+A bucket's members are first compared with its leader only, the member that shares most
+buckets with others (of copies of one text mostly that text).  Pairs of a bucket that
+these links do not connect yet are compared afterwards, all of them.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_arrow, prepare, utf8, written
+from .simhash import components
+
+BANDS, ROWS = 24, 4
+_U = np.uint64
+_GOLDEN = _U(0x9E3779B97F4A7C15)
+_FACTORS, _MASKS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_FACTORS |= _U(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _GOLDEN
+    return x ^ (x >> _U(29))
+
+
+def shingles(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of all word shingles; a shorter text is one shingle."""
+    words = text.lower().split()  # on bytes, both touch ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= words_per_shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    n = len(hashes) - words_per_shingle + 1
+    run = np.zeros(n, np.uint64)
+    for i in range(words_per_shingle):
+        run = _mixed(run) + hashes[i : i + n]
+    return np.unique(_mixed(run))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One bucket per band, the band's number mixed in."""
+    least = np.full((BANDS * ROWS, 1), ~_U(0))
+    for i in range(0, len(found), 4096):
+        part = ((found[i : i + 4096] ^ _MASKS) * _FACTORS).min(axis=1, keepdims=True)
+        least = np.minimum(least, part)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key) + column
+    return _mixed(key).astype(np.int64)
+
+
+def sketches(documents: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(id, size, buckets) of documents (id, text) with words."""
+
+    def per_batch(batch):
+        sets = [shingles(t, words_per_shingle) for t in utf8(batch.column("text"))]
+        return {
+            "id": batch.column("id"),
+            "size": [len(s) for s in sets],
+            "buckets": [bands(s) if len(s) else None for s in sets],
+        }
+
+    kind = documents.schema["id"].dataType.simpleString()
+    return map_arrow(documents.select("id", "text"), per_batch, f"id {kind}, size int, buckets array<long>").where("size > 0")
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, least: tuple[int, int], words_per_shingle: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are similar: shared / all shingles >= least[0] / least[1]."""
+    up, down = least
+
+    def per_batch(batch):
+        known = functools.lru_cache(16)(lambda t: shingles(t, words_per_shingle))
+        keep = []
+        for x, y in zip(utf8(batch.column("x")), utf8(batch.column("y"))):
+            s, t = known(x), known(y)
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            keep.append(shared * down >= up * (len(s) + len(t) - shared))
+        return {"a": batch.column("a"), "b": batch.column("b"), "near": keep}
+
+    kind = documents.schema["id"].dataType.simpleString()
+    left = documents.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = documents.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return map_arrow(both, per_batch, f"a {kind}, b {kind}, near boolean").where("near").select("a", "b").distinct()
+
+
+def _ordered(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def links(
+    documents: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    words_per_shingle: int = 5,
+    least: tuple[int, int] = (4, 5),
+) -> DataFrame:
+    """(a, b) with a < b: true links that connect the keys of all similar texts.  Null keys are left out."""
+    prepare(documents.sparkSession)
+    docs = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    sketch = written(sketches(docs, words_per_shingle), "near-sketches")
+    entries = sketch.select("id", "size", F.explode("buckets").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(entries.join(shared, "bucket"), "near-members")
+    fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
+    leaders = members.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", "id"))["id"].alias("leader"))
+    stars = members.join(leaders, "bucket").where("id <> leader").select(*_ordered("id", "leader")).distinct()
+    stars = written(stars, "near-stars")
+    found = written(confirmed(stars, docs, least, words_per_shingle), "near-links")
+
+    label = components(found)
+    placed = members.join(label, members["id"] == label["v"], "left").select("bucket", "id", "size", F.coalesce("c", "id").alias("c"))
+    placed = written(placed, "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    open_ = placed.join(mixed, "bucket")
+    other = open_.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("c").alias("c2"))
+    up, down = least
+    fits = (F.col("size") * down >= F.col("size2") * up) & (F.col("size2") * down >= F.col("size") * up)
+    rest = open_.join(other, "bucket").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & fits)
+    rest = rest.select(*_ordered("id", "id2")).distinct().join(stars, ["a", "b"], "left_anti")
+    return found.union(confirmed(written(rest, "near-rest"), docs, least, words_per_shingle))

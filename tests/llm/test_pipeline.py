@@ -1,6 +1,7 @@
 """The corpus pipeline on the smallest tables, stage by stage."""
 
 import os
+import random
 
 import pytest
 
@@ -44,3 +45,37 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_near_copies_leave(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(200)]
+        texts.append(base)
+        for changed in (1, 3, 4, 5, 8):
+            copy = list(base)
+            for i in rng.sample(range(200), changed):
+                copy[i] = rng.choice(words)
+            texts.append(copy)
+    texts += [["a", "b"], ["A", "b"], ["c"], []]
+    texts = [" ".join(t) for t in texts]
+    ids = rng.sample(range(1000), len(texts))
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            either = len(sets[a] | sets[b])
+            if either and 5 * len(sets[a] & sets[b]) >= 4 * either:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    wanted = sorted(min(i for i, g in zip(ids, group) if g == x) for x in set(group))
+    assert len(wanted) < 100
+    got = dict(corpus_pipeline.STAGES)["near copies"](spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == wanted
