@@ -34,6 +34,7 @@ HTML_TYPES = {
     "blockquote": "blockquote",
 } | {f"h{i}": "header" for i in range(1, 7)}
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "source", "wbr"}
+BATCH_ROWS = 10_000
 NODE = "position int, parent int, element_type string, name string, text string, location string"
 
 
@@ -47,6 +48,9 @@ def _parsed(documents: DataFrame, parse: Callable[[object], Iterator[tuple]], fi
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     width = len(arrow) - 2
 
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
+
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
@@ -54,11 +58,15 @@ def _parsed(documents: DataFrame, parse: Callable[[object], Iterator[tuple]], fi
                 if body is None:
                     continue
                 try:
-                    rows += [(doc, *r, None) for r in parse(body)]
+                    for r in parse(body):
+                        rows.append((doc, *r, None))
+                        if len(rows) >= BATCH_ROWS:
+                            yield packed(rows)
+                            rows = []
                 except (ValueError, SyntaxError, csv.Error, zipfile.BadZipFile, KeyError) as e:
                     rows.append((doc, *[None] * width, f"{type(e).__name__}: {e}"[:200]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
+                yield packed(rows)
 
     return slim.mapInArrow(run, schema)
 
@@ -98,7 +106,7 @@ def json_elements(documents: DataFrame, key: str = "doc_id", content: str = "con
 # CSV
 
 
-def _csv_rows(most: int) -> Callable[[object], Iterator[tuple]]:
+def _csv_rows(most: int | None) -> Callable[[object], Iterator[tuple]]:
     def parse(body):
         text = (body.decode("utf-8", "replace") if isinstance(body, bytes) else body).lstrip("﻿").lstrip("\r\n")
         if not text.strip():
@@ -108,7 +116,7 @@ def _csv_rows(most: int) -> Callable[[object], Iterator[tuple]]:
         rows = csv.reader(io.StringIO(text), delimiter=mark, skipinitialspace=True)
         header = next(rows)
         for i, row in enumerate(rows):
-            if i >= most:
+            if most is not None and i >= most:
                 return
             for j, value in enumerate(row):
                 yield i, j, header[j] if j < len(header) else f"column_{j + 1}", value
@@ -116,10 +124,10 @@ def _csv_rows(most: int) -> Callable[[object], Iterator[tuple]]:
     return parse
 
 
-def csv_cells(documents: DataFrame, key: str = "doc_id", content: str = "content", most: int = 1000) -> DataFrame:
+def csv_cells(documents: DataFrame, key: str = "doc_id", content: str = "content", most: int | None = None) -> DataFrame:
     """(doc_id, row, col, header, value, error): cells below the header line; the commonest delimiter of the head is used.
 
-    ``most`` rows of a document are read, the parser's own limit.
+    All rows are read unless ``most`` limits those of a document.
     """
     return _parsed(documents, _csv_rows(most), "row int, col int, header string, value string", key, content)
 

@@ -119,6 +119,15 @@ def test_csv(spark):
     assert {r["header"]: r["type"] for r in structured.csv_types(cells).collect()} == {"name": "string", "age": "integer", "when": "date"}
 
 
+def test_csv_long(spark):
+    lines = [f"{i},{i}" for i in range(25_000)] + ["x,25000"]
+    docs = spark.createDataFrame([(1, "a,b\n" + "\n".join(lines))], "doc_id long, content string")
+    cells = structured.csv_cells(docs)
+    assert [r["value"] for r in cells.where("header = 'b'").orderBy("row").collect()] == [str(i) for i in range(25_001)]
+    assert {r["header"]: r["type"] for r in structured.csv_types(cells).collect()} == {"a": "string", "b": "integer"}
+    assert structured.csv_cells(docs, most=1000).count() == 2000
+
+
 def test_json(spark):
     docs = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": true}]}, "d": null}'), (2, "no json"), (3, None)], "doc_id long, content string")
     found = {r["path"]: (r["element_type"], r["value"]) for r in structured.json_elements(docs).collect()}
