@@ -33,9 +33,9 @@ def json_nested(spark, sf_dir):
     return rows.select("doc_id", "path", "value")
 
 
-def _csv(spark, sf_dir):
+def _csv(spark, sf_dir, rows="c_custkey < 400"):
     """One CSV document per market segment: a header and a line per customer."""
-    c = b.table(spark, sf_dir, "customer").where("c_custkey < 400")
+    c = b.table(spark, sf_dir, "customer").where(rows)
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', Ltd"')), F.format_string("%.2f", "c_acctbal"), F.lit("2024-01-05"))
     rows = c.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
     body = F.concat(F.lit("customer_id,customer_name,balance,opened\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
@@ -64,6 +64,29 @@ def csv_relations(spark, sf_dir):
     return structured.csv_relations(structured.csv_cells(_csv(spark, sf_dir)))
 
 
+# The same over the whole table
+
+
+@R.query("csv_cells_all", """WITH c AS (SELECT *, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::INT AS r FROM customer)
+SELECT c_mktsegment AS doc_id, r AS row, 0 AS col, 'customer_id' AS header, c_custkey::VARCHAR AS value FROM c
+UNION ALL SELECT c_mktsegment, r, 1, 'customer_name', c_name || ', Ltd' FROM c UNION ALL SELECT c_mktsegment, r, 2, 'balance', printf('%.2f', c_acctbal) FROM c
+UNION ALL SELECT c_mktsegment, r, 3, 'opened', '2024-01-05' FROM c""")
+def csv_cells_all(spark, sf_dir):
+    return structured.csv_cells(_csv(spark, sf_dir, "true")).select("doc_id", "row", "col", "header", "value")
+
+
+@R.query("csv_types_all", """SELECT s AS doc_id, c AS col, h AS header, t AS type FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
+(VALUES (0, 'customer_id', 'integer'), (1, 'customer_name', 'string'), (2, 'balance', 'float'), (3, 'opened', 'date')) v(c, h, t)""")
+def csv_types_all(spark, sf_dir):
+    return structured.csv_types(structured.csv_cells(_csv(spark, sf_dir, "true")))
+
+
+@R.query("csv_relations_all", """SELECT s AS doc_id, a AS source, z AS target, 'related_to' AS relationship_type, 0.7::DOUBLE AS confidence FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
+(VALUES ('customer_id', 'customer_name'), ('customer_name', 'customer_id')) v(a, z)""")
+def csv_relations_all(spark, sf_dir):
+    return structured.csv_relations(structured.csv_cells(_csv(spark, sf_dir, "true")))
+
+
 def _pages(spark, sf_dir):
     return b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
 

@@ -46,3 +46,9 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_flagship(spark, sf_dir):
     assert catalog.flagship(spark, sf_dir).count() == 20
+
+
+def test_csv_whole_table(spark):
+    found = catalog.queries()["csv_cells_all"](spark, "/root/testdata/sf0.1").where("col = 0")
+    customers = spark.read.parquet("/root/testdata/sf0.1/customer.parquet")
+    assert sorted(int(r["value"]) for r in found.collect()) == sorted(r["c_custkey"] for r in customers.collect())
