@@ -117,8 +117,8 @@ def xml_elements(spark, sf_dir):
     return rows.select("doc_id", "position", "element_type", "location", "text")
 
 
-def _markdown(spark, sf_dir):
-    c = b.table(spark, sf_dir, "conversations").where("conv_id < 200")
+def _markdown(spark, sf_dir, rows="conv_id < 200"):
+    c = b.table(spark, sf_dir, "conversations").where(rows)
     text = F.regexp_replace("text", r"\s+", " ")
     block = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit("\n\n- "), text, F.lit("\n```\n# code\n```"))
     rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("blocks"))
@@ -138,6 +138,21 @@ def markdown_front_matter(spark, sf_dir):
     return _markdown(spark, sf_dir).select("doc_id", structured.front_matter(F.col("content")).alias("front"))
 
 
+# The same over the whole table
+
+
+@R.query("markdown_elements_all", r"""WITH c AS (SELECT conv_id AS doc_id, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 6)::INT AS p, turn, role, regexp_replace(text, '\s+', ' ', 'g') AS raw FROM conversations)
+SELECT doc_id, p::INT AS position, 'header' AS element_type, (turn % 3 + 1)::INT AS level, role AS text FROM c
+UNION ALL SELECT doc_id, p + 2, 'list_item', NULL, raw FROM c UNION ALL SELECT doc_id, p + 4, 'code_block', NULL, '# code' FROM c""")
+def markdown_elements_all(spark, sf_dir):
+    return structured.markdown_elements(_markdown(spark, sf_dir, "true"))
+
+
+@R.query("markdown_front_matter_all", "SELECT conv_id AS doc_id, 'title: x' AS front FROM conversations GROUP BY conv_id")
+def markdown_front_matter_all(spark, sf_dir):
+    return _markdown(spark, sf_dir, "true").select("doc_id", structured.front_matter(F.col("content")).alias("front"))
+
+
 @R.query("row_documents", """WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
 r AS (SELECT *, sum((p IS NULL OR p <> role)::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run FROM c)
 SELECT conv_id AS doc_id, turn * 2 + 1 AS position, run AS section_run, 'paragraph' AS element_type, text FROM r
