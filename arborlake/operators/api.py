@@ -60,7 +60,7 @@ def sources_of(hits: DataFrame, elements: DataFrame, documents: DataFrame) -> Da
     return documents.join(docs, "doc_id", "left_semi").select("source").distinct()
 
 
-def flattened(elements: DataFrame, depth: int = 32) -> DataFrame:
+def flattened(elements: DataFrame, depth: int | None = None) -> DataFrame:
     """(element_id, depth, path): every element with its path from the root."""
     paths = tree.ancestry(elements, depth)
     return paths.select(

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_scratch
 
 
-def ancestry(elements: DataFrame, depth: int = 32) -> DataFrame:
+def ancestry(elements: DataFrame, depth: int | None = None) -> DataFrame:
     """(element_id, ancestor_ids): ancestors from the parent up to the root.
 
     A row joins its topmost known ancestor's parent each round; the walk ends when no
-    row grew, at ``depth`` rounds, or where an ancestor would repeat.
+    row grew, at ``depth`` rounds if given, or where an ancestor would repeat.
     """
     shared_scratch(elements.sparkSession)
     links = elements.where("parent_id IS NOT NULL").select(F.col("element_id").alias("child"), F.col("parent_id").alias("up"))
     paths = elements.select("element_id", F.array().cast("array<string>").alias("ancestor_ids"), F.col("element_id").alias("top"))
     done = None
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         step = paths.join(links, paths["top"] == links["child"], "left")
         grown = F.col("up").isNotNull() & ~F.array_contains("ancestor_ids", F.col("up")) & (F.col("up") != F.col("element_id"))
         step = step.select(

@@ -51,6 +51,12 @@ def test_reconstruction(sample):
     assert tree.full_text(sample).first()["text"].startswith("Intro\n\nfirst")
 
 
+def test_deep_ancestry(spark):
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(36)], "element_id string, parent_id string")
+    paths = {r["element_id"]: r["ancestor_ids"] for r in tree.ancestry(chain).collect()}
+    assert paths == {str(i): [str(j) for j in range(i - 1, -1, -1)] for i in range(36)}
+
+
 def test_outline(spark, sample):
     hits = spark.createDataFrame([("p2", 0.9), ("h2", 0.5)], "element_id string, score double")
     assert {r["element_id"]: r["score"] for r in tree.outline(hits, sample).collect()} == {"p2": 0.9, "h2": 0.5, "h1": None, "r": None}
