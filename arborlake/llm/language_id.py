@@ -4,8 +4,10 @@ Each language gets a variable-order byte context tree (order 3 at most) whose
 counts are frozen after training.  A byte costs ``-log2`` of its PPM-C
 probability: in the longest known context it has ``count / (n + d)``, with n the
 context's total and d its distinct successors; a byte not seen there costs the
-escape ``d / (n + d)`` and is coded in the next shorter context, down to a
-uniform code over 256 bytes.  The language with the shortest code wins.
+escape ``d / (n + d)`` and is coded in the next shorter context, where the bytes that
+were possible before are left out of n and d, down to a uniform code over the bytes
+never seen.  So the costs in a context are those of a proper distribution.  The
+language with the shortest code wins.
 
 The code length of a byte is a function of the context node and the byte only,
 so the trees of all languages are tabulated over one union tree and whole
@@ -25,6 +27,8 @@ from .common import map_arrow, sampled_per_class, utf8
 
 ORDER = 3
 UNKNOWN = "und"
+#: Bytes of the frozen tables beyond which a fit is refused rather than shortened.
+MODEL_BYTES = 1 << 30
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at once; a longer text is scored in several steps.
 _STEP = 1 << 20
@@ -58,22 +62,18 @@ def window_counts(training: DataFrame, text: str, label: str) -> DataFrame:
     """(label, window, n): how often each four-byte window occurs in each language."""
 
     def per_batch(batch):
-        by_label: dict[str, list[np.ndarray]] = {}
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for name, data in zip(batch.column("label").to_pylist(), utf8(batch.column("text"))):
-            if data:
-                by_label.setdefault(name, []).append(_windows(data))
-        labels, windows, counts = [], [], []
-        for name, parts in by_label.items():
-            w, n = np.unique(np.concatenate(parts), return_counts=True)
-            labels += [name] * len(w)
-            windows.append(w.astype(np.int64))
-            counts.append(n.astype(np.int64))
-        empty = np.zeros(0, dtype=np.int64)
-        return {
-            "label": labels,
-            "window": np.concatenate(windows) if windows else empty,
-            "n": np.concatenate(counts) if counts else empty,
-        }
+            for start in range(0, len(data), _STEP):
+                before = min(start, ORDER)
+                windows = _windows(data[start - before : start + _STEP])[before:]
+                found.setdefault(name, []).append(np.unique(windows, return_counts=True))
+        labels, windows, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for name, parts in found.items():
+            labels += [name] * sum(len(w) for w, _ in parts)
+            windows += [w.astype(np.int64) for w, _ in parts]
+            counts += [n.astype(np.int64) for _, n in parts]
+        return {"label": labels, "window": np.concatenate(windows), "n": np.concatenate(counts)}
 
     slim = training.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     parts = map_arrow(slim, per_batch, "label string, window long, n long")
@@ -87,92 +87,74 @@ def fit(
     text: str = "text",
     label: str = "lang",
     max_docs_per_language: int = 400,
-    max_contexts: int = 4_000,
 ) -> PpmModel:
     """Train on about ``max_docs_per_language`` whole texts of each language.
 
-    The sample is chosen by a hash of the key.  The union tree keeps the
-    ``max_contexts`` most frequent contexts, which bounds what is broadcast.
+    The sample is chosen by a hash of the key; all contexts of its texts are kept.
     Rows whose text or label is null are not used.
     """
     usable = training.where(F.col(text).isNotNull() & F.col(label).isNotNull())
     sample = sampled_per_class(usable.select(key, text, label), label, key, max_docs_per_language)
     rows = window_counts(sample, text, label).toPandas()
-    return build(rows["label"].to_numpy(), rows["window"].to_numpy(), rows["n"].to_numpy(), max_contexts)
+    return build(rows["label"].to_numpy(), rows["window"].to_numpy(), rows["n"].to_numpy())
 
 
-def build(labels: np.ndarray, windows: np.ndarray, counts: np.ndarray, max_contexts: int) -> PpmModel:
+def build(labels: np.ndarray, windows: np.ndarray, counts: np.ndarray) -> PpmModel:
+    """The tables of window counts (label, four-byte window, count)."""
     languages = sorted(set(labels.tolist()))
     lang = np.searchsorted(np.array(languages, dtype=object), labels) if languages else np.zeros(0, np.int64)
+    width = max(1, len(languages))
     last = (windows & 0xFF).astype(np.int64)
     symbol = np.zeros(256, dtype=np.int64)
     seen = np.unique(last)
     seen = seen[seen > 0]
     symbol[seen] = np.arange(1, len(seen) + 1)
     size = len(seen) + 1
-    # symbols of the window, newest first
+    # symbols of the window, newest first; a context never holds symbol 0
     s = [symbol[(windows >> (8 * k)) & 0xFF].astype(np.int64) for k in range(ORDER + 1)]
-
-    # contexts by depth: symbols of the preceding bytes, nearest first; a context never holds symbol 0
-    nodes: dict[tuple[int, ...], int] = {(): 0}
-    depth_start = [0, 1]
-    kept: list[set[tuple[int, ...]]] = [{()}]
-    share = max(1, max_contexts // 2)
-    for depth in range(1, ORDER + 1):
-        code = np.zeros(len(windows), dtype=np.int64)
-        ok = np.ones(len(windows), dtype=bool)
-        for k in range(1, depth + 1):
-            code = code * size + s[k]
-            ok &= s[k] > 0
-        keys, where = np.unique(code[ok], return_inverse=True)
-        totals = np.bincount(where, weights=counts[ok], minlength=len(keys))
-        order = np.lexsort((keys, -totals))
-        room = len(keys) if depth < ORDER - 1 else share
-        layer = set()
-        for i in order[:room]:
-            c, parts = int(keys[i]), []
-            for _ in range(depth):
-                parts.append(c % size)
-                c //= size
-            context = tuple(reversed(parts))
-            if context[:-1] in kept[-1]:
-                layer.add(context)
-        for context in sorted(layer):
-            nodes[context] = len(nodes)
-        kept.append(layer)
-        depth_start.append(len(nodes))
-
-    total = len(nodes)
-    steps = []
-    for depth in range(1, ORDER + 1):
-        below = depth_start[depth]  # nodes of a smaller depth
-        step = np.repeat(np.arange(below, dtype=np.int32), size).reshape(below, size)
-        for context in kept[depth]:
-            step[nodes[context[:-1]], context[-1]] = nodes[context]
-        steps.append(step.reshape(-1))
-
-    bits = np.full((total, size, max(1, len(languages))), 8.0, dtype=np.float32)
-    counted = np.zeros((total, size, max(1, len(languages))), dtype=np.float32)
-    node = np.zeros(len(windows), dtype=np.int64)
     real = s[0] > 0
-    np.add.at(counted, (node[real], s[0][real], lang[real]), counts[real])
+
+    # union tree, depth by depth: a context is its parent's and one byte before it
+    node, inside = np.zeros(len(windows), dtype=np.int64), np.ones(len(windows), dtype=bool)
+    total, starts, steps = 1, [0, 1], []
+    parent = [np.zeros(1, dtype=np.int64)]
+    visits = [(node[real], s[0][real], lang[real], counts[real])]
     for depth in range(1, ORDER + 1):
-        deeper = steps[depth - 1][node * size + s[depth]].astype(np.int64)
-        moved = real & (deeper != node)
-        np.add.at(counted, (deeper[moved], s[0][moved], lang[moved]), counts[moved])
-        node = deeper
-    parent = np.zeros(total, dtype=np.int64)
-    for context, i in nodes.items():
-        parent[i] = nodes[context[:-1]] if context else 0
-    for i in range(total):  # parents come first
-        c = counted[i]
-        n, d = c.sum(axis=0), (c > 0).sum(axis=0)
-        shorter = bits[parent[i]] if i else bits[0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = -np.log2(c / (n + d))
-            escaped = shorter - np.log2(d / np.maximum(n + d, 1))
-        bits[i] = np.where(n == 0, shorter, np.where(c > 0, own, escaped))
-    return PpmModel(languages, symbol, steps, bits.reshape(total * size, -1))
+        inside &= s[depth] > 0
+        codes, where = np.unique(node[inside] * size + s[depth][inside], return_inverse=True)
+        step = np.repeat(np.arange(total, dtype=np.int32), size)
+        step[codes] = total + np.arange(len(codes), dtype=np.int32)
+        steps.append(step)
+        parent.append(codes // size)
+        node[inside] = total + where
+        total += len(codes)
+        starts.append(total)
+        here = real & inside
+        visits.append((node[here], s[0][here], lang[here], counts[here]))
+        if total * size * width * 4 > MODEL_BYTES:
+            raise ValueError("the tables are too large to broadcast: train on fewer texts a language")
+
+    counted = np.zeros((total, size, width), dtype=np.float32)
+    for n_at, s_at, l_at, c in visits:
+        np.add.at(counted, (n_at, s_at, l_at), c)
+    bits, escaped = np.zeros_like(counted), np.zeros_like(counted)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for depth in range(ORDER + 1):
+            for start in range(starts[depth], starts[depth + 1], 1024):
+                at = slice(start, min(start + 1024, starts[depth + 1]))
+                c = counted[at]
+                n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+                if depth:
+                    up = parent[depth][at.start - starts[depth] : at.stop - starts[depth]]
+                    above = np.where(c > 0, 0, counted[up])
+                    left, kinds = above.sum(axis=1, keepdims=True), (above > 0).sum(axis=1, keepdims=True)
+                    further = np.where(kinds > 0, np.log2((left + kinds) / kinds), 0) + escaped[up]
+                    escaped[at] = np.where(above > 0, np.log2((left + kinds) / above), further)
+                else:
+                    escaped[at] = np.log2(np.maximum(256 - d, 1))
+                own = np.where(c > 0, np.log2((n + d) / c), np.log2((n + d) / d) + escaped[at])
+                bits[at] = np.where(n > 0, own, bits[up] if depth else 8.0)
+    return PpmModel(languages, symbol, steps, bits.reshape(total * size, width))
 
 
 def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
