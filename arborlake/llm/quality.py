@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 A word's vector is the mean of learned vectors of its hash and of the hashes of
-its character 3- to 5-grams; a document's is the mean over its words and over the
-word bigrams of one word repeated, which share one bucket; a softmax layer scores it.  Training is plain numpy stochastic gradient descent in one task
-over a bounded, hash-chosen sample of labelled rows.  The model is linear after
-averaging, so scoring needs one number per bucket and looks each word up once.
+its character 3- to 5-grams; a word bigram's is that of its hash; a document's is the
+mean over its words and bigrams, and a softmax layer scores it.  Training is numpy
+stochastic gradient descent in one task over a bounded, hash-chosen sample of labelled
+rows.  The model is linear after averaging, so scoring needs one number per bucket and
+looks each word up once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import map_arrow, sampled_per_class, utf8
 
 _REMEMBER, _KEY = 200_000, 48
-#: Stands for the bigram of a word and itself; no word holds white space.
-_TWICE = b" "
 
 
 @dataclass(frozen=True)
@@ -40,8 +38,6 @@ def subwords(word: bytes, buckets: int, shortest: int, longest: int) -> list[int
     """Buckets of a word: itself and the n-grams of <word>."""
     crc = zlib.crc32
     out = [crc(word, 1) % buckets]
-    if word == _TWICE:
-        return out
     marked = b"<" + word + b">"
     size = len(marked)
     for n in range(shortest, min(longest, size) + 1):
@@ -49,23 +45,41 @@ def subwords(word: bytes, buckets: int, shortest: int, longest: int) -> list[int
     return out
 
 
+def bigrams(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the word bigrams of a sequence of word hashes."""
+    both = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    return (((both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64) % buckets
+
+
 def features(text: bytes, buckets: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and the weight of each in its average vector."""
-    sequence = text.split()
-    words = Counter(sequence)
-    if twice := sum(map(eq, sequence, sequence[1:])):
-        words[_TWICE] = twice
-    total = sum(words.values())
-    ids: list[int] = []
-    shares: list[float] = []
-    for word, n in words.items():
-        own = subwords(word, buckets, shortest, longest)
-        ids += own
-        shares += [n / (total * len(own))] * len(own)
-    if not ids:
+    words = text.split()
+    if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    unique, where = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
-    return unique, np.bincount(where, weights=shares).astype(np.float32)
+    pairs = bigrams(np.array([zlib.crc32(w) for w in words], np.uint64), buckets)
+    total = len(words) + len(pairs)
+    ids = [pairs]
+    shares = [np.full(len(pairs), 1 / total)]
+    for word, n in Counter(words).items():
+        own = subwords(word, buckets, shortest, longest)
+        ids.append(own)
+        shares.append(np.full(len(own), n / (total * len(own))))
+    unique, where = np.unique(np.concatenate(ids).astype(np.int64), return_inverse=True)
+    return unique, np.bincount(where, weights=np.concatenate(shares)).astype(np.float32)
+
+
+def gradients(
+    rows: np.ndarray, share: np.ndarray, layer: np.ndarray, bias: np.ndarray, label: int, weight: float
+) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted cross entropy of a document with these bucket vectors, and its gradients by rows, layer and bias."""
+    hidden = share @ rows
+    logits = hidden @ layer + bias
+    odds = np.exp(logits - logits.max())
+    error = odds / odds.sum()
+    loss = -weight * float(np.log(error[label]))
+    error[label] -= 1
+    error *= weight
+    return loss, np.outer(share, layer @ error), np.outer(hidden, error), error
 
 
 def train(
@@ -80,7 +94,13 @@ def train(
     shortest: int,
     longest: int,
 ) -> QualityModel:
-    """favour: weight of an error on label 1 against one on label 0."""
+    """favour: weight of an error on label 1 against one on label 0.
+
+    Each document is one step along the negative gradient of its loss.  The step size
+    falls linearly; for the bucket vectors it is divided by the square of the document's
+    weights (as in normalised least mean squares), as otherwise the vectors of long
+    documents, whose weights are small, would hardly move; the bias takes a tenth.
+    """
     rng = np.random.default_rng(17)
     vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
     layer = np.zeros((dims, 2), dtype=np.float32)
@@ -96,17 +116,10 @@ def train(
             lr = rate * (1 - done / steps)
             done += 1
             rows = vectors[ids]
-            hidden = share @ rows
-            logits = hidden @ layer + bias
-            odds = np.exp(logits - logits.max())
-            error = odds / odds.sum()
-            error[labels[i]] -= 1
-            error *= weight[labels[i]]
-            back = layer @ error
-            layer -= lr * np.outer(hidden, error)
-            bias -= lr * 0.1 * error
-            # scaled so that the document's own vector moves by lr * back, however long it is
-            vectors[ids] = rows - np.outer(share * (lr / (share @ share)), back)
+            _, by_rows, by_layer, by_bias = gradients(rows, share, layer, bias, labels[i], weight[labels[i]])
+            layer -= lr * by_layer
+            bias -= lr * 0.1 * by_bias
+            vectors[ids] = rows - (lr / (share @ share)) * by_rows
     return QualityModel(
         (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]), shortest, longest
     )
@@ -166,17 +179,17 @@ def fit(
 
 
 class _WordLogits(dict):
-    """Mean bucket weight of each word, remembered while there is room."""
+    """Mean bucket weight and hash of each word, remembered while there is room."""
 
     def __init__(self, model: QualityModel) -> None:
         super().__init__()
         self.model = model
         self.weight = model.weight.astype(float).tolist()
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: bytes) -> tuple[float, int]:
         weight, model = self.weight, self.model
         own = subwords(word, len(weight), model.shortest, model.longest)
-        value = sum([weight[i] for i in own]) / len(own)
+        value = sum([weight[i] for i in own]) / len(own), zlib.crc32(word)
         if len(self) < _REMEMBER and len(word) <= _KEY:
             self[word] = value
         return value
@@ -199,15 +212,16 @@ def score_text(model: QualityModel, text: bytes) -> float:
 
 
 def _scores(model: QualityModel, texts: list[bytes]) -> list[float]:
-    logits = _word_logits(model).__getitem__
+    known = _word_logits(model).__getitem__
     out = []
     for text in texts:
         words = text.split()
         if not words:
             out.append(0.0)
             continue
-        twice = sum(map(eq, words, words[1:]))
-        z = (sum(map(logits, words)) + twice * logits(_TWICE)) / (len(words) + twice) + model.bias
+        logits, hashes = zip(*map(known, words))
+        pairs = bigrams(np.array(hashes, np.uint64), len(model.weight))
+        z = (sum(logits) + float(model.weight[pairs].sum(dtype=np.float64))) / (len(words) + len(pairs)) + model.bias
         out.append(float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0)))))
     return out
 
