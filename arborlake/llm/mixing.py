@@ -3,8 +3,12 @@
 Words are summed per source; targets follow the sources' weights, each at most
 ``most`` times its source's size, the excess shared again by weight.  A document
 is emitted floor(rate) times, plus one Bernoulli copy whose probability is the
-rate's fraction, drawn from a hash of its key.  All of it is DataFrame work: one
-pass for sizes, one row per source in between.
+rate's fraction, drawn from a hash of its key and a seed.  All of it is DataFrame
+work: one pass for sizes, one row per source in between.
+
+A single seed leaves a source as far from its target as chance does: with few or very
+unequal documents by a tenth and more.  So ``seeds`` draws are summed per source in one
+pass, and the one nearest the target is taken; ``seeds=1`` is the plain draw.
 """
 
 from __future__ import annotations
@@ -14,9 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, if_small, prepare, written
 
-#: Hash seeds tried per source; the one whose draw comes nearest to the target is used.
-SEEDS = 32
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -51,13 +52,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return levels.select("source", "source_size", F.least(share, F.col("cap").cast("double")).alias("target"))
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from 32 bits of an MD5 digest of key and seed."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed // 4}")))
-    return F.conv(F.substring(digest, 8 * (seed % 4) + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def draw(key: Column, seed: Column) -> Column:
+    """A number in [0, 1) from 32 bits of an MD5 digest of key and seed; four seeds share a digest."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.floor(seed / 4).cast("string")))
+    return F.conv(F.substr(digest, (8 * (seed % 4) + 1).cast("int"), F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def source_rates(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+def source_rates(sized: DataFrame, weights: tuple[int, ...], most: int, seeds: int) -> DataFrame:
     """(s, source_size, target, whole, part, seed): one row per source of sized (key, source, size).
 
     whole and part are the floor and fraction of the rate; seed is the hash seed whose
@@ -73,7 +74,7 @@ def source_rates(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataF
     aims, few = if_small(aims)
     rated = sized.join(aims, sized["source"].eqNullSafe(aims["s"])).drop("s")
     rated = rated if few else written(rated, "rated")
-    extra = [F.sum(F.when(draw(F.col("key"), i) < F.col("part"), F.col("size")).otherwise(0)) for i in range(SEEDS)]
+    extra = [F.sum(F.when(draw(F.col("key"), F.lit(i)) < F.col("part"), F.col("size")).otherwise(0)) for i in range(seeds)]
     tried = rated.groupBy("source").agg(
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
@@ -100,8 +101,7 @@ def _sized(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 def _copies(key: Column) -> Column:
     """floor(rate) copies and the Bernoulli one, from the columns whole, part and seed."""
-    drawn = F.element_at(F.array(*[draw(key, i) for i in range(SEEDS)]), F.col("seed") + 1)
-    return (F.col("whole") + F.when(drawn < F.col("part"), 1).otherwise(0)).cast("long")
+    return (F.col("whole") + F.when(draw(key, F.col("seed")) < F.col("part"), 1).otherwise(0)).cast("long")
 
 
 def plan(
@@ -112,6 +112,7 @@ def plan(
     source: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     most: int = 3,
+    seeds: int = 32,
 ) -> DataFrame:
     """(key, source, size, source_size, target, copies) for every row.
 
@@ -121,7 +122,7 @@ def plan(
     """
     prepare(documents.sparkSession)
     sized = _sized(documents, key, text, source)
-    rates = source_rates(sized, weights, most)
+    rates = source_rates(sized, weights, most, seeds)
     return sized.join(rates, sized["source"].eqNullSafe(rates["s"])).select(
         F.col("key").alias(key),
         F.col("source").alias(source),
@@ -140,6 +141,7 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     most: int = 3,
+    seeds: int = 32,
 ) -> DataFrame:
     """The mixed documents: each row of the input as often as its plan says, same columns.
 
@@ -147,7 +149,7 @@ def mix(
     are few enough to broadcast.
     """
     prepare(documents.sparkSession)
-    rates = source_rates(_sized(documents, key, text, source), weights, most)
+    rates = source_rates(_sized(documents, key, text, source), weights, most, seeds)
     columns = documents.columns
     plain = documents.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     own_key, own_source = F.col(f"__c{columns.index(key)}"), plain[f"__c{columns.index(source)}"]
