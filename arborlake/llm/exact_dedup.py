@@ -5,16 +5,18 @@ equal texts in a task one representative goes on.  Then representatives are deal
 by text length and content hash; each partition inserts their full byte strings
 into a radix trie whose terminal nodes hold the smallest identifier and the
 number of rows.  Equality is decided by the tries alone; the hash only deals.
-A trie that outgrows its budget spills whole subtrees to a local temporary file
-and finishes them one after the other.
+A terminal holds one owner, whatever number of rows it stands for.  A trie that
+outgrows its budget spills whole subtrees to temporary files of its task and finishes
+them one after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
-import marshal
+import os
+import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,8 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import prepare, utf8, written
 
-#: Bytes of text that one trie holds before it spills (or, map side, is handed on).
-BUDGET = 48 << 20
+#: Bytes that one trie holds before it spills (or, map side, is handed on): texts, nodes and owners.
+BUDGET = 64 << 20
+#: About what a node takes beside its label, and an owner beside what it carries.
+NODE, OWNER = 300, 200
+#: Files that a trie spills to at most; further subtrees share them.
+FILES = 64
+#: Bytes of text in a batch of rows that are handed on.
+_BATCH = 8 << 20
 
 
 def normalised(text: bytes) -> bytes:
@@ -58,25 +66,26 @@ class Node:
         self.label = label
         self.below: dict[int, Node] = {}
         self.owner = owner
-        self.held = len(label)
+        self.held = len(label) + NODE
 
 
 class Trie:
-    """Radix trie over byte strings; find() gives the terminal's owner list."""
+    """Radix trie over byte strings; ``held`` of a node counts bytes at and below it."""
 
     def __init__(self) -> None:
         self.root = Node(b"")
+        self.path: list[Node] = []
 
     def find(self, text: bytes) -> Node:
         """The terminal node of text, made if it is new."""
         node, at, size = self.root, 0, len(text)
-        path = [node]
+        self.path = path = [node]
         while at < size:
             child = node.below.get(text[at])
             if child is None:
                 child = node.below[text[at]] = Node(text[at:])
-                for x in path:
-                    x.held += len(child.label)
+                self.grow(child.held)
+                path.append(child)
                 return child
             label = child.label
             if text.startswith(label, at):
@@ -86,16 +95,22 @@ class Trie:
                 continue
             n = _common(label, text, at)
             upper = Node(label[:n])
-            upper.held = child.held
             child.label = label[n:]
             child.held -= n
+            upper.held += child.held
             upper.below[child.label[0]] = child
             node.below[text[at]] = upper
+            self.grow(NODE)
             at += n
             node = upper
             path.append(node)
         return node
 
+    def grow(self, n: int) -> None:
+        """Count n more bytes for all nodes on the way to the terminal found last."""
+        for x in self.path:
+            x.held += n
+
     @property
     def held(self) -> int:
         return self.root.held
@@ -121,59 +136,70 @@ class Trie:
         return prefix, node, max(node.below, key=lambda b: node.below[b].held)
 
 
-def owners(records: Iterator[tuple], budget: int = BUDGET) -> Iterator[tuple[bytes, list]]:
-    """(text, entries) for each distinct text of (text, entry) records, within the budget.
+def owners(
+    records: Iterator[tuple], merge: Callable, weight: Callable = lambda owner: OWNER, budget: int = BUDGET
+) -> Iterator[tuple]:
+    """(text, owner) for each distinct text of (text, entry) records, within the budget.
 
-    When the trie outgrows the budget, its heaviest subtree goes to a temporary
-    file, and so do later records of that subtree; each file is then treated alike.
+    merge(owner or None, entry) gives the text's new owner and an event or None; events
+    come out at once as (None, event).  When the trie outgrows the budget, its heaviest
+    subtree goes to a temporary file, and so do later records of that subtree; each file
+    is then treated alike.
     """
+    with tempfile.TemporaryDirectory() as folder:
+        yield from _owned(((t, e, False) for t, e in records), merge, weight, budget, folder)
+
+
+def _owned(records: Iterator[tuple], merge: Callable, weight: Callable, budget: int, folder: str) -> Iterator[tuple]:
     trie = Trie()
     spilled: dict[bytes, object] = {}
+    files: list = []
     lengths: list[int] = []
-    for text, entry in records:
+    for text, entry, merged in records:
         if spilled:
             out = next((spilled[text[:n]] for n in lengths if text[:n] in spilled), None)
             if out is not None:
-                marshal.dump((text, entry), out)
+                pickle.dump((text, entry, merged), out)
                 continue
         node = trie.find(text)
-        if node.owner is None:
-            node.owner = []
-        node.owner.append(entry)
-        while trie.held > budget:
-            found = trie.heaviest()
-            if found is None:
-                break
+        before = 0 if node.owner is None else weight(node.owner)
+        node.owner, event = (entry, None) if merged else merge(node.owner, entry)
+        if event is not None:
+            yield None, event
+        trie.grow(weight(node.owner) - before)
+        while trie.held > budget and (found := trie.heaviest()) is not None:
             prefix, top, first = found
-            if not prefix and not top.below:
-                break
             branch = top.below.pop(first)
-            mark = prefix + bytes([first])
-            out = spilled[mark] = tempfile.TemporaryFile()
+            if len(files) < FILES:
+                handle, path = tempfile.mkstemp(dir=folder)
+                os.close(handle)
+                files.append(open(path, "wb"))
+            out = spilled[prefix + bytes([first])] = files[len(spilled) % FILES]
             lengths = sorted({len(m) for m in spilled}, reverse=True)
-            for whole, node in trie.terminals(branch, prefix):
-                for e in node.owner:
-                    marshal.dump((whole, e), out)
-            freed, node = branch.held, trie.root
+            for whole, gone in trie.terminals(branch, prefix):
+                pickle.dump((whole, gone.owner, True), out)
+            freed, node, at = branch.held, trie.root, 0
             node.held -= freed
-            at = 0
             while node is not top:
                 node = node.below[prefix[at]]
                 at += len(node.label)
                 node.held -= freed
     for whole, node in trie.terminals():
         yield whole, node.owner
-    del trie
-    for out in spilled.values():
-        out.seek(0)
-        yield from owners(_loaded(out), budget)
-        out.close()
+    del trie, spilled
+    paths = [f.name for f in files]
+    for f in files:
+        f.close()
+    for path in paths:
+        with open(path, "rb") as f:
+            yield from _owned(_loaded(f), merge, weight, budget, folder)
+        os.remove(path)
 
 
 def _loaded(file) -> Iterator[tuple]:
     while True:
         try:
-            yield marshal.load(file)
+            yield pickle.load(file)
         except EOFError:
             return
 
@@ -188,7 +214,7 @@ def _smaller(a: tuple, b: tuple) -> tuple:
 
 
 def duplicate_groups(
-    documents: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[str] | None = None
+    documents: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, budget: int = BUDGET
 ) -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256[, carried columns]) for every row.
 
@@ -196,7 +222,7 @@ def duplicate_groups(
     by one space; null counts as empty.  keep_id is the smallest key of the group
     (null keys come last) and ``kept`` marks exactly one row of it: rows that repeat
     a key and a text count as copies.  An empty table gives an empty result.  Other
-    columns are read only if named in ``carry``.
+    columns are read only if named in ``carry``.  ``budget``: bytes that a trie holds.
     """
     prepare(documents.sparkSession)
     carried = carry or []
@@ -212,7 +238,7 @@ def duplicate_groups(
 
     local_schema = f"rep long, key {kind}, row long, n long, content binary{extras}"
     local_arrow = to_arrow_schema(_parse_datatype_string(local_schema))
-    owner_schema = f"rep long, keep_id {kind}, keep_row long, group_size long, text_sha256 string"
+    owner_schema = f"part long, rep long, keep_id {kind}, keep_row long, group_size long, text_sha256 string"
     owner_arrow = to_arrow_schema(_parse_datatype_string(owner_schema))
 
     def localise(batches):
@@ -221,15 +247,13 @@ def duplicate_groups(
         row, classes, trie = base, base, Trie()
 
         def class_rows():
-            found = [(node.owner, whole) for whole, node in trie.terminals()]
-            for i in range(0, len(found), 2000):
-                part = found[i : i + 2000]
+            for part in _batches((whole, node.owner) for whole, node in trie.terminals()):
                 fields = [
-                    [o[0] for o, _ in part],
-                    [o[1][0] for o, _ in part],
-                    [o[1][1] for o, _ in part],
-                    [o[2] for o, _ in part],
-                    [w for _, w in part],
+                    [o[0] for _, o in part],
+                    [o[1][0] for _, o in part],
+                    [o[1][1] for _, o in part],
+                    [o[2] for _, o in part],
+                    [w for w, _ in part],
                 ]
                 columns = [pa.array(v, type=f.type) for v, f in zip(fields, local_arrow)]
                 columns += [pa.nulls(len(part), type=f.type) for f in list(local_arrow)[5:]]
@@ -245,6 +269,7 @@ def duplicate_groups(
                 if node.owner is None:
                     node.owner = [classes, (k, row), 1]
                     classes += 1
+                    trie.grow(OWNER)
                 else:
                     owner = node.owner
                     owner[1] = _smaller(owner[1], (k, row))
@@ -260,7 +285,7 @@ def duplicate_groups(
                 *[batch.column(c).cast(local_arrow.field(c).type) for c in extra],
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=local_arrow)
-            if trie.held > BUDGET:
+            if trie.held > budget:
                 yield from class_rows()
                 trie = Trie()
         yield from class_rows()
@@ -270,32 +295,44 @@ def duplicate_groups(
     dealt = classes.repartition(F.length("content"), F.xxhash64("content"))
 
     def own(batches):
+        """Per class row its text's number, at once; then, per text, what its trie's terminal holds."""
+        texts = TaskContext.get().partitionId() << 33
+
         def records():
             for batch in batches:
                 for rep, k, row, n, content in zip(*[c.to_pylist() for c in batch.columns]):
                     yield content, (rep, k, row, n)
 
+        def merge(owner, entry):
+            nonlocal texts
+            rep, k, row, n = entry
+            if owner is None:
+                owner, texts = (texts, k, row, n), texts + 1
+            else:
+                owner = (owner[0], *_smaller(owner[1:3], (k, row)), owner[3] + n)
+            return owner, (owner[0], rep)
+
+        def rows():
+            for content, found in owners(records(), merge, budget=budget):
+                if content is None:
+                    yield (*found, None, None, None, None)
+                else:
+                    yield found[0], None, *found[1:], hashlib.sha256(content).hexdigest()
+
         held: list[tuple] = []
-        for content, entries in owners(records()):
-            best, total = (entries[0][1], entries[0][2]), 0
-            for _, k, row, n in entries:
-                best = _smaller(best, (k, row))
-                total += n
-            mark = hashlib.sha256(content).hexdigest()
-            held += [(e[0], best[0], best[1], total, mark) for e in entries]
+        for r in rows():
+            held.append(r)
             if len(held) >= 5000:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, type=f.type) for v, f in zip(zip(*held), owner_arrow)], schema=owner_arrow
-                )
+                yield _batch_of(held, owner_arrow)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=f.type) for v, f in zip(zip(*held), owner_arrow)], schema=owner_arrow
-            )
+            yield _batch_of(held, owner_arrow)
 
-    owned = dealt.mapInArrow(own, owner_schema)
+    owned = written(dealt.mapInArrow(own, owner_schema), "exact-owned")
+    texts = owned.where("rep is null").drop("rep")
+    by_rep = owned.where("rep is not null").select("part", "rep").join(texts, "part").drop("part")
     members = local.where("n is null").select("rep", "key", "row", *extra)
-    return members.join(owned, "rep").select(
+    return members.join(by_rep, "rep").select(
         F.col("key").alias(key),
         "keep_id",
         "group_size",
@@ -305,7 +342,24 @@ def duplicate_groups(
     )
 
 
-def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _batches(items: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Lists of (text, owner) with up to 2000 items and about _BATCH bytes of text."""
+    part, size = [], 0
+    for item in items:
+        part.append(item)
+        size += len(item[0])
+        if len(part) >= 2000 or size >= _BATCH:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """One whole row, all columns unchanged, of each group of equal texts.
 
     The row with the smallest key stays (null keys come last; of rows that repeat
@@ -324,22 +378,19 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     dealt_schema = StructType([*out_schema.fields]).add("row", LongType()).add("length", LongType()).add("mark", LongType())
     out_arrow, dealt_arrow = to_arrow_schema(out_schema), to_arrow_schema(dealt_schema)
 
-    def batch_of(rows, schema):
-        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+    def carried(values: tuple) -> int:
+        return OWNER + sum(len(v) if isinstance(v, (str, bytes)) else 32 for v in values)
 
     def localise(batches):
         row, trie = TaskContext.get().partitionId() << 33, Trie()
 
         def class_rows():
-            rows = []
-            for content, node in trie.terminals():
-                mark = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
-                rows.append((*node.owner[1], node.owner[0][1], len(content), mark))
-                if len(rows) >= 2000:
-                    yield batch_of(rows, dealt_arrow)
-                    rows = []
-            if rows:
-                yield batch_of(rows, dealt_arrow)
+            for part in _batches((content, node.owner) for content, node in trie.terminals()):
+                rows = []
+                for content, (rank, values) in part:
+                    mark = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
+                    rows.append((*values, rank[1], len(content), mark))
+                yield _batch_of(rows, dealt_arrow)
 
         for batch in batches:
             fields = [c.to_pylist() for c in batch.columns]
@@ -347,12 +398,14 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
                 node, rank = trie.find(normalised(raw)), (values[at_key], row)
                 if node.owner is None:
                     node.owner = (rank, values)
+                    trie.grow(carried(values))
                 elif _smaller(node.owner[0], rank) is rank:
+                    trie.grow(carried(values) - carried(node.owner[1]))
                     node.owner = (rank, values)
                 row += 1
-            if trie.held > BUDGET:
-                yield from class_rows()
-                trie = Trie()
+                if trie.held > budget:
+                    yield from class_rows()
+                    trie = Trie()
         yield from class_rows()
 
     def own(batches):
@@ -362,18 +415,14 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
                 for content, values in zip(raw, zip(*[c.to_pylist() for c in batch.columns])):
                     yield normalised(content), values
 
-        rows = []
-        for _, entries in owners(records()):
-            best = entries[0]
-            for other in entries[1:]:
-                a, b = (best[at_key], best[len(columns)]), (other[at_key], other[len(columns)])
-                best = best if _smaller(a, b) is a else other
-            rows.append(best[: len(columns)])
-            if len(rows) >= 2000:
-                yield batch_of(rows, out_arrow)
-                rows = []
-        if rows:
-            yield batch_of(rows, out_arrow)
+        def merge(owner, values):
+            if owner is None:
+                return values, None
+            a, b = (owner[at_key], owner[len(columns)]), (values[at_key], values[len(columns)])
+            return (owner if _smaller(a, b) is a else values), None
+
+        for part in _batches(owners(records(), merge, carried, budget)):
+            yield _batch_of([values[: len(columns)] for _, values in part], out_arrow)
 
     dealt = plain.mapInArrow(localise, dealt_schema).repartition("length", "mark")
     return dealt.mapInArrow(own, out_schema).toDF(*columns)
