@@ -55,22 +55,75 @@ def brute_bits(model, data):
     return total
 
 
-def test_ppm_probabilities_sum_to_one_and_match_brute_force():
-    data = b"abracadabra abracadabra"
-    windows = language_id._windows(data).astype(np.int64)
-    w, n = np.unique(windows, return_counts=True)
-    model = language_id.build(np.array(["x"] * len(w), dtype=object), w, n, 1000)
-    # PPM-C by hand: after "abr" always "a"; one successor, four times
-    size = int(model.symbol.max()) + 1
-    node = 0
-    for depth, c in enumerate(b"rba", 1):
-        node = model.steps[depth - 1][node * size + model.symbol[c]]
-    assert model.bits[node * size + model.symbol[ord("a")], 0] == pytest.approx(-np.log2(4 / 5))
-    texts = [b"abra", b"cadabra" * 50, b"", b"\x00zz\xff", b"abc" * 400_000]
-    got = language_id.code_lengths(model, texts)
-    for t, g in zip(texts[:4], got):
-        assert g == pytest.approx(brute_bits(model, t), rel=1e-5)
-    assert got[4] == pytest.approx(brute_bits(model, texts[4][:3000])[0] / 1000 * 400_000, rel=0.01)
+class Ppm:
+    """PPM-C with exclusion from dictionaries: the length of one byte's code, escape by escape."""
+
+    def __init__(self, texts):
+        self.counts = {}
+        for t in texts:
+            for i, byte in enumerate(t):
+                for order in range(min(i, language_id.ORDER) + 1):
+                    row = self.counts.setdefault(t[i - order : i], {})
+                    row[byte] = row.get(byte, 0) + 1
+
+    def probability(self, context, byte):
+        order = next(n for n in range(len(context), -1, -1) if context[len(context) - n :] in self.counts)
+        out, excluded = 1.0, set()
+        while order >= 0:
+            row = {b: n for b, n in self.counts[context[len(context) - order :]].items() if b not in excluded}
+            total = sum(row.values()) + len(row)
+            if byte in row:
+                return out * row[byte] / total
+            if row:
+                out *= len(row) / total
+            excluded |= set(row)
+            order -= 1
+        return out / (256 - len(excluded))
+
+    def bits(self, text):
+        return -sum(np.log2(self.probability(text[max(0, i - language_id.ORDER) : i], b)) for i, b in enumerate(text))
+
+
+def ppm_model(by_language):
+    labels, windows, counts = [], [], []
+    for name, texts in by_language.items():
+        for t in texts:
+            w, n = np.unique(language_id._windows(t).astype(np.int64), return_counts=True)
+            labels, windows, counts = labels + [name] * len(w), windows + w.tolist(), counts + n.tolist()
+    return language_id.build(np.array(labels, dtype=object), np.array(windows), np.array(counts))
+
+
+def test_ppm_matches_dictionaries():
+    rng = random.Random(12)
+    by_language = {
+        "x": [b"abracadabra abracadabra", b"the cat sat on the mat"],
+        "y": [bytes(rng.choice(b"abcde ") for _ in range(400)), "größe über straße".encode()],
+        "z": [b"q"],
+    }
+    model = ppm_model(by_language)
+    plain = {name: Ppm(texts) for name, texts in by_language.items()}
+    texts = [b"abra", b"cadabra the mat", b"", "straße".encode(), b"zzz\xff qqq", b"abc" * 300]
+    for got, text in zip(language_id.code_lengths(model, texts), texts):
+        assert got == pytest.approx([plain[name].bits(text) for name in model.languages], rel=1e-4, abs=1e-4)
+    for context in (b"", b"a", b"br", b"abr", b"the", b"xyz"):
+        assert sum(plain["x"].probability(context, b) for b in range(256)) == pytest.approx(1)
+
+
+def test_ppm_steps_over_long_texts(monkeypatch):
+    model = ppm_model({"x": [b"abracadabra abracadabra"], "y": [b"dab cab"]})
+    texts = [b"abra", b"cadabra" * 50, b"", b"\x00zz\xff", b"abc" * 1000]
+    whole = language_id.code_lengths(model, texts)
+    for t, got in zip(texts, whole):
+        assert got == pytest.approx(brute_bits(model, t), rel=1e-5)
+    monkeypatch.setattr(language_id, "_STEP", 64)
+    assert language_id.code_lengths(model, texts) == pytest.approx(whole, rel=1e-5)
+
+
+def test_language_ties_and_repeated_rows(spark):
+    """Languages that learned the same tie, and the first in order wins; repeated rows give repeated results."""
+    model = ppm_model({"b": [b"some words"], "a": [b"some words"]})
+    rows = language_id.identify(docs(spark, ["some", "some", "12"], [1, 1, 2]), model).collect()
+    assert sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in rows) == [(1, "a", 0.5), (1, "a", 0.5), (2, "und", 0.0)]
 
 
 def test_language_id(spark, sf_dir):
@@ -146,15 +199,43 @@ def test_search_small_tables_are_exact(spark):
     assert got == brute_nearest(data, 20)
 
 
-def test_search_recall_beyond_one_window(spark):
+@pytest.mark.parametrize("spread", [0.05, 0.3, None])
+def test_search_recall(spark, spread):
+    """Default parameters on a table of many chunks: clustered vectors, and (None) vectors without structure."""
     rng = np.random.default_rng(4)
-    centers = rng.normal(size=(40, 16))
-    data = [(i, (centers[i % 40] + 0.3 * rng.normal(size=16)).astype(np.float32).tolist(), 0, 1) for i in range(4000)]
-    data = [(i, (np.array(v) / np.linalg.norm(v)).tolist(), a, b) for i, v, a, b in data]
-    found = hilbert_ann.search(vectors(spark, data), F.col("vec_id") % 20 == 0, k=10, least_rows=10).collect()
-    want = brute_nearest([(i, np.float32(v).tolist()) for i, v, *_ in data], 10)
-    hits = sum(r["vec_id"] in want[r["query_id"]] for r in found)
-    assert hits / sum(map(len, want.values())) >= 0.9
+    data = rng.normal(size=(8000, 32)) if spread is None else rng.normal(size=(80, 32))[np.arange(8000) % 80] + spread * rng.normal(size=(8000, 32))
+    data = (data / np.linalg.norm(data, axis=1, keepdims=True)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 0, 1) for i, v in enumerate(data)], "vec_id long, embedding array<float>, query int, block int")
+    found = hilbert_ann.search(table, F.col("vec_id") % 20 == 0).collect()
+    score = data[::20].astype(np.float64) @ data.T.astype(np.float64)
+    score[np.arange(400), np.arange(0, 8000, 20)] = -9
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert len(found) == 400 * 20
+    assert sum(r["vec_id"] in want[r["query_id"] // 20] for r in found) / len(found) >= 0.9
+    assert all(r["score"] == pytest.approx(score[r["query_id"] // 20, r["vec_id"]], abs=1e-12) for r in found)
+
+
+def test_search_odd_keys(spark):
+    """Repeated rows are one, a key with two vectors is two candidates, more queries than k share a vector; few candidates."""
+    a, b, c = [1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 2.0]
+    rows = [(0, a), (0, a), (20, a), (3, b), (3, c), (4, a), (7, [1.0, 1.0]), (40, a), (60, a)]
+    table = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, query int, block int")
+    got = {}
+    for r in sorted(hilbert_ann.search(table, F.col("vec_id") % 20 == 0, k=4).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got[0] == [(4, 1.0), (20, 1.0), (40, 1.0), (60, 1.0)]
+    assert got[20] == [(0, 1.0), (4, 1.0), (40, 1.0), (60, 1.0)]
+    assert got[60] == [(0, 1.0), (4, 1.0), (20, 1.0), (40, 1.0)]
+    seven = {r["query_id"]: r for r in hilbert_ann.search(table, F.col("vec_id") == 60, k=9).where("rank > 4").collect()}
+    assert len(seven) == 1
+    whole = hilbert_ann.search(table, F.col("vec_id") == 60, k=9).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in whole] == [(0, 1.0), (4, 1.0), (20, 1.0), (40, 1.0), (3, 0.6), (3, 0.0)]
+
+
+def test_rounded_vectors():
+    v = np.random.default_rng(0).normal(size=(50, 16))
+    codes, scale = hilbert_ann.rounded(v)
+    assert np.abs(codes * scale[:, None] - v).max() <= np.abs(v).max() / 65534 + 1e-12
 
 
 def test_search_empty(spark):
@@ -237,6 +318,61 @@ def test_near_duplicates_nulls_and_empty(spark):
     assert len(rows) == 3
 
 
+def test_spanning_links_connect_what_pairs_connect():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        sets = []
+        for _ in range(int(rng.integers(1, 6))):
+            base = rng.integers(0, 1 << 62, int(rng.integers(3, 60)), dtype=np.uint64)
+            for _ in range(int(rng.integers(1, 9))):
+                copy = base.copy()
+                change = rng.integers(0, len(base), int(rng.integers(0, 1 + len(base) // 6)))
+                copy[change] = rng.integers(0, 1 << 62, len(change), dtype=np.uint64)
+                sets.append(np.unique(copy))
+        groups = []
+        for pairs in (
+            simhash.spanning_links(sets, (4, 5)),
+            [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))],
+        ):
+            root = list(range(len(sets)))
+            for a, b in pairs:
+                root = [root[a] if r == root[b] else r for r in root]
+            groups.append([root.index(r) for r in root])
+        assert groups[0] == groups[1]
+
+
+def test_pairs_at_the_bound_meet():
+    """Sets at a similarity of just 0.8 share a bucket, but for a few in 100,000."""
+    rng = np.random.default_rng(10)
+    ladder, missed = simhash._ladder((4, 5)), 0
+    for size in (4, 5, 6, 9, 10, 15, 25, 40, 60, 100, 300):
+        for _ in range(200):
+            either = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            both = -(-4 * size // 5)
+            cut = int(rng.integers(both, size + 1))
+            a, b = simhash.class_buckets([np.unique(either[:cut]), np.unique(np.r_[either[:both], either[cut:]])], ladder)
+            missed += not set(a.tolist()) & set(b.tolist())
+    assert missed <= 2
+
+
+def test_similar_groups_in_cells(spark):
+    """Teams dealt into many small cells give the groups that whole teams give."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghij") * 3 + str(i) for i in range(120)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 6])):
+            copy[at] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    table = docs(spark, texts + [None, "", "a b"], list(range(200, 350)) + [1, 2, 3])
+    whole = simhash.similar_groups(table)
+    parts = simhash.similar_groups(table, cell_shingles=1000)
+    assert sorted(whole.collect()) == sorted(parts.collect())
+    assert whole.select("component_id").distinct().count() >= 1
+    assert {r["doc_id"] for r in whole.collect()} <= set(range(200, 350))
+
+
 # 5
 
 
@@ -256,11 +392,56 @@ def test_quality(spark, sf_dir):
 
 def test_word_scores_add_up():
     model = quality.QualityModel(np.linspace(-1, 1, 64, dtype=np.float32), 0.5, 3, 5)
-    text = b"alpha beta beta"
-    ids, share = quality.features(text, 64, 3, 5)
-    assert share.sum() == pytest.approx(1)
-    z = float(share @ model.weight[ids]) + 0.5
-    assert quality.score_text(model, text) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+    for text in (b"alpha beta beta", b"one", b"a " * 500):
+        ids, share = quality.features(text, 64, 3, 5)
+        assert share.sum() == pytest.approx(1)
+        z = float(share @ model.weight[ids]) + 0.5
+        assert quality.score_text(model, text) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+
+
+def test_features_by_hand():
+    """Each word shares its weight among its subwords, each bigram has one bucket, all weigh alike."""
+    words, buckets = [b"ab", b"ab", b"xyz"], 1 << 16
+    want = {}
+    for w in words:
+        marked = b"<" + w + b">"
+        own = [zlib.crc32(w, 1) % buckets]
+        own += [zlib.crc32(marked[i : i + n]) % buckets for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        for i in own:
+            want[i] = want.get(i, 0) + 1 / (5 * len(own))
+    for pair in zip(words, words[1:]):
+        i = int(quality.bigrams(np.array([zlib.crc32(w) for w in pair], np.uint64), buckets)[0])
+        want[i] = want.get(i, 0) + 1 / 5
+    ids, share = quality.features(b" ".join(words), buckets, 3, 5)
+    assert dict(zip(ids.tolist(), share.tolist())) == pytest.approx(want, rel=1e-5)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    rows, layer, bias = rng.normal(size=(6, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    share = rng.dirichlet(np.ones(6))
+    for label, weight in ((0, 1.0), (1, 2.0)):
+        found = quality.gradients(rows, share, layer, bias, label, weight)[1:]
+        for part, gradient in zip((rows, layer, bias), found):
+            for at in np.ndindex(part.shape):
+                old, losses = part[at], []
+                for step in (1e-6, -1e-6):
+                    part[at] = old + step
+                    losses.append(quality.gradients(rows, share, layer, bias, label, weight)[0])
+                part[at] = old
+                assert gradient[at] == pytest.approx((losses[0] - losses[1]) / 2e-6, abs=1e-5)
+
+
+def test_quality_edges(spark):
+    """Empty tables, ties of key and label, repeated rows; a hostile long text."""
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (2, None), (None, 1), (3, 7)], "doc_id long, quality int")
+    texts = ["good words here", "bad bad bad", "x", None]
+    model = quality.fit(docs(spark, texts), labels, buckets=256)
+    assert model is not None
+    assert quality.score(docs(spark, []), model).count() == 0
+    rows = quality.score(docs(spark, texts + ["bad bad bad", "w" * 300_000], [0, 1, 2, 3, 1, None]), model).collect()
+    assert len(rows) == 6 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+    assert quality.fit(docs(spark, []), labels) is None
 
 
 # 6
@@ -410,13 +591,54 @@ def test_exact_duplicates(spark, monkeypatch):
 
 def test_trie_spills_by_subtree():
     rng = random.Random(6)
-    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(40))) for _ in range(2000)]
-    for budget in (64, 500, 1 << 20):
-        got = dict(exact_dedup.owners(((t, i) for i, t in enumerate(texts)), budget))
-        want = {}
-        for i, t in enumerate(texts):
-            want.setdefault(t, []).append(i)
-        assert {t: sorted(e) for t, e in got.items()} == want
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(40))) for _ in range(2000)] + [b"a" * 5000] * 50
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(t, []).append(i)
+
+    def merge(owner, i):
+        return ((i, 1) if owner is None else (min(owner[0], i), owner[1] + 1)), i
+
+    for budget in (64, 5000, 100_000, 1 << 30):
+        events, got = [], {}
+        for text, found in exact_dedup.owners(((t, i) for i, t in enumerate(texts)), merge, budget=budget):
+            if text is None:
+                events.append(found)
+            else:
+                assert text not in got
+                got[text] = found
+        assert sorted(events) == list(range(len(texts)))
+        assert got == {t: (min(e), len(e)) for t, e in want.items()}
+
+
+def test_trie_counts_what_it_holds():
+    rng = random.Random(8)
+    trie = exact_dedup.Trie()
+    for _ in range(500):
+        trie.find(bytes(rng.choice(b"abc") for _ in range(rng.randrange(12)))).owner = 1
+
+    def size(node):
+        own = len(node.label) + exact_dedup.NODE + sum(map(size, node.below.values()))
+        assert node.held == own
+        return own
+
+    size(trie.root)
+
+
+def test_exact_duplicates_of_a_hot_text(spark):
+    """A text of a megabyte in 200 partitions: terminals keep one owner each, within a small budget."""
+    table = spark.range(0, 400, 1, 200).select(
+        F.when(F.col("id") == 77, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.when(F.col("id") % 4 == 0, F.concat_ws(" ", "id", F.lit("own"))).otherwise(F.repeat(F.lit("hot text "), 116_000)).alias("text"),
+        F.current_timestamp().alias("part"),
+        F.lit(1.5).cast("decimal(5,2)").alias("rep"),
+    )
+    rows = exact_dedup.duplicate_groups(table, budget=2 << 20).collect()
+    assert sorted(r["group_size"] for r in rows) == [1] * 100 + [300] * 300
+    assert {r["keep_id"] for r in rows if r["group_size"] == 300} == {1}
+    left = exact_dedup.deduplicate(table, budget=2 << 20)
+    assert left.schema == table.schema
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted([1, *range(0, 400, 4)])
 
 
 # 10
