@@ -84,7 +84,7 @@ def _as_arrow(values: object, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
+def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 

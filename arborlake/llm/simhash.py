@@ -19,15 +19,16 @@ fingerprint.  There the masks cut the shingle set: one of P masks keeps the shin
 whose hash falls into its class, and texts meet where the shingles kept have one
 fingerprint.  Fewer than P differing shingles leave some class untouched, so with P over
 a quarter of the shingles every pair in reach agrees in a class.  Texts meet in all
-classes up to CLASSES, long ones in the first CLASSES of P; what meets is compared.
+classes up to CLASSES, long ones in the first CLASSES of P.  What meets is compared
+exactly, by counting shared shingles.
 """
 
 from __future__ import annotations
 
-import functools
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,64 +254,73 @@ def _entries(documents: DataFrame, words_per_shingle: int, least: tuple[int, int
     return map_arrow(documents.select("id", "text"), per_batch, f"id {kind}, size int, buckets array<long>").where("size > 0")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, least: tuple[int, int], words_per_shingle: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar: shared / all shingles >= least[0] / least[1]."""
-    up, down = least
-
-    def per_batch(batch):
-        known = functools.lru_cache(16)(lambda t: shingle_set(t, words_per_shingle))
-        keep = []
-        for x, y in zip(utf8(batch.column("x")), utf8(batch.column("y"))):
-            s, t = known(x), known(y)
-            shared = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(shared * down >= up * (len(s) + len(t) - shared))
-        return {"a": batch.column("a"), "b": batch.column("b"), "near": keep}
-
-    kind = documents.schema["id"].dataType.simpleString()
-    left = documents.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = documents.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return map_arrow(both, per_batch, f"a {kind}, b {kind}, near boolean").where("near").select("a", "b").distinct()
-
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
+def spanning_links(sets: list[np.ndarray], least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of positions whose sets are similar, enough of them to connect all that similar pairs connect.
 
-def similar_links(documents: DataFrame, words_per_shingle: int, least: tuple[int, int]) -> DataFrame:
-    """(a, b) with a < b: true links that connect the ids of all similar texts that meet.
-
-    A bucket's members are first compared with its leader only, the member that shares
-    most buckets (of copies of one text mostly that text).  Pairs of a bucket that these
-    links do not connect yet are compared afterwards, all of them whose sizes allow it.
+    One member is compared with all others by counting, over an inverted index, the
+    shingles that they share.  The most central member goes first; whoever it is then
+    connected with needs no comparison of its own, everyone else is compared in turn.
+    """
+    up, down = least
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, spread = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    holders, start = owner[order], np.cumsum(spread) - spread
+    central = np.bincount(owner, weights=spread[code], minlength=n) / sizes
+    root = np.arange(n)
+    found = []
+    first = int(central.argmax())
+    for x in [first, *range(n)]:
+        if x != first and root[x] == root[first]:
+            continue
+        own = code[ends[x] - sizes[x] : ends[x]]
+        own = own[spread[own] > 1]
+        shared = np.zeros(n, np.int64)
+        for i in range(0, len(own), 1024):
+            part = own[i : i + 1024]
+            runs = spread[part]
+            at = np.repeat(start[part] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            shared += np.bincount(holders[at], minlength=n)
+        near = shared * down >= up * (sizes[x] + sizes - shared)
+        for y in np.flatnonzero(near & (root != root[x])):
+            if root[y] != root[x]:
+                found.append((x, int(y)))
+                root[root == root[y]] = root[x]
+    return found
+
+
+def similar_links(documents: DataFrame, words_per_shingle: int, least: tuple[int, int], cell_shingles: int) -> DataFrame:
+    """(a, b): true links that connect the ids of all similar texts that meet in a bucket.
+
+    A bucket's leader is the member that shares most buckets, and a leader's buckets form
+    one team, so that texts travel once a team and not once a bucket.  A team is dealt
+    into blocks of about ``cell_shingles`` shingles, and every two blocks meet in a task
+    of their own, which emits less links than it has members.
     """
     found = written(_entries(documents, words_per_shingle, least), "near-entries")
     entries = found.select("id", "size", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(entries.join(shared, "bucket"), "near-members")
     fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
-    leaders = members.join(fame, "id").groupBy("bucket").agg(
-        F.max(F.struct("fame", "id", "size")).alias("m")
-    ).select("bucket", F.col("m.id").alias("leader"), F.col("m.size").alias("leader_size"))
-    up, down = least
-
-    def fits(a: str, b: str) -> Column:
-        return (F.col(a) * down >= F.col(b) * up) & (F.col(b) * down >= F.col(a) * up)
+    leaders = members.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", "id"))["id"].alias("leader"))
+    teams = written(members.join(leaders, "bucket").select("leader", "id", "size").distinct(), "near-teams")
+    blocks = F.ceil(F.sum("size") / cell_shingles).cast("int")
+    weights = teams.groupBy("leader").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = teams.join(weights, "leader").select("leader", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = placed.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
+    kind = documents.schema["id"].dataType.simpleString()
 
-    stars = members.join(leaders, "bucket").where((F.col("id") != F.col("leader")) & fits("size", "leader_size"))
-    stars = written(stars.select(*_ordered("id", "leader")).distinct(), "near-stars")
-    near = written(_confirmed(stars, documents, least, words_per_shingle), "near-links")
+    def meet(cell: pa.Table) -> pa.Table:
+        sets = [shingle_set(t, words_per_shingle) for t in utf8(cell.column("text"))]
+        some = [i for i, s in enumerate(sets) if len(s)]
+        links = spanning_links([sets[i] for i in some], least) if len(some) > 1 else []
+        ids, ends = cell.column("id"), np.array(some, np.int64)[np.array(links, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ids.take(pa.array(ends[:, 0])), "b": ids.take(pa.array(ends[:, 1]))})
 
-    label = components(near)
-    placed = members.join(label, members["id"] == label["v"], "left").select("bucket", "id", "size", F.coalesce("c", "id").alias("c"))
-    placed = written(placed, "near-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    open_ = placed.join(mixed, "bucket")
-    other = open_.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("c").alias("c2"))
-    apart = (F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))
-    rest = open_.join(other, "bucket").where(apart & fits("size", "size2"))
-    rest = rest.select(*_ordered("id", "id2")).distinct().join(stars, ["a", "b"], "left_anti")
-    return near.union(_confirmed(written(rest, "near-rest"), documents, least, words_per_shingle))
+    return cells.join(documents, "id").groupBy("leader", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def similar_groups(
@@ -320,6 +330,7 @@ def similar_groups(
     text: str = "text",
     words_per_shingle: int = 5,
     least: tuple[int, int] = (4, 5),
+    cell_shingles: int = 1 << 19,
 ) -> DataFrame:
     """(key, component_id) of the keys in a group of several: the smallest key reachable over similar texts.
 
@@ -331,5 +342,5 @@ def similar_groups(
     """
     prepare(documents.sparkSession)
     docs = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    label = components(similar_links(docs, words_per_shingle, least))
+    label = components(similar_links(docs, words_per_shingle, least, cell_shingles))
     return label.select(F.col("v").alias(key), F.col("c").alias("component_id"))
