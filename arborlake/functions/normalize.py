@@ -13,7 +13,7 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyycn"
 COMPANY_SUFFIXES = "incorporated|corporation|company|limited|holdings|holding|group|inc|corp|ltd|llc|llp|plc|co"
 COMPANY_STOP_WORDS = "the|and|of|for"
-PERSON_TITLES = "mr|mrs|ms|dr|prof|professor|sir|madam|lord|lady|hon|rev"
+PERSON_TITLES = "mr|mrs|ms|miss|dr|prof|professor|sir|dame|lord|lady"
 PERSON_SUFFIXES = "jr|sr|ii|iii|iv|phd|md|esq"
 STREET_WORDS = {
     "st": "street",

@@ -5,7 +5,7 @@ All functions map Columns to Columns and stay in code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First month of the fiscal year in extracted dates and in searches (they differ).
@@ -155,35 +155,211 @@ def locale_of(found: Column) -> Column:
     )
 
 
-# Cue words of expressions relative to now.
-RELATIVE = r"(?i)\b(today|tomorrow|yesterday|now|ago|next|last|this|recent|recently|upcoming)\b"
+# Cues of expressions relative to now, and of what they are relative to.
+RELATIVE_CUES = [
+    "yesterday", "today", "tomorrow", "last", "next", "ago", "from now",
+    "this week", "next week", "last week", "this month", "next month", "last month",
+    "this year", "next year", "last year", "this quarter", "next quarter", "last quarter",
+]
+REFERENCE_CUES = ["last", "next", "this", "yesterday", "today", "tomorrow", "ago", "from now", "before", "after", "since", "until"]
+
+
+def _holds_any(text: Column, cues: list[str]) -> Column:
+    return F.lower(text).rlike("|".join(cues))
+
+
+def is_relative(found: Column) -> Column:
+    return _holds_any(found, RELATIVE_CUES)
+
+
+def is_partial(found: Column, ts: Column, now: Column) -> Column:
+    """A short expression whose year was not written but taken from now."""
+    year = F.year(now)
+    return (F.year(ts) == year) & ~found.contains(year.cast("string")) & (F.length(F.trim(found)) < 10)
+
+
+def date_type(found: Column, ts: Column, now: Column) -> Column:
+    """relative, partial or absolute."""
+    return F.when(is_relative(found), "relative").when(is_partial(found, ts, now), "partial").otherwise("absolute")
+
+
+def relative_reference(found: Column, context: Column) -> Column:
+    """The cues that an expression or its surroundings hold, in a fixed order, parted by commas."""
+    both = F.lower(F.concat_ws(" ", found, context))
+    return F.concat_ws(", ", *[F.when(both.contains(c), F.lit(c)) for c in REFERENCE_CUES])
+
+
+def find_all_at(text: Column, pattern: str) -> Column:
+    """array of (raw, start): all matches of a pattern and where they start, from 0.
+
+    The pieces between the matches are those of a split, so offsets are sums of lengths.
+    """
+    matches, pieces = find_all(text, pattern), F.split(text, pattern)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("found"))
+    walked = F.aggregate(
+        F.arrays_zip(matches.alias("raw"), F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))).alias("before")),
+        start,
+        lambda s, x: F.struct(
+            (s["at"] + F.length(x["before"]) + F.length(x["raw"])).alias("at"),
+            F.concat(s["found"], F.array(F.struct(x["raw"].alias("raw"), (s["at"] + F.length(x["before"])).alias("start")))).alias("found"),
+        ),
+    )
+    return walked["found"]
+
+
+def around(text: Column, start: Column, length: Column, window: int = 50) -> Column:
+    """The characters of a match at ``start`` (from 0) and up to ``window`` on each side."""
+    first = F.greatest(start - window, F.lit(0))
+    return F.substr(text, (first + 1).cast("int"), (start + length + window - first).cast("int"))
+
+
+def dates_in_context(rows: DataFrame, key: str = "element_pk", text: str = "text", window: int = 50) -> DataFrame:
+    """(key, form, raw, start, context, date): dates of DATE_FORMS with their place and surroundings."""
+
+    def of_form(name: str) -> Column:
+        return F.transform(find_all_at(F.col(text), DATE_FORMS[name]), lambda x: F.struct(F.lit(name).alias("form"), x["raw"].alias("raw"), x["start"].alias("start")))
+
+    found = F.flatten(F.array(*map(of_form, DATE_FORMS)))
+    hits = rows.select(key, F.col(text).alias("__text"), F.inline(found))
+    return hits.select(key, "form", "raw", "start", around(F.col("__text"), F.col("start"), F.length("raw"), window).alias("context"), to_iso(F.col("raw")).alias("date")).where("date IS NOT NULL")
+
+
+def fiscal_from_quarter(quarter: Column, year: Column, start: int = EXTRACT_FISCAL_START) -> tuple[Column, Column]:
+    """(fiscal quarter, fiscal year) of a calendar quarter; a start in any month but October keeps the calendar's."""
+    if start != 10:
+        return quarter, year
+    return F.when(quarter < 4, quarter + 1).otherwise(F.lit(1)), F.when(quarter == 4, year + 1).otherwise(year)
+
+
+_CLOCK = r"\d{1,2}(?::\d{2}(?::\d{2})?)?\s*(?:[AaPp]\.?[Mm]\.?)?"
+_RANGE = rf"^\s*({_CLOCK})\s*(?:-|–|—|to)\s*({_CLOCK})\s*$"
 
 
 def temporal_type(value: Column) -> Column:
     """NONE, DATE, TIME, DATETIME or TIME_RANGE of a short text (at most 50 characters and 8 words)."""
-    clock = r"\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AaPp][Mm])?"
+    clock = r"\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AaPp]\.?[Mm]\.?)?"
+    hour = r"\d{1,2}\s*[AaPp]\.?[Mm]\.?"
     forms = "|".join(DATE_FORMS.values())
     trimmed = F.trim(value)
     words = F.size(F.split(trimmed, r"\s+"))
-    has_date, has_time = trimmed.rlike(rf"(?i){forms}"), trimmed.rlike(clock)
+    has_date, has_time = trimmed.rlike(rf"(?i){forms}"), trimmed.rlike(rf"{clock}|\b{hour}")
+    ranged = trimmed.rlike(_RANGE) & (trimmed.contains(":") | trimmed.rlike(r"(?i)\d\s*[ap]\.?m\.?\s*$"))
     return (
         F.when(value.isNull() | (F.length(trimmed) > 50) | (words > 8) | (trimmed == ""), "NONE")
-        .when(trimmed.rlike(rf"^{clock}\s*(?:-|–|to)\s*{clock}$"), "TIME_RANGE")
+        .when(ranged, "TIME_RANGE")
         .when(has_date & has_time, "DATETIME")
         .when(has_date, "DATE")
-        .when(trimmed.rlike(rf"^{clock}$"), "TIME")
+        .when(trimmed.rlike(rf"^(?:{clock}|{hour})$|^(?i)(?:noon|midnight)$"), "TIME")
         .otherwise("NONE")
     )
 
 
+def clock_minutes(value: Column, half: Column | None = None) -> Column:
+    """Minutes since midnight of a clock time; ``half`` (am or pm) holds where the text has none; null if it is no time."""
+    low = F.lower(F.trim(value))
+    form = r"^(\d{1,2})(?::(\d{2}))?(?::\d{2})?\s*([ap])?\.?m?\.?$"
+    part = lambda i: F.nullif(F.regexp_extract(low, form, i), F.lit(""))
+    hour, minute = part(1).cast("int"), F.coalesce(part(2).cast("int"), F.lit(0))
+    own = F.coalesce(part(3), F.left(half, F.lit(1))) if half is not None else part(3)
+    hour24 = F.when(own == "p", hour % 12 + 12).when(own == "a", hour % 12).otherwise(hour)
+    real = low.rlike(form) & (hour24 < 24) & (minute < 60)
+    return F.when(low == "noon", 720).when(low == "midnight", 0).when(real, hour24 * 60 + minute)
+
+
+def time_range(value: Column) -> Column:
+    """(start_minute, end_minute) since midnight; a start without am or pm takes that of the end if it stays before it."""
+    first, last = F.regexp_extract(value, _RANGE, 1), F.regexp_extract(value, _RANGE, 2)
+    half = F.nullif(F.lower(F.regexp_extract(last, r"(?i)([ap])\.?m", 1)), F.lit(""))
+    end, plain, taken = clock_minutes(last), clock_minutes(first), clock_minutes(first, half)
+    start = F.when(taken <= end, taken).otherwise(plain)
+    return F.when(value.rlike(_RANGE), F.struct(start.alias("start_minute"), end.alias("end_minute")))
+
+
+def _clock_text(minutes: Column) -> Column:
+    return F.format_string("%02d:%02d:00", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
+
+
+def spoken_time(minutes: Column) -> Column:
+    """A time spelled out: as it is, without colon, noon, midnight or half past, business hours or lunch time."""
+    hour, minute = F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")
+    twelve = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
+    named = (
+        F.when((hour == 12) & (minute == 0), "noon, midday")
+        .when((hour == 0) & (minute == 0), "midnight")
+        .when(minute == 30, F.concat(F.lit("half past "), twelve.cast("string")))
+    )
+    part = F.when(hour.between(9, 16), "business hours").when(hour.between(12, 13), "lunch time")
+    return F.concat_ws(", ", _clock_text(minutes), F.format_string("%02d%02d", hour, minute), named, part)
+
+
+def spoken_time_range(value: Column) -> Column:
+    """from ... until ..., and the names of common working hours and of lunch; the text itself if it is no range."""
+    r = time_range(value)
+    start, end = r["start_minute"], r["end_minute"]
+    names = (
+        F.when((start == 540) & (end == 1020), "nine to five, 9-5, standard business hours, regular office hours")
+        .when((start == 480) & (end == 1020), "eight to five, 8-5, extended business hours")
+        .when((start == 540) & (end == 1080), "nine to six, 9-6, extended office hours")
+    )
+    lunch = F.when((F.floor(start / 60) == 12) & (F.floor(end / 60) == 13), "lunch hour, lunch break, midday break")
+    whole = F.concat_ws(", ", F.concat(F.lit("from "), spoken_time(start), F.lit(" until "), spoken_time(end)), names, lunch)
+    return F.when(start.isNotNull() & end.isNotNull(), whole).otherwise(value)
+
+
+_ORDINALS = ["first", "second", "third", "fourth", "fifth"]
+# Business days of the month that are named.
+BUSINESS_DAYS = {1: "first", 2: "second", 3: "third", 5: "fifth", 10: "tenth", 15: "fifteenth", 20: "twentieth"}
+
+
+def business_day(ts: Column) -> Column:
+    """Number of weekdays of the month up to and including a day."""
+    day, first = F.dayofmonth(ts), F.weekday(F.trunc(ts, "month"))
+    days = F.sequence(F.lit(0), day - 1)
+    return F.size(F.filter(days, lambda d: (first + d) % 7 < 5))
+
+
 def spoken_date(ts: Column) -> Column:
-    """A date spelled out for text embedding: weekday, month, day, year, quarter, season."""
+    """A date spelled out for text embedding: quarter, month, season, place in the month, weekday, business day, year."""
+    day, quarter, month = F.dayofmonth(ts), F.quarter(ts), F.month(ts)
+    nth = lambda c: F.element_at(F.array(*map(F.lit, _ORDINALS)), c.cast("int"))
+    week = F.floor((day - 1) / 7) + 1
+    count = business_day(ts)
+    named = F.try_element_at(F.create_map(*[x for k, v in BUSINESS_DAYS.items() for x in (F.lit(k), F.lit(f"{v} business day"))]), count)
     return F.concat_ws(
         ", ",
+        F.date_format(ts, "yyyy-MM-dd"),
+        F.concat(F.lit("Q"), quarter.cast("string")),
+        F.concat(nth(quarter), F.lit(" quarter")),
+        F.date_format(ts, "MMM"),
+        F.element_at(F.array(*map(F.lit, ["winter", "spring", "summer", "fall"])), quarter),
+        F.concat(nth(week), F.lit(" week")),
+        F.when(week <= 2, "early month").when(week >= 4, "late month").otherwise("mid month"),
+        F.when(day <= 7, "beginning of month").when(day >= 22, "end of month").when(day.between(10, 20), "mid month"),
+        F.when((day >= 22) & (month == 12), "year end"),
         F.date_format(ts, "EEEE"),
-        F.concat_ws(" ", F.date_format(ts, "MMMM"), F.dayofmonth(ts).cast("string")),
+        F.when(is_weekend(ts), "weekend").otherwise("business day, weekday"),
+        F.when(count <= 5, "early business days").when(count.between(17, 22), "late business days"),
+        F.when(count <= 22, named),
         F.year(ts).cast("string"),
-        F.concat(F.lit("Q"), F.quarter(ts).cast("string")),
-        season(ts),
-        F.when(is_weekend(ts), "weekend").otherwise("business day"),
+        F.date_format(ts, "yyyy-MM"),
+        F.when(quarter == 4, "fiscal year end, year end").when(quarter == 1, "fiscal year start"),
+    )
+
+
+def spoken_datetime(ts: Column) -> Column:
+    return F.concat_ws(", ", spoken_date(ts), spoken_time(F.hour(ts) * 60 + F.minute(ts)))
+
+
+def spoken(value: Column) -> Column:
+    """A date, time, both or a range in a short text, spelled out; any other text as it is."""
+    kind = temporal_type(value)
+    forms = "|".join(DATE_FORMS.values())
+    day = F.try_to_timestamp(to_iso(F.regexp_extract(value, f"({forms})", 1)), F.lit("yyyy-MM-dd"))
+    clock = clock_minutes(F.regexp_extract(F.trim(F.regexp_replace(value, forms, " ")), r"(?i)(\d{1,2}(?::\d{2}){0,2}\s*(?:[ap]\.?m\.?)?)$", 1))
+    return F.coalesce(
+        F.when(kind == "DATE", spoken_date(day))
+        .when(kind == "TIME", spoken_time(clock_minutes(value)))
+        .when(kind == "DATETIME", F.concat_ws(", ", spoken_date(day), spoken_time(clock)))
+        .when(kind == "TIME_RANGE", spoken_time_range(value)),
+        value,
     )

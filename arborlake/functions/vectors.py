@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,22 @@ def hashing_embedding(text: Column, dims: int = 64) -> Column:
     return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
 
 
+def hashing_embeddings(rows: DataFrame, key: str = "element_pk", text: str = "text", dims: int = 64) -> DataFrame:
+    """(key, embedding): hashing_embedding of every row of a table, from one pass over its tokens.
+
+    Tokens are counted per bucket by a grouped sum, which a text of any length takes in
+    its stride; the Column form is for literals and short texts.  Keys must be unique.
+    """
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    listed = rows.select(F.col(key), F.explode_outer(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    h = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
+    signed = F.when(F.floor(h / dims) % 2 == 0, F.col("n")).otherwise(-F.col("n"))
+    sums = listed.groupBy(key, F.pmod(h, F.lit(dims)).cast("int").alias("dim")).agg(F.sum(signed).cast("double").alias("v"))
+    filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "v")))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    value = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0))
+    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("size") > 0, value(i) / F.col("size")).otherwise(F.lit(0.0))).alias("embedding"))
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens of a text without a tokenizer: the larger of length / 4 and words * 4 / 3, rounded down."""
     words = F.regexp_count(text, F.lit(r"\S+"))

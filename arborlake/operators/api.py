@@ -76,6 +76,30 @@ def as_json(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))
 
 
+def as_yaml(elements: DataFrame) -> DataFrame:
+    """(doc_id, yaml): a document's elements in order as a YAML list; texts are quoted as JSON, which YAML reads."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("x"))), r'^\{"x":|\}$', "")
+    lines = F.concat(*[x for i, c in enumerate(("element_id", "element_type", "text")) for x in (F.lit(f"{'- ' if i == 0 else '  '}{c}: "), quoted(c), F.lit("\n"))])
+    inner = F.transform(F.array_sort(F.collect_list(F.struct("position", "element_id", lines.alias("b")))), lambda x: x["b"])
+    return elements.groupBy("doc_id").agg(F.array_join(inner, "").alias("yaml"))
+
+
+def projected(hits: DataFrame, elements: DataFrame, *, score: bool = True, text: bool = True, metadata: bool = False, embeddings: DataFrame | None = None, dates: DataFrame | None = None, topics: bool = False) -> DataFrame:
+    """Hits (element_pk, final_score) with the parts of their elements that are asked for, and no more.
+
+    text and metadata are columns of elements, embedding and topics those of embeddings;
+    dates (element_pk, ts) come as a sorted array.  Without score the order is by key.
+    """
+    wanted = ["element_pk", "doc_id", "element_type", *(["text"] if text else []), *(["metadata"] if metadata else [])]
+    out = hits.select("element_pk", *(["final_score"] if score else [])).join(elements.select(*wanted), "element_pk")
+    if embeddings is not None:
+        out = out.join(embeddings.select("element_pk", "embedding", *(["topics"] if topics else [])), "element_pk", "left")
+    if dates is not None:
+        listed = dates.join(hits.select("element_pk"), "element_pk", "left_semi").groupBy("element_pk").agg(F.sort_array(F.collect_list("ts")).alias("dates"))
+        out = out.join(listed, "element_pk", "left")
+    return out.orderBy(*([F.desc("final_score")] if score else []), "element_pk")
+
+
 def as_xml(elements: DataFrame) -> DataFrame:
     """(doc_id, xml): a document's elements in order, text escaped."""
     safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -111,16 +135,3 @@ def recent_executions(executions: DataFrame, pipelines: DataFrame, most: int) ->
     joined = executions.join(pipelines.select("pipeline_id", "name"), "pipeline_id")
     seconds = (F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")).alias("seconds")
     return joined.orderBy(F.desc("started_at"), "execution_id").limit(most).select("execution_id", "name", "started_at", seconds)
-
-
-def container_kind(name, names):
-    """array, object or element of an XML node by its name (plural or container word) and its children's names."""
-    low = F.lower(name)
-    plural = low.rlike(r"(?:s|list|items|array|collection|set)$") & ~low.rlike(r"ss$")
-    distinct = F.size(F.array_distinct(names))
-    return (
-        F.when((F.size(names) > 1) & (distinct == 1), "array")
-        .when(plural & (F.size(names) > 0) & (distinct == 1), "array")
-        .when(F.size(names) > 0, "object")
-        .otherwise("element")
-    )

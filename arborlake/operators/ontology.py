@@ -8,43 +8,62 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import normalize
+from ..functions import normalize, vectors
+from . import tree
+
+
+Embed = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """keywords or regex over the text; element_type limits it: ``*``, a name or a pattern from the start."""
+    """keywords, regex or semantic; element_type limits it: ``*``, a name or a pattern from the start.
+
+    A semantic rule holds one phrase and hits where the element's embedding is at least
+    ``threshold`` similar to the phrase's; the similarity is its confidence.
+    """
 
     kind: str
     values: tuple[str, ...]
     confidence: float = 1.0
     element_type: str = "*"
+    threshold: float = 0.7
 
-    def hit(self) -> Column:
-        if self.kind == "keywords":
-            test = F.col("text").rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, self.values))})\b")
-        elif self.kind == "regex":
-            test = F.col("text").rlike("|".join(f"(?:{v})" for v in self.values))
-        else:
+    def __post_init__(self) -> None:
+        if self.kind not in ("keywords", "regex", "semantic"):
             raise ValueError(f"unknown rule {self.kind}")
+
+    def score(self, embed: Embed, embedding: Column) -> Column:
+        """The rule's confidence in an element, null where it does not hit."""
+        if self.kind == "semantic":
+            near = vectors.cosine(embedding, embed(F.lit(self.values[0])))
+            found = F.when(near >= self.threshold, near)
+        elif self.kind == "keywords":
+            found = F.when(F.col("text").rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, self.values))})\b"), self.confidence)
+        else:
+            found = F.when(F.col("text").rlike("|".join(f"(?:{v})" for v in self.values)), self.confidence)
         if self.element_type == "*":
-            return test
+            return found
         if re.search(r"[^\w]", self.element_type):
-            return test & F.col("element_type").rlike(f"^(?:{self.element_type})")
-        return test & (F.col("element_type") == self.element_type)
+            return F.when(F.col("element_type").rlike(f"^(?:{self.element_type})"), found)
+        return F.when(F.col("element_type") == self.element_type, found)
 
 
 @dataclass(frozen=True)
 class RelationshipRule:
-    """Elements of one term related to elements of another inside a document.
+    """Elements of one term related to elements of another.
 
-    within: ``document``, ``parent`` or ``any``; direction: ``forward`` (source first),
-    ``backward`` or ``any``; combine: how the two confidences join.
+    within: ``document``, ``parent``, ``ancestor`` (that ``level`` steps above the parent),
+    or ``other`` documents; direction: ``forward`` (source first), ``backward`` or ``any``.
+    With phrases, an end's score is the similarity of its embedding to its phrase, which
+    must reach its threshold; without, the confidence of its mapping.  combine: average,
+    minimum, maximum, product or weighted (by ``weights`` of source and target).
     """
 
     kind: str
@@ -55,6 +74,28 @@ class RelationshipRule:
     combine: str = "average"
     minimum: float = 0.7
     both_ways: bool = False
+    source_phrase: str | None = None
+    target_phrase: str | None = None
+    source_threshold: float = 0.0
+    target_threshold: float = 0.0
+    weights: tuple[float, float] = (0.5, 0.5)
+    level: int = 0
+
+    def __post_init__(self) -> None:
+        if self.within not in ("document", "parent", "ancestor", "other"):
+            raise ValueError(f"unknown scope {self.within}")
+        if self.combine not in ("average", "minimum", "maximum", "product", "weighted"):
+            raise ValueError(f"unknown combination {self.combine}")
+
+    def combined(self, x: Column, y: Column) -> Column:
+        a, b = self.weights
+        return {
+            "average": (x + y) / 2,
+            "minimum": F.least(x, y),
+            "maximum": F.greatest(x, y),
+            "product": x * y,
+            "weighted": (x * a + y * b) / (a + b),
+        }[self.combine]
 
 
 @dataclass(frozen=True)
@@ -74,11 +115,18 @@ def from_dict(spec: dict) -> Ontology:
     terms = {t["id"]: t["label"] for t in spec["terms"]}
     rules = {
         m["term_id"]: tuple(
-            Rule(r["type"], tuple(r.get("keywords") or [r["pattern"]]), float(r.get("confidence", 1.0)), r.get("element_type", "*")) for r in m["rules"]
+            Rule(
+                r["type"],
+                tuple(r.get("keywords") or [r.get("pattern") or r["semantic_phrase"]]),
+                float(r.get("confidence", 1.0)),
+                r.get("element_type", "*"),
+                float(r.get("confidence_threshold", 0.7)),
+            )
+            for r in m["rules"]
         )
         for m in spec.get("element_mappings", [])
     }
-    relationships = tuple(RelationshipRule(**r) for r in spec.get("relationship_rules", []))
+    relationships = tuple(RelationshipRule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()}) for r in spec.get("relationship_rules", []))
     return Ontology(spec["name"], terms, rules, relationships)
 
 
@@ -86,6 +134,50 @@ def from_json(text: str) -> Ontology:
     return from_dict(json.loads(text))
 
 
+def from_yaml(text: str) -> Ontology:
+    """Like from_dict, of a YAML text; needs the yaml package."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("reading YAML needs the yaml package; JSON needs none") from e
+    return from_dict(yaml.safe_load(text))
+
+
+class Domains:
+    """Ontologies by name, of which some are active; only active ones are applied and searched for terms."""
+
+    def __init__(self, ontologies: list[Ontology] | None = None) -> None:
+        self._known = {o.name: o for o in ontologies or []}
+        self._active = set(self._known)
+
+    def add(self, ontology: Ontology, active: bool = True) -> None:
+        self._known[ontology.name] = ontology
+        (self._active.add if active else self._active.discard)(ontology.name)
+
+    def activate(self, name: str) -> None:
+        if name not in self._known:
+            raise KeyError(name)
+        self._active.add(name)
+
+    def deactivate(self, name: str) -> None:
+        self._active.discard(name)
+
+    def active(self) -> list[Ontology]:
+        return [o for n, o in sorted(self._known.items()) if n in self._active]
+
+    def find_term(self, term: str) -> tuple[str, str] | None:
+        """(ontology, label) of the first active ontology, by name, that has the term."""
+        return next(((o.name, o.terms[term]) for o in self.active() if term in o.terms), None)
+
+    def map_terms(self, elements: DataFrame, embed: Embed = vectors.hashing_embedding) -> DataFrame | None:
+        """The mappings of all active ontologies; None if none is active."""
+        out = None
+        for o in self.active():
+            found = map_terms(elements, o, embed)
+            out = found if out is None else out.unionByName(found)
+        return out
+
+
 def merge(name: str, *parts: Ontology) -> Ontology:
     """One ontology of all terms and rules; a later part's term replaces an earlier one's."""
     terms: dict[str, str] = {}
@@ -99,41 +191,93 @@ def merge(name: str, *parts: Ontology) -> Ontology:
     return Ontology(name, terms, rules, tuple(dict.fromkeys(relationships)))
 
 
-def map_terms(elements: DataFrame, ontology: Ontology) -> DataFrame:
+def _embedding(elements: DataFrame, embed: Embed) -> Column:
+    """The elements' embedding column, or that of their text if they have none."""
+    return F.col("embedding") if "embedding" in elements.columns else embed(F.col("text"))
+
+
+def map_terms(elements: DataFrame, ontology: Ontology, embed: Embed = vectors.hashing_embedding) -> DataFrame:
     """(element_id, term, domain, confidence, mapping_rule): the surest rule of each term that hits an element."""
+    if any(r.kind == "semantic" for rules in ontology.rules.values() for r in rules):
+        elements = elements.withColumn("__embedding", _embedding(elements, embed))
+        embedding = F.col("__embedding")
+    else:
+        embedding = F.lit(None)
     hits = []
     for term, rules in ontology.rules.items():
-        own = [F.when(r.hit(), F.struct(F.lit(r.confidence).alias("confidence"), F.lit(f"{r.kind}:{i}").alias("mapping_rule"))) for i, r in enumerate(rules)]
+        scored = [(r.kind, i, r.score(embed, embedding).cast("double")) for i, r in enumerate(rules)]
+        own = [F.when(c.isNotNull(), F.struct(c.alias("confidence"), F.lit(f"{kind}:{i}").alias("mapping_rule"))) for kind, i, c in scored]
         best = F.array_max(F.array_compact(F.array(*own)))
         hits.append(F.when(best.isNotNull(), F.struct(F.lit(term).alias("term"), best["confidence"].alias("confidence"), best["mapping_rule"].alias("mapping_rule"))))
     found = elements.select("element_id", F.explode(F.array_compact(F.array(*hits))).alias("m"))
     return found.select("element_id", "m.term", F.lit(ontology.name).alias("domain"), "m.confidence", "m.mapping_rule")
 
 
-def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule) -> DataFrame:
-    """(source_id, relationship_type, target_reference, confidence) of one rule."""
-    placed = mappings.join(elements.select("element_id", "doc_id", "parent_id", "position"), "element_id")
-    a = placed.where(F.col("term") == rule.source).alias("a")
-    b = placed.where(F.col("term") == rule.target).alias("b")
-    key = {"document": "doc_id", "parent": "parent_id"}.get(rule.within)
-    if key is None:
-        raise ValueError("within must be document or parent: other pairs have no bound")
+def _ends(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, embed: Embed) -> tuple[DataFrame, DataFrame]:
+    """(element_id, doc_id, parent_id, position, score) of the rule's sources and targets, those below a threshold left out."""
+    own = elements.select("element_id", "doc_id", "parent_id", "position", "text", *(["embedding"] if "embedding" in elements.columns else []))
+
+    def end(term: str, phrase: str | None, threshold: float) -> DataFrame:
+        placed = mappings.where(F.col("term") == term).select("element_id", "confidence").join(own, "element_id")
+        score = F.col("confidence") if phrase is None else vectors.cosine(_embedding(own, embed), embed(F.lit(phrase)))
+        return placed.select("element_id", "doc_id", "parent_id", "position", score.alias("score")).where(F.col("score") >= threshold)
+
+    return end(rule.source, rule.source_phrase, rule.source_threshold), end(rule.target, rule.target_phrase, rule.target_threshold)
+
+
+def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, embed: Embed = vectors.hashing_embedding) -> DataFrame:
+    """(source_id, relationship_type, target_reference, confidence) of one rule inside documents.
+
+    Pairs meet on the document, the parent or the ancestor ``level`` steps above the parent.
+    Rules across documents go through relate_across.
+    """
+    if rule.within == "other":
+        raise ValueError("use relate_across for pairs of different documents")
+    sources, targets = _ends(elements, mappings, rule, embed)
+    key = {"document": "doc_id", "parent": "parent_id", "ancestor": "__ancestor"}[rule.within]
+    if rule.within == "ancestor":
+        above = tree.ancestry(elements.select("element_id", "parent_id")).select("element_id", F.try_element_at("ancestor_ids", F.lit(rule.level + 1)).alias("__ancestor"))
+        sources, targets = (side.join(above.where("__ancestor IS NOT NULL"), "element_id") for side in (sources, targets))
+    a, b = sources.alias("a"), targets.alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.element_id") != F.col("b.element_id"))
     if rule.direction != "any":
         first, second = ("a", "b") if rule.direction == "forward" else ("b", "a")
         on = on & (F.col(f"{first}.position") < F.col(f"{second}.position"))
-    x, y = F.col("a.confidence"), F.col("b.confidence")
-    combined = {"average": (x + y) / 2, "minimum": F.least(x, y), "maximum": F.greatest(x, y), "product": x * y}[rule.combine]
     edges = a.join(b, on).select(
         F.col("a.element_id").alias("source_id"),
         F.lit(rule.kind).alias("relationship_type"),
         F.col("b.element_id").alias("target_reference"),
-        combined.alias("confidence"),
+        rule.combined(F.col("a.score"), F.col("b.score")).alias("confidence"),
     ).where(F.col("confidence") >= rule.minimum)
-    if rule.both_ways:
-        back = edges.select(F.col("target_reference").alias("source_id"), "relationship_type", F.col("source_id").alias("target_reference"), "confidence")
-        edges = edges.union(back).dropDuplicates(["source_id", "target_reference"])
-    return edges
+    return _both_ways(edges) if rule.both_ways else edges
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    back = edges.select(F.col("target_reference").alias("source_id"), "relationship_type", F.col("source_id").alias("target_reference"), "confidence")
+    return edges.union(back).dropDuplicates(["source_id", "target_reference"])
+
+
+def relate_across(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, top: int = 20, embed: Embed = vectors.hashing_embedding) -> DataFrame:
+    """(source_id, relationship_type, target_reference, confidence): for each source its ``top`` surest targets in other documents.
+
+    All combinations grow with the target's score, so the surest targets are the same for
+    all sources but for those of the source's own document: the first 2 * top targets,
+    with at most ``top`` of a document, hold every source's best.  Only these meet the
+    sources; the pairs that a rule allows are all sources times all targets.
+    """
+    sources, targets = _ends(elements, mappings, rule, embed)
+    order = [F.desc("score"), "element_id"]
+    few = targets.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("nth") <= top)
+    best = few.orderBy(*order).limit(2 * top).select(F.col("element_id").alias("target_reference"), F.col("doc_id").alias("__doc"), F.col("score").alias("__score"))
+    pairs = sources.join(F.broadcast(best), F.col("doc_id") != F.col("__doc")).select(
+        F.col("element_id").alias("source_id"),
+        F.lit(rule.kind).alias("relationship_type"),
+        "target_reference",
+        rule.combined(F.col("score"), F.col("__score")).alias("confidence"),
+    ).where(F.col("confidence") >= rule.minimum)
+    mine = Window.partitionBy("source_id").orderBy(F.desc("confidence"), "target_reference")
+    edges = pairs.withColumn("nth", F.row_number().over(mine)).where(F.col("nth") <= top).drop("nth")
+    return _both_ways(edges) if rule.both_ways else edges
 
 
 def derive_entities(rows: DataFrame, entity_type: str, name: Column, element: str, attributes: list[str]) -> DataFrame:
@@ -151,3 +295,64 @@ def derive_entities(rows: DataFrame, entity_type: str, name: Column, element: st
         "first_element",
         "mentions",
     )
+
+
+def changed_entities(current: DataFrame, incoming: DataFrame, model: str | None = None) -> DataFrame:
+    """Incoming entities (entity_id, name, entity_type, domain, attributes) that are new or differ from the current ones.
+
+    Attributes are compared as JSON objects, whatever the order of their keys.  With
+    ``model``, entities embedded by another one (current column embedding_model) count too.
+    """
+    plain = lambda c: F.to_json(F.transform(F.array_sort(F.map_entries(F.from_json(c, "map<string,string>"))), lambda e: e))
+    old = current.select("entity_id", *[F.col(c).alias(f"__{c}") for c in current.columns if c != "entity_id"])
+    both = incoming.join(old.withColumn("__known", F.lit(True)), "entity_id", "left")
+    same = F.col("__known")
+    for c in ("name", "entity_type", "domain"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    same = same & plain(F.col("attributes")).eqNullSafe(plain(F.col("__attributes")))
+    if model is not None:
+        same = same & F.col("__embedding_model").eqNullSafe(F.lit(model))
+    return both.where(~F.coalesce(same, F.lit(False))).select(*incoming.columns)
+
+
+def entities_of(entities: DataFrame, mapping: DataFrame, elements: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, entity columns, elements): the entities of each document (or element, by="element_id") and how many of its elements hold them."""
+    held = mapping.select("entity_id", "element_id").distinct().join(elements.select(*dict.fromkeys(["element_id", by])), "element_id")
+    counted = held.groupBy(by, "entity_id").agg(F.count(F.lit(1)).alias("elements"))
+    return counted.join(entities, "entity_id")
+
+
+def entity_relationships(relationships: DataFrame, entities: DataFrame, entity_id: str | None = None) -> DataFrame:
+    """(source_id, relationship_type, target_id, source_name, source_type, target_name, target_type), of one entity at either end if asked.
+
+    An entity's relationships are those from it and those to it, each read by an equality.
+    """
+    rows = relationships.select("source_id", "relationship_type", "target_id")
+    if entity_id is not None:
+        rows = rows.where(F.col("source_id") == entity_id).union(rows.where((F.col("target_id") == entity_id) & (F.col("source_id") != entity_id)))
+    for end in ("source", "target"):
+        named = entities.select(F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("entity_type").alias(f"{end}_type"))
+        rows = rows.join(named, f"{end}_id")
+    return rows.select("source_id", "relationship_type", "target_id", "source_name", "source_type", "target_name", "target_type")
+
+
+def similar_entities(entities: DataFrame, query: Column, k: int, entity_type: str | None = None, threshold: float = 0.0) -> DataFrame:
+    """(entity_id, name, similarity): the k entities whose embedding is nearest to the query, ties by id."""
+    rows = entities if entity_type is None else entities.where(F.col("entity_type") == entity_type)
+    scored = rows.select("entity_id", "name", vectors.cosine(F.col("embedding"), query).alias("similarity")).where(F.col("similarity") >= threshold)
+    return scored.orderBy(F.desc("similarity"), "entity_id").limit(k)
+
+
+def domain_graph(elements: DataFrame, ontology: Ontology, embed: Embed = vectors.hashing_embedding) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mappings, entities, edges) of one ontology: terms mapped, an entity per term and normal text, all rules applied."""
+    mappings = map_terms(elements, ontology, embed)
+    named = mappings.join(elements.select("element_id", "text"), "element_id")
+    entities = None
+    for term, label in ontology.terms.items():
+        own = derive_entities(named.where(F.col("term") == term).withColumn("label", F.lit(label)), term, F.col("text"), "element_id", ["label"])
+        entities = own if entities is None else entities.unionByName(own)
+    edges = None
+    for rule in ontology.relationships:
+        own = (relate_across if rule.within == "other" else relate)(elements, mappings, rule, embed=embed)
+        edges = own if edges is None else edges.unionByName(own)
+    return mappings, entities, edges

@@ -313,7 +313,27 @@ class Store:
     def run(self, query: Query) -> DataFrame:
         """The page of hits, best first, ties by element_pk, joined with their elements."""
         page = self.ranked(query).orderBy(F.desc("final_score"), "element_pk").offset(query.offset).limit(query.limit)
-        return page.join(self.elements, "element_pk")
+        return page.join(self.elements, "element_pk").orderBy(F.desc("final_score"), "element_pk")
+
+
+def search_terms(query: Query) -> list[str]:
+    """The words that a query asks for, in order: of texts, topics and metadata values, without patterns' marks and repeats."""
+    found: list[str] = []
+
+    def walk(g: Group) -> None:
+        for c in g.criteria:
+            if isinstance(c, Text):
+                found.extend(c.query.split())
+            elif isinstance(c, Topic):
+                found.extend(t.replace("%", "") for t in c.include)
+            elif isinstance(c, Metadata):
+                found.extend(str(v).replace("%", "") for v in [*c.exact.values(), *c.like.values()])
+        # what a NOT group leaves out is not asked for
+        for x in g.groups[: 1 if g.operator == "NOT" and not g.criteria else None if g.operator != "NOT" else 0]:
+            walk(x)
+
+    walk(query.root)
+    return list(dict.fromkeys(t for t in found if t))
 
 
 def fuse(scores: DataFrame, fusion: str = "weighted_avg", weights: dict | None = None) -> DataFrame:

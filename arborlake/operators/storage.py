@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Current rows with those of the same key replaced; of incoming rows with one key the last by all columns stays."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in incoming.columns])
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], latest_by: str | None = None) -> DataFrame:
+    """Current rows with those of the same key replaced by the latest incoming row of the key.
+
+    latest_by: column of incoming whose largest value is the latest (it need not be in
+    current); rows that tie on it, or all without it, go by the values of all columns.
+    """
+    order = ([latest_by] if latest_by else []) + [c for c in incoming.columns if c != latest_by]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     latest = incoming.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return current.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
+    return current.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*current.columns))
 
 
 def delete_documents(tables: dict[str, DataFrame], doc_ids: DataFrame, edges: str | None = None) -> dict[str, DataFrame]:

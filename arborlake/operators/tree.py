@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +101,73 @@ def within_budget(elements: DataFrame, tokens: Column, budget: int) -> DataFrame
     return elements.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
 
 
+def cut_to_budget(elements: DataFrame, tokens: Column, budget: int, least: int = 50) -> DataFrame:
+    """Elements of each document, in order, up to the first that does not fit the budget, with the column taken.
+
+    taken is the element's tokens; the first that does not fit is cut to what is left, if
+    that is over ``least``.
+    """
+    w = Window.partitionBy("doc_id").orderBy("position", "element_id")
+    before = F.coalesce(F.sum("__tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = elements.withColumn("__tokens", tokens).withColumn("__before", before)
+    # the running sum grows, so only the first miss starts within the budget
+    left = F.lit(budget) - F.col("__before")
+    taken = F.when(F.col("__tokens") <= left, F.col("__tokens")).when(left > least, left)
+    return seen.withColumn("taken", taken).where("taken IS NOT NULL").drop("__tokens", "__before")
+
+
+def first_children(elements: DataFrame, most: int) -> DataFrame:
+    """(element_id, children): the ids of the first ``most`` children of each element that have text, in order."""
+    rows = elements.where("parent_id IS NOT NULL AND trim(text) <> ''")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("position", "element_id"))
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "element_id"))), lambda x: x["element_id"])
+    return few.groupBy(F.col("parent_id").alias("element_id")).agg(listed.alias("children"))
+
+
+def contexts(elements: DataFrame, before: int = 1, after: int = 1, children: int = 3) -> DataFrame:
+    """(element_id, text, parents, siblings, children): each element's text with those around it, as arrays of texts.
+
+    parents from the nearest up, siblings the nearest elements before and after in the
+    document, children the first with text; empty texts and roots are left out.
+    """
+    full = elements.where("element_type <> 'root' AND trim(text) <> ''").select("element_id", "doc_id", "parent_id", "position", "text")
+    texts = full.select(F.col("element_id").alias("__id"), F.col("text").alias("__text"))
+
+    def listed(ids: DataFrame, name: str) -> DataFrame:
+        rows = ids.select("element_id", F.posexplode("ids").alias("nth", "__id")).join(texts, "__id")
+        return rows.groupBy("element_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "__text"))), lambda x: x["__text"]).alias(name))
+
+    up = ancestry(elements.select("element_id", "parent_id")).select("element_id", F.col("ancestor_ids").alias("ids"))
+    near = neighbours(elements, before, after).select("element_id", F.concat("predecessors", "successors").alias("ids"))
+    down = first_children(elements, children).select("element_id", F.col("children").alias("ids"))
+    out = full.select("element_id", "text")
+    for ids, name in ((up, "parents"), (near, "siblings"), (down, "children")):
+        out = out.join(listed(ids, name), "element_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
+def cross_document_context(edges: DataFrame, elements: DataFrame, top: int = 3) -> DataFrame:
+    """(element_id, target_id, target_doc_id, text, similarity): the most similar elements of other documents of each element.
+
+    edges: semantic_section rows source_id, relationship_type, target_reference, confidence.
+    """
+    near = edges.where("relationship_type = 'semantic_section'")
+    target = elements.select(F.col("element_id").alias("target_reference"), F.col("doc_id").alias("target_doc_id"), "text")
+    own = elements.select(F.col("element_id").alias("source_id"), F.col("doc_id").alias("__doc"))
+    rows = near.join(target, "target_reference").join(own, "source_id").where(F.col("target_doc_id") != F.col("__doc"))
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("confidence"), "target_reference"))
+    best = rows.withColumn("nth", nth).where(F.col("nth") <= top)
+    return best.select(F.col("source_id").alias("element_id"), F.col("target_reference").alias("target_id"), "target_doc_id", "text", F.col("confidence").alias("similarity"))
+
+
+def share_ancestor(elements: DataFrame, pairs: DataFrame, level: int) -> DataFrame:
+    """The pairs (a, b) of element ids whose ancestors ``level`` steps above their parents are the same element."""
+    above = ancestry(elements.select("element_id", "parent_id")).select("element_id", F.try_element_at("ancestor_ids", F.lit(level + 1)).alias("up"))
+    x, y = (above.select(F.col("element_id").alias(end), F.col("up").alias(f"__{end}")).where("up IS NOT NULL") for end in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where("__a = __b").select("a", "b")
+
+
 def runs(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Rows with a column run: 1 more whenever the value changes, in order."""
     w = Window.partitionBy(group).orderBy(order)
@@ -118,38 +186,118 @@ def full_text(elements: DataFrame) -> DataFrame:
     return elements.where("trim(text) <> ''").groupBy("doc_id").agg(_joined(F.col("text"), "\n\n").alias("text"))
 
 
+def _blocks(elements: DataFrame, row: Callable[[Column, Column], Column], item: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, position, element_id, element_type, level, text, ready): elements with the cells of a table row joined to one block.
+
+    ready holds the finished text of joined blocks, null for the others.  ``item`` joins
+    the items of a list in the same way.
+    """
+    cell = F.col("element_type").isin("table_cell", "table_header")
+    joined = cell if item is None else cell | (F.col("element_type") == "list_item")
+    own = F.struct("position", "element_id", "text")
+    ordered = F.transform(F.array_sort(F.collect_list(own)), lambda x: x["text"])
+    groups = elements.where(joined).groupBy("doc_id", "parent_id", F.when(cell, "cell").otherwise("item").alias("kind")).agg(
+        F.min("position").alias("position"), F.min("element_id").alias("element_id"), F.bool_or(F.col("element_type") == "table_header").alias("head"), ordered.alias("texts")
+    )
+    ready = row(F.col("texts"), F.col("head"))
+    if item is not None:
+        ready = F.when(F.col("kind") == "item", item(F.col("texts"))).otherwise(ready)
+    blocks = groups.select("doc_id", "position", "element_id", "kind", F.lit(None).cast("int").alias("level"), F.lit("-").alias("text"), ready.alias("ready"))
+    plain = elements.where(~joined).select("doc_id", "position", "element_id", F.col("element_type").alias("kind"), "level", "text", F.lit(None).cast("string").alias("ready"))
+    return plain.unionByName(blocks)
+
+
 def as_markdown(elements: DataFrame) -> DataFrame:
-    kind = F.col("element_type")
+    """(doc_id, markdown): headers, list items, code, quotes, and a line per table row, below a header row the rule."""
+
+    def row(texts: Column, head: Column) -> Column:
+        line = F.concat(F.lit("| "), F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size(texts)))
+        return F.when(head, F.concat(line, rule)).otherwise(line)
+
+    kind = F.col("kind")
     body = (
-        F.when(kind == "header", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), F.col("text")))
+        F.when(F.col("ready").isNotNull(), F.col("ready"))
+        .when(kind == "header", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), F.col("text")))
         .when(kind == "list_item", F.concat(F.lit("- "), F.col("text")))
         .when(kind == "code_block", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
         .when(kind == "blockquote", F.concat(F.lit("> "), F.col("text")))
         .otherwise(F.col("text"))
     )
-    return elements.where("trim(text) <> ''").groupBy("doc_id").agg(_joined(body, "\n\n").alias("markdown"))
+    # rows of one table follow each other without a blank line
+    gap = F.when(kind == "cell", "\n").otherwise("\n\n")
+    parts = F.array_sort(F.collect_list(F.struct("position", "element_id", body.alias("body"), gap.alias("gap"))))
+    whole = F.aggregate(
+        parts,
+        F.struct(F.lit("").alias("text"), F.lit("").alias("gap")),
+        lambda s, x: F.struct(
+            F.when(s["text"] == "", x["body"])
+            .otherwise(F.concat(s["text"], F.when((s["gap"] == "\n") & (x["gap"] == "\n") & ~x["body"].contains("| --- |"), "\n").otherwise("\n\n"), x["body"]))
+            .alias("text"),
+            x["gap"].alias("gap"),
+        ),
+    )
+    return _blocks(elements, row).where("trim(text) <> ''").groupBy("doc_id").agg(whole["text"].alias("markdown"))
+
+
+def _safe(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def as_html(elements: DataFrame) -> DataFrame:
-    kind = F.col("element_type")
-    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    """(doc_id, html): a tag per element, list items inside their list, cells inside their row."""
+
+    def row(texts: Column, head: Column) -> Column:
+        tag = F.when(head, "th").otherwise("td")
+        cells = F.transform(texts, lambda t: F.concat(F.lit("<"), tag, F.lit(">"), _safe(t), F.lit("</"), tag, F.lit(">")))
+        return F.concat(F.lit("<table><tr>"), F.array_join(cells, ""), F.lit("</tr></table>"))
+
+    def item(texts: Column) -> Column:
+        return F.concat(F.lit("<ul>"), F.array_join(F.transform(texts, lambda t: F.concat(F.lit("<li>"), _safe(t), F.lit("</li>"))), ""), F.lit("</ul>"))
+
+    kind = F.col("kind")
     tag = (
         F.when(kind == "header", F.concat(F.lit("h"), F.coalesce("level", F.lit(1)).cast("string")))
-        .when(kind == "list_item", "li")
         .when(kind == "code_block", "pre")
         .when(kind == "blockquote", "blockquote")
         .otherwise("p")
     )
-    body = F.concat(F.lit("<"), tag, F.lit(">"), safe, F.lit("</"), tag, F.lit(">"))
-    return elements.where("trim(text) <> ''").groupBy("doc_id").agg(_joined(body, "\n").alias("html"))
+    body = F.coalesce("ready", F.concat(F.lit("<"), tag, F.lit(">"), _safe(F.col("text")), F.lit("</"), tag, F.lit(">")))
+    return _blocks(elements, row, item).where("trim(text) <> ''").groupBy("doc_id").agg(_joined(body, "\n").alias("html"))
+
+
+def as_office_html(elements: DataFrame) -> DataFrame:
+    """(doc_id, html): page parts and notes of text documents and the slides of presentations as classed blocks.
+
+    A slide holds what follows it up to the next one.
+    """
+    kind, text = F.col("element_type"), _safe(F.col("text"))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in (("page_header", "page-header"), ("page_footer", "page-footer"), ("slide_notes", "slide-notes"), ("text_box", "text-box"), ("footnote", "footnote"), ("comment", "comment"), ("chart", "chart")) for x in pair]), kind)
+    tag = F.when(kind == "header", F.concat(F.lit("h"), F.coalesce("level", F.lit(3)).cast("string"))).otherwise("p")
+    block = F.when(named.isNotNull(), F.concat(F.lit('<div class="'), named, F.lit('">'), text, F.lit("</div>"))).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), text, F.lit("</"), tag, F.lit(">")))
+    w = Window.partitionBy("doc_id").orderBy("position", "element_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = elements.withColumn("__slide", F.sum((kind == "slide").cast("int")).over(w))
+    body = F.when(F.trim("text") != "", block)
+    slides = placed.groupBy("doc_id", "__slide").agg(F.min("position").alias("position"), F.min("element_id").alias("element_id"), _joined(body, "\n").alias("inner"))
+    whole = F.when(F.col("__slide") > 0, F.concat(F.lit('<div class="slide"><div class="slide-title">Slide '), F.col("__slide").cast("string"), F.lit("</div>\n"), F.col("inner"), F.lit("</div>"))).otherwise(F.col("inner"))
+    return slides.where("inner <> '' OR __slide > 0").groupBy("doc_id").agg(_joined(whole, "\n").alias("html"))
 
 
 def complete(documents: DataFrame, elements: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, elements, edges): each document with its numbers of elements and of outgoing edges."""
-    owned = edges.join(elements.select(F.col("element_id").alias("source_id"), "doc_id"), "source_id")
-    counts = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"))
-    sizes = elements.groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements"))
-    return documents.select("doc_id").join(sizes, "doc_id", "left").join(counts, "doc_id", "left").fillna(0, ["elements", "edges"])
+    """Each document's columns with its text, its elements in order and their outgoing edges, as arrays of structs.
+
+    Documents without elements have empty arrays and an empty text.
+    """
+    own = F.struct("position", "element_id", "parent_id", "element_type", "level", "text")
+    held = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("elements"))
+    link = F.struct("source_id", "relationship_type", "target_reference")
+    out = edges.join(elements.select(F.col("element_id").alias("source_id"), "doc_id"), "source_id")
+    linked = out.groupBy("doc_id").agg(F.array_sort(F.collect_list(link)).alias("edges"))
+    full = documents.join(held, "doc_id", "left").join(linked, "doc_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.filter(F.col(c), lambda _: F.lit(False)), F.from_json(F.lit("[]"), full.schema[c].dataType)).alias(c)
+    body = F.array_join(F.transform(F.filter("elements", lambda e: F.trim(e["text"]) != ""), lambda e: e["text"]), "\n\n")
+    rest = [c for c in documents.columns if c != "text"]
+    return full.select(*rest, F.coalesce(body, F.lit("")).alias("text"), empty("elements"), empty("edges"))
 
 
 def detected_format(elements: DataFrame) -> DataFrame:

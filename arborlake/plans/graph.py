@@ -102,10 +102,12 @@ def document_html(spark, sf_dir):
     return tree.as_html(b.elements(spark, sf_dir))
 
 
-@R.query("complete_documents", f"""WITH {b.ELEMENTS} SELECT doc_id, count(*) AS elements, 2 * greatest(count(*) - 2, 0) AS edges FROM elements GROUP BY doc_id""")
+@R.query("complete_documents", f"""WITH {b.ELEMENTS} SELECT doc_id, any_value(source) AS source, coalesce(string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) || chr(10) ORDER BY position), '') AS text,
+  count(*) AS elements, 2 * greatest(count(*) - 2, 0) AS edges FROM elements GROUP BY doc_id""")
 def complete_documents(spark, sf_dir):
     e = b.elements(spark, sf_dir)
-    return tree.complete(b.table(spark, sf_dir, "documents"), e, tree.siblings(e))
+    full = tree.complete(b.table(spark, sf_dir, "documents").select("doc_id", "source"), e, tree.siblings(e))
+    return full.select("doc_id", "source", "text", F.size("elements").cast("long").alias("elements"), F.size("edges").cast("long").alias("edges"))
 
 
 @R.query("document_formats", f"WITH {b.ELEMENTS} SELECT doc_id, CASE WHEN bool_or(element_type = 'header') THEN 'markdown' ELSE 'text' END AS format FROM elements GROUP BY doc_id")
@@ -162,11 +164,11 @@ def semantic_pairs(spark, sf_dir):
 
 @R.query("semantic_sections", f"""WITH {b.VECTORS}, p AS (
   SELECT a.element_pk AS source_id, c.element_pk AS target_reference, list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS similarity
-  FROM vectors a JOIN vectors c ON a.doc_id <> c.doc_id WHERE a.label = 3 AND c.label < 6)
+  FROM vectors a JOIN vectors c ON a.doc_id <> c.doc_id)
 SELECT source_id, target_reference, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_reference) AS nth FROM p WHERE similarity >= 0.2) WHERE nth <= 20""")
 def semantic_sections(spark, sf_dir):
     v = b.vectors(spark, sf_dir)
-    return edges.semantic_sections(v.where("label = 3"), v.where("label < 6"), threshold=0.2).withColumn("similarity", F.round("similarity", 6))
+    return edges.semantic_sections(v, v, threshold=0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.query("entity_pairs", """SELECT DISTINCT 's' || s_suppkey AS source_id, 'c' || c_custkey AS target_id FROM supplier JOIN customer ON s_nationkey = c_nationkey""")
@@ -186,11 +188,12 @@ TERMS = ontology.Ontology(
     },
     (ontology.RelationshipRule("demo:precedes", "ending", "article", "document", "forward", "average", 0.8),),
 )
-MAPPED = f"""{b.ELEMENTS}, mapped AS (
+MAPPED_ROWS = """mapped AS (
   SELECT element_id, 'article' AS term, 0.9::DOUBLE AS confidence FROM elements WHERE regexp_matches(text, '(?i)\\b(?:the|with)\\b')
   UNION ALL SELECT element_id, 'ending', CASE WHEN element_type = 'header' AND regexp_matches(text, 'tion[ .,]') THEN 0.8 ELSE 0.7 END::DOUBLE FROM elements
   WHERE (element_type = 'header' AND regexp_matches(text, 'tion[ .,]')) OR regexp_matches(text, '(?i)\\b(?:was)\\b')
-  UNION ALL SELECT element_id, 'shout', 1.0::DOUBLE FROM elements WHERE element_type = 'paragraph' AND regexp_matches(text, '[A-Z]{{4,}}'))"""
+  UNION ALL SELECT element_id, 'shout', 1.0::DOUBLE FROM elements WHERE element_type = 'paragraph' AND regexp_matches(text, '[A-Z]{4,}'))"""
+MAPPED = f"{b.ELEMENTS}, {MAPPED_ROWS}"
 
 
 @R.query("term_mappings", f"WITH {MAPPED} SELECT element_id, term, 'demo' AS domain, confidence FROM mapped")
@@ -221,9 +224,10 @@ def derived_entities(spark, sf_dir):
 @R.query("upserted_parts", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size END AS p_size FROM part UNION ALL SELECT -1, 7")
 def upserted_parts(spark, sf_dir):
     part = b.table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    new = part.where("p_partkey % 10 = 0").withColumn("p_size", F.lit(0))
-    extra = spark.range(1).select(F.lit(-1).cast("long").alias("p_partkey"), F.lit(7).alias("p_size"))
-    return storage.upsert(part, new.union(new.withColumn("p_size", F.lit(-5))).union(extra), ["p_partkey"])
+    new = part.where("p_partkey % 10 = 0").withColumns({"p_size": F.lit(0), "at": F.lit(2)})
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("p_partkey"), F.lit(7).alias("p_size"), F.lit(1).alias("at"))
+    old = new.withColumns({"p_size": F.lit(99), "at": F.lit(1)})
+    return storage.upsert(part, new.union(old).union(extra), ["p_partkey"], latest_by="at")
 
 
 @R.query("deleted_documents", f"WITH {b.ELEMENTS} SELECT element_type, count(*) AS n FROM elements WHERE doc_id % 7 <> 0 GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..operators import api, tree
 from ..registry import Registry
-from ..sources import connectors
+from ..sources import connectors, structured
 from . import bindings as b
 from . import search as plans
 
@@ -94,11 +94,22 @@ def json_references(spark, sf_dir):
     return connectors.references(o.select(F.col("o_orderkey").cast("string").alias("doc_id"), body.alias("content")))
 
 
-@R.query("xml_containers", """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'array' WHEN n_nationkey % 3 = 1 THEN 'object' ELSE 'element' END AS kind FROM nation""")
+XML_FORMS = [
+    "<orders><order>1</order><order>2</order></orders>",
+    "<customerData><name>x</name><zip>y</zip></customerData>",
+    "<allParts><part/><part/><part/><part/><part/><other/></allParts>",
+    "<results><row/><col/></results>",
+    "<address><city/></address>",
+]
+
+
+@R.query("xml_containers", """SELECT n_nationkey AS doc_id, p AS position, k AS kind FROM nation JOIN (VALUES (0, 0, 'array'), (0, 1, 'element'), (0, 2, 'element'),
+  (1, 0, 'object'), (1, 1, 'element'), (1, 2, 'element'), (2, 0, 'array'), (2, 1, 'element'), (2, 2, 'element'), (2, 3, 'element'), (2, 4, 'element'), (2, 5, 'element'), (2, 6, 'element'),
+  (3, 0, 'object'), (3, 1, 'element'), (3, 2, 'element'), (4, 0, 'element'), (4, 1, 'element')) v(f, p, k) ON n_nationkey % 5 = f""")
 def xml_containers(spark, sf_dir):
-    n = F.col("n_nationkey") % 3
-    names = F.when(n == 0, F.array(F.lit("a"), F.lit("a"))).when(n == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    return b.table(spark, sf_dir, "nation").select("n_nationkey", api.container_kind(F.lit("node"), names).alias("kind"))
+    n = b.table(spark, sf_dir, "nation")
+    body = F.element_at(F.array(*map(F.lit, XML_FORMS)), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return structured.container_kinds(structured.xml_elements(n.select(F.col("n_nationkey").alias("doc_id"), body.alias("content"))))
 
 
 @R.query("element_date_ranges", f"WITH {b.DATES} SELECT element_pk, min(ts) AS first_date, max(ts) AS last_date, count(*) AS n FROM dates GROUP BY element_pk")

@@ -264,8 +264,16 @@ def _fts_elements(spark, sf_dir):
 SELECT element_pk, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 5) AS text_score
 FROM post JOIN df USING (token), stat GROUP BY element_pk HAVING count(*) = 2""")
 def bm25(spark, sf_dir):
+    scored = fulltext.bm25_scan(_fts_elements(spark, sf_dir), ["the", "was"])
+    return scored.withColumn("text_score", F.round("text_score", 5))
+
+
+@R.query("bm25_indexed", f"""WITH {FTS}, df AS (SELECT token, count(*) AS df FROM post WHERE token IN ('the', 'was') GROUP BY token)
+SELECT element_pk, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 5) AS text_score
+FROM post JOIN df USING (token), stat GROUP BY element_pk""")
+def bm25_indexed(spark, sf_dir):
     rows = _fts_elements(spark, sf_dir)
-    scored = fulltext.bm25(fulltext.postings(rows), rows, ["the", "was"])
+    scored = fulltext.bm25(fulltext.postings(rows), fulltext.index_statistics(rows), ["The", "was"], require_all=False)
     return scored.withColumn("text_score", F.round("text_score", 5))
 
 
@@ -275,22 +283,33 @@ def postings_summary(spark, sf_dir):
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
 
 
-@R.query("highlight", r"SELECT doc_id, regexp_replace(text, '\b(the|was)\b', '<b>\1</b>', 'gi') AS marked FROM documents WHERE lang = 'en'")
+@R.query("highlight", r"SELECT doc_id, regexp_replace(text, '\b(the|was)\b', '<b>\1</b>', 'gi') AS marked FROM documents")
 def highlight(spark, sf_dir):
-    rows = _documents(spark, sf_dir).where("lang = 'en'")
+    rows = _documents(spark, sf_dir)
     return rows.select("doc_id", fulltext.highlight(F.col("text"), ["the", "was"]).alias("marked"))
 
 
-@R.query("hybrid_search", f"""WITH x AS (SELECT vec_id AS element_pk, list_cosine_similarity(embedding::DOUBLE[], {SQL_VECTOR}) AS s FROM embeddings),
-y AS (SELECT p_partkey AS element_pk, p_size / 4.0 AS text_score FROM part WHERE p_size > 20)
+@R.query("hybrid_search", f"""WITH {FTS.replace("el AS (SELECT doc_id * 100000 + pos AS element_pk, text FROM lines)", "el AS (SELECT doc_id AS element_pk, text FROM documents)")}, df AS (SELECT token, count(*) AS df FROM post WHERE token IN ('the', 'was') GROUP BY token),
+y AS (SELECT element_pk, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS text_score
+  FROM post JOIN df USING (token), stat GROUP BY element_pk HAVING count(*) = 2),
+x AS (SELECT vec_id AS element_pk, list_cosine_similarity(embedding::DOUBLE[], {SQL_VECTOR}) AS s FROM embeddings)
 SELECT element_pk, round(least(coalesce(text_score / 10, 0), 1) * 0.4 + coalesce(s, 0) * 0.6, 6) AS final_score FROM y FULL JOIN x USING (element_pk)""")
 def hybrid_search(spark, sf_dir):
     hits = b.vectors(spark, sf_dir).select("element_pk", vectors.cosine(F.col("embedding"), vectors.literal(QUERY_VECTOR)).alias("similarity"))
-    part = b.table(spark, sf_dir, "part").where("p_size > 20")
-    text = part.select(F.col("p_partkey").alias("element_pk"), (F.col("p_size") / 4).alias("text_score"))
+    text = fulltext.bm25_scan(_documents(spark, sf_dir), ["the", "was"], key="doc_id")
     return search.hybrid(text, hits, 0.4, 0.6, cap=True).withColumn("final_score", F.round("final_score", 6))
 
 
+@R.query("hashing_embedding_table", """WITH tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM tok),
+c AS (SELECT doc_id, (h % 16)::INT AS i, sum(CASE WHEN (h // 16) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS n FROM h GROUP BY ALL),
+z AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM c GROUP BY ALL)
+SELECT doc_id, i, round(n / z, 6) AS x FROM c JOIN z USING (doc_id) WHERE n <> 0""".replace("\\\\p", "\\p"))
+def hashing_embedding_table(spark, sf_dir):
+    found = vectors.hashing_embeddings(_documents(spark, sf_dir), "doc_id", "text", 16)
+    return found.select("doc_id", F.posexplode("embedding").alias("i", "x")).where("x <> 0").select("doc_id", "i", F.round("x", 6).alias("x"))
+
+
 @R.query("hashing_embedding", """WITH tok AS (
   SELECT turn, conv_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS tokens FROM conversations),
 h AS (SELECT conv_id, turn, ('0x' || substr(md5(unnest(tokens)), 1, 8))::BIGINT AS h FROM tok),

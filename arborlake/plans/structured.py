@@ -20,7 +20,7 @@ R = Registry()
 UNION ALL SELECT event_id, '$.k', 'json_field', 'k', props->>'$.k' FROM events""")
 def json_elements(spark, sf_dir):
     rows = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"))
-    return structured.json_elements(rows, depth=2)
+    return structured.json_elements(rows)
 
 
 @R.query("json_nested", """WITH n AS (SELECT n_nationkey AS doc_id, n_name, n_regionkey AS r FROM nation)
@@ -29,62 +29,55 @@ UNION ALL SELECT doc_id, '$.tags[0]', r::VARCHAR FROM n UNION ALL SELECT doc_id,
 def json_nested(spark, sf_dir):
     n = b.table(spark, sf_dir, "nation")
     body = F.concat(F.lit('{"name":"'), "n_name", F.lit('","tags":['), F.col("n_regionkey").cast("string"), F.lit(',"x"]}'))
-    rows = structured.json_elements(n.select(F.col("n_nationkey").alias("doc_id"), body.alias("content")), depth=4)
+    rows = structured.json_elements(n.select(F.col("n_nationkey").alias("doc_id"), body.alias("content")))
     return rows.select("doc_id", "path", "value")
 
 
-def _csv(spark, sf_dir, rows="c_custkey < 400"):
+def _csv(spark, sf_dir):
     """One CSV document per market segment: a header and a line per customer."""
-    c = b.table(spark, sf_dir, "customer").where(rows)
+    c = b.table(spark, sf_dir, "customer")
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', Ltd"')), F.format_string("%.2f", "c_acctbal"), F.lit("2024-01-05"))
     rows = c.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
     body = F.concat(F.lit("customer_id,customer_name,balance,opened\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
     return rows.select(F.col("c_mktsegment").alias("doc_id"), body.alias("content"))
 
 
-CSV = """c AS (SELECT *, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::INT AS r FROM customer WHERE c_custkey < 400)"""
+CSV = """c AS (SELECT *, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::INT AS r FROM customer)"""
+CSV_CELLS = f"""WITH {CSV} SELECT c_mktsegment AS doc_id, r AS row, 0 AS col, 'customer_id' AS header, c_custkey::VARCHAR AS value FROM c
+UNION ALL SELECT c_mktsegment, r, 1, 'customer_name', c_name || ', Ltd' FROM c UNION ALL SELECT c_mktsegment, r, 2, 'balance', printf('%.2f', c_acctbal) FROM c
+UNION ALL SELECT c_mktsegment, r, 3, 'opened', '2024-01-05' FROM c"""
+CSV_TYPES = """SELECT s AS doc_id, c AS col, h AS header, t AS type FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
+(VALUES (0, 'customer_id', 'integer'), (1, 'customer_name', 'string'), (2, 'balance', 'float'), (3, 'opened', 'date')) v(c, h, t)"""
+CSV_RELATIONS = """SELECT s AS doc_id, a AS source, z AS target, 'related_to' AS relationship_type, 0.7::DOUBLE AS confidence FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
+(VALUES ('customer_id', 'customer_name'), ('customer_name', 'customer_id')) v(a, z)"""
 
 
-@R.query("csv_cells", f"""WITH {CSV} SELECT c_mktsegment AS doc_id, r::INT AS row, 0 AS col, 'customer_id' AS header, c_custkey::VARCHAR AS value FROM c
-UNION ALL SELECT c_mktsegment, r, 1, 'customer_name', c_name || ', Ltd' FROM c UNION ALL SELECT c_mktsegment, r, 2, 'balance', printf('%.2f', c_acctbal) FROM c
-UNION ALL SELECT c_mktsegment, r, 3, 'opened', '2024-01-05' FROM c""")
+# each under two names, as both were in use
+@R.query("csv_cells", CSV_CELLS)
+@R.query("csv_cells_all", CSV_CELLS)
 def csv_cells(spark, sf_dir):
     return structured.csv_cells(_csv(spark, sf_dir)).select("doc_id", "row", "col", "header", "value")
 
 
-@R.query("csv_types", """SELECT s AS doc_id, c AS col, h AS header, t AS type FROM (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_custkey < 400),
-(VALUES (0, 'customer_id', 'integer'), (1, 'customer_name', 'string'), (2, 'balance', 'float'), (3, 'opened', 'date')) v(c, h, t)""")
+@R.query("csv_types", CSV_TYPES)
+@R.query("csv_types_all", CSV_TYPES)
 def csv_types(spark, sf_dir):
     return structured.csv_types(structured.csv_cells(_csv(spark, sf_dir)))
 
 
-@R.query("csv_relations", """SELECT s AS doc_id, a AS source, z AS target, 'related_to' AS relationship_type, 0.7::DOUBLE AS confidence FROM (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_custkey < 400),
-(VALUES ('customer_id', 'customer_name'), ('customer_name', 'customer_id')) v(a, z)""")
+@R.query("csv_relations", CSV_RELATIONS)
+@R.query("csv_relations_all", CSV_RELATIONS)
 def csv_relations(spark, sf_dir):
     return structured.csv_relations(structured.csv_cells(_csv(spark, sf_dir)))
 
 
-# The same over the whole table
-
-
-@R.query("csv_cells_all", """WITH c AS (SELECT *, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::INT AS r FROM customer)
-SELECT c_mktsegment AS doc_id, r AS row, 0 AS col, 'customer_id' AS header, c_custkey::VARCHAR AS value FROM c
-UNION ALL SELECT c_mktsegment, r, 1, 'customer_name', c_name || ', Ltd' FROM c UNION ALL SELECT c_mktsegment, r, 2, 'balance', printf('%.2f', c_acctbal) FROM c
-UNION ALL SELECT c_mktsegment, r, 3, 'opened', '2024-01-05' FROM c""")
-def csv_cells_all(spark, sf_dir):
-    return structured.csv_cells(_csv(spark, sf_dir, "true")).select("doc_id", "row", "col", "header", "value")
-
-
-@R.query("csv_types_all", """SELECT s AS doc_id, c AS col, h AS header, t AS type FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
-(VALUES (0, 'customer_id', 'integer'), (1, 'customer_name', 'string'), (2, 'balance', 'float'), (3, 'opened', 'date')) v(c, h, t)""")
-def csv_types_all(spark, sf_dir):
-    return structured.csv_types(structured.csv_cells(_csv(spark, sf_dir, "true")))
-
-
-@R.query("csv_relations_all", """SELECT s AS doc_id, a AS source, z AS target, 'related_to' AS relationship_type, 0.7::DOUBLE AS confidence FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
-(VALUES ('customer_id', 'customer_name'), ('customer_name', 'customer_id')) v(a, z)""")
-def csv_relations_all(spark, sf_dir):
-    return structured.csv_relations(structured.csv_cells(_csv(spark, sf_dir, "true")))
+@R.query("csv_tree", """WITH c AS (SELECT c_mktsegment AS doc_id, count(*) AS n FROM customer GROUP BY 1)
+SELECT doc_id, t AS element_type, CASE t WHEN 'root' THEN 1 WHEN 'table' THEN 1 WHEN 'table_header_row' THEN 1 WHEN 'table_header' THEN 4 WHEN 'table_row' THEN n ELSE 4 * n END AS elements,
+  CASE t WHEN 'root' THEN 0 WHEN 'table' THEN 1 WHEN 'table_header_row' THEN 2 WHEN 'table_header' THEN 3 WHEN 'table_row' THEN 7 ELSE 8 END AS first_position
+FROM c, (VALUES ('root'), ('table'), ('table_header_row'), ('table_header'), ('table_row'), ('table_cell')) v(t)""")
+def csv_tree(spark, sf_dir):
+    e = structured.csv_tree(structured.csv_cells(_csv(spark, sf_dir)))
+    return e.groupBy("doc_id", "element_type").agg(F.count(F.lit(1)).alias("elements"), F.min("position").alias("first_position"))
 
 
 def _pages(spark, sf_dir):
@@ -117,8 +110,8 @@ def xml_elements(spark, sf_dir):
     return rows.select("doc_id", "position", "element_type", "location", "text")
 
 
-def _markdown(spark, sf_dir, rows="conv_id < 200"):
-    c = b.table(spark, sf_dir, "conversations").where(rows)
+def _markdown(spark, sf_dir):
+    c = b.table(spark, sf_dir, "conversations")
     text = F.regexp_replace("text", r"\s+", " ")
     block = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit("\n\n- "), text, F.lit("\n```\n# code\n```"))
     rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("blocks"))
@@ -126,31 +119,33 @@ def _markdown(spark, sf_dir, rows="conv_id < 200"):
     return rows.select(F.col("conv_id").alias("doc_id"), body.alias("content"))
 
 
-@R.query("markdown_elements", r"""WITH c AS (SELECT conv_id AS doc_id, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 6)::INT AS p, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, regexp_replace(text, '\s+', ' ', 'g') AS raw FROM conversations WHERE conv_id < 200)
+MARKDOWN = r"""WITH c AS (SELECT conv_id AS doc_id, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 6)::INT AS p, turn, role, regexp_replace(text, '\s+', ' ', 'g') AS raw FROM conversations)
 SELECT doc_id, p::INT AS position, 'header' AS element_type, (turn % 3 + 1)::INT AS level, role AS text FROM c
-UNION ALL SELECT doc_id, p + 2, 'list_item', NULL, raw FROM c UNION ALL SELECT doc_id, p + 4, 'code_block', NULL, '# code' FROM c""")
+UNION ALL SELECT doc_id, p + 2, 'list_item', NULL, raw FROM c UNION ALL SELECT doc_id, p + 4, 'code_block', NULL, '# code' FROM c"""
+FRONT = "SELECT conv_id AS doc_id, 'title: x' AS front FROM conversations GROUP BY conv_id"
+
+
+@R.query("markdown_elements", MARKDOWN)
+@R.query("markdown_elements_all", MARKDOWN)
 def markdown_elements(spark, sf_dir):
     return structured.markdown_elements(_markdown(spark, sf_dir))
 
 
-@R.query("markdown_front_matter", "SELECT conv_id AS doc_id, 'title: x' AS front FROM conversations WHERE conv_id < 200 GROUP BY conv_id")
+@R.query("markdown_front_matter", FRONT)
+@R.query("markdown_front_matter_all", FRONT)
 def markdown_front_matter(spark, sf_dir):
     return _markdown(spark, sf_dir).select("doc_id", structured.front_matter(F.col("content")).alias("front"))
 
 
-# The same over the whole table
-
-
-@R.query("markdown_elements_all", r"""WITH c AS (SELECT conv_id AS doc_id, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 6)::INT AS p, turn, role, regexp_replace(text, '\s+', ' ', 'g') AS raw FROM conversations)
-SELECT doc_id, p::INT AS position, 'header' AS element_type, (turn % 3 + 1)::INT AS level, role AS text FROM c
-UNION ALL SELECT doc_id, p + 2, 'list_item', NULL, raw FROM c UNION ALL SELECT doc_id, p + 4, 'code_block', NULL, '# code' FROM c""")
-def markdown_elements_all(spark, sf_dir):
-    return structured.markdown_elements(_markdown(spark, sf_dir, "true"))
-
-
-@R.query("markdown_front_matter_all", "SELECT conv_id AS doc_id, 'title: x' AS front FROM conversations GROUP BY conv_id")
-def markdown_front_matter_all(spark, sf_dir):
-    return _markdown(spark, sf_dir, "true").select("doc_id", structured.front_matter(F.col("content")).alias("front"))
+@R.query("markdown_tree", r"""WITH c AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS i, (turn % 3 + 1)::INT AS level, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS raw FROM conversations),
+h AS (SELECT c.doc_id, c.i, c.level, c.role, c.raw, max(a.i) AS above FROM c LEFT JOIN c a ON a.doc_id = c.doc_id AND a.i < c.i AND a.level < c.level GROUP BY ALL)
+SELECT 'root_' || doc_id AS element_id, doc_id, NULL AS parent_id, 'root' AS element_type, 0 AS position, NULL::INT AS level, '' AS text FROM c GROUP BY doc_id
+UNION ALL SELECT doc_id || '#' || (4 * i), doc_id, CASE WHEN above IS NULL THEN 'root_' || doc_id ELSE doc_id || '#' || (4 * above) END, 'header', 4 * i + 1, level, role FROM h
+UNION ALL SELECT doc_id || '#' || (4 * i + 1), doc_id, doc_id || '#' || (4 * i), 'list', 4 * i + 2, NULL, '' FROM h
+UNION ALL SELECT doc_id || '#' || (4 * i + 2), doc_id, doc_id || '#' || (4 * i + 1), 'list_item', 4 * i + 3, 1, raw FROM h
+UNION ALL SELECT doc_id || '#' || (4 * i + 3), doc_id, doc_id || '#' || (4 * i), 'code_block', 4 * i + 4, NULL, '# code' FROM h""")
+def markdown_tree(spark, sf_dir):
+    return structured.element_tree(structured.markdown_nodes(_markdown(spark, sf_dir))).drop("attributes")
 
 
 @R.query("row_documents", """WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
@@ -162,13 +157,17 @@ def row_documents(spark, sf_dir):
     return rows.select("doc_id", "position", "section_run", "element_type", "text")
 
 
-@R.query("context_strength", """SELECT event_id, round(least(1, CASE event_type WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.7 ELSE 0.5 END::DOUBLE
-  * greatest(0.1::DOUBLE, 1 - (event_id % 7)::DOUBLE * 0.2::DOUBLE) * CASE WHEN event_id % 2 = 0 THEN 1.1::DOUBLE ELSE 1 END), 2) AS strength FROM events WHERE event_type IN ('error', 'click')""")
+ROLES = ["main", "parent", "child", "sibling", "preceding", "following", "references", "referenced_by", "contains", "contained_by", "related", "other"]
+KINDS = ["header", "title", "h1", "h2", "h3", "table_header", "section", "paragraph", "list"]
+
+
+@R.query("context_strength", f"""SELECT event_id, round(least(1, CASE ({ROLES!r})[event_id % 12 + 1] WHEN 'main' THEN 1.0 WHEN 'parent' THEN 0.9 WHEN 'child' THEN 0.7 WHEN 'sibling' THEN 0.6 WHEN 'references' THEN 0.8
+  WHEN 'referenced_by' THEN 0.8 WHEN 'contains' THEN 0.9 WHEN 'contained_by' THEN 0.7 WHEN 'related' THEN 0.4 ELSE 0.5 END::DOUBLE
+  * greatest(0.1::DOUBLE, 1 - (event_id % 7)::DOUBLE * 0.2::DOUBLE) * CASE WHEN ({KINDS!r})[event_id % 9 + 1] IN ('paragraph', 'list') THEN 1::DOUBLE ELSE 1.1::DOUBLE END), 2) AS strength FROM events""")
 def context_strength(spark, sf_dir):
-    e = b.table(spark, sf_dir, "events").where("event_type IN ('error', 'click')")
-    role = F.when(F.col("event_type") == "error", "parent").otherwise("sibling")
-    kind = F.when(F.col("event_id") % 2 == 0, "header").otherwise("paragraph")
-    return e.select("event_id", context.strength(role, F.col("event_id") % 7 + 1, kind).alias("strength"))
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
+    strength = context.strength(pick(ROLES, 12), F.col("event_id") % 7 + 1, pick(KINDS, 9))
+    return b.table(spark, sf_dir, "events").select("event_id", strength.alias("strength"))
 
 
 @R.query("context_tags", f"""WITH {b.ELEMENTS} SELECT element_id, '[SELF:' || element_type || ':' || element_id || CASE WHEN level IS NULL THEN '' ELSE ':level=' || level END || ']' AS tag, element_type AS parsed FROM elements""")
@@ -188,7 +187,7 @@ def truncated_texts(spark, sf_dir):
 def greedy_context(spark, sf_dir):
     e = b.elements(spark, sf_dir).where("element_type <> 'root'")
     item = F.struct(
-        context.priority(F.lit("sibling"), F.col("position"), F.col("text")).alias("priority"),
+        context.priority(F.lit("sibling"), F.col("position"), F.col("element_type"), F.col("text")).alias("priority"),
         F.col("position").alias("distance"),
         F.col("element_id").alias("id"),
         vectors.token_estimate(F.col("text")).alias("tokens"),

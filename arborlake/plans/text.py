@@ -91,7 +91,13 @@ VALUES = rf"""{b.RENDERED}, vals AS (
 
 @R.query("extracted_values", f"WITH {VALUES} SELECT * FROM vals")
 def extracted_values(spark, sf_dir):
-    return extract.values(b.rendered(spark, sf_dir))
+    return extract.values(b.rendered(spark, sf_dir)).drop("start", "context")
+
+
+@R.query("value_positions", f"""WITH {VALUES.replace("vals AS", "vals AS", 1)} SELECT v.element_pk, v.raw, (instr(r.text, v.raw) - 1)::INT AS start,
+  substr(r.text, greatest(instr(r.text, v.raw) - 50, 1), instr(r.text, v.raw) + length(v.raw) + 50 - greatest(instr(r.text, v.raw) - 50, 1)) AS context FROM vals v JOIN rendered r USING (element_pk)""")
+def value_positions(spark, sf_dir):
+    return extract.values(b.rendered(spark, sf_dir)).select("element_pk", "raw", "start", "context")
 
 
 @R.query("value_summary", f"""WITH {VALUES} SELECT value_type, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS greatest,
@@ -243,14 +249,39 @@ def newer_documents(spark, sf_dir):
     return readers.newer(events, history).select("event_id")
 
 
-@R.query("page_links", r"""WITH l AS (
-  SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, unnest(list_distinct(regexp_extract_all(html, '<a\s[^>]*?href="([^"#]+)"', 1))) AS href FROM pages),
-t AS (SELECT page_id, base, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN base || href END AS target FROM l)
-SELECT DISTINCT page_id, target FROM t WHERE target IS NOT NULL AND regexp_extract(target, '^(https?://[^/?#]+)', 1) = base""")
+# RFC 3986 in SQL: scheme, authority and path of the page, the reference by its first characters, dot segments folded
+RESOLVED = r"""parts AS (SELECT *, regexp_extract(url, '^(https?:)//', 1) AS scheme, regexp_extract(url, '^https?:(//[^/?#]*)', 1) AS host,
+  regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query FROM refs),
+merged AS (SELECT *, CASE WHEN regexp_matches(ref, '^(?i)https?://') THEN ref WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN ref LIKE '//%' THEN scheme || ref WHEN ref LIKE '/%' THEN scheme || host || ref WHEN ref LIKE '?%' THEN scheme || host || path || ref
+  WHEN ref = '' OR ref LIKE '#%' THEN scheme || host || path || query || ref
+  ELSE scheme || host || CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END || ref END AS whole FROM parts),
+cut AS (SELECT *, regexp_extract(whole, '^(https?://[^/?#]*)', 1) AS front, regexp_extract(whole, '^https?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(whole, '^[^?#]*([?#].*)$', 1) AS rest FROM merged WHERE whole IS NOT NULL),
+folded AS (SELECT *, CASE WHEN contains(p, '/.') THEN list_reduce(list_prepend(['-'], [[x] FOR x IN string_split(p, '/')[2:]]),
+  lambda acc, x: CASE x[1] WHEN '.' THEN acc WHEN '..' THEN CASE WHEN len(acc) > 1 THEN acc[:len(acc) - 1] ELSE acc END ELSE list_concat(acc, x) END) END AS segs FROM cut),
+resolved AS (SELECT *, CASE WHEN segs IS NULL THEN whole ELSE front || '/' || array_to_string(segs[2:], '/') || CASE WHEN regexp_matches(p, '/\.\.?$') AND len(segs) > 1 THEN '/' ELSE '' END || rest END AS target FROM folded)"""
+
+
+@R.query("page_links", rf"""WITH found AS (
+  SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1))) AS raw FROM pages),
+refs AS (SELECT page_id, url, trim(replace(regexp_replace(regexp_replace(raw, '^["'']', ''), '["'']$', ''), '&amp;', '&')) AS ref FROM found), {{RESOLVED}}
+SELECT DISTINCT page_id, target FROM resolved WHERE target <> url AND NOT starts_with(target, url || '#')
+  AND lower(regexp_extract(target, '^https?://([^/?#]+)', 1)) = lower(regexp_extract(url, '^https?://([^/?#]+)', 1))""".replace("{{RESOLVED}}", RESOLVED).replace("{RESOLVED}", RESOLVED))
 def page_links(spark, sf_dir):
     return readers.page_links(b.table(spark, sf_dir, "pages"))
 
 
+REFERENCES = ["https://other.org/x", "//evil.com/z", "/top", "b.html", "../up/c.html?q=1", "./d/./e/../f", "?only=1", "#here", "mailto:a@b.c", "HTTP://a.org/Y", "../../../../z", "g/", "."]
+
+
+@R.query("resolved_urls", rf"""WITH refs AS (SELECT n_nationkey, 'https://a.org/' || n_name || '/sub/page' || n_regionkey || '.html?v=2' AS url, r AS ref FROM nation, (SELECT unnest({REFERENCES!r}) AS r)), {RESOLVED}
+SELECT n_nationkey, ref, CASE WHEN ref = 'HTTP://a.org/Y' THEN 'HTTP://a.org/Y' ELSE target END AS target FROM refs LEFT JOIN resolved USING (n_nationkey, url, ref)""")
+def resolved_urls(spark, sf_dir):
+    url = F.concat(F.lit("https://a.org/"), "n_name", F.lit("/sub/page"), F.col("n_regionkey").cast("string"), F.lit(".html?v=2"))
+    rows = b.table(spark, sf_dir, "nation").select("n_nationkey", url.alias("url"), F.explode(F.array(*map(F.lit, REFERENCES))).alias("ref"))
+    return rows.select("n_nationkey", "ref", readers.resolved(F.col("url"), F.col("ref")).alias("target"))
+
+
 @R.query("allowed_urls", r"SELECT page_id FROM pages WHERE regexp_matches(url, 'example\.org|/en/') AND NOT regexp_matches(url, 'utm_source')")
 def allowed_urls(spark, sf_dir):
     return b.table(spark, sf_dir, "pages").where(readers.url_allowed(F.col("url"), [r"example\.org", "/en/"], ["utm_source"])).select("page_id")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from . import structured
+
 SCHEMA = "doc_id string, title string, content string, doc_type string, modified timestamp, metadata string"
 
 
@@ -69,13 +71,14 @@ def paged(spark: SparkSession, client: str, **options: str) -> DataFrame:
 
 
 def references(documents: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(doc_id, field, target): values of ``*_id`` fields and of {"$oid": ...} objects anywhere in JSON texts."""
-    oid = F.transform(
-        F.regexp_extract_all(F.col(content), F.lit(r'"(\w+)"\s*:\s*\{\s*"\$oid"\s*:\s*"[^"]+"'), F.lit(0)),
-        lambda x: F.struct(F.regexp_extract(x, r'^"(\w+)"', 1).alias("field"), F.regexp_extract(x, r'"([^"]+)"$', 1).alias("target")),
-    )
-    plain = F.transform(
-        F.regexp_extract_all(F.col(content), F.lit(r'"(\w+_id)"\s*:\s*"?[\w-]+"?'), F.lit(0)),
-        lambda x: F.struct(F.regexp_extract(x, r'^"(\w+)"', 1).alias("field"), F.regexp_extract(x, r':\s*"?([\w-]+)"?$', 1).alias("target")),
-    )
-    return documents.select(F.col(key).alias("doc_id"), F.inline(F.concat(oid, plain))).where("field <> '_id'").distinct()
+    """(doc_id, field, target): values of ``*_id`` fields and of {"$oid": ...} objects at any depth of JSON texts.
+
+    Texts are parsed, so what stands inside a string value is no reference.
+    """
+    nodes = structured.json_nodes(documents, key, content).where("error IS NULL AND element_type = 'json_field' AND text IS NOT NULL")
+    path = F.regexp_replace("location", r"(?:\[\d+\])+$", "")
+    oid = F.col("name") == "$oid"
+    holder = F.regexp_extract("location", r"([^.\[\]]+)(?:\[\d+\])*\.\$oid$", 1)
+    field = F.when(oid, holder).otherwise(F.regexp_extract(path, r"([^.]+)$", 1))
+    rows = nodes.select("doc_id", field.alias("field"), F.col("text").alias("target"), oid.alias("oid"))
+    return rows.where("field <> '_id' AND field <> '$' AND (oid OR field LIKE '%\\_id')").select("doc_id", "field", "target").distinct()

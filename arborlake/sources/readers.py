@@ -91,20 +91,98 @@ def newer(current: DataFrame, history: DataFrame, key: str = "source_id", at: st
     return current.join(seen, key, "left").where(kept).drop("__last")
 
 
+def resolved(base: Column, reference: Column) -> Column:
+    """The absolute http(s) URL that a reference on the page ``base`` names (RFC 3986); null for other schemes.
+
+    Dot segments of paths are removed; an empty reference names the page itself.
+    """
+    whole = r"^(https?:)(//[^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+    own = lambda i: F.regexp_extract(base, whole, i)
+    ref = F.trim(F.coalesce(reference, F.lit("")))
+    folder = F.concat(F.regexp_extract(own(3), r"^(.*/)", 1))
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    tail = F.regexp_extract(ref, r"([?#].*)$", 1)
+    absolute = (
+        F.when(ref.rlike(r"^(?i)https?://"), ref)
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(ref.startswith("//"), F.concat(own(1), ref))
+        .when(ref.startswith("/"), F.concat(own(1), own(2), ref))
+        .when(ref.startswith("?"), F.concat(own(1), own(2), own(3), ref))
+        .when((ref == "") | ref.startswith("#"), F.concat(own(1), own(2), own(3), own(4), tail))
+        .otherwise(F.concat(own(1), own(2), folder, ref))
+    )
+    path = F.regexp_extract(absolute, whole, 3)
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda s, x: F.when(x == ".", s).when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(x))),
+    )
+    end = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    plain = F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), end))
+    whole_url = F.concat(F.lower(F.regexp_extract(absolute, r"^(?i)(https?:)", 1)), F.regexp_extract(absolute, r"^(?i)https?:(//[^/?#]*)", 1), plain, F.regexp_extract(absolute, r"^[^?#]*([?#].*)$", 1))
+    return F.when(absolute.rlike(r"^(?i)https?://[^/?#]"), F.when(parts.isNull() | ~path.contains("/."), absolute).otherwise(whole_url))
+
+
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", same_host: bool = True) -> DataFrame:
-    """(key, target): distinct absolute targets of a page's links; relative ones are resolved against the page's host."""
-    hrefs = F.array_distinct(F.regexp_extract_all(F.col(html), F.lit('<a\\s[^>]*?href="([^"#]+)"'), F.lit(1)))
-    base = F.regexp_extract(F.col(url), r"^(https?://[^/?#]+)", 1)
-    rows = pages.select(F.col(key), base.alias("base"), F.explode(hrefs).alias("href"))
-    target = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(
-        F.col("href").startswith("/"), F.concat("base", "href")
+    """(key, target): distinct absolute targets of a page's links, in either quotes or none.
+
+    Relative references are resolved against the page's URL.  Anchors of the page itself
+    and other schemes (mailto, javascript) are left out, and other hosts if asked.
+    """
+    form = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    hrefs = F.transform(
+        F.regexp_extract_all(F.col(html), F.lit(form), F.lit(1)),
+        lambda h: F.replace(F.regexp_replace(h, r"""^["']|["']$""", ""), F.lit("&amp;"), F.lit("&")),
     )
-    rows = rows.select(key, "base", target.alias("target")).where("target IS NOT NULL")
+    rows = pages.select(F.col(key), F.col(url).alias("__base"), F.explode(F.array_distinct(hrefs)).alias("__href"))
+    rows = rows.select(key, "__base", resolved(F.col("__base"), F.col("__href")).alias("target")).where("target IS NOT NULL")
+    rows = rows.where((F.col("target") != F.col("__base")) & ~F.col("target").startswith(F.concat("__base", F.lit("#"))))
     if same_host:
-        rows = rows.where(F.regexp_extract("target", r"^(https?://[^/?#]+)", 1) == F.col("base"))
+        host = lambda c: F.lower(F.regexp_extract(c, r"^(?i)https?://([^/?#]+)", 1))
+        rows = rows.where(host(F.col("target")) == host(F.col("__base")))
     return rows.select(key, "target").distinct()
 
 
+def file_links(documents: DataFrame, key: str = "doc_id", content: str = "content", kind: str = "doc_type") -> DataFrame:
+    """(key, target): local files that a text refers to, by its kind: Markdown links, HTML href and src, wiki [[links]].
+
+    URLs, anchors and mail addresses are left out, fragments and queries cut off.
+    """
+    body = F.coalesce(F.col(content).cast("string"), F.lit(""))
+    found = lambda form: F.regexp_extract_all(body, F.lit(form), F.lit(1))
+    marked = F.concat(found(r"\[[^\]]*\]\(\s*<?([^)\s>]+)"), found(r"\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"))
+    tagged = found(r"""(?i)\s(?:href|src)\s*=\s*["']([^"']+)["']""")
+    targets = F.when(F.col(kind) == "html", tagged).otherwise(F.concat(marked, tagged))
+    rows = documents.select(F.col(key), F.explode(F.array_distinct(targets)).alias("target"))
+    rows = rows.where(~F.col("target").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)"))
+    return rows.select(key, F.trim(F.regexp_replace("target", r"[?#].*$", "")).alias("target")).where("target <> ''").distinct()
+
+
+def parsed_id(doc_id: Column) -> Column:
+    """(query, values): the query name and the column values of a composite id."""
+    parts = F.split(doc_id, "/")
+    pairs = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    keys = F.transform(pairs, lambda p: F.regexp_extract(p, "^([^=]*)=", 1))
+    return F.struct(parts[0].alias("query"), F.map_from_arrays(keys, F.transform(pairs, lambda p: F.regexp_extract(p, "^[^=]*=(.*)$", 1))).alias("values"))
+
+
+def by_composite_id(rows: DataFrame, doc_id: str, query: str) -> DataFrame:
+    """The rows that a composite id names: its values as a filter that reaches the scan, each cast to its column's type.
+
+    An empty value names null.  An id of another query names no row.
+    """
+    name, *pairs = doc_id.split("/")
+    if name != query:
+        return rows.limit(0)
+    for pair in pairs:
+        column, _, value = pair.partition("=")
+        kind = rows.schema[column].dataType
+        rows = rows.where(F.col(column).isNull() if value == "" else F.col(column) == F.lit(value).cast(kind))
+    return rows
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes within ``depth`` links of the seeds at their least depth.
 

@@ -135,3 +135,50 @@ def failure_state(events: DataFrame) -> DataFrame:
     return events.groupBy("source_id").applyInPandasWithState(
         step, "source_id long, failures int, status string, delay long", "failures int", "update", "NoTimeout"
     )
+
+
+# Kinds of failures and the words that tell them.
+FAILURES = {
+    "timeout": ["timeout", "timed out"],
+    "connection": ["connection", "network", "unreachable"],
+    "permission": ["permission", "forbidden", "unauthorized", "access denied"],
+    "not_found": ["not found", "no such file", "404"],
+    "memory": ["out of memory", "memoryerror"],
+    "parse": ["parse", "invalid", "malformed", "decode"],
+}
+
+
+def failure_kind(message: Column) -> Column:
+    """The first kind whose words the message holds, else unknown."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    out = F.lit("unknown")
+    for kind, words in reversed(FAILURES.items()):
+        out = F.when(low.rlike("|".join(words)), kind).otherwise(out)
+    return out
+
+
+def is_transient(message: Column) -> Column:
+    """Whether another attempt may help."""
+    return failure_kind(message).isin("timeout", "connection", "memory", "unknown")
+
+
+def dead_letters(failed: DataFrame, most: int = 3) -> DataFrame:
+    """Failed rows that go to the dead letters: those with ``most`` retries, and those that another attempt cannot help."""
+    return failed.where((F.col("retries") >= most) | ~is_transient(F.col("reason"))).withColumn("kind", failure_kind(F.col("reason")))
+
+
+def revived(dead: DataFrame, chosen: DataFrame, key: str = "queue_id") -> tuple[DataFrame, DataFrame]:
+    """(dead letters left, rows to enqueue again): chosen keys return as pending with no retries."""
+    back = dead.join(chosen.select(key).distinct(), key, "left_semi")
+    again = back.withColumns({"status": F.lit("pending"), "retries": F.lit(0)}).drop("kind")
+    return dead.join(chosen.select(key).distinct(), key, "left_anti"), again
+
+
+def purged(dead: DataFrame, before: Column, at: str = "created_at") -> DataFrame:
+    """Dead letters without those older than ``before``."""
+    return dead.where(F.col(at) >= before)
+
+
+def dependencies(links: DataFrame) -> DataFrame:
+    """(source_id, target_id, link_depth): one edge per document and linked document, at the least depth found."""
+    return links.where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.min("link_depth").alias("link_depth"))
