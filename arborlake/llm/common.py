@@ -104,23 +104,14 @@ def if_small(side: DataFrame, size: Column | None = None) -> tuple[DataFrame, bo
     return (F.broadcast(side) if small else side), small
 
 
-#: Classes that are looked up as literals; tables with more are joined.
-_LITERAL_CLASSES = 256
-
-
 def sampled_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """About ``most`` rows of each label, chosen by a hash of key: a bounded, repeatable sample.
 
-    The classes are counted first (one small aggregate) and each row compares its
-    hash with its class's rate, so no class is gathered in one task.  Up to
-    _LITERAL_CLASSES rates become literals, so rows are not shuffled for them.
+    The classes are counted first (one small aggregate) and each row compares its hash
+    with its class's rate, so no class is gathered in one task.  The counts are broadcast
+    where classes are few, so that rows stay where they are.  A null label has no rows.
     """
-    counts = rows.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    prepare(rows.sparkSession)
+    counts, _ = if_small(rows.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n")))
     unit = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    known = counts.limit(_LITERAL_CLASSES + 1).collect()
-    if not known:
-        return rows.limit(0)
-    if len(known) <= _LITERAL_CLASSES:
-        rates = F.create_map(*[x for r in known for x in (F.lit(r["__class"]), F.lit(float(r["__n"])))])
-        return rows.where(unit * F.element_at(rates, F.col(label)) < most)
     return rows.join(counts, F.col(label) == F.col("__class")).where(unit * F.col("__n") < most).drop("__class", "__n")
