@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _pairs(a: Column, b: Column, both) -> Column:
+    """both(x, y) of the components of two vectors over the shorter length."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), both)
+
+
+def _number(x: Column) -> Column:
+    return F.coalesce(x.cast("double"), F.lit(0.0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the shorter length; null components count as 0."""
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return F.aggregate(_pairs(a, b, lambda x, y: _number(x) * _number(y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + _number(x) * _number(x)))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine over the shorter length; 0 if either vector is zero or empty."""
-    n = F.least(F.size(a), F.size(b))
-    x, y = F.slice(a, 1, n), F.slice(b, 1, n)
-    size = norm(x) * norm(y)
-    return F.when(size > 0, dot(x, y) / size).otherwise(F.lit(0.0))
+    """Cosine over the shorter length, in one walk over both; 0 if either vector is zero or empty."""
+    pairs = _pairs(a, b, lambda x, y: F.struct(_number(x).alias("x"), _number(y).alias("y")))
+    sums = ("xy", "xx", "yy")
+    return F.aggregate(
+        pairs,
+        F.struct(*[F.lit(0.0).alias(k) for k in sums]),
+        lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy")),
+        lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"]))).otherwise(F.lit(0.0)),
+    )
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -35,6 +47,11 @@ def euclidean(a: Column, b: Column) -> Column:
 METRICS = {"cosine": cosine, "dot_product": dot, "euclidean": euclidean}
 
 
+def constant(spark: SparkSession, vector: Column) -> Column:
+    """A vector that depends on no row, such as that of a query text, computed once and held as a literal."""
+    return literal(spark.range(1).select(vector).first()[0])
+
+
 def literal(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 

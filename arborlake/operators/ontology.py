@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize, vectors
@@ -21,6 +21,10 @@ from . import tree
 Embed = Callable[[Column], Column]
 
 
+def _spark() -> SparkSession:
+    return SparkSession.active()
+
+
 @dataclass(frozen=True)
 class Rule:
     """keywords, regex or semantic; element_type limits it: ``*``, a name or a pattern from the start.
@@ -42,7 +46,7 @@ class Rule:
     def score(self, embed: Embed, embedding: Column) -> Column:
         """The rule's confidence in an element, null where it does not hit."""
         if self.kind == "semantic":
-            near = vectors.cosine(embedding, embed(F.lit(self.values[0])))
+            near = vectors.cosine(embedding, vectors.constant(_spark(), embed(F.lit(self.values[0]))))
             found = F.when(near >= self.threshold, near)
         elif self.kind == "keywords":
             found = F.when(F.col("text").rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, self.values))})\b"), self.confidence)
@@ -191,6 +195,37 @@ def merge(name: str, *parts: Ontology) -> Ontology:
     return Ontology(name, terms, rules, tuple(dict.fromkeys(relationships)))
 
 
+def _embedded(elements: DataFrame, embed: Embed) -> DataFrame:
+    """Elements with their embedding column; without one the texts are embedded, by the hashing embedder in one grouped pass."""
+    if "embedding" in elements.columns:
+        return elements
+    if embed is vectors.hashing_embedding:
+        return elements.join(vectors.hashing_embeddings(elements, "element_id"), "element_id")
+    return elements.withColumn("embedding", embed(F.col("text")))
+
+
+def map_terms(self, elements: DataFrame, embed: Embed = vectors.hashing_embedding) -> DataFrame | None:
+        """The mappings of all active ontologies; None if none is active."""
+        out = None
+        for o in self.active():
+            found = map_terms(elements, o, embed)
+            out = found if out is None else out.unionByName(found)
+        return out
+
+
+def merge(name: str, *parts: Ontology) -> Ontology:
+    """One ontology of all terms and rules; a later part's term replaces an earlier one's."""
+    terms: dict[str, str] = {}
+    rules: dict[str, tuple[Rule, ...]] = {}
+    relationships: tuple[RelationshipRule, ...] = ()
+    for p in parts:
+        terms |= p.terms
+        for term, own in p.rules.items():
+            rules[term] = tuple(dict.fromkeys(rules.get(term, ()) + own))
+        relationships += p.relationships
+    return Ontology(name, terms, rules, tuple(dict.fromkeys(relationships)))
+
+
 def _embedding(elements: DataFrame, embed: Embed) -> Column:
     """The elements' embedding column, or that of their text if they have none."""
     return F.col("embedding") if "embedding" in elements.columns else embed(F.col("text"))
@@ -198,28 +233,32 @@ def _embedding(elements: DataFrame, embed: Embed) -> Column:
 
 def map_terms(elements: DataFrame, ontology: Ontology, embed: Embed = vectors.hashing_embedding) -> DataFrame:
     """(element_id, term, domain, confidence, mapping_rule): the surest rule of each term that hits an element."""
-    if any(r.kind == "semantic" for rules in ontology.rules.values() for r in rules):
-        elements = elements.withColumn("__embedding", _embedding(elements, embed))
-        embedding = F.col("__embedding")
-    else:
-        embedding = F.lit(None)
-    hits = []
+    semantic = any(r.kind == "semantic" for rules in ontology.rules.values() for r in rules)
+    if semantic:
+        elements = _embedded(elements, embed)
+    named, hits = {}, []
     for term, rules in ontology.rules.items():
-        scored = [(r.kind, i, r.score(embed, embedding).cast("double")) for i, r in enumerate(rules)]
-        own = [F.when(c.isNotNull(), F.struct(c.alias("confidence"), F.lit(f"{kind}:{i}").alias("mapping_rule"))) for kind, i, c in scored]
+        own = []
+        for i, r in enumerate(rules):
+            score = r.score(embed, F.col("embedding") if semantic else F.lit(None)).cast("double")
+            if r.kind == "semantic":  # walked once a row, whatever refers to it
+                named[f"__{term}_{i}"], score = score, F.col(f"__{term}_{i}")
+            own.append(F.when(score.isNotNull(), F.struct(score.alias("confidence"), F.lit(f"{r.kind}:{i}").alias("mapping_rule"))))
         best = F.array_max(F.array_compact(F.array(*own)))
         hits.append(F.when(best.isNotNull(), F.struct(F.lit(term).alias("term"), best["confidence"].alias("confidence"), best["mapping_rule"].alias("mapping_rule"))))
+    if named:
+        elements = elements.withColumns(named)
     found = elements.select("element_id", F.explode(F.array_compact(F.array(*hits))).alias("m"))
     return found.select("element_id", "m.term", F.lit(ontology.name).alias("domain"), "m.confidence", "m.mapping_rule")
 
 
 def _ends(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, embed: Embed) -> tuple[DataFrame, DataFrame]:
     """(element_id, doc_id, parent_id, position, score) of the rule's sources and targets, those below a threshold left out."""
-    own = elements.select("element_id", "doc_id", "parent_id", "position", "text", *(["embedding"] if "embedding" in elements.columns else []))
+    own = elements if rule.source_phrase is None and rule.target_phrase is None else _embedded(elements, embed)
 
     def end(term: str, phrase: str | None, threshold: float) -> DataFrame:
         placed = mappings.where(F.col("term") == term).select("element_id", "confidence").join(own, "element_id")
-        score = F.col("confidence") if phrase is None else vectors.cosine(_embedding(own, embed), embed(F.lit(phrase)))
+        score = F.col("confidence") if phrase is None else vectors.cosine(F.col("embedding"), vectors.constant(own.sparkSession, embed(F.lit(phrase))))
         return placed.select("element_id", "doc_id", "parent_id", "position", score.alias("score")).where(F.col("score") >= threshold)
 
     return end(rule.source, rule.source_phrase, rule.source_threshold), end(rule.target, rule.target_phrase, rule.target_threshold)

@@ -264,7 +264,7 @@ class Store:
 
     def criterion(self, c) -> DataFrame:
         if isinstance(c, Text):
-            return self._similar(self.embed(F.lit(c.query)), "text_similarity", "cosine", c.operator, c.threshold, c.boost)
+            return self._similar(vectors.constant(self.embeddings.sparkSession, self.embed(F.lit(c.query))), "text_similarity", "cosine", c.operator, c.threshold, c.boost)
         if isinstance(c, Embedding):
             return self._similar(vectors.literal(list(c.vector)), "embedding_similarity", c.metric, ">=", c.threshold, c.boost)
         if isinstance(c, Date):

@@ -355,7 +355,7 @@ def detected_edges(spark, sf_dir):
     return found.groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("key_entities", """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'performance,database,market' ELSE '2024,50%' END AS found FROM nation""")
+@R.query("key_entities", """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'performance,database,market' ELSE '2024' END AS found FROM nation""")
 def key_entities(spark, sf_dir):
     n = b.table(spark, sf_dir, "nation")
     text = F.when(F.col("n_nationkey") % 2 == 0, "The Database, the market and its performance: database at 7").otherwise("In 2024, up 50% of 10")

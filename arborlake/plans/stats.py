@@ -91,9 +91,13 @@ def event_time_of_day(spark, sf_dir):
     )
 
 
-@R.query("spoken_dates", f"""WITH {b.DATES} SELECT date_pk, strftime(ts, '%A') || ', ' || strftime(ts, '%B') || ' ' || day(ts)
-  || ', ' || year(ts) || ', Q' || quarter(ts) || ', ' || {SEASON} || ', '
-  || CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'business day' END AS spoken FROM dates""")
+@R.query("spoken_dates", f"""WITH {b.DATES}, d AS (SELECT date_pk, ts, day(ts) AS day, quarter(ts) AS q, (day(ts) - 1) // 7 + 1 AS week, len(list_filter(range(day(ts)), lambda i: isodow(date_trunc('month', ts) + to_days(i::INT)) < 6)) AS n FROM dates)
+SELECT date_pk, array_to_string(list_filter([strftime(ts, '%Y-%m-%d'), 'Q' || q, (['first', 'second', 'third', 'fourth'])[q] || ' quarter', strftime(ts, '%b'), (['winter', 'spring', 'summer', 'fall'])[q],
+  (['first', 'second', 'third', 'fourth', 'fifth'])[week] || ' week', CASE WHEN week <= 2 THEN 'early month' WHEN week >= 4 THEN 'late month' ELSE 'mid month' END,
+  CASE WHEN day <= 7 THEN 'beginning of month' WHEN day >= 22 THEN 'end of month' WHEN day BETWEEN 10 AND 20 THEN 'mid month' END, CASE WHEN day >= 22 AND month(ts) = 12 THEN 'year end' END,
+  strftime(ts, '%A'), CASE WHEN isodow(ts) < 6 THEN 'business day, weekday' ELSE 'weekend' END, CASE WHEN n <= 5 THEN 'early business days' WHEN n BETWEEN 17 AND 22 THEN 'late business days' END,
+  CASE n WHEN 1 THEN 'first' WHEN 2 THEN 'second' WHEN 3 THEN 'third' WHEN 5 THEN 'fifth' WHEN 10 THEN 'tenth' WHEN 15 THEN 'fifteenth' WHEN 20 THEN 'twentieth' END || ' business day',
+  year(ts)::VARCHAR, strftime(ts, '%Y-%m'), CASE q WHEN 4 THEN 'fiscal year end, year end' WHEN 1 THEN 'fiscal year start' END], lambda x: x IS NOT NULL), ', ') AS spoken FROM d""")
 def spoken_dates(spark, sf_dir):
     return b.dates(spark, sf_dir).select("date_pk", temporal.spoken_date(F.col("ts")).alias("spoken"))
 
