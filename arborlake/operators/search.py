@@ -321,16 +321,18 @@ def search_terms(query: Query) -> list[str]:
     found: list[str] = []
 
     def walk(g: Group) -> None:
-        for c in g.criteria:
-            if isinstance(c, Text):
+        branches = [*g.criteria, *g.groups]
+        if g.operator == "NOT":  # what it leaves out is not asked for
+            branches = branches[:1] if len(branches) > 1 else []
+        for c in branches:
+            if isinstance(c, Group):
+                walk(c)
+            elif isinstance(c, Text):
                 found.extend(c.query.split())
             elif isinstance(c, Topic):
                 found.extend(t.replace("%", "") for t in c.include)
             elif isinstance(c, Metadata):
                 found.extend(str(v).replace("%", "") for v in [*c.exact.values(), *c.like.values()])
-        # what a NOT group leaves out is not asked for
-        for x in g.groups[: 1 if g.operator == "NOT" and not g.criteria else None if g.operator != "NOT" else 0]:
-            walk(x)
 
     walk(query.root)
     return list(dict.fromkeys(t for t in found if t))
