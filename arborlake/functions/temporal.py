@@ -194,17 +194,20 @@ def find_all_at(text: Column, pattern: str) -> Column:
 
     The pieces between the matches are those of a split, so offsets are sums of lengths.
     """
-    matches, pieces = find_all(text, pattern), F.split(text, pattern)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("found"))
+    # there is one piece more than matches, so the last pair has no match
     walked = F.aggregate(
-        F.arrays_zip(matches.alias("raw"), F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))).alias("before")),
+        F.arrays_zip(find_all(text, pattern).alias("raw"), F.split(text, pattern).alias("before")),
         start,
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["before"]) + F.length(x["raw"])).alias("at"),
-            F.concat(s["found"], F.array(F.struct(x["raw"].alias("raw"), (s["at"] + F.length(x["before"])).alias("start")))).alias("found"),
+        lambda s, x: F.when(x["raw"].isNull(), s).otherwise(
+            F.struct(
+                (s["at"] + F.length(x["before"]) + F.length(x["raw"])).alias("at"),
+                F.concat(s["found"], F.array(F.struct(x["raw"].alias("raw"), (s["at"] + F.length(x["before"])).alias("start")))).alias("found"),
+            )
         ),
+        lambda s: s["found"],
     )
-    return walked["found"]
+    return walked
 
 
 def around(text: Column, start: Column, length: Column, window: int = 50) -> Column:

@@ -91,7 +91,7 @@ VALUES = rf"""{b.RENDERED}, vals AS (
 
 @R.query("extracted_values", f"WITH {VALUES} SELECT * FROM vals")
 def extracted_values(spark, sf_dir):
-    return extract.values(b.rendered(spark, sf_dir)).drop("start", "context")
+    return extract.values(b.rendered(spark, sf_dir), positions=False)
 
 
 @R.query("value_positions", f"""WITH {VALUES.replace("vals AS", "vals AS", 1)} SELECT v.element_pk, v.raw, (instr(r.text, v.raw) - 1)::INT AS start,
@@ -103,7 +103,7 @@ def value_positions(spark, sf_dir):
 @R.query("value_summary", f"""WITH {VALUES} SELECT value_type, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS greatest,
   round(avg(value), 4) AS mean FROM vals GROUP BY value_type""")
 def value_summary(spark, sf_dir):
-    return stats.value_summary(extract.values(b.rendered(spark, sf_dir)))
+    return stats.value_summary(extract.values(b.rendered(spark, sf_dir), positions=False))
 
 
 # RE2 forms of the patterns that match the rendered sentences
