@@ -129,9 +129,14 @@ QUEUE = """queue AS (
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences written from orders and customers: element_pk, text with amounts, dates, percentages, names."""
+    """Sentences written from orders and customers: element_pk, text with amounts, dates, percentages, names.
+
+    The narrow rows are spread before the sentences are written, as what reads those is
+    many patterns a row and would else keep to the few splits of a small file.
+    """
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+    own = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "o_custkey", "o_orderdate", "c_name")
+    return own.repartition(spark.sparkContext.defaultParallelism, "o_orderkey").select(
         F.col("o_orderkey").alias("element_pk"),
         F.concat_ws(
             " ",
