@@ -841,24 +841,27 @@ def _xlsx(z: zipfile.ZipFile, names: list[str], nodes: _Nodes) -> None:
     for name in _numbered(names, r"xl/worksheets/sheet\d+\.xml"):
         root = ElementTree.fromstring(z.read(name))
         sheet = nodes.add(book, "sheet", titles.get(name), location=name)
-        grid, bold, filters, last = {}, set(), [], -1
+        grid, bold, filters = {}, set(), []
+        line, last, col = None, -1, -1
         for x in root.iter():
             kind = _local(x.tag)
             if kind == "row":
-                last = int(x.get("r", last + 2)) - 1
-                line, col = nodes.add(sheet, "table_row", location=name, row=last), -1
-                for cell in x:
-                    at = _corner(cell.get("r")) if cell.get("r") else (last, col + 1)
-                    col = at[1]
-                    raw = next((y.text or "" for y in cell.iter() if _local(y.tag) == "v"), None)
-                    text = _said(cell) if raw is None else shared[int(raw)] if cell.get("t") == "s" else raw
-                    formula = next((y.text for y in cell if _local(y.tag) == "f"), None)
-                    if text == "" and formula is None:
-                        continue
-                    nodes.add(line, "table_cell", _name(*at), text, name, row=at[0], col=at[1], formula=formula)
-                    grid[at] = text
-                    if cell.get("s") in bold_styles:
-                        bold.add(at)
+                last, col = int(x.get("r", last + 2)) - 1, -1
+                line = nodes.add(sheet, "table_row", location=name, row=last)
+            elif kind == "c":
+                at = _corner(x.get("r")) if x.get("r") else (max(last, 0), col + 1)
+                if line is None or at[0] != last:  # a cell outside its row
+                    line, last = nodes.add(sheet, "table_row", location=name, row=at[0]), at[0]
+                col = at[1]
+                raw = next((y.text or "" for y in x.iter() if _local(y.tag) == "v"), None)
+                text = _said(x) if raw is None else shared[int(raw)] if x.get("t") == "s" else raw
+                formula = next((y.text for y in x if _local(y.tag) == "f"), None)
+                if text == "" and formula is None:
+                    continue
+                nodes.add(line, "table_cell", _name(*at), text, name, row=at[0], col=at[1], formula=formula)
+                grid[at] = text
+                if x.get("s") in bold_styles:
+                    bold.add(at)
             elif kind == "mergeCell":
                 nodes.add(sheet, "merged_cells", x.get("ref"), location=name)
             elif kind == "autoFilter" and x.get("ref"):

@@ -174,7 +174,9 @@ def test_office(spark):
     files = spark.createDataFrame([(1, docx), (2, xlsx), (3, b"junk")], "doc_id long, content binary")
     rows = structured.office_elements(files).collect()
     assert [(r["element_type"], r["text"]) for r in rows if r["doc_id"] == 1] == [("header", "Top"), ("paragraph", "ab")]
-    assert [(r["name"], r["text"]) for r in rows if r["doc_id"] == 2] == [("A1", "hello"), ("B1", "5")]
+    sheet = [r for r in rows if r["doc_id"] == 2]
+    assert [r["element_type"] for r in sheet] == ["workbook", "sheet", "table_row", "table_cell", "table_cell"]
+    assert [(r["name"], r["text"]) for r in sheet if r["element_type"] == "table_cell"] == [("A1", "hello"), ("B1", "5")]
     assert [r["error"] is None for r in rows if r["doc_id"] == 3] == [False]
     kinds = files.select("doc_id", text.binary_type(F.col("content")).alias("k")).collect()
     assert {r["doc_id"]: r["k"] for r in kinds} == {1: "docx", 2: "xlsx", 3: "binary"}
@@ -186,9 +188,11 @@ def test_strength(spark):
 
 
 def test_greedy_passes_over_what_does_not_fit(spark):
-    items = spark.createDataFrame([(1, 1, "a", 50), (1, 2, "b", 90), (2, 1, "c", 40)], "priority int, distance int, id string, tokens long")
-    chosen = items.agg(context.greedy(F.collect_list(F.struct("priority", "distance", "id", "tokens")), 100).alias("c")).first()["c"]
-    assert chosen == ["a", "c"]
+    """An item that does not fit is passed over, a critical one (priority 1) is cut to what is left."""
+    for first, want in ((2, ["a", "c"]), (1, ["a", "b"])):
+        items = spark.createDataFrame([(first, 1, "a", 50), (first, 2, "b", 90), (3, 1, "c", 40)], "priority int, distance int, id string, tokens long")
+        chosen = items.agg(context.greedy(F.collect_list(F.struct("priority", "distance", "id", "tokens")), 100).alias("c")).first()["c"]
+        assert chosen == want
 
 
 def test_queue(spark):
