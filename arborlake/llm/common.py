@@ -115,3 +115,29 @@ def sampled_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataF
     counts, _ = if_small(rows.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n")))
     unit = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rows.join(counts, F.col(label) == F.col("__class")).where(unit * F.col("__n") < most).drop("__class", "__n")
+
+
+#: Scaled components beyond this count as this, so that integers and their sums stay exact.
+_FARTHEST = 1 << 58
+
+
+def scaled(
+    vectors: DataFrame, vector: str, factor: float, dim: int | None = None, extra: dict[str, Column] | None = None
+) -> tuple[DataFrame, int | None]:
+    """(extra columns, x) with x = floor(factor * component) as integers, and x's length.
+
+    Vectors that are null, empty or hold null or non-finite components are left out, and
+    so are those of another length than dim (by default the commonest; of equally common
+    ones the shortest).  Components beyond 2 ** 58 in size count as 2 ** 58.
+    """
+    slim = vectors.select(*[c.alias(name) for name, c in (extra or {}).items()], F.col(vector).cast("array<double>").alias("__v"))
+    bad = F.exists("__v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    whole = slim.where(F.col("__v").isNotNull() & (F.size("__v") > 0) & ~bad)
+    if dim is None:
+        lengths = whole.groupBy(F.size("__v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+        common = lengths.orderBy(F.desc("n"), "dim").first()
+        dim = common["dim"] if common else None
+    edge = F.lit(_FARTHEST)
+    whole_part = lambda c: F.greatest(F.least(F.floor(c * factor), edge), -edge)
+    x = F.transform("__v", whole_part).alias("x")
+    return whole.where(F.size("__v") == (dim or 0)).select(*(extra or {}), x), dim

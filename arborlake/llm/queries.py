@@ -16,9 +16,12 @@ from . import (
     mixing,
     packing,
     quality,
+    secret_scan,
     sharding,
     simhash,
     token_count,
+    vector_codes,
+    whitening,
 )
 from .common import prepare, table
 
@@ -94,6 +97,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"), factor=1024, parts=4, entries=256, rounds=4)
+    long = lambda c: F.expr(f"try_cast({c} AS BIGINT)").alias(c)
+    return coded.select("vec_id", "code", long("error"), long("label_error"), "codebooks_sha256")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secret_scan.scan(documents, secret_scan.fit(documents))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    found = whitening.transform(embeddings, whitening.fit(embeddings, factor=256, components=4), components=4)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_language_id,
@@ -106,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_exact_dedup,
         op10_packing,
+        op11_vector_codes,
+        op12_secret_scan,
+        op13_whitening,
     )
     return {f.__name__: f for f in own}
 
@@ -210,10 +233,50 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 
+def vector_codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Rounds of assignment and update, each a pair of common table expressions."""
+    near = """
+, near{i} AS (
+  SELECT nth, vec_id, label, part, x, unnest(e, recursive := true) FROM (
+    SELECT v.nth, v.vec_id, v.label, v.part, v.x,
+           min({{'far': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+                'entry': b.entry}}) AS e
+    FROM cut v JOIN book{i} b ON v.part = b.part GROUP BY ALL)
+)"""
+    book = """
+, mean{j} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS x FROM (
+    SELECT part, entry, pos, (sum(c) // count(*) - CASE WHEN sum(c) % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS m
+    FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM near{i}) GROUP BY part, entry, pos)
+  GROUP BY part, entry
+), book{j} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN mean{j} m ON b.part = m.part AND b.entry = m.entry
+)"""
+    steps = "".join(near.format(i=i) + book.format(i=i, j=i + 1) for i in range(rounds)) + near.format(i=rounds)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS nth, vec_id, label,
+         list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), cut AS (
+  SELECT nth, vec_id, label, p AS part, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM kept, range({parts}) AS t(p)
+), book0 AS (
+  SELECT part, nth - 1 AS entry, x FROM cut WHERE nth <= {entries}
+){steps}, coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error
+  FROM near{rounds} GROUP BY nth, vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": MIXING_SQL,
         "op7_sharding": SHARDING_SQL,
         "op8_line_dedup": LINE_DEDUP_SQL,
         "op9_exact_dedup": EXACT_DEDUP_SQL,
+        "op11_vector_codes": vector_codes_sql(),
     }
