@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models for what those miss.
 
 Training reads every text: what the patterns find are the labelled samples of random
-strings, one class a pattern, and runs of identifier characters too short for a secret
-are the ordinary ones (longer runs teach nothing: an unlabelled secret would vouch for
-itself).  Each class is an order-2 Markov model over letters and digits that starts
+strings, one class a pattern, and strings of letters and digits too short for a secret are the
+ordinary ones (longer ones teach nothing: an unlabelled secret would vouch for itself;
+for the same reason a transition that occurs once in the corpus is not counted).  Each class is an order-2 Markov model over letters and digits that starts
 anew after a delimiter, smoothed towards order 1, order 0 and the uniform distribution.
 A long run outside the patterns' spans is a secret if the log-likelihood ratio of
 random to ordinary, with the strings' shares of the corpus as prior, reaches the odds
@@ -51,9 +51,9 @@ CHUNK = 1 << 20  # bytes counted at a time
 Span = tuple[int, int, int, int]
 
 
-def long_runs(data: bytes, least: int) -> list[tuple[int, int]]:
-    """Maximal runs of identifier characters of at least ``least`` characters."""
-    inside = _IN_RUN[np.frombuffer(data, np.uint8)]
+def long_runs(data: bytes, least: int, of: np.ndarray = _IN_RUN) -> list[tuple[int, int]]:
+    """Maximal runs of at least ``least`` bytes of a kind, by default identifier characters."""
+    inside = of[np.frombuffer(data, np.uint8)]
     width = 1
     while width < least and len(inside):
         step = min(width, least - width)
@@ -131,7 +131,7 @@ def count_text(data: bytes, counts: np.ndarray, strings: np.ndarray, least: int)
     runs = [r for r in runs if r[1] - r[0] >= least]
     strings[ORDINARY] += sum(1 for _ in free_parts(runs, spans, least))
     kinds = np.full(len(data), ORDINARY, np.int8)
-    for start, end in runs:
+    for start, end in long_runs(data, least, _CODES > 0):
         kinds[start:end] = -1
     for _, end, kind, value in reversed(spans):  # of overlapping ones the first by start and kind
         strings[kind] += 1
@@ -180,10 +180,12 @@ def _log_sum(logs: np.ndarray) -> float:
 def train(counts: np.ndarray, strings: np.ndarray, strength: float = 4.0) -> Markov:
     """Models from counts (classes, CUBE) of characters in context and the numbers of strings.
 
+    One is taken from each count of the ordinary class: it may be the asked string's own.
     Each order's distribution is the counts plus ``strength`` times that of the order
     below; order 0 adds one to each character.  The uniform class weighs one string.
     """
     cube = counts.reshape(CLASSES, SIZE, SIZE, SIZE)[..., 1:].astype(np.float64)
+    cube[ORDINARY] = np.maximum(cube[ORDINARY] - 1, 0)
     pair = cube.sum(axis=1)
     single = pair.sum(axis=1)
     p0 = (single + 1) / (single.sum(axis=-1, keepdims=True) + SIZE - 1)
