@@ -204,33 +204,6 @@ def _embedded(elements: DataFrame, embed: Embed) -> DataFrame:
     return elements.withColumn("embedding", embed(F.col("text")))
 
 
-def map_terms(self, elements: DataFrame, embed: Embed = vectors.hashing_embedding) -> DataFrame | None:
-        """The mappings of all active ontologies; None if none is active."""
-        out = None
-        for o in self.active():
-            found = map_terms(elements, o, embed)
-            out = found if out is None else out.unionByName(found)
-        return out
-
-
-def merge(name: str, *parts: Ontology) -> Ontology:
-    """One ontology of all terms and rules; a later part's term replaces an earlier one's."""
-    terms: dict[str, str] = {}
-    rules: dict[str, tuple[Rule, ...]] = {}
-    relationships: tuple[RelationshipRule, ...] = ()
-    for p in parts:
-        terms |= p.terms
-        for term, own in p.rules.items():
-            rules[term] = tuple(dict.fromkeys(rules.get(term, ()) + own))
-        relationships += p.relationships
-    return Ontology(name, terms, rules, tuple(dict.fromkeys(relationships)))
-
-
-def _embedding(elements: DataFrame, embed: Embed) -> Column:
-    """The elements' embedding column, or that of their text if they have none."""
-    return F.col("embedding") if "embedding" in elements.columns else embed(F.col("text"))
-
-
 def map_terms(elements: DataFrame, ontology: Ontology, embed: Embed = vectors.hashing_embedding) -> DataFrame:
     """(element_id, term, domain, confidence, mapping_rule): the surest rule of each term that hits an element."""
     semantic = any(r.kind == "semantic" for rules in ontology.rules.values() for r in rules)
@@ -264,10 +237,13 @@ def _ends(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, embe
     return end(rule.source, rule.source_phrase, rule.source_threshold), end(rule.target, rule.target_phrase, rule.target_threshold)
 
 
-def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, embed: Embed = vectors.hashing_embedding) -> DataFrame:
+def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, embed: Embed = vectors.hashing_embedding, most: int | None = None) -> DataFrame:
     """(source_id, relationship_type, target_reference, confidence) of one rule inside documents.
 
     Pairs meet on the document, the parent or the ancestor ``level`` steps above the parent.
+    By default all pairs that the rule allows; with ``most`` only so many of each document
+    (parent, ancestor), found without forming the others: the surest, of equally sure ones
+    those of the surer source, then of the surer target, then of the smaller ids.
     Rules across documents go through relate_across.
     """
     if rule.within == "other":
@@ -277,6 +253,11 @@ def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, emb
     if rule.within == "ancestor":
         above = tree.ancestry(elements.select("element_id", "parent_id")).select("element_id", F.try_element_at("ancestor_ids", F.lit(rule.level + 1)).alias("__ancestor"))
         sources, targets = (side.join(above.where("__ancestor IS NOT NULL"), "element_id") for side in (sources, targets))
+    if most is not None:
+        if rule.combine == "product" and min(rule.source_threshold, rule.target_threshold) < 0:
+            raise ValueError("a product of scores below zero has no order by its factors")
+        edges = _best_pairs(sources, targets, key, rule, most)
+        return _both_ways(edges) if rule.both_ways else edges
     a, b = sources.alias("a"), targets.alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.element_id") != F.col("b.element_id"))
     if rule.direction != "any":
@@ -291,6 +272,48 @@ def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, emb
     return _both_ways(edges) if rule.both_ways else edges
 
 
+def _halves(sources: DataFrame, targets: DataFrame, key: str, forward: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into halves (key, level, node), so that two that meet in one are in the wanted order, and any two in order meet in one.
+
+    Positions of a key are numbered; the highest bit in which two numbers differ gives
+    level and node, and the one with that bit unset comes first.
+    """
+    both = sources.withColumn("__side", F.lit(0)).unionByName(targets.withColumn("__side", F.lit(1)))
+    of_key = Window.partitionBy(key)
+    numbered = both.withColumn("__at", F.dense_rank().over(of_key.orderBy("position"))).withColumn("__last", F.max("__at").over(of_key))
+    levels = F.sequence(F.lit(0), F.length(F.bin("__last")) - 1)
+    spread = numbered.withColumn("level", F.explode(levels)).withColumn("node", F.expr("shiftright(__at, level + 1)"))
+    later = F.expr("shiftright(__at, level) & 1")
+    mine = spread.where(later == (F.col("__side") if forward else 1 - F.col("__side")))
+    return mine.where("__side = 0"), mine.where("__side = 1")
+
+
+def _best_pairs(sources: DataFrame, targets: DataFrame, key: str, rule: RelationshipRule, most: int) -> DataFrame:
+    """The ``most`` surest pairs of each key, as ``relate`` states their order.
+
+    Combinations never fall as a score rises.  With both sides in order, the pair of the
+    i-th source and the j-th target comes after all pairs of earlier ones, i * j - 1 of
+    them, or at least (i - 1) * (j - 1) if an element may not meet itself.  So a source
+    looks at targets up to most / (i - 1) + 1 only, by their number: in all about
+    most * ln(most) meetings, whatever the sides' sizes.
+    """
+    nodes = [key]
+    if rule.direction != "any":
+        sources, targets = _halves(sources, targets, key, rule.direction == "forward")
+        nodes = [key, "level", "node"]
+    listed = Window.partitionBy(*nodes).orderBy(F.desc("score"), "element_id")
+    a = sources.withColumn("nth", F.row_number().over(listed)).where(F.col("nth") <= most + 1)
+    b = targets.withColumn("nth", F.row_number().over(listed)).where(F.col("nth") <= most + 1)
+    reach = F.sequence(F.lit(1), (F.floor(F.lit(most) / F.greatest(F.col("nth") - 1, F.lit(1))) + 1).cast("int"))
+    asked = a.select(*nodes, F.col("element_id").alias("source_id"), F.col("score").alias("x"), F.explode(reach).alias("nth"))
+    met = asked.join(b.select(*nodes, "nth", F.col("element_id").alias("target_reference"), F.col("score").alias("y")), [*nodes, "nth"])
+    pairs = met.withColumn("confidence", rule.combined(F.col("x"), F.col("y")))
+    pairs = pairs.where((F.col("source_id") != F.col("target_reference")) & (F.col("confidence") >= rule.minimum))
+    order = Window.partitionBy(key).orderBy(F.desc("confidence"), F.desc("x"), F.desc("y"), "source_id", "target_reference")
+    best = pairs.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most)
+    return best.select("source_id", F.lit(rule.kind).alias("relationship_type"), "target_reference", "confidence")
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("target_reference").alias("source_id"), "relationship_type", F.col("source_id").alias("target_reference"), "confidence")
     return edges.union(back).dropDuplicates(["source_id", "target_reference"])
@@ -299,10 +322,10 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def relate_across(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, top: int = 20, embed: Embed = vectors.hashing_embedding) -> DataFrame:
     """(source_id, relationship_type, target_reference, confidence): for each source its ``top`` surest targets in other documents.
 
-    All combinations grow with the target's score, so the surest targets are the same for
-    all sources but for those of the source's own document: the first 2 * top targets,
-    with at most ``top`` of a document, hold every source's best.  Only these meet the
-    sources; the pairs that a rule allows are all sources times all targets.
+    Equally sure targets are ordered by their own score, then by id.  As no combination
+    falls when the target's score rises, that is one order of the targets for all sources:
+    the first 2 * top targets, with at most ``top`` of a document, hold every source's
+    best, whatever lies in its own document.  Only these meet the sources.
     """
     sources, targets = _ends(elements, mappings, rule, embed)
     order = [F.desc("score"), "element_id"]
@@ -313,9 +336,10 @@ def relate_across(elements: DataFrame, mappings: DataFrame, rule: RelationshipRu
         F.lit(rule.kind).alias("relationship_type"),
         "target_reference",
         rule.combined(F.col("score"), F.col("__score")).alias("confidence"),
+        "__score",
     ).where(F.col("confidence") >= rule.minimum)
-    mine = Window.partitionBy("source_id").orderBy(F.desc("confidence"), "target_reference")
-    edges = pairs.withColumn("nth", F.row_number().over(mine)).where(F.col("nth") <= top).drop("nth")
+    mine = Window.partitionBy("source_id").orderBy(F.desc("confidence"), F.desc("__score"), "target_reference")
+    edges = pairs.withColumn("nth", F.row_number().over(mine)).where(F.col("nth") <= top).drop("nth", "__score")
     return _both_ways(edges) if rule.both_ways else edges
 
 

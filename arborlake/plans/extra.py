@@ -281,14 +281,38 @@ def ancestor_relationships(spark, sf_dir):
 
 
 @R.query("cross_relationships", f"""WITH {graph.MAPPED}, p AS (SELECT m.*, doc_id FROM mapped m JOIN elements USING (element_id)),
-r AS (SELECT a.element_id AS source_id, c.element_id AS target_reference, a.confidence * c.confidence AS confidence FROM p a JOIN p c ON a.doc_id <> c.doc_id WHERE a.term = 'ending' AND c.term = 'article' AND a.confidence * c.confidence >= 0.5),
-n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, target_reference) AS nth FROM r)
+r AS (SELECT a.element_id AS source_id, c.element_id AS target_reference, a.confidence * c.confidence AS confidence, c.confidence AS score FROM p a JOIN p c ON a.doc_id <> c.doc_id WHERE a.term = 'ending' AND c.term = 'article' AND a.confidence * c.confidence >= 0.5),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, score DESC, target_reference) AS nth FROM r)
 SELECT source_id, target_reference, confidence FROM n WHERE nth <= 4""")
 def cross_relationships(spark, sf_dir):
     e = b.elements(spark, sf_dir)
     return ontology.relate_across(e, ontology.map_terms(e, graph.TERMS), CROSS, top=4).select("source_id", "target_reference", "confidence")
 
 
+BEST = ontology.RelationshipRule("demo:follows", "ending", "article", "document", "backward", "minimum", 0.5)
+BEST_ANY = ontology.RelationshipRule("demo:with", "article", "article", "document", "any", "average", 0.5)
+
+
+def _best_sql(source: str, target: str, order: str, combined: str) -> str:
+    return f"""WITH {graph.MAPPED}, p AS (SELECT m.*, doc_id, position FROM mapped m JOIN elements USING (element_id)),
+r AS (SELECT a.doc_id, a.element_id AS source_id, c.element_id AS target_reference, a.confidence AS x, c.confidence AS y, {combined} AS confidence
+  FROM p a JOIN p c ON a.doc_id = c.doc_id AND {order} WHERE a.term = '{source}' AND c.term = '{target}'),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, x DESC, y DESC, source_id, target_reference) AS nth FROM r WHERE confidence >= 0.5)
+SELECT source_id, target_reference, confidence FROM n WHERE nth <= 6"""
+
+
+@R.query("best_relationships", _best_sql("ending", "article", "a.position > c.position", "least(a.confidence, c.confidence)"))
+def best_relationships(spark, sf_dir):
+    e = b.elements(spark, sf_dir)
+    return ontology.relate(e, ontology.map_terms(e, graph.TERMS), BEST, most=6).select("source_id", "target_reference", "confidence")
+
+
+@R.query("best_relationships_any", _best_sql("article", "article", "a.element_id <> c.element_id", "(a.confidence + c.confidence) / 2"))
+def best_relationships_any(spark, sf_dir):
+    e = b.elements(spark, sf_dir)
+    return ontology.relate(e, ontology.map_terms(e, graph.TERMS), BEST_ANY, most=6).select("source_id", "target_reference", "confidence")
+
+
 def _entities(spark, sf_dir):
     """Suppliers and nations as entities, parts as their elements through line items."""
     s = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.lit("supplier").alias("entity_type"))

@@ -157,19 +157,66 @@ def test_semantic_rules_and_domains(spark):
     assert ontology.from_yaml(yaml.safe_dump(spec)) == o
 
 
-def test_relate_across_keeps_the_best(spark):
+COMBINED = {
+    "average": lambda x, y: (x + y) / 2,
+    "minimum": min,
+    "maximum": max,
+    "product": lambda x, y: x * y,
+    "weighted": lambda x, y: (x * 0.5 + y * 0.5) / 1.0,
+}
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward", "any"])
+@pytest.mark.parametrize("combine", list(COMBINED))
+def test_best_pairs_of_a_document(spark, combine, direction):
+    rng = random.Random(f"{combine}{direction}")
+    rows = [(f"e{i:03d}", rng.randrange(3), "p", rng.randrange(30), "paragraph", "x") for i in range(90)]
+    e = elements(spark, rows)
+    mapped = [(r[0], t, rng.choice([0.2, 0.5, 0.7, 0.9])) for r in rows for t in rng.choice(["s", "t", "st"])]
+    mappings = spark.createDataFrame(mapped, "element_id string, term string, confidence double")
+    place, score = {r[0]: (r[1], r[3]) for r in rows}, COMBINED[combine]
+    for most in (1, 7, 60):
+        rule = ontology.RelationshipRule("r", "s", "t", "document", direction, combine, 0.3)
+        got = {(r["source_id"], r["target_reference"], round(r["confidence"], 9)) for r in ontology.relate(e, mappings, rule, most=most).collect()}
+        want = set()
+        for d in range(3):
+            pairs = []
+            for a, t, x in mapped:
+                for c, u, y in mapped:
+                    if (t, u) == ("s", "t") and a != c and place[a][0] == place[c][0] == d and score(x, y) >= 0.3:
+                        if direction == "any" or (place[a][1] < place[c][1]) == (direction == "forward") and place[a][1] != place[c][1]:
+                            pairs.append((-score(x, y), -x, -y, a, c))
+            want |= {(a, c, round(-f, 9)) for f, _, _, a, c in sorted(pairs)[:most]}
+        assert got == want
+
+
+def test_best_pairs_of_a_long_document(spark):
+    n = 50_000
+    ids = spark.range(n).select(F.format_string("e%06d", "id").alias("element_id"), F.lit(1).alias("doc_id"), F.lit("p").alias("parent_id"), F.col("id").alias("position"), F.lit("x").alias("text"))
+    mappings = ids.select("element_id", F.explode(F.array(F.lit("s"), F.lit("t"))).alias("term"), (F.pmod(F.xxhash64("element_id", "term"), F.lit(1000)) / 1000).alias("confidence"))
+    for direction in ("any", "forward"):
+        rule = ontology.RelationshipRule("r", "s", "t", "document", direction, "product")
+        best = ontology.relate(ids, mappings, rule, most=100).collect()  # of 2.5 thousand million pairs
+        assert len(best) == 100 and min(r["confidence"] for r in best) > 0.99
+    with pytest.raises(ValueError, match="below zero"):
+        ontology.relate(ids, mappings, ontology.RelationshipRule("r", "s", "t", combine="product", source_threshold=-1.0), most=3)
+
+
+@pytest.mark.parametrize("combine", list(COMBINED))
+def test_relate_across_keeps_the_best(spark, combine):
+    combined = COMBINED[combine]
     rng = random.Random(6)
     rows = [(f"e{i:03d}", rng.randrange(4), "p", i, "paragraph", "x") for i in range(80)]
     e = elements(spark, rows)
     scores = {r[0]: (rng.choice("st"), rng.choice([0.2, 0.5, 0.7, 0.9])) for r in rows}
     mappings = spark.createDataFrame([(k, t, c) for k, (t, c) in scores.items()], "element_id string, term string, confidence double")
-    rule = ontology.RelationshipRule("r", "s", "t", "other", minimum=0.5)
+    rule = ontology.RelationshipRule("r", "s", "t", "other", combine=combine, minimum=0.5)
     got = {(r["source_id"], r["target_reference"]) for r in ontology.relate_across(e, mappings, rule, top=3).collect()}
     doc, want = {r[0]: r[1] for r in rows}, set()
     for a, (t, x) in scores.items():
         if t == "s":
-            far = sorted((-(x + y) / 2, b) for b, (u, y) in scores.items() if u == "t" and doc[b] != doc[a] and (x + y) / 2 >= 0.5)
-            want |= {(a, b) for _, b in far[:3]}
+            far = sorted((-combined(x, y), -y, b) for b, (u, y) in scores.items() if u == "t" and doc[b] != doc[a] and combined(x, y) >= 0.5)
+            want |= {(a, b) for _, _, b in far[:3]}
     assert got == want
 
 
