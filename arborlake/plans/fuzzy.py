@@ -1,10 +1,10 @@
-"""Long words of documents as mentions of entities, each language a kind of its own, merged by likeness."""
+"""Entities by name: long words of documents merged by likeness, and a dictionary of phrases found in them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy
+from ..operators import dictionary, fuzzy
 from ..registry import Registry, table
 
 R = Registry()
@@ -43,3 +43,30 @@ SELECT f.kind AS entity_type, coalesce(owner, f.value) AS entity_id, arg_min(f.v
 FROM form f LEFT JOIN owner o ON f.kind IS NOT DISTINCT FROM o.kind AND f.value = o.value GROUP BY ALL""")
 def fuzzy_entities(spark, sf_dir):
     return fuzzy.merged(_mentions(spark, sf_dir))
+
+
+def _terms(spark, sf_dir):
+    """The first one, two and three words of the benchmark's passages, a type for each length."""
+    item = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    first = lambda n: F.struct(F.array_join(F.slice("w", 1, n), " - ").alias("term"), F.lit(f"words{n}").alias("entity_type"))
+    return item.select(F.inline(F.array(*map(first, (1, 2, 3)))))
+
+
+@R.query("dictionary_matches", r"""WITH item AS (
+  SELECT regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM benchmark
+), term AS (
+  SELECT DISTINCT lower(array_to_string(w[1:n], ' ')) AS term, 'words' || n AS entity_type, n FROM item, range(1, 4) AS t(n) WHERE len(w) >= n
+), split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+') AS w FROM documents
+), stretch AS (
+  SELECT doc_id, unnest(range(0, len(w) - n + 1)) AS first, n, w FROM split, range(1, 4) AS t(n)
+), hit AS (
+  SELECT doc_id, entity_type, term, first, s.n, array_to_string(w[first + 1:first + s.n], ' ') AS raw
+  FROM stretch s JOIN term t ON s.n = t.n AND lower(array_to_string(w[first + 1:first + s.n], ' ')) = term
+)
+SELECT doc_id, entity_type, term, first, n AS n_words, raw FROM hit h
+WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.n > h.n AND o.first <= h.first AND o.first + o.n >= h.first + h.n)""")
+def dictionary_matches(spark, sf_dir):
+    found = dictionary.matches(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), key="doc_id")
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    return found.select("doc_id", "entity_type", "term", long("begin", "first"), long("n_words", "n_words"), "raw")

@@ -143,7 +143,21 @@ def entities_regulation(spark, sf_dir):
     return extract.entities(b.rendered(spark, sf_dir), ["regulation"]).select("element_pk", "normalized")
 
 
-@R.query("entity_counts")
+def _entity_counts_sql() -> str:
+    """Each type's patterns counted on its own; validity as the types state it."""
+    valid = {"ticker_symbol": "regexp_extract(raw, '([A-Z]{1,5})\\)?$', 1) NOT IN ('I', 'A', 'THE', 'AND', 'OR', 'BUT', 'CEO', 'CFO', 'IPO', 'ETF')"}
+    endings = "|".join(extract.DRUG_ENDINGS)
+    valid["drug_name"] = f"length(raw) >= 4 AND (pattern <> 'brand' OR regexp_matches(lower(raw), '({endings})$') OR regexp_matches(raw, '^[A-Z][a-z]+[A-Z]'))"
+    parts = [
+        f"SELECT '{x.entity_type}' AS entity_type, '{name}' AS pattern, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS raw FROM rendered"
+        for x in extract.EXTRACTORS.values()
+        for name, p in x.patterns.items()
+    ]
+    kept = " AND ".join(f"(entity_type <> '{t}' OR ({c}))" for t, c in valid.items())
+    return f"WITH {b.RENDERED}, hit AS ({' UNION ALL '.join(parts)}) SELECT entity_type, pattern, count(*) AS n FROM hit WHERE {kept} GROUP BY ALL"
+
+
+@R.query("entity_counts", _entity_counts_sql())
 def entity_counts(spark, sf_dir):
     found = extract.entities(b.rendered(spark, sf_dir), list(extract.EXTRACTORS))
     return found.groupBy("entity_type", "pattern").agg(F.count(F.lit(1)).alias("n"))

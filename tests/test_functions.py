@@ -86,7 +86,7 @@ def test_custom_extractors(spark):
     spec = {"custom_extractors": [{"name": "po", "entity_type": "order_number", "patterns": [{"regex": r"PO-\d+", "word_boundaries": True}], "confidence": 0.7}]}
     (po,) = extract.from_config(spec)
     rows = spark.createDataFrame([(1, "see PO-123 and xPO-9")], "element_pk int, text string")
-    assert [(r["raw"], r["confidence"]) for r in po.rows(rows).collect()] == [("PO-123", 0.7)]
+    assert [(r["raw"], r["confidence"]) for r in extract.extracted(rows, [po]).collect()] == [("PO-123", 0.7)]
 
 
 def test_fiscal_and_academic(spark):
@@ -211,3 +211,27 @@ def test_ontology():
     assert set(ontology.merge("c", a, b).terms) == {"x", "y"}
     with pytest.raises(ValueError):
         ontology.Ontology("d", {}, {"z": ()})
+
+
+def found_entities(spark, kind, text):
+    rows = spark.createDataFrame([(1, text)], "element_pk long, text string")
+    return sorted((r["pattern"], r["raw"], r["normalized"]) for r in extract.entities(rows, [kind]).collect())
+
+
+def test_details_of_entities(spark):
+    assert found_entities(spark, "ticker_symbol", "(THE) (CEO) (AAPL), NYSE: IBM and NASDAQ: IPO") == [("bracketed", "(AAPL)", "AAPL"), ("exchange", "NYSE: IBM", "IBM")]
+    assert found_entities(spark, "percentage", "5 % or thirty-five percent, one hundred percent, Twenty percent") == [
+        ("sign", "5 %", "0.0500"), ("spelled", "Twenty percent", "0.2000"), ("spelled", "one hundred percent", "1.0000"), ("spelled", "thirty-five percent", "0.3500"),
+    ]
+    found = found_entities(spark, "drug_name", "Ambien CR and Toprol XL, OxyContin, the Table, amoxicillin/clavulanate, ab/c")
+    assert ("brand", "OxyContin", "oxycontin") in found
+    assert ("combination", "amoxicillin/clavulanate", "amoxicillin/clavulanate") in found
+    assert not any(raw in ("Table", "ab/c") and pattern == "combination" and len(raw) < 4 for pattern, raw, _ in found)
+    assert ("brand", "Table", "table") not in found
+    assert [p for p, *_ in found_entities(spark, "vital_sign", "Weight: 70.5 kg, height 180 cm")] == ["height", "weight"]
+
+
+def test_entities_of_all_types_read_the_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "BP 120/80")], "element_pk long, text string").write.parquet(str(tmp_path / "t"))
+    plan = extract.entities(spark.read.parquet(str(tmp_path / "t")), list(extract.EXTRACTORS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan

@@ -95,3 +95,32 @@ def test_merged(spark):
             ("person", "someone else", "someone else", 1, 1),
         ])
     )
+
+
+@pytest.mark.parametrize("longest", [True, False])
+@pytest.mark.parametrize("sent", [True, False])
+def test_dictionary(spark, monkeypatch, longest, sent):
+    from arborlake.operators import dictionary
+
+    if not sent:
+        monkeypatch.setattr(dictionary, "_SENT_TERMS", -1)
+    rng = random.Random(4)
+    words = ["a", "b", "Ä", "c'd", "x1"]
+    said = lambda n: [rng.choice(words) for _ in range(rng.randint(0, n))]
+    texts = [(i, rng.choice([" ", ", ", "\n"]).join(said(14))) for i in range(60)] + [(None, "a b"), (70, None), (71, "")]
+    terms = [(" ".join(said(3)), rng.choice(["p", "q"])) for _ in range(25)] + [("?", "p"), (None, "p"), ("A  b", "p"), ("a-B", "p")]
+    df = spark.createDataFrame(texts, "element_pk long, text string")
+    entries = spark.createDataFrame(terms, "term string, entity_type string")
+    split = lambda t: [w for w in (t or "").lower().replace("'", " ").replace(",", " ").replace("-", " ").replace("?", " ").split()]
+    listed = {(tuple(split(t)), kind) for t, kind in terms if split(t)}
+    wanted = set()
+    for key, text in texts:
+        said_words = split(text)
+        hits = [(i, len(t), " ".join(t), k) for t, k in listed for i in range(len(said_words) - len(t) + 1) if tuple(said_words[i : i + len(t)]) == t]
+        for i, n, t, k in hits:
+            if not longest or not any(m > n and j <= i and j + m >= i + n for j, m, _, _ in hits):
+                wanted.add((key, k, t, i, n))
+    found = dictionary.matches(df, entries, longest=longest).collect()
+    assert {(r["element_pk"], r["entity_type"], r["term"], r["begin"], r["n_words"]) for r in found} == wanted
+    assert len(found) == len(wanted) and all(r["raw"].lower() == r["term"] for r in found)
+    assert dictionary.matches(df, entries.limit(0)).collect() == []
