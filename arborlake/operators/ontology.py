@@ -251,7 +251,7 @@ def relate(elements: DataFrame, mappings: DataFrame, rule: RelationshipRule, emb
     sources, targets = _ends(elements, mappings, rule, embed)
     key = {"document": "doc_id", "parent": "parent_id", "ancestor": "__ancestor"}[rule.within]
     if rule.within == "ancestor":
-        above = tree.ancestry(elements.select("element_id", "parent_id")).select("element_id", F.try_element_at("ancestor_ids", F.lit(rule.level + 1)).alias("__ancestor"))
+        above = tree.ancestry(elements).select("element_id", F.try_element_at("ancestor_ids", F.lit(rule.level + 1)).alias("__ancestor"))
         sources, targets = (side.join(above.where("__ancestor IS NOT NULL"), "element_id") for side in (sources, targets))
     if most is not None:
         if rule.combine == "product" and min(rule.source_threshold, rule.target_threshold) < 0:

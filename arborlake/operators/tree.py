@@ -2,24 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_scratch
 
 
+def labels(elements: DataFrame) -> DataFrame:
+    """(doc_id, element_id, parent_id, pre, last, depth, ancestor_ids, placed): numbers that turn ancestry into ranges.
+
+    elements: doc_id, position, element_id, parent_id, in document order, which is parents
+    before their children and no subtree cut in two.  pre numbers a document's elements,
+    last is the largest number in the element's subtree: x lies below y if y.pre < x.pre
+    <= y.last.  ancestor_ids starts with the parent.  A parent that is not there is an
+    ancestor all the same; an element that is its own parent is a root.  Where order is
+    violated, placed is false, and the element counts as one whose parent is not there.
+
+    One shuffle by document, whatever the depth; a task streams its rows and holds the
+    ancestors of the current one only.
+    """
+    kinds = {c: elements.schema[c].dataType.simpleString() for c in ("doc_id", "element_id", "parent_id")}
+    schema = (
+        ", ".join(f"{c} {k}" for c, k in kinds.items())
+        + f", pre long, last long, depth int, ancestor_ids array<{kinds['parent_id']}>, placed boolean"
+    )
+    names = ["doc_id", "element_id", "parent_id", "pre", "last", "depth", "ancestor_ids", "placed"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = object()
+        stack: list[tuple] = []  # (id, parent, pre, placed); pre is None for a parent that is not there
+        at, n, out, types = {}, 0, [], None
+
+        def close(down_to: int) -> None:
+            while len(stack) > down_to:
+                own, parent, pre, placed = stack.pop()
+                at.pop(own, None)
+                if pre is not None:
+                    above = [e[0] for e in reversed(stack)]
+                    out.append((doc, own, parent, pre, n - 1, len(above), above, placed))
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            if types is None:
+                own = [batch.schema.field(c).type for c in ("doc_id", "element_id", "parent_id")]
+                types = [*own, pa.int64(), pa.int64(), pa.int32(), pa.list_(own[2]), pa.bool_()]
+            for d, own, parent in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "element_id", "parent_id")]):
+                if d != doc:
+                    close(0)
+                    doc, n = d, 0
+                root = parent is None or parent == own
+                known = not root and parent in at
+                placed = root or known and stack[at[parent]][2] is not None
+                close(at[parent] + 1 if known else 0)
+                if not root and not known:
+                    at[parent] = 0
+                    stack.append((parent, None, None, False))
+                at[own] = len(stack)
+                stack.append((own, parent, n, placed))
+                n += 1
+                if len(out) >= 10_000:
+                    yield flushed()
+        close(0)
+        if out:
+            yield flushed()
+
+    held = elements.select("doc_id", "position", "element_id", "parent_id").repartition("doc_id")
+    return held.sortWithinPartitions("doc_id", "position", "element_id").mapInArrow(walk, schema)
+
+
 def ancestry(elements: DataFrame, depth: int | None = None) -> DataFrame:
     """(element_id, ancestor_ids): ancestors from the parent up to the root.
 
-    A row joins its topmost known ancestor's parent each round; the walk ends when no
-    row grew, at ``depth`` rounds if given, or where an ancestor would repeat.
+    Elements with doc_id and position in document order are walked once.  Others, and
+    those whose parent stands elsewhere, join their topmost known ancestor's parent each
+    round; that walk ends when no row grew, at ``depth`` rounds if given, or where an
+    ancestor would repeat.
     """
     shared_scratch(elements.sparkSession)
+    if depth is None and {"doc_id", "position"} <= set(elements.columns):
+        labelled = labels(elements).checkpoint()
+        late = labelled.where("NOT placed").select(F.col("parent_id").alias("up"))
+        if late.join(elements.select(F.col("element_id").alias("up")), "up", "left_semi").isEmpty():
+            return labelled.select("element_id", "ancestor_ids")
+    return _climbed(elements, depth)
+
+
+def _climbed(elements: DataFrame, depth: int | None) -> DataFrame:
+    kind = elements.schema["parent_id"].dataType.simpleString()
     links = elements.where("parent_id IS NOT NULL").select(F.col("element_id").alias("child"), F.col("parent_id").alias("up"))
-    paths = elements.select("element_id", F.array().cast("array<string>").alias("ancestor_ids"), F.col("element_id").alias("top"))
+    paths = elements.select("element_id", F.array().cast(f"array<{kind}>").alias("ancestor_ids"), F.col("element_id").alias("top"))
     done = None
     for _ in count() if depth is None else range(depth):
         step = paths.join(links, paths["top"] == links["child"], "left")
@@ -37,6 +116,15 @@ def ancestry(elements: DataFrame, depth: int | None = None) -> DataFrame:
     return done.union(paths.select("element_id", "ancestor_ids"))
 
 
+def descendants(labelled: DataFrame, of: DataFrame) -> DataFrame:
+    """(ancestor_id, element_id, steps): all elements below each of the given ones (element_id), by ranges inside documents."""
+    top = labelled.join(of.select("element_id").distinct(), "element_id", "left_semi").select(
+        F.col("doc_id").alias("__doc"), F.col("element_id").alias("ancestor_id"), F.col("pre").alias("__pre"), F.col("last").alias("__last"), F.col("depth").alias("__depth")
+    )
+    below = (F.col("doc_id") == F.col("__doc")) & (F.col("pre") > F.col("__pre")) & (F.col("pre") <= F.col("__last"))
+    return labelled.join(top, below).select("ancestor_id", "element_id", (F.col("depth") - F.col("__depth")).alias("steps"))
+
+
 def outline(hits: DataFrame, elements: DataFrame) -> DataFrame:
     """(element_id, score): all hits and all their ancestors; ancestors that are no hits have no score."""
     paths = ancestry(elements).join(hits.select("element_id"), "element_id", "left_semi")
@@ -138,7 +226,7 @@ def contexts(elements: DataFrame, before: int = 1, after: int = 1, children: int
         rows = ids.select("element_id", F.posexplode("ids").alias("nth", "__id")).join(texts, "__id")
         return rows.groupBy("element_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "__text"))), lambda x: x["__text"]).alias(name))
 
-    up = ancestry(elements.select("element_id", "parent_id")).select("element_id", F.col("ancestor_ids").alias("ids"))
+    up = ancestry(elements).select("element_id", F.col("ancestor_ids").alias("ids"))
     near = neighbours(elements, before, after).select("element_id", F.concat("predecessors", "successors").alias("ids"))
     down = first_children(elements, children).select("element_id", F.col("children").alias("ids"))
     out = full.select("element_id", "text")
@@ -163,7 +251,7 @@ def cross_document_context(edges: DataFrame, elements: DataFrame, top: int = 3)
 
 def share_ancestor(elements: DataFrame, pairs: DataFrame, level: int) -> DataFrame:
     """The pairs (a, b) of element ids whose ancestors ``level`` steps above their parents are the same element."""
-    above = ancestry(elements.select("element_id", "parent_id")).select("element_id", F.try_element_at("ancestor_ids", F.lit(level + 1)).alias("up"))
+    above = ancestry(elements).select("element_id", F.try_element_at("ancestor_ids", F.lit(level + 1)).alias("up"))
     x, y = (above.select(F.col("element_id").alias(end), F.col("up").alias(f"__{end}")).where("up IS NOT NULL") for end in ("a", "b"))
     return pairs.join(x, "a").join(y, "b").where("__a = __b").select("a", "b")
 
@@ -186,58 +274,89 @@ def full_text(elements: DataFrame) -> DataFrame:
     return elements.where("trim(text) <> ''").groupBy("doc_id").agg(_joined(F.col("text"), "\n\n").alias("text"))
 
 
-def _blocks(elements: DataFrame, row: Callable[[Column, Column], Column], item: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(doc_id, position, element_id, element_type, level, text, ready): elements with the cells of a table row joined to one block.
+# Element types whose place among others decides how they are shown.
+_GROUPED = ["list", "list_item", "table", "table_row", "table_header_row", "table_cell", "table_header"]
 
-    ready holds the finished text of joined blocks, null for the others.  ``item`` joins
-    the items of a list in the same way.
+
+def _blocks(elements: DataFrame) -> DataFrame:
+    """What is shown of documents, in order, with what precedes and follows it.
+
+    (doc_id, position, element_id, kind, level, text, cells, head, depth, own, before, after):
+    the cells of a table row are one block of kind ``cell``; depth counts the list items
+    around a list item.  own names the table of a row or the list of an item; before and
+    after are (kind, own, head, depth) of the neighbours if those belong to the same
+    table or list, else null.
     """
-    cell = F.col("element_type").isin("table_cell", "table_header")
-    joined = cell if item is None else cell | (F.col("element_type") == "list_item")
-    own = F.struct("position", "element_id", "text")
-    ordered = F.transform(F.array_sort(F.collect_list(own)), lambda x: x["text"])
-    groups = elements.where(joined).groupBy("doc_id", "parent_id", F.when(cell, "cell").otherwise("item").alias("kind")).agg(
-        F.min("position").alias("position"), F.min("element_id").alias("element_id"), F.bool_or(F.col("element_type") == "table_header").alias("head"), ordered.alias("texts")
+    kind = F.col("element_type")
+    cell = kind.isin("table_cell", "table_header")
+    grouped = elements.where(kind.isin(_GROUPED))
+    above = labels(grouped).select("doc_id", "element_id", "ancestor_ids")
+    placed = grouped.where(cell | (kind == "list_item")).join(above, ["doc_id", "element_id"])
+
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "element_id", "text"))), lambda x: x["text"])
+    rows = placed.where(cell).groupBy("doc_id", "parent_id").agg(
+        F.min("position").alias("position"),
+        F.min("element_id").alias("element_id"),
+        F.bool_or(kind == "table_header").alias("head"),
+        texts.alias("cells"),
+        F.min(F.get("ancestor_ids", F.lit(1))).cast("string").alias("own"),
+    )
+    # the list items around an item are those of its ancestors; its list is what holds the outermost of them
+    items = placed.where("element_type = 'list_item'")
+    around = items.select("element_id", "level", "text", "position", "doc_id", "parent_id", "ancestor_ids", F.posexplode_outer("ancestor_ids").alias("nth", "__up"))
+    others = items.select(F.col("doc_id").alias("__doc"), F.col("element_id").cast("string").alias("__item"), F.col("parent_id").alias("__holder"))
+    met = around.join(others, (F.col("doc_id") == F.col("__doc")) & (F.col("__up").cast("string") == F.col("__item")), "left")
+    lists = met.groupBy("doc_id", "element_id").agg(
+        F.first("position").alias("position"),
+        F.first("text").alias("text"),
+        F.count("__item").cast("int").alias("depth"),
+        F.coalesce(F.max_by("__holder", F.when(F.col("__item").isNotNull(), F.col("nth"))), F.first("parent_id")).cast("string").alias("own"),
     )
-    ready = row(F.col("texts"), F.col("head"))
-    if item is not None:
-        ready = F.when(F.col("kind") == "item", item(F.col("texts"))).otherwise(ready)
-    blocks = groups.select("doc_id", "position", "element_id", "kind", F.lit(None).cast("int").alias("level"), F.lit("-").alias("text"), ready.alias("ready"))
-    plain = elements.where(~joined).select("doc_id", "position", "element_id", F.col("element_type").alias("kind"), "level", "text", F.lit(None).cast("string").alias("ready"))
-    return plain.unionByName(blocks)
+    none = lambda c, k: F.lit(None).cast(k).alias(c)
+    columns = ["doc_id", "position", "element_id", "kind", "level", "text", "cells", "head", "depth", "own"]
+    plain = elements.where(~cell & (kind != "list_item") & (F.trim("text") != "")).select(
+        "doc_id", "position", "element_id", kind.alias("kind"), F.col("level").cast("int").alias("level"), "text",
+        none("cells", "array<string>"), none("head", "boolean"), none("depth", "int"), none("own", "string"),
+    )
+    table_rows = rows.withColumns({"kind": F.lit("cell"), "level": F.lit(None).cast("int"), "text": F.lit("-"), "depth": F.lit(None).cast("int")}).select(*columns)
+    list_items = lists.withColumns(
+        {"kind": F.lit("item"), "level": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<string>"), "head": F.lit(None).cast("boolean")}
+    ).where("trim(text) <> ''").select(*columns)
+    w = Window.partitionBy("doc_id").orderBy("position", "element_id")
+    side = F.struct("kind", "own", "head", "depth")
 
+    def same(neighbour: Column) -> Column:
+        return F.when((neighbour["kind"] == F.col("kind")) & F.col("kind").isin("cell", "item") & neighbour["own"].eqNullSafe(F.col("own")), neighbour)
+
+    everything = plain.unionByName(table_rows).unionByName(list_items)
+    return everything.withColumns({"__b": F.lag(side).over(w), "__a": F.lead(side).over(w), "__first": F.row_number().over(w) == 1}).select(
+        *columns, same(F.col("__b")).alias("before"), same(F.col("__a")).alias("after"), F.col("__first").alias("first")
+    )
 
-def as_markdown(elements: DataFrame) -> DataFrame:
-    """(doc_id, markdown): headers, list items, code, quotes, and a line per table row, below a header row the rule."""
 
-    def row(texts: Column, head: Column) -> Column:
-        line = F.concat(F.lit("| "), F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-        rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size(texts)))
-        return F.when(head, F.concat(line, rule)).otherwise(line)
+def _laid(blocks: DataFrame, body: Column, gap: Column, name: str) -> DataFrame:
+    """(doc_id, name): the bodies in order, each after its gap but for the first."""
+    shown = F.concat(F.when(F.col("first"), F.lit("")).otherwise(gap), body)
+    return blocks.groupBy("doc_id").agg(_joined(shown, "").alias(name))
+
+
+def as_markdown(elements: DataFrame) -> DataFrame:
+    """(doc_id, markdown): headers, nested list items, code, quotes, and tables, whose first row is followed by the rule.
 
+    Blocks are parted by a blank line, rows of a table and items of a list by a line's end.
+    """
     kind = F.col("kind")
+    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size("cells")))
     body = (
-        F.when(F.col("ready").isNotNull(), F.col("ready"))
+        F.when(kind == "cell", F.when(F.col("before").isNull(), F.concat(line, rule)).otherwise(line))
+        .when(kind == "item", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("text")))
         .when(kind == "header", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), F.col("text")))
-        .when(kind == "list_item", F.concat(F.lit("- "), F.col("text")))
         .when(kind == "code_block", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
         .when(kind == "blockquote", F.concat(F.lit("> "), F.col("text")))
         .otherwise(F.col("text"))
     )
-    # rows of one table follow each other without a blank line
-    gap = F.when(kind == "cell", "\n").otherwise("\n\n")
-    parts = F.array_sort(F.collect_list(F.struct("position", "element_id", body.alias("body"), gap.alias("gap"))))
-    whole = F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("text"), F.lit("").alias("gap")),
-        lambda s, x: F.struct(
-            F.when(s["text"] == "", x["body"])
-            .otherwise(F.concat(s["text"], F.when((s["gap"] == "\n") & (x["gap"] == "\n") & ~x["body"].contains("| --- |"), "\n").otherwise("\n\n"), x["body"]))
-            .alias("text"),
-            x["gap"].alias("gap"),
-        ),
-    )
-    return _blocks(elements, row).where("trim(text) <> ''").groupBy("doc_id").agg(whole["text"].alias("markdown"))
+    return _laid(_blocks(elements), body, F.when(F.col("before").isNotNull(), "\n").otherwise("\n\n"), "markdown")
 
 
 def _safe(text: Column) -> Column:
@@ -245,25 +364,38 @@ def _safe(text: Column) -> Column:
 
 
 def as_html(elements: DataFrame) -> DataFrame:
-    """(doc_id, html): a tag per element, list items inside their list, cells inside their row."""
-
-    def row(texts: Column, head: Column) -> Column:
-        tag = F.when(head, "th").otherwise("td")
-        cells = F.transform(texts, lambda t: F.concat(F.lit("<"), tag, F.lit(">"), _safe(t), F.lit("</"), tag, F.lit(">")))
-        return F.concat(F.lit("<table><tr>"), F.array_join(cells, ""), F.lit("</tr></table>"))
-
-    def item(texts: Column) -> Column:
-        return F.concat(F.lit("<ul>"), F.array_join(F.transform(texts, lambda t: F.concat(F.lit("<li>"), _safe(t), F.lit("</li>"))), ""), F.lit("</ul>"))
-
-    kind = F.col("kind")
-    tag = (
+    """(doc_id, html): a tag per element; one table with head and body for the rows of a table, nested lists for nested items."""
+    kind, before, after = F.col("kind"), F.col("before"), F.col("after")
+    head, no = F.col("head"), F.lit("")
+    tag = F.when(head, "th").otherwise("td")
+    cells = F.transform("cells", lambda t: F.concat(F.lit("<"), tag, F.lit(">"), _safe(t), F.lit("</"), tag, F.lit(">")))
+    part = F.when(head, "thead").otherwise("tbody")
+    row = F.concat(
+        F.when(before.isNull(), "<table>").otherwise(no),
+        F.when(before.isNull() | (before["head"] != head), F.concat(F.lit("<"), part, F.lit(">"))).otherwise(no),
+        F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"),
+        F.when(after.isNull() | (after["head"] != head), F.concat(F.lit("</"), part, F.lit(">"))).otherwise(no),
+        F.when(after.isNull(), "</table>").otherwise(no),
+    )
+    # an item stays open while deeper ones follow, and closes the lists that end with it
+    depth = F.col("depth")
+    up, down = F.coalesce(before["depth"], F.lit(-1)), F.coalesce(after["depth"], F.lit(-1))
+    item = F.concat(
+        F.repeat(F.lit("<ul>"), F.greatest(depth - up, F.lit(0))),
+        F.lit("<li>"), _safe(F.col("text")),
+        F.when(down > depth, no).otherwise(F.lit("</li>")),
+        F.repeat(F.lit("</ul></li>"), F.greatest(depth - F.greatest(down, F.lit(0)), F.lit(0))),
+        F.when(after.isNull(), "</ul>").otherwise(no),
+    )
+    plain = (
         F.when(kind == "header", F.concat(F.lit("h"), F.coalesce("level", F.lit(1)).cast("string")))
         .when(kind == "code_block", "pre")
         .when(kind == "blockquote", "blockquote")
         .otherwise("p")
     )
-    body = F.coalesce("ready", F.concat(F.lit("<"), tag, F.lit(">"), _safe(F.col("text")), F.lit("</"), tag, F.lit(">")))
-    return _blocks(elements, row, item).where("trim(text) <> ''").groupBy("doc_id").agg(_joined(body, "\n").alias("html"))
+    other = F.concat(F.lit("<"), plain, F.lit(">"), _safe(F.col("text")), F.lit("</"), plain, F.lit(">"))
+    body = F.when(kind == "cell", row).when(kind == "item", item).otherwise(other)
+    return _laid(_blocks(elements), body, F.when(before.isNotNull(), no).otherwise("\n"), "html")
 
 
 def as_office_html(elements: DataFrame) -> DataFrame:

@@ -148,12 +148,78 @@ def table_markdown(spark, sf_dir):
     return tree.as_markdown(_grid(spark, sf_dir))
 
 
-@R.query("table_html", """SELECT n_regionkey AS doc_id, '<h2>Nations</h2>' || chr(10) || '<table><tr><th>key</th><th>name</th></tr></table>' || chr(10) || string_agg('<table><tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr></table>', chr(10) ORDER BY n_nationkey) AS html
+@R.query("table_html", """SELECT n_regionkey AS doc_id, '<h2>Nations</h2>' || chr(10) || '<table><thead><tr><th>key</th><th>name</th></tr></thead><tbody>'
+  || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</tbody></table>' AS html
 FROM nation GROUP BY n_regionkey""")
 def table_html(spark, sf_dir):
     return tree.as_html(_grid(spark, sf_dir))
 
 
+def _order_lists(spark, sf_dir):
+    """Customers as documents: a title, an item per order and below it an item per line number, then a table of those in one row each."""
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("o"))
+    line = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"))
+    held = line.join(o, "o")
+    text, level = F.lit("").alias("text"), F.lit(None).cast("int").alias("level")
+    own = lambda p, *c: F.concat_ws("", F.lit(p), *c)
+    place = lambda base, *c: (F.lit(base) + sum(c)).cast("long").alias("position")
+    top = o.select("doc_id").distinct()
+    step = F.col("o") * 16
+    rows = [
+        top.select("doc_id", own("d", "doc_id").alias("element_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("header").alias("kind"), F.lit(1).alias("level"), place(0), own("Customer ", "doc_id").alias("text")),
+        top.select("doc_id", own("u", "doc_id"), own("d", "doc_id"), F.lit("list"), level, place(1), text),
+        o.select("doc_id", own("o", "o"), own("u", "doc_id"), F.lit("list_item"), level, place(2, step), own("order ", "o")),
+        held.select("doc_id", own("l", "o", F.lit("-"), "n"), own("o", "o"), F.lit("list_item"), level, place(2, step, F.col("n")), own("part <", "part")),
+        top.select("doc_id", own("t", "doc_id"), own("d", "doc_id"), F.lit("table"), level, place(1 << 40), text),
+        held.select("doc_id", own("r", "o", F.lit("-"), "n"), own("t", "doc_id"), F.lit("table_row"), level, place(1 << 40, step * 4, F.col("n") * 4), text),
+        held.select("doc_id", own("c", "o", F.lit("-"), "n"), own("r", "o", F.lit("-"), "n"), F.lit("table_cell"), level, place((1 << 40) + 1, step * 4, F.col("n") * 4), own("", "o")),
+        held.select("doc_id", own("e", "o", F.lit("-"), "n"), own("r", "o", F.lit("-"), "n"), F.lit("table_cell"), level, place((1 << 40) + 2, step * 4, F.col("n") * 4), own("a|", "part")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.withColumnRenamed("kind", "element_type")
+
+
+LISTED = """lines AS (
+  SELECT o_custkey AS doc_id, l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+@R.query("nested_list_html", f"""WITH {LISTED}, inner_list AS (
+  SELECT doc_id, o, '<ul>' || string_agg('<li>part &lt;' || part || '</li>', '' ORDER BY n) || '</ul>' AS inside FROM lines GROUP BY doc_id, o
+), items AS (
+  SELECT o_custkey AS doc_id, string_agg('<li>order ' || o_orderkey || coalesce(inside, '') || '</li>', '' ORDER BY o_orderkey) AS list
+  FROM orders LEFT JOIN inner_list ON o = o_orderkey GROUP BY o_custkey
+), grid AS (
+  SELECT doc_id, string_agg('<tr><td>' || o || '</td><td>a|' || part || '</td></tr>', '' ORDER BY o, n) AS body FROM lines GROUP BY doc_id
+)
+SELECT doc_id, '<h1>Customer ' || doc_id || '</h1>' || chr(10) || '<ul>' || list || '</ul>'
+  || coalesce(chr(10) || '<table><tbody>' || body || '</tbody></table>', '') AS html FROM items LEFT JOIN grid USING (doc_id)""")
+def nested_list_html(spark, sf_dir):
+    return tree.as_html(_order_lists(spark, sf_dir))
+
+
+@R.query("nested_list_markdown", f"""WITH {LISTED}, items AS (
+  SELECT o_custkey AS doc_id, '- order ' || o_orderkey AS line, o_orderkey AS o, 0 AS n FROM orders UNION ALL SELECT doc_id, '  - part <' || part, o, n FROM lines
+), list AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY o, n) AS list FROM items GROUP BY doc_id
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, n) AS nth FROM lines
+), grid AS (
+  SELECT doc_id, string_agg('| ' || o || ' | a\\|' || part || ' |' || CASE WHEN nth = 1 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY nth) AS body
+  FROM numbered GROUP BY doc_id
+)
+SELECT doc_id, '# Customer ' || doc_id || chr(10) || chr(10) || list || coalesce(chr(10) || chr(10) || body, '') AS markdown FROM list LEFT JOIN grid USING (doc_id)""")
+def nested_list_markdown(spark, sf_dir):
+    return tree.as_markdown(_order_lists(spark, sf_dir))
+
+
+@R.query("subtree_sizes", f"""WITH {LISTED} SELECT 'o' || o_orderkey AS element_id, count(o) AS below, 2::INT AS depth FROM orders LEFT JOIN lines ON o = o_orderkey GROUP BY o_orderkey""")
+def subtree_sizes(spark, sf_dir):
+    found = tree.labels(_order_lists(spark, sf_dir)).where("element_id LIKE 'o%'")
+    return found.select("element_id", (F.col("last") - F.col("pre")).alias("below"), "depth")
+
+
 def _slides(spark, sf_dir):
     n = b.table(spark, sf_dir, "nation")
     kinds = F.array(F.struct(F.lit("slide").alias("k"), F.lit("").alias("t")), F.struct(F.lit("header").alias("k"), F.col("n_name").alias("t")), F.struct(F.lit("slide_notes").alias("k"), F.lit("a < b").alias("t")))

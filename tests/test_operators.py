@@ -2,6 +2,8 @@ import io
 import zipfile
 from datetime import datetime
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,80 @@ def test_failure_state(spark, tmp_path):
     q = queue.failure_state(stream).writeStream.outputMode("update").foreachBatch(collect).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["source_id"]: (r["failures"], r["status"], r["delay"]) for r in out} == {1: (2, "retry", 120), 2: (0, "ok", 0), 3: (4, "failed", 0)}
+
+
+def _element(spark, rows):
+    return spark.createDataFrame(rows, "element_id string, doc_id long, parent_id string, element_type string, position int, level int, text string")
+
+
+def test_lists_nest_and_tables_are_whole(spark):
+    rows = [
+        ("l", 1, None, "list", 0, None, ""), ("x", 1, "l", "list_item", 1, None, "x"), ("m", 1, "x", "list", 2, None, ""), ("y", 1, "m", "list_item", 3, None, "y<"),
+        ("w", 1, "y", "list_item", 4, None, "w"), ("z", 1, "l", "list_item", 5, None, "z"), ("k", 1, None, "list", 6, None, ""), ("o", 1, "k", "list_item", 7, None, "o"),
+        ("p", 1, None, "paragraph", 8, None, "p | --- | q"),
+        ("t", 1, None, "table", 9, None, ""), ("r1", 1, "t", "table_row", 10, None, ""), ("c1", 1, "r1", "table_cell", 11, None, "1"), ("c2", 1, "r1", "table_cell", 12, None, "2|"),
+        ("r2", 1, "t", "table_row", 13, None, ""), ("c3", 1, "r2", "table_cell", 14, None, "3"),
+        ("t2", 1, None, "table", 15, None, ""), ("r3", 1, "t2", "table_row", 16, None, ""), ("c4", 1, "r3", "table_header", 17, None, "h"),
+        ("e", 2, None, "paragraph", 0, None, " "),
+    ]
+    e = _element(spark, rows)
+    assert [tuple(r) for r in tree.as_html(e).collect()] == [
+        (1, "<ul><li>x<ul><li>y&lt;<ul><li>w</li></ul></li></ul></li><li>z</li></ul>\n<ul><li>o</li></ul>\n<p>p | --- | q</p>\n"
+            "<table><tbody><tr><td>1</td><td>2|</td></tr><tr><td>3</td></tr></tbody></table>\n<table><thead><tr><th>h</th></tr></thead></table>")
+    ]
+    assert tree.as_markdown(e).first()["markdown"] == (
+        "- x\n  - y<\n    - w\n- z\n\n- o\n\np | --- | q\n\n| 1 | 2\\| |\n| --- | --- |\n| 3 |\n\n| h |\n| --- |"
+    )
+
+
+def test_markdown_of_many_paragraphs_is_linear(spark):
+    import time
+
+    e = spark.range(20_000).select(
+        F.concat(F.lit("e"), "id").alias("element_id"), F.lit(1).alias("doc_id"), F.lit(None).cast("string").alias("parent_id"),
+        F.lit("paragraph").alias("element_type"), F.col("id").alias("position"), F.lit(None).cast("int").alias("level"), F.repeat(F.lit("x"), 300).alias("text"),
+    )
+    tree.as_markdown(e.limit(10)).collect()
+    began = time.time()
+    assert len(tree.as_markdown(e).first()["markdown"]) == 20_000 * 302 - 2
+    assert time.time() - began < 10
+
+
+def test_labels_turn_ancestry_into_ranges(spark):
+    rng = random.Random(8)
+    rows, parents = [], {}
+    for doc in range(3):
+        stack = []
+        for i in range(120):
+            own = f"d{doc}e{i}"
+            del stack[rng.randint(0, len(stack)):]
+            parents[own] = stack[-1] if stack else rng.choice([None, own, f"gone{doc}"])
+            rows.append((own, doc, parents[own], "p", i, None, "x"))
+            stack.append(own)
+    rows += [(f"c{i}", 9, f"c{i - 1}" if i else None, "p", i, None, "x") for i in range(300)]
+    parents |= {f"c{i}": f"c{i - 1}" if i else None for i in range(300)}
+
+    def path(x):
+        out = []
+        while parents.get(x) not in (None, x):
+            x = parents[x]
+            out.append(x)
+        return out
+
+    e = _element(spark, rows).repartition(4)
+    found = {r["element_id"]: r for r in tree.labels(e).collect()}
+    assert len(found) == len(rows) and {k: r["ancestor_ids"] for k, r in found.items()} == {k: path(k) for k in found}
+    assert all(r["depth"] == len(r["ancestor_ids"]) and r["placed"] != (r["parent_id"] or "").startswith("gone") for r in found.values())
+    below = {(a, b): path(b).index(a) + 1 for b in found for a in path(b) if a in found}
+    tops = spark.createDataFrame([("d0e0",), ("d1e5",), ("c7",)], "element_id string")
+    got = {(r["ancestor_id"], r["element_id"]): r["steps"] for r in tree.descendants(tree.labels(e), tops).collect()}
+    assert got == {k: v for k, v in below.items() if k[0] in ("d0e0", "d1e5", "c7")}
+    plan = tree.labels(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    assert {r["element_id"]: r["ancestor_ids"] for r in tree.ancestry(e).collect()} == {k: path(k) for k in found}
+
+
+def test_ancestry_of_elements_out_of_order(spark):
+    rows = [("a", 1, None, "p", 0, None, ""), ("b", 1, "a", "p", 1, None, ""), ("c", 1, "a", "p", 2, None, ""), ("d", 1, "b", "p", 3, None, ""), ("e", 2, "d", "p", 0, None, "")]
+    paths = {r["element_id"]: r["ancestor_ids"] for r in tree.ancestry(_element(spark, rows)).collect()}
+    assert paths == {"a": [], "b": ["a"], "c": ["a"], "d": ["b", "a"], "e": ["d", "b", "a"]}
