@@ -54,23 +54,48 @@ CSV_RELATIONS = """SELECT s AS doc_id, a AS source, z AS target, 'related_to' AS
 
 # each under two names, as both were in use
 @R.query("csv_cells", CSV_CELLS)
-@R.query("csv_cells_all", CSV_CELLS)
 def csv_cells(spark, sf_dir):
     return structured.csv_cells(_csv(spark, sf_dir)).select("doc_id", "row", "col", "header", "value")
 
 
 @R.query("csv_types", CSV_TYPES)
-@R.query("csv_types_all", CSV_TYPES)
 def csv_types(spark, sf_dir):
     return structured.csv_types(structured.csv_cells(_csv(spark, sf_dir)))
 
 
 @R.query("csv_relations", CSV_RELATIONS)
-@R.query("csv_relations_all", CSV_RELATIONS)
 def csv_relations(spark, sf_dir):
     return structured.csv_relations(structured.csv_cells(_csv(spark, sf_dir)))
 
 
+def _dialects(spark, sf_dir):
+    """One CSV document per nation of its customers: delimiter, quote and header vary, and quoted names hold delimiters and quotes."""
+    c = b.table(spark, sf_dir, "customer")
+    key = F.col("c_nationkey")
+    mark = F.element_at(F.array(*map(F.lit, structured.DELIMITERS)), (key % 4 + 1).cast("int"))
+    quote = F.when(key % 3 == 0, "'").otherwise('"')
+    name = F.concat(quote, "c_name", F.lit(",a;b|c "), quote, quote, F.lit("x"), quote)
+    line = F.concat(F.col("c_custkey").cast("string"), mark, name, mark, "c_mktsegment")
+    rows = c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
+    head = F.when(key % 2 == 0, F.concat(F.lit("id"), mark, F.lit("name"), mark, F.lit("segment\n"))).otherwise("")
+    return rows.select(key.alias("doc_id"), F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("content"))
+
+
+@R.query("csv_dialects", """SELECT DISTINCT c_nationkey AS doc_id, [',', ';', chr(9), '|'][c_nationkey % 4 + 1] AS delimiter,
+  CASE WHEN c_nationkey % 3 = 0 THEN '''' ELSE '"' END AS quote, c_nationkey % 2 = 0 OR count(*) OVER (PARTITION BY c_nationkey) = 1 AS header FROM customer""")
+def csv_dialects(spark, sf_dir):
+    found = structured.csv_dialect(F.col("content"))
+    return _dialects(spark, sf_dir).select("doc_id", found.alias("d")).select("doc_id", "d.*")
+
+
+@R.query("csv_dialect_cells", """WITH c AS (
+  SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS r, CASE WHEN c_nationkey % 3 = 0 THEN '''' ELSE '"' END AS q FROM customer)
+SELECT c_nationkey AS doc_id, r AS row, j::INT AS col, CASE WHEN c_nationkey % 2 = 0 THEN ['id', 'name', 'segment'][j + 1] ELSE 'column_' || (j + 1) END AS header,
+  [c_custkey::VARCHAR, c_name || ',a;b|c ' || q || 'x', c_mktsegment][j + 1] AS value FROM c, range(3) AS t(j)""")
+def csv_dialect_cells(spark, sf_dir):
+    return structured.csv_cells(_dialects(spark, sf_dir)).drop("error")
+
+
 @R.query("csv_tree", """WITH c AS (SELECT c_mktsegment AS doc_id, count(*) AS n FROM customer GROUP BY 1)
 SELECT doc_id, t AS element_type, CASE t WHEN 'root' THEN 1 WHEN 'table' THEN 1 WHEN 'table_header_row' THEN 1 WHEN 'table_header' THEN 4 WHEN 'table_row' THEN n ELSE 4 * n END AS elements,
   CASE t WHEN 'root' THEN 0 WHEN 'table' THEN 1 WHEN 'table_header_row' THEN 2 WHEN 'table_header' THEN 3 WHEN 'table_row' THEN 7 ELSE 8 END AS first_position
@@ -126,13 +151,11 @@ FRONT = "SELECT conv_id AS doc_id, 'title: x' AS front FROM conversations GROUP
 
 
 @R.query("markdown_elements", MARKDOWN)
-@R.query("markdown_elements_all", MARKDOWN)
 def markdown_elements(spark, sf_dir):
     return structured.markdown_elements(_markdown(spark, sf_dir))
 
 
 @R.query("markdown_front_matter", FRONT)
-@R.query("markdown_front_matter_all", FRONT)
 def markdown_front_matter(spark, sf_dir):
     return _markdown(spark, sf_dir).select("doc_id", structured.front_matter(F.col("content")).alias("front"))
 

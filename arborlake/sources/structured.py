@@ -189,16 +189,75 @@ def json_preview(text: Column, length: int = 100) -> Column:
 # CSV
 
 
+# Delimiters and quotes that a CSV text may have; of equally good ones the first.
+DELIMITERS, QUOTES = [",", ";", "\t", "|"], ['"', "'"]
+_NUMBER = r"^\s*[+-]?\d+(?:[.,]\d+)*\s*$"
+
+
+def csv_dialect(text: Column, lines: int = 20, head: int = 1 << 16) -> Column:
+    """(delimiter, quote, header) of a CSV text, judged by its first ``lines`` non-empty lines.
+
+    A quote is the one that stands more often at the ends of fields.  Quoted stretches are
+    set aside; of the delimiters, that one is taken with the most lines that have the same
+    number of fields, if that is two or more, then that with more fields.  The first line
+    is a header unless it has a number in a column that has numbers in at least half of
+    the other lines.  Only ``head`` characters are looked at; that concerns the dialect,
+    not what is read.
+    """
+    start = F.regexp_replace(F.left(F.coalesce(text, F.lit("")), F.lit(head)), r"^[﻿\r\n]+", "")
+    # transform over an array of one binds a value that is read several times
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+
+    def quoted(start: Column) -> Column:
+        ends = lambda q: F.size(F.split(start, rf"(?m)(?:^|[,;\t|] ?){q}|{q}(?:$|[,;\t|])"))
+        return F.when(ends("'") > ends('"'), F.lit("'")).otherwise(F.lit('"'))
+
+    def listed(start: Column, quote: Column) -> Column:
+        # possessive, so that long stretches need no stack; one that the head cuts off ends with it
+        bare = lambda q: F.regexp_replace(start, rf"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+(?:{q}|$)", "q")
+        cleaned = F.when(quote == "'", bare("'")).otherwise(bare('"'))
+        return F.slice(F.filter(F.split(cleaned, r"\r\n|\n|\r"), lambda x: F.trim(x) != ""), 1, lines)
+
+    def fields(line: Column, mark: str) -> Column:
+        return F.split(line, f"[{mark}]")
+
+    def scored(rows: Column, mark: str, nth: int) -> Column:
+        counts = F.transform(rows, lambda x: F.size(fields(x, mark)))
+        alike = lambda c: F.size(F.filter(counts, lambda o: o == c))
+        best = F.array_max(F.transform(counts, lambda c: F.struct(alike(c).alias("lines"), c.alias("fields"))))
+        good = F.coalesce(best["fields"] > 1, F.lit(False))
+        seen = lambda c: F.when(good, c).otherwise(0)
+        return F.struct(seen(best["lines"]).alias("lines"), seen(best["fields"]).alias("fields"), F.lit(-nth).alias("nth"), F.lit(mark).alias("mark"))
+
+    def headed(rows: Column, mark: str) -> Column:
+        number = lambda line, j: F.coalesce(F.get(fields(line, mark), j).rlike(_NUMBER), F.lit(False))
+        rest = F.slice(rows, 2, lines)
+        same = lambda j: number(rows[0], j) & (2 * F.size(F.filter(rest, lambda r: number(r, j))) >= F.size(rest))
+        return F.when(F.size(rows) < 2, True).otherwise(~F.exists(F.sequence(F.lit(0), F.size(fields(F.get(rows, F.lit(0)), mark)) - 1), same))
+
+    def judged(rows: Column, quote: Column) -> Column:
+        def told(best: Column) -> Column:
+            held = F.when(F.size(rows) < 2, True)
+            for m in DELIMITERS:
+                held = held.when(best == m, headed(rows, m))
+            return F.struct(best.alias("delimiter"), quote.alias("quote"), held.alias("header"))
+
+        return once(F.array_max(F.array(*[scored(rows, m, i) for i, m in enumerate(DELIMITERS)]))["mark"], told)
+
+    return once(start, lambda s: once(quoted(s), lambda q: once(listed(s, q), lambda rows: judged(rows, q))))
+
+
 def _csv_rows(most: int | None) -> Callable[[object], Iterator[tuple]]:
+    """A parser of texts that begin with their delimiter, quote and H where the first line is a header."""
+
     def parse(body):
         csv.field_size_limit(1 << 31)
-        text = (body.decode("utf-8", "replace") if isinstance(body, bytes) else body).lstrip("﻿").lstrip("\r\n")
+        whole = body.decode("utf-8", "replace") if isinstance(body, bytes) else body
+        mark, quote, headed, text = whole[0], whole[1], whole[2] == "H", whole[3:].lstrip("﻿").lstrip("\r\n")
         if not text.strip():
             return
-        head = "\n".join(text.splitlines()[:5])
-        mark = max(",;\t|", key=head.count)
-        rows = csv.reader(io.StringIO(text), delimiter=mark, skipinitialspace=True)
-        header = next(rows)
+        rows = csv.reader(io.StringIO(text), delimiter=mark, quotechar=quote, skipinitialspace=True)
+        header = next(rows) if headed else []
         for i, row in enumerate(rows):
             if most is not None and i >= most:
                 return
@@ -209,11 +268,17 @@ def _csv_rows(most: int | None) -> Callable[[object], Iterator[tuple]]:
 
 
 def csv_cells(documents: DataFrame, key: str = "doc_id", content: str = "content", most: int | None = None) -> DataFrame:
-    """(doc_id, row, col, header, value, error): cells below the header line; the commonest delimiter of the head is used.
+    """(doc_id, row, col, header, value, error): cells below the header line, or of all lines if there is none, by ``csv_dialect``.
 
-    All rows are read unless ``most`` limits those of a document.
+    All rows are read unless ``most`` limits those of a document.  Columns without a
+    header are named column_1 and so on.
     """
-    return _parsed(documents, _csv_rows(most), "row int, col int, header string, value string", key, content)
+    binary = documents.schema[content].dataType.simpleString() == "binary"
+    # in a one-byte character set every content is a text, and what marks a dialect is ASCII
+    dialect = csv_dialect(F.decode(F.col(content), "ISO-8859-1") if binary else F.col(content))
+    mark = F.transform(F.array(dialect), lambda d: F.concat(d["delimiter"], d["quote"], F.when(d["header"], "H").otherwise("-")))[0]
+    told = F.concat(F.encode(mark, "UTF-8") if binary else mark, F.col(content))
+    return _parsed(documents.select(F.col(key).alias("__key"), told.alias("__content")), _csv_rows(most), "row int, col int, header string, value string", "__key", "__content")
 
 
 def csv_tree(cells: DataFrame) -> DataFrame:

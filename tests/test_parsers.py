@@ -262,3 +262,33 @@ def test_random_markdown_never_fails():
 @pytest.mark.parametrize("body", ["", " ", "---\n---", None])
 def test_empty_documents_have_a_root_or_nothing(spark, body):
     assert structured.element_tree(structured.markdown_nodes(table(spark, body, "x"))).where("element_type = 'root'").count() >= 1
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ('"a,b,c,d,e";x\n"f,g";y', (";", '"', True)),
+        ("1;2;x\n3;4;y\n5;6;z", (";", '"', False)),
+        ("name|age\nann|3\nbob|4", ("|", '"', True)),
+        ("a\tb\n'it, is'\t'x;y'\n'o, k'\tz", ("\t", "'", True)),
+        ("2019,2020\n1.5,2\n3,4", (",", '"', False)),
+        ("﻿\r\na;b\r\n1;2,5\r\n", (";", '"', True)),
+        ('x,"two\nlines; more",y\nz,"w",v', (",", '"', True)),
+        ("only", (",", '"', True)),
+        ("", (",", '"', True)),
+        (None, (",", '"', True)),
+        ('a,b\n1,"' + "long; " * 40_000, (",", '"', True)),
+    ],
+)
+def test_csv_dialect(spark, text, wanted):
+    d = spark.createDataFrame([(text,)], "t string").select(structured.csv_dialect(F.col("t")).alias("d")).first()["d"]
+    assert tuple(d) == wanted
+
+
+def test_csv_without_header_and_with_quoted_delimiters(spark):
+    cells = structured.csv_cells(table(spark, "1;2\n3;4")).collect()
+    assert sorted((r["row"], r["col"], r["header"], r["value"]) for r in cells) == [
+        (0, 0, "column_1", "1"), (0, 1, "column_2", "2"), (1, 0, "column_1", "3"), (1, 1, "column_2", "4")
+    ]
+    binary = spark.createDataFrame([(0, bytearray(b'h;"a,b"\n\xff;"c,d,e,f"'))], "doc_id long, content binary")
+    assert sorted((r["header"], r["value"]) for r in structured.csv_cells(binary).collect()) == [("a,b", "c,d,e,f"), ("h", "�")]

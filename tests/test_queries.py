@@ -49,7 +49,7 @@ def test_flagship(spark, sf_dir):
 
 
 def test_csv_whole_table(spark):
-    found = catalog.queries()["csv_cells_all"](spark, "/root/testdata/sf0.1").where("col = 0")
+    found = catalog.queries()["csv_cells"](spark, "/root/testdata/sf0.1").where("col = 0")
     customers = spark.read.parquet("/root/testdata/sf0.1/customer.parquet")
     assert sorted(int(r["value"]) for r in found.collect()) == sorted(r["c_custkey"] for r in customers.collect())
 
@@ -58,6 +58,6 @@ def test_markdown_whole_table(spark):
     conversations = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
     wanted = sorted(r["conv_id"] for r in conversations.select("conv_id").distinct().collect())
     assert wanted[-1] >= 200
-    for name in ("markdown_elements_all", "markdown_front_matter_all"):
+    for name in ("markdown_elements", "markdown_front_matter"):
         found = catalog.queries()[name](spark, "/root/testdata/sf0.1").select("doc_id").distinct()
         assert sorted(r["doc_id"] for r in found.collect()) == wanted
