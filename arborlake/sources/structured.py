@@ -12,6 +12,7 @@ import io
 import json
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -367,21 +368,69 @@ def csv_relations(cells: DataFrame) -> DataFrame:
 # HTML and XML
 
 
+# Fixed values of the HTML standard: what a start tag ends without an end tag, and what keeps it from looking further out.
+_ENDS = {
+    "li": ({"li", "p"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd", "p"}, {"dl"}),
+    "dd": ({"dt", "dd", "p"}, {"dl"}),
+    "td": ({"td", "th", "p"}, {"tr", "table"}),
+    "th": ({"td", "th", "p"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th", "p"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+}
+_ENDS |= {
+    t: ({"p"}, {"td", "th", "li", "dd", "button", "table"})
+    for t in (
+        "p", "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+        "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul",
+    )
+}
+_DEEPEST = 256  # levels that a location names; what lies deeper has the location of its ancestor there
+
+
 class _Tree(HTMLParser):
-    """Elements of an HTML page in document order, without scripts and styles."""
+    """Elements of an HTML page in document order, without scripts and styles; tags that need no end tag are closed as browsers do."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
         self.names: list[str] = []
+        self.held: Counter[str] = Counter()  # how often each name is open
         self.counts: list[dict] = [{}]
         self.tables: list[list[int]] = []  # row and column of each open table
         self.silent = 0
 
+    def _implied(self, tag) -> None:
+        ended, stops = _ENDS.get(tag, ((), ()))
+        if not any(self.held[n] for n in ended):
+            return
+        last = None
+        for at in range(len(self.names) - 1, -1, -1):
+            if self.names[at] in stops:
+                break
+            if self.names[at] in ended:
+                last = at
+        while last is not None and len(self.names) > last:
+            self._pop()
+
+    def _pop(self) -> str:
+        name = self.names.pop()
+        self.held[name] -= 1
+        self.open.pop()
+        self.counts.pop()
+        if name == "table":
+            self.tables.pop()
+        return name
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.silent += 1
+        self._implied(tag)
         nth = self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
         parent = self.open[-1] if self.open else None
         above = self.rows[parent][5] if parent is not None else ""
@@ -389,7 +438,7 @@ class _Tree(HTMLParser):
         text = [own["alt"]] if tag == "img" and own.get("alt") else []
         level = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else None
         if tag == "li":
-            level = sum(n in ("ul", "ol") for n in self.names)
+            level = self.held["ul"] + self.held["ol"]
             own["index"] = str(nth - 1)
         elif tag == "table":
             self.tables.append([-1, 0])
@@ -402,24 +451,20 @@ class _Tree(HTMLParser):
             span = own.get("colspan", "1")
             self.tables[-1][1] += int(span) if span.isdigit() else 1
         kind = HTML_TYPES.get(tag, tag)
-        self.rows.append([len(self.rows), parent, kind, tag, text, f"{above}/{tag}[{nth}]", level, own])
+        location = f"{above}/{tag}[{nth}]" if len(self.open) < _DEEPEST else above
+        self.rows.append([len(self.rows), parent, kind, tag, text, location, level, own])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
             self.names.append(tag)
+            self.held[tag] += 1
             self.counts.append({})
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
-        if tag in self.names:
-            while True:
-                name = self.names.pop()
-                self.open.pop()
-                self.counts.pop()
-                if name == "table":
-                    self.tables.pop()
-                if name == tag:
-                    break
+        if self.held[tag]:
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data):
         if self.open and not self.silent and data.strip():
@@ -595,7 +640,7 @@ def markdown_elements(documents: DataFrame, key: str = "doc_id", content: str =
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*(\S*)")
-_HEADER = re.compile(r"^ {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
+_HEADER = re.compile(r"^ {0,3}(#{1,6})(?=\s|$)(.*)$")
 _ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)])\s+(.*)$")
 _RULE = re.compile(r"^ {0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})$")
 _BELOW = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
@@ -631,7 +676,9 @@ def _markdown_rows(body):
             i += 1
             add("code_block", "\n".join(held), language=fence[2] or None)
         elif head := _HEADER.match(line):
-            header(len(head[1]), (head[2] or "").strip())
+            title = head[2].strip()
+            bare = title.rstrip("#")  # marks at the end belong to the title unless white space parts them
+            header(len(head[1]), title if bare and not bare[-1].isspace() else bare.rstrip())
             i += 1
         elif line.lstrip().startswith(">"):
             held = []

@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -292,3 +293,32 @@ def test_csv_without_header_and_with_quoted_delimiters(spark):
     ]
     binary = spark.createDataFrame([(0, bytearray(b'h;"a,b"\n\xff;"c,d,e,f"'))], "doc_id long, content binary")
     assert sorted((r["header"], r["value"]) for r in structured.csv_cells(binary).collect()) == [("a,b", "c,d,e,f"), ("h", "�")]
+
+
+def test_html_tags_without_end_tags():
+    rows = rows_of(structured._html_rows, "<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table><p>x<p>y<div>z</div><select><option>o<option>q</select>")
+    by = {r["text"]: r for r in rows if r["text"]}
+    path = lambda r: [] if r is None else [*path(rows[r["parent"]] if r["parent"] is not None else None), r["name"]]
+    assert [by[t]["attributes"]["index"] for t in "abcd"] == ["0", "1", "0", "2"] and path(by["d"]) == ["ul", "li"] and path(by["c"]) == ["ul", "li", "ul", "li"]
+    assert [(by[t]["attributes"]["row"], by[t]["attributes"]["col"]) for t in "123"] == [("0", "0"), ("0", "1"), ("1", "0")] and path(by["3"]) == ["table", "tr", "td"]
+    assert path(by["y"]) == ["p"] and path(by["z"]) == ["div"] and path(by["q"]) == ["select", "option"]
+    nested = rows_of(structured._html_rows, "<table><tr><td><table><tr><td>in</table><td>out</table>")
+    assert [r["location"] for r in nested if r["text"]] == ["/table[1]/tr[1]/td[1]/table[1]/tr[1]/td[1]", "/table[1]/tr[1]/td[2]"]
+
+
+def test_hostile_pages_and_lines_take_linear_time():
+    began = time.time()
+    flat = rows_of(structured._html_rows, "<p>x" * 40_000)
+    assert len(flat) == 40_000 and flat[-1]["parent"] is None and flat[-1]["location"] == "/p[40000]"
+    deep = rows_of(structured._html_rows, "<div>" * 40_000 + "x")
+    assert deep[-1]["location"] == "/div[1]" * 256 and deep[-1]["parent"] == 39_998
+    rows_of(structured._html_rows, "<b>" * 20_000 + "</b>" * 20_000 + "<li>" * 5_000)
+    spaces = rows_of(structured._markdown_rows, "# a" + " " * 100_000 + "b\n\n" + " " * 100_000 + "x")
+    assert [r["kind"] for r in spaces][0] == "header"
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("line, wanted", [("# a #", "a"), ("## b##", "b##"), ("# c # #", "c #"), ("#", ""), ("# #", ""), ("###  d  ", "d"), ("#e", None), ("# f\\t##  ", "f")])
+def test_markdown_headers(line, wanted):
+    rows = [r for r in rows_of(structured._markdown_rows, line.replace("\\t", "\t")) if r["kind"] == "header"]
+    assert [r["text"] for r in rows] == ([] if wanted is None else [wanted])
