@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import extra, fulltext, fuzzy, graph, more, relational, search, stats, structured, text
+from .plans import extra, fulltext, fuzzy, graph, more, periods, relational, search, stats, structured, text
 from .registry import Query
 
-_PLANS = (stats, search, fulltext, fuzzy, text, graph, relational, structured, more, extra)
+_PLANS = (stats, search, fulltext, fuzzy, periods, text, graph, relational, structured, more, extra)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_scratch
+
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], latest_by: str | None = None) -> DataFrame:
     """Current rows with those of the same key replaced by the latest incoming row of the key.
@@ -18,6 +20,34 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], latest_by:
     return current.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*current.columns))
 
 
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Write a table in ``buckets`` partitions by a hash of its keys, so that an upsert rewrites those it touches only."""
+    df.withColumn("bucket", _bucket(keys, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def upsert_buckets(path: str, incoming: DataFrame, keys: list[str], latest_by: str | None = None, buckets: int = 64) -> list[int]:
+    """``upsert`` into a table of write_buckets, with the same keys and buckets: the partitions of incoming keys are replaced, others not read.
+
+    The new partitions are complete in a checkpoint before any is replaced.  Gives the
+    buckets that were touched.  Keys must have the types they were written with, as
+    their hash depends on those.
+    """
+    spark = incoming.sparkSession
+    shared_scratch(spark)
+    placed = incoming.withColumn("bucket", _bucket(keys, buckets))
+    touched = sorted(r[0] for r in placed.select("bucket").distinct().collect())  # at most one per partition
+    if not touched:
+        return []
+    current = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    new = upsert(current, placed, keys, latest_by).checkpoint()
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def delete_documents(tables: dict[str, DataFrame], doc_ids: DataFrame, edges: str | None = None) -> dict[str, DataFrame]:
     """Every table without the rows of the given documents; edges go with their source elements."""
     gone = doc_ids.select("doc_id").distinct()
