@@ -78,6 +78,7 @@ def find(rows: DataFrame, query: dict, limit: int | None = 100, order: str | Non
 
     A scalar must be equal, a list holds the allowed values, ``<column>_like`` is a
     pattern, ``metadata`` and ``metadata_like`` look into the JSON column of that name.
+    A limit keeps the first rows in order, by default that of the rows' key.
     """
     conditions = []
     for name, wanted in query.items():
@@ -94,6 +95,8 @@ def find(rows: DataFrame, query: dict, limit: int | None = 100, order: str | Non
         else:
             conditions.append(F.col(name) == F.lit(wanted))
     found = rows.where(all_of(conditions))
+    if limit is not None:
+        order = order or next((c for c in ("element_pk", "element_id", "doc_id") if c in rows.columns), rows.columns[0])
     if order:
         found = found.orderBy(order)
     return found if limit is None else found.limit(limit)

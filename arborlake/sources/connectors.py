@@ -13,7 +13,19 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 from pyspark.sql.types import StructType
 
 from . import structured
@@ -26,20 +38,30 @@ class Page(InputPartition):
         self.offset, self.size = offset, size
 
 
-class _Reader(DataSourceReader):
+#: Filters that a client can be asked for, as it sees them.
+_OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
+
+
+class _Pages:
+    """What batch and stream readers share: the client and its pages as rows."""
+
     def __init__(self, options: dict) -> None:
         self.options = options
+        self.where: list[tuple] = []
 
     def _client(self):
         module, _, name = self.options["client"].rpartition(".")
         return getattr(importlib.import_module(module), name)(self.options)
 
-    def partitions(self) -> list[Page]:
+    def _asked(self) -> dict:
+        return {"where": self.where} if self.where else {}
+
+    def _pages(self, start: int, end: int) -> list[Page]:
         size = int(self.options.get("pagesize", 100))
-        return [Page(at, size) for at in range(0, self._client().count(), size)]
+        return [Page(at, min(size, end - at)) for at in range(start, end, size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for item in self._client().page(partition.offset, partition.size):
+        for item in self._client().page(partition.offset, partition.size, **self._asked()):
             yield (
                 str(item["id"]),
                 item.get("title"),
@@ -50,8 +72,47 @@ class _Reader(DataSourceReader):
             )
 
 
+class _Reader(_Pages, DataSourceReader):
+    def partitions(self) -> list[Page]:
+        return self._pages(0, self._client().count(**self._asked()))
+
+
+class _FilteringReader(_Reader):
+    """Sessions that do not push filters to Python sources refuse a reader that takes any."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes comparisons of the columns that the client names in ``pushable``; Spark applies the others."""
+        can = getattr(self._client(), "pushable", ())
+        for f in filters:
+            if type(f) in _OPERATORS and len(f.attribute) == 1 and f.attribute[0] in can:
+                self.where.append((f.attribute[0], _OPERATORS[type(f)], f.value))
+            else:
+                yield f
+
+
+class _StreamReader(_Pages, DataSourceStreamReader):
+    """A service that only grows: the offset is the number of items that were read."""
+
+    def initialOffset(self) -> dict:
+        return {"items": int(self.options.get("startingitems", 0))}
+
+    def latestOffset(self) -> dict:
+        return {"items": self._client().count()}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return self._pages(start["items"], end["items"])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class PagedSource(DataSource):
-    """format("paged").option("client", "package.module.Client"): count() and page(offset, size) of the client are called."""
+    """format("paged").option("client", "package.module.Client"): count() and page(offset, size) of the client are called.
+
+    A client that names columns in ``pushable`` gets comparisons of those as
+    ``where=[(column, operator, value), ...]`` in both calls.  As a stream, items are
+    numbered in the order in which the service got them, and each is read once.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -61,15 +122,25 @@ class PagedSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_FilteringReader if self.options.get("pushfilters") == "true" else _Reader)(self.options)
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
 
 
 def paged(spark: SparkSession, client: str, **options: str) -> DataFrame:
-    """Documents of a service through its client class."""
+    """Documents of a service through its client class; filters are pushed where the session allows it for Python sources."""
     spark.dataSource.register(PagedSource)
+    options = {"pushfilters": spark.conf.get("spark.sql.python.filterPushdown.enabled"), **options}
     return spark.read.format("paged").option("client", client).options(**options).load()
 
 
+def paged_stream(spark: SparkSession, client: str, **options: str) -> DataFrame:
+    """New documents of a service that only grows, as a stream."""
+    spark.dataSource.register(PagedSource)
+    return spark.readStream.format("paged").option("client", client).options(**options).load()
+
+
 def references(documents: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, field, target): values of ``*_id`` fields and of {"$oid": ...} objects at any depth of JSON texts.
 

@@ -39,3 +39,30 @@ def test_connector(spark):
 
     rows = connectors.paged(spark, "tests.fake_service.Client", pagesize="3", total="8").collect()
     assert sorted(int(r["doc_id"]) for r in rows) == list(range(8))
+
+
+def test_paged_source_pushes_filters(spark, tmp_path):
+    from arborlake.sources import connectors
+
+    log = tmp_path / "log"
+    old = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = connectors.paged(spark, "tests.fake_service.Filtering", pagesize="4", log=str(log)).where("doc_type = 'b' AND content <> '3'").collect()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
+    assert sorted(int(r["doc_id"]) for r in rows) == [1, 5, 7, 9, 11, 13, 15, 17, 19]
+    asked = log.read_text().splitlines()
+    assert len(asked) == 3 and all(a.startswith("[('doc_type', '=', 'b')]") for a in asked)
+
+
+def test_paged_stream_reads_each_item_once(spark, tmp_path):
+    from arborlake.sources import connectors
+
+    count, out = tmp_path / "count", str(tmp_path / "out")
+    for n, seen in ((7, 7), (7, 7), (18, 18)):
+        count.write_text(str(n))
+        stream = connectors.paged_stream(spark, "tests.fake_service.Growing", pagesize="5", count=str(count))
+        query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/at").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert sorted(int(r["doc_id"]) for r in spark.read.parquet(f"{out}/data").collect()) == list(range(seen))
