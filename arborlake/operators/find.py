@@ -229,3 +229,15 @@ def compare(score: Column, operator: str, threshold: float) -> Column:
         "=": F.abs(score - threshold) < 0.001,
     }
     return table[operator]
+
+
+def with_dates(elements: DataFrame, dates: DataFrame, condition: Column, key: str = "element_pk", limit: int | None = None) -> DataFrame:
+    """Elements that have a date which meets a condition, in the order of their keys, the first ``limit`` of them."""
+    found = elements.join(dates.where(condition).select(F.col("element_pk").alias(key)), key, "left_semi").orderBy(key)
+    return found if limit is None else found.limit(limit)
+
+
+def by_term(mappings: DataFrame, term: str, least: float = 0.0, limit: int | None = None) -> DataFrame:
+    """(element_id, confidence) of the elements mapped to a term, the surest first, ties by id."""
+    found = mappings.where((F.col("term") == term) & (F.col("confidence") >= least)).orderBy(F.desc("confidence"), "element_id")
+    return (found if limit is None else found.limit(limit)).select("element_id", "confidence")

@@ -166,3 +166,23 @@ def value_summary(values: DataFrame) -> DataFrame:
         F.round(F.max("value"), 4).alias("greatest"),
         F.round(F.avg("value"), 4).alias("mean"),
     )
+
+
+def term_usage(mappings: DataFrame, term: str = "term", confidence: str = "confidence") -> DataFrame:
+    """(terms, mappings, mean_confidence): one row over all mappings; a term's partial counts and sums meet, not its rows."""
+    per = mappings.groupBy(term).agg(F.count(F.lit(1)).alias("n"), F.sum(confidence).alias("s"), F.count(confidence).alias("c"))
+    return per.agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("mappings"), (F.sum("s") / F.sum("c")).alias("mean_confidence"))
+
+
+def speakers(turns: DataFrame, document: str, speaker: str) -> DataFrame:
+    """(document, speakers, turns, roles): how many speak in each document, how often, and who, in order and parted by commas."""
+    return turns.groupBy(document).agg(
+        F.count_distinct(speaker).alias("speakers"),
+        F.count(F.lit(1)).alias("turns"),
+        F.array_join(F.array_sort(F.collect_set(speaker)), ",").alias("roles"),
+    )
+
+
+def date_ranges(dates: DataFrame, element: str = "element_pk", at: str = "ts") -> DataFrame:
+    """(element, first_date, last_date, n): the span of each element's dates."""
+    return dates.groupBy(element).agg(F.min(at).alias("first_date"), F.max(at).alias("last_date"), F.count(F.lit(1)).alias("n"))

@@ -309,7 +309,22 @@ PHRASE = "the region of the nation"
 SEMANTIC = ontology.Ontology("meaning", {"place": "Place"}, {"place": (ontology.Rule("semantic", (PHRASE,), threshold=0.4),)})
 
 
-@R.query("semantic_mappings")
+HASHED = r"""list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"""
+
+
+@R.query("semantic_mappings", f"""WITH {b.ELEMENTS}, said AS (
+  SELECT element_id, unnest({HASHED.format(text="text")}) AS t FROM elements WHERE element_type <> 'root'
+  UNION ALL SELECT NULL, unnest({HASHED.format(text=f"'{PHRASE}'")})
+), hashed AS (
+  SELECT element_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM said
+), counted AS (
+  SELECT element_id, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS n FROM hashed GROUP BY ALL
+), sized AS (
+  SELECT element_id, i, n / sqrt(sum(n * n) OVER (PARTITION BY element_id)) AS x FROM counted
+), near AS (
+  SELECT e.element_id, sum(e.x * p.x) AS s FROM sized e JOIN sized p ON e.i = p.i AND p.element_id IS NULL WHERE e.element_id IS NOT NULL GROUP BY e.element_id
+)
+SELECT element_id, 'place' AS term, round(s, 6) AS confidence, 'semantic:0' AS mapping_rule FROM near WHERE s >= 0.4 - 1e-12""")
 def semantic_mappings(spark, sf_dir):
     e = b.elements(spark, sf_dir).where("element_type <> 'root'")
     return ontology.map_terms(e, SEMANTIC).select("element_id", "term", F.round("confidence", 6).alias("confidence"), "mapping_rule")

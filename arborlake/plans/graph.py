@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import edges, ontology, storage, tree
+from ..operators import edges, find, ontology, storage, tree
 from ..registry import Registry
 from . import bindings as b
 
@@ -211,8 +211,7 @@ def term_relationships(spark, sf_dir):
 
 @R.query("elements_by_term", f"WITH {MAPPED} SELECT element_id, confidence FROM mapped WHERE term = 'article' AND confidence >= 0.5 ORDER BY confidence DESC, element_id LIMIT 50")
 def elements_by_term(spark, sf_dir):
-    found = ontology.map_terms(b.elements(spark, sf_dir), TERMS).where("term = 'article' AND confidence >= 0.5")
-    return found.orderBy(F.desc("confidence"), "element_id").limit(50).select("element_id", "confidence")
+    return find.by_term(ontology.map_terms(b.elements(spark, sf_dir), TERMS), "article", 0.5, limit=50)
 
 
 @R.query("derived_entities", """SELECT 'brand:' || replace(lower(p_brand), '#', '') AS entity_id, 'brand' AS entity_type, p_brand AS name, min(p_partkey) AS first_element, count(*) AS mentions FROM part GROUP BY p_brand""")

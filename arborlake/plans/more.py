@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..operators import api, tree
+from ..operators import api, edges, find, stats, tree
 from ..registry import Registry
 from ..sources import connectors, structured
 from . import bindings as b
@@ -114,16 +113,15 @@ def xml_containers(spark, sf_dir):
 
 @R.query("element_date_ranges", f"WITH {b.DATES} SELECT element_pk, min(ts) AS first_date, max(ts) AS last_date, count(*) AS n FROM dates GROUP BY element_pk")
 def element_date_ranges(spark, sf_dir):
-    return b.dates(spark, sf_dir).groupBy("element_pk").agg(F.min("ts").alias("first_date"), F.max("ts").alias("last_date"), F.count(F.lit(1)).alias("n"))
+    return stats.date_ranges(b.dates(spark, sf_dir))
 
 
 @R.query("elements_with_dates", f"WITH {b.DATES} SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT element_pk FROM dates WHERE ts >= TIMESTAMP '1998-06-01') ORDER BY c_custkey LIMIT 40")
 def elements_with_dates(spark, sf_dir):
-    dated = b.dates(spark, sf_dir).where("ts >= timestamp_ntz'1998-06-01'").select(F.col("element_pk").alias("c_custkey"))
-    return b.table(spark, sf_dir, "customer").join(dated, "c_custkey", "left_semi").orderBy("c_custkey").limit(40).select("c_custkey")
+    customers = b.table(spark, sf_dir, "customer").select("c_custkey")
+    return find.with_dates(customers, b.dates(spark, sf_dir), F.col("ts") >= F.expr("timestamp_ntz'1998-06-01'"), key="c_custkey", limit=40)
 
 
 @R.query("top_neighbours", f"""WITH {b.VECTORS}, p AS (SELECT doc_id, element_pk, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, element_pk) AS nth FROM vectors) SELECT doc_id, element_pk FROM p WHERE nth <= 3""")
 def top_neighbours(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "element_pk")
-    return b.vectors(spark, sf_dir).withColumn("nth", F.row_number().over(w)).where("nth <= 3").select("doc_id", "element_pk")
+    return edges.surest(b.vectors(spark, sf_dir), "doc_id", "confidence", "element_pk", 3).select("doc_id", "element_pk")

@@ -120,13 +120,8 @@ def term_statistics(spark, sf_dir):
 
 @R.query("term_usage_report", """SELECT count(DISTINCT p_brand) AS terms, count(*) AS mappings, round(avg(p_size / 50.0), 6) AS mean_confidence FROM part""")
 def term_usage_report(spark, sf_dir):
-    per = stats.term_statistics(
-        b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("term"), (F.col("p_size") / F.lit(50.0)).alias("confidence")), ["term"]
-    )
-    # the mean over mappings, from the parts: counts weigh the exact sums
-    part = b.table(spark, sf_dir, "part")
-    mean = part.agg(F.round(F.avg(F.col("p_size") / F.lit(50.0)), 6).alias("mean_confidence"))
-    return per.agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("mappings")).crossJoin(mean)
+    mappings = b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("term"), (F.col("p_size") / F.lit(50.0)).alias("confidence"))
+    return stats.term_usage(mappings).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 @R.query("document_statistics", f"""WITH {b.ELEMENTS} SELECT doc_id, count(*) AS elements, sum(length(text))::BIGINT AS characters,
@@ -203,8 +198,4 @@ def failure_reasons(spark, sf_dir):
 @R.query("speakers_per_conversation", """SELECT conv_id, count(DISTINCT role) AS speakers, count(*) AS turns,
   string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id""")
 def speakers_per_conversation(spark, sf_dir):
-    return b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.count_distinct("role").alias("speakers"),
-        F.count(F.lit(1)).alias("turns"),
-        F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"),
-    )
+    return stats.speakers(b.table(spark, sf_dir, "conversations"), "conv_id", "role")
