@@ -56,13 +56,16 @@ def _terms(spark, sf_dir):
   SELECT regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM benchmark
 ), term AS (
   SELECT DISTINCT lower(array_to_string(w[1:n], ' ')) AS term, 'words' || n AS entity_type, n FROM item, range(1, 4) AS t(n) WHERE len(w) >= n
-), split AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+') AS w FROM documents
+), word AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS first
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+') AS w FROM documents)
+), three AS (
+  SELECT doc_id, first, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY first)
 ), stretch AS (
-  SELECT doc_id, unnest(range(0, len(w) - n + 1)) AS first, n, w FROM split, range(1, 4) AS t(n)
+  SELECT doc_id, first, 1 AS n, w AS raw FROM three UNION ALL SELECT doc_id, first, 2, w || ' ' || w2 FROM three
+  UNION ALL SELECT doc_id, first, 3, w || ' ' || w2 || ' ' || w3 FROM three
 ), hit AS (
-  SELECT doc_id, entity_type, term, first, s.n, array_to_string(w[first + 1:first + s.n], ' ') AS raw
-  FROM stretch s JOIN term t ON s.n = t.n AND lower(array_to_string(w[first + 1:first + s.n], ' ')) = term
+  SELECT doc_id, entity_type, term, first, s.n, raw FROM stretch s JOIN term t ON s.n = t.n AND lower(raw) = term
 )
 SELECT doc_id, entity_type, term, first, n AS n_words, raw FROM hit h
 WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.n > h.n AND o.first <= h.first AND o.first + o.n >= h.first + h.n)""")
