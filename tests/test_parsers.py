@@ -221,7 +221,7 @@ def test_parsers_feed_the_tree_operators(spark):
     kinds = lambda d: sorted((r["element_type"], r["text"]) for r in d.where("doc_id = 0").collect() if r["element_type"] in ("header", "table_cell", "code_block", "paragraph"))
     assert [k for k in kinds(again) if k[0] != "header"] == [k for k in kinds(e) if k[0] != "header"]
     html = {r["doc_id"]: r["html"] for r in tree.as_html(e).collect()}
-    assert "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr>" in html[0] and "<ul><li>one goes on</li><li>two</li></ul>" in html[0]
+    assert "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr>" in html[0] and "<ul><li>one goes on</li><li>two<ul><li>inner</li><li>other</li></ul></li></ul>" in html[0]
     whole = tree.complete(spark.createDataFrame([(0, "s"), (1, "t"), (9, "none")], "doc_id long, source string"), e, tree.containment(e)).collect()
     by = {r["doc_id"]: r for r in whole}
     assert by[9]["elements"] == [] and by[9]["text"] == "" and by[1]["text"] == "Only" and len(by[0]["elements"]) == e.where("doc_id = 0").count()
