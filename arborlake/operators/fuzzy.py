@@ -1,14 +1,20 @@
 """Texts within an edit distance: a join that loses no pair, and entities merged along its links.
 
 Two texts are alike if one minus their Levenshtein distance over the longer length is
-at least a threshold.  The shorter is cut into one segment more than edits are allowed,
-so that one segment stands unchanged in the longer text, moved no further than the
-edits before and after it allow.  Texts meet on (length, segment number, segment), an
-equality that Spark shuffles; only what meets is compared.
+at least a threshold.  The shorter is cut into so many parts that one of them has at
+most one edit in the longer text, where it moved no further than the other edits allow.
+Up to three edits that is one part or two, long enough to be rare, and a part and its
+counterpart meet by equality once the edited character is left out of either or both.
+More edits need many parts, of which one stands unchanged.  Texts meet on the hash of
+(length, edits, part number, character left out, rest), an equality that Spark shuffles;
+only what meets is compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,79 +23,112 @@ from ..session import shared_scratch
 
 _EPSILON = 1e-9
 
+#: Up to so many edits a part may hold one; beyond, parts are short and stand unchanged.
+_FEW_EDITS = 3
+
 
 def _edits(longer: Column, threshold: float) -> Column:
     """Edits that a threshold allows to a longer text of this length."""
     return F.floor(longer * (1 - threshold) + _EPSILON).cast("int")
 
 
-def _segments(length: Column, threshold: float) -> Column:
-    """Into how many segments a text of this length is cut: one more than the edits to its longest partner."""
-    return _edits(F.floor(length / threshold + _EPSILON), threshold) + 1
-
-
-def _start(length: Column, n: Column, i: Column) -> Column:
-    """Where the i-th of n segments starts, from 0: of nearly equal lengths, the longer ones last."""
-    return i * F.floor(length / n) + F.greatest(F.lit(0), i - (n - length % n))
-
-
-def _range(first: Column, last: Column) -> Column:
-    return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
-def _cut(threshold: float) -> Column:
-    """(length, nth, segment) of the column value as the shorter text."""
-    length = F.length("value")
-    n = _segments(length, threshold)
-
-    def piece(i: Column) -> Column:
-        start = _start(length, n, i)
-        end = _start(length, n, i + 1)
-        return F.struct(length.alias("length"), i.alias("nth"), F.substring(F.col("value"), (start + 1).cast("int"), (end - start).cast("int")).alias("segment"))
-
-    return F.transform(_range(F.lit(0), n - 1), piece)
-
-
-def _probes(threshold: float) -> Column:
-    """(length, nth, segment) at which the column value, as the longer text, can meet a partner's segment."""
-    own = F.length("value")
-
-    def of_length(length: Column) -> Column:
-        n, longer = _segments(length, threshold), own - length
-
-        def of_segment(i: Column) -> Column:
-            start, after = _start(length, n, i), n - 1 - i
-            width = _start(length, n, i + 1) - start
-            first = F.greatest(F.lit(0), start - i, start + longer - after)
-            last = F.least(own - width, start + i, start + longer + after)
-            said = lambda q: F.substring(F.col("value"), (q + 1).cast("int"), width.cast("int"))
-            return F.transform(_range(first, last), lambda q: F.struct(length.alias("length"), i.alias("nth"), said(q).alias("segment")))
-
-        return F.flatten(F.transform(_range(F.lit(0), n - 1), of_segment))
-
-    return F.array_distinct(F.flatten(F.transform(_range(F.greatest(F.lit(1), own - _edits(own, threshold)), own), of_length)))
+def _allowed(longer: int, threshold: float) -> int:
+    return int(longer * (1 - threshold) + _EPSILON)
+
+
+def _parts(length: int, edits: int) -> list[tuple[int, int]]:
+    """(start, width) of the parts that the shorter of a pair is cut into, of nearly equal widths, the longer ones last."""
+    n = edits // 2 + 1 if edits <= _FEW_EDITS else edits + 1
+    starts = [i * (length // n) + max(0, i - (n - length % n)) for i in range(n + 1)]
+    return [(start, end - start) for start, end in zip(starts, starts[1:])]
+
+
+def _without(text: str, begin: int, width: int) -> list[tuple[str, str]]:
+    """(rest, character): a stretch of the text without each of its characters in turn."""
+    return [(text[begin:at] + text[at + 1 : begin + width], text[at]) for at in range(begin, begin + width)]
+
+
+def _cut(text: str, threshold: float) -> list[tuple[str, str]]:
+    """(key, character replaced or empty) of the shorter text: its parts, and where an edit may fall into one, those without a character."""
+    length, keys = len(text), []
+    for edits in range(max(1, _allowed(length, threshold)), _allowed(int(length / threshold + _EPSILON), threshold) + 1):
+        for nth, (start, width) in enumerate(_parts(length, edits)):
+            head = f"{length} {edits} {nth} "
+            keys.append((f"{head}- {text[start : start + width]}", ""))
+            if edits <= _FEW_EDITS:
+                keys += [(f"{head}{at} {rest}", left) for at, (rest, left) in enumerate(_without(text, start, width))]
+    return keys
+
+
+def _probes(text: str, threshold: float) -> set[tuple[str, str]]:
+    """(key, character replaced or empty) at which the longer text can meet a partner's part."""
+    own, keys = len(text), set()
+    edits = _allowed(own, threshold)
+    few = edits <= _FEW_EDITS
+    for length in range(max(1, own - edits), own + 1) if edits else ():
+        parts = _parts(length, edits)
+        for nth, (start, width) in enumerate(parts):
+            head = f"{length} {edits} {nth} "
+            for grown in (0, 1, -1) if few else (0,):
+                # the first part's stretch starts the text, the last part's ends it
+                end = own - width - grown
+                first = max(0, end if nth == len(parts) - 1 else start - edits)
+                last = min(end, 0 if nth == 0 else start + edits)
+                for q in range(first, last + 1):
+                    if abs(q - start) + abs(own - length - grown - q + start) + abs(grown) > edits:
+                        continue
+                    said = text[q : q + width + grown]
+                    if grown == 0:
+                        keys.add((f"{head}- {said}", ""))
+                        if few:
+                            keys.update([(f"{head}{at} {rest}", left) for at, (rest, left) in enumerate(_without(text, q, width))])
+                    elif grown == 1:
+                        keys.update([(f"{head}- {rest}", "") for rest, _ in _without(text, q, width + 1)])
+                    else:
+                        keys.update([(f"{head}{at} {said}", "") for at in range(width)])
+    return keys
+
+
+def _keyed(values: DataFrame, name: str, keys: Callable[[str, float], Iterable[tuple[str, str]]], threshold: float) -> DataFrame:
+    """(kind, name, left, key): a row for each key of each value."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                found = [list(keys(text, threshold)) for text in part.column("value").to_pylist()]
+                owner = pa.array([j for j, of in enumerate(found) for _ in of], pa.int32())
+                flat = [pa.array([key[k] for of in found for key in of], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("kind").take(owner), part.column("value").take(owner), *flat], ["kind", name, "key", "left"])
+
+    kind = values.schema["kind"].dataType.simpleString()
+    rows = values.select("kind", "value").mapInArrow(per_batch, f"kind {kind}, {name} string, key string, left string")
+    return rows.select("kind", name, "left", F.xxhash64("key").alias("key"))
 
 
 def candidates(values: DataFrame, threshold: float) -> DataFrame:
-    """(kind, a, b): distinct values (kind, value) of one kind that share a segment, the shorter (or smaller) first; with repeats."""
+    """(kind, a, b): distinct values (kind, value) of one kind that share a part, the shorter (or smaller) first; with repeats."""
     if not 0.6 <= threshold <= 1:
         raise ValueError("below 0.6 short texts have more edits than characters to cut at")
     held = values.where(F.length("value") > 0)
-    cut = held.select("kind", F.col("value").alias("a"), F.inline(_cut(threshold)))
-    probed = held.select(F.col("kind").alias("__kind"), F.col("value").alias("b"), F.inline(_probes(threshold)))
-    met = cut.join(probed, ["length", "nth", "segment"]).where(F.col("kind").eqNullSafe(F.col("__kind")))
+    cut = _keyed(held, "a", _cut, threshold)
+    probed = _keyed(held, "b", _probes, threshold).withColumnsRenamed({"kind": "__kind", "left": "__left"})
+    met = cut.join(probed, "key").where(F.col("kind").eqNullSafe(F.col("__kind")))
+    # equal parts meet as they are, and need not once more without each character
+    replaced = (F.col("left") == "") | (F.col("__left") == "") | (F.col("left") != F.col("__left"))
     ordered = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    return met.where(ordered & (F.col("a") != F.col("b"))).select("kind", "a", "b")
+    return met.where(replaced & ordered & (F.col("a") != F.col("b"))).select("kind", "a", "b")
 
 
 def alike(values: DataFrame, threshold: float = 0.85, kind: str = "kind", value: str = "value") -> DataFrame:
     """(kind, a, b, ratio): all pairs of distinct values of one kind that are alike; a is the shorter, or the smaller.
 
-    Null and empty values are like none.  A segment that many values share brings them
-    all together, so work grows with the pairs that share one, not with all pairs.
+    Null and empty values are like none.  Work grows with the pairs that share a part but
+    for one edit, not with all pairs nor with those that share a syllable.
     """
     distinct = values.select(F.col(kind).alias("kind"), F.col(value).alias("value")).distinct()
-    scored = candidates(distinct, threshold).withColumn("ratio", normalize.levenshtein_ratio(F.col("a"), F.col("b")))
+    within = F.call_function("levenshtein", F.col("a"), F.col("b"), _edits(F.length("b"), threshold)) >= 0
+    scored = candidates(distinct, threshold).where(within).withColumn("ratio", normalize.levenshtein_ratio(F.col("a"), F.col("b")))
     return scored.where(F.col("ratio") >= threshold).distinct()
 
 

@@ -124,3 +124,11 @@ def test_dictionary(spark, monkeypatch, longest, sent):
     assert {(r["element_pk"], r["entity_type"], r["term"], r["begin"], r["n_words"]) for r in found} == wanted
     assert len(found) == len(wanted) and all(r["raw"].lower() == r["term"] for r in found)
     assert dictionary.matches(df, entries.limit(0)).collect() == []
+
+
+def test_alike_common_syllables_bring_nothing_together(spark):
+    rng = random.Random(5)
+    words = sorted({"that" + "".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(1500)})
+    df = spark.createDataFrame([("k", w) for w in words + [words[0][:-1] + "z", words[0] + "yz"]], "kind string, value string")
+    assert fuzzy.candidates(df, 0.85).count() < 20 * len(words)
+    assert {(r["a"], r["b"]) for r in fuzzy.alike(df).collect()} >= {(words[0], words[0][:-1] + "z"), (words[0], words[0] + "yz")}
