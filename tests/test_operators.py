@@ -294,3 +294,12 @@ def test_ancestry_of_elements_out_of_order(spark):
     rows = [("a", 1, None, "p", 0, None, ""), ("b", 1, "a", "p", 1, None, ""), ("c", 1, "a", "p", 2, None, ""), ("d", 1, "b", "p", 3, None, ""), ("e", 2, "d", "p", 0, None, "")]
     paths = {r["element_id"]: r["ancestor_ids"] for r in tree.ancestry(_element(spark, rows)).collect()}
     assert paths == {"a": [], "b": ["a"], "c": ["a"], "d": ["b", "a"], "e": ["d", "b", "a"]}
+
+
+def test_entity_pairs_are_not_shuffled(spark):
+    rows = [("a", "x", [1, 2]), ("c", "x", [2]), ("b", "y", [1, 2]), ("d", "y", [2]), ("b", "y", [2]), ("a", "y", [1]), ("e", "y", None)]
+    table = spark.createDataFrame(rows, "entity_id string, entity_type string, elements array<int>")
+    found = [tuple(r) for r in edges.entity_pairs(table, "x", "y", overlap="elements").collect()]
+    assert sorted(found) == [("a", "b"), ("a", "d"), ("c", "b"), ("c", "d")]
+    single = edges.entity_pairs(table, "x", "y", overlap="elements")._jdf.queryExecution().optimizedPlan().toString()
+    assert single.startswith("Union")
