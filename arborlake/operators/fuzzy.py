@@ -132,6 +132,21 @@ def alike(values: DataFrame, threshold: float = 0.85, kind: str = "kind", value:
     return scored.where(F.col("ratio") >= threshold).distinct()
 
 
+def scored_pairs(rows: DataFrame, key: str, value: str, same: list[str]) -> DataFrame:
+    """(a, b, ratio): all pairs of keys a < b of rows that agree on the columns ``same``, with the likeness of their values.
+
+    Each two different values of a group are compared once, however many rows have them;
+    they are spread over the tasks before their rows are paired.
+    """
+    held = rows.groupBy(*same, F.col(value).alias("__value")).agg(F.collect_list(key).alias("__keys"))
+    other = held.select(*same, F.col("__value").alias("__other"), F.col("__keys").alias("__others"))
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    met = held.join(other, same).repartition(spread, *same, "__value", "__other")
+    scored = met.withColumn("ratio", normalize.levenshtein_ratio(F.col("__value"), F.col("__other")))
+    left = scored.select("ratio", "__others", F.explode("__keys").alias("a"))
+    return left.select("a", F.explode("__others").alias("b"), "ratio").where("a < b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of undirected links (a, b): the smallest node that can be reached, itself included.
 

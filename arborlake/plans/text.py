@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract, normalize, temporal, vectors
-from ..operators import stats
+from ..operators import fuzzy, stats
 from ..registry import Registry
 from ..sources import readers, text
 from . import bindings as b
@@ -225,11 +225,7 @@ def normalized_names(spark, sf_dir):
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def levenshtein_pairs(spark, sf_dir):
     part = b.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    x, y = part.alias("x"), part.alias("y")
-    pairs = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    return pairs.select(
-        F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), F.round(normalize.levenshtein_ratio(F.col("x.p_name"), F.col("y.p_name")), 6).alias("ratio")
-    )
+    return fuzzy.scored_pairs(part, "p_partkey", "p_name", ["p_brand", "p_size"]).withColumn("ratio", F.round("ratio", 6))
 
 
 @R.query("composite_ids", "SELECT 'docs/source=' || source || '/doc_id=' || doc_id AS id, length(text)::INT AS n FROM documents WHERE length(text) > 100")

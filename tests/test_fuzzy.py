@@ -132,3 +132,12 @@ def test_alike_common_syllables_bring_nothing_together(spark):
     df = spark.createDataFrame([("k", w) for w in words + [words[0][:-1] + "z", words[0] + "yz"]], "kind string, value string")
     assert fuzzy.candidates(df, 0.85).count() < 20 * len(words)
     assert {(r["a"], r["b"]) for r in fuzzy.alike(df).collect()} >= {(words[0], words[0][:-1] + "z"), (words[0], words[0] + "yz")}
+
+
+def test_scored_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["abc", "abd", "xyz", "abcde", None]), rng.choice(["g", "h", None])) for i in range(60)]
+    found = fuzzy.scored_pairs(spark.createDataFrame(rows, "k long, v string, g string"), "k", "v", ["g"]).collect()
+    alike = lambda x, y: None if x is None or y is None else ratio(x, y)
+    wanted = {(a, b): alike(x, y) for a, x, g in rows for b, y, h in rows if a < b and g is not None and g == h}
+    assert {(r["a"], r["b"]): r["ratio"] for r in found} == wanted and len(found) == len(wanted)
