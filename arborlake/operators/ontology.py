@@ -30,7 +30,7 @@ class Rule:
     """keywords, regex or semantic; element_type limits it: ``*``, a name or a pattern from the start.
 
     A semantic rule holds one phrase and hits where the element's embedding is at least
-    ``threshold`` similar to the phrase's; the similarity is its confidence.
+    ``threshold`` similar to the phrase's, but for the rounding of doubles; the similarity is its confidence.
     """
 
     kind: str
@@ -47,7 +47,7 @@ class Rule:
         """The rule's confidence in an element, null where it does not hit."""
         if self.kind == "semantic":
             near = vectors.cosine(embedding, vectors.constant(_spark(), embed(F.lit(self.values[0]))))
-            found = F.when(near >= self.threshold, near)
+            found = F.when(near >= self.threshold - 1e-12, near)
         elif self.kind == "keywords":
             found = F.when(F.col("text").rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, self.values))})\b"), self.confidence)
         else:

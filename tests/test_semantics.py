@@ -287,3 +287,11 @@ def test_shared_ancestors_and_children(spark):
     assert sorted(map(tuple, tree.share_ancestor(e, pairs, 0).collect())) == [("a", "b"), ("a1", "a2")]
     assert sorted(map(tuple, tree.share_ancestor(e, pairs, 1).collect())) == [("a1", "a2"), ("a1", "b1")]
     assert {r["element_id"]: r["children"] for r in tree.first_children(e, 1).collect()} == {"r": ["a"], "a": ["a1"], "b": ["b1"]}
+
+
+def test_semantic_rule_at_its_threshold(spark):
+    near = [("at", 0.4 - 4e-16), ("below", 0.4 - 1e-9), ("above", 0.41)]
+    e = spark.createDataFrame([(k, "t", [x, (1 - x * x) ** 0.5]) for k, x in near], "element_id string, text string, embedding array<double>")
+    rule = ontology.Rule("semantic", ("phrase",), threshold=0.4)
+    found = ontology.map_terms(e, ontology.Ontology("d", {"t": "T"}, {"t": (rule,)}), lambda _: vectors.literal([1.0, 0.0])).collect()
+    assert {r["element_id"] for r in found} == {"at", "above"}
