@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
@@ -276,68 +276,157 @@ def full_text(elements: DataFrame) -> DataFrame:
 
 # Element types whose place among others decides how they are shown.
 _GROUPED = ["list", "list_item", "table", "table_row", "table_header_row", "table_cell", "table_header"]
+_GROUPED_SET = frozenset(_GROUPED)
 
 
 def _blocks(elements: DataFrame) -> DataFrame:
-    """What is shown of documents, in order, with what precedes and follows it.
+    """(doc_id, blocks): what is shown of each document, in order.
 
-    (doc_id, position, element_id, kind, level, text, cells, head, depth, own, before, after):
-    the cells of a table row are one block of kind ``cell``; depth counts the list items
-    around a list item.  own names the table of a row or the list of an item; before and
-    after are (kind, own, head, depth) of the neighbours if those belong to the same
-    table or list, else null.
+    A block is a struct (kind, level, text, cells, head, depth, joined): the cells of a table
+    row are one block of kind ``cell``; depth counts the list items around a list item.
+    joined: the block before belongs to the same table or list.
+
+    One shuffle by document; a task sorts its rows and holds the blocks of one document.
     """
+    kinds = {c: elements.schema[c].dataType.simpleString() for c in ("doc_id", "element_id", "parent_id")}
+    own = F.col("element_id"), F.col("parent_id")
+    if kinds["element_id"] != kinds["parent_id"]:
+        own = tuple(c.cast("string") for c in own)
     kind = F.col("element_type")
-    cell = kind.isin("table_cell", "table_header")
-    grouped = elements.where(kind.isin(_GROUPED))
-    above = labels(grouped).select("doc_id", "element_id", "ancestor_ids")
-    placed = grouped.where(cell | (kind == "list_item")).join(above, ["doc_id", "element_id"])
-
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "element_id", "text"))), lambda x: x["text"])
-    rows = placed.where(cell).groupBy("doc_id", "parent_id").agg(
-        F.min("position").alias("position"),
-        F.min("element_id").alias("element_id"),
-        F.bool_or(kind == "table_header").alias("head"),
-        texts.alias("cells"),
-        F.min(F.get("ancestor_ids", F.lit(1))).cast("string").alias("own"),
-    )
-    # the list items around an item are those of its ancestors; its list is what holds the outermost of them
-    items = placed.where("element_type = 'list_item'")
-    around = items.select("element_id", "level", "text", "position", "doc_id", "parent_id", "ancestor_ids", F.posexplode_outer("ancestor_ids").alias("nth", "__up"))
-    others = items.select(F.col("doc_id").alias("__doc"), F.col("element_id").cast("string").alias("__item"), F.col("parent_id").alias("__holder"))
-    met = around.join(others, (F.col("doc_id") == F.col("__doc")) & (F.col("__up").cast("string") == F.col("__item")), "left")
-    lists = met.groupBy("doc_id", "element_id").agg(
-        F.first("position").alias("position"),
-        F.first("text").alias("text"),
-        F.count("__item").cast("int").alias("depth"),
-        F.coalesce(F.max_by("__holder", F.when(F.col("__item").isNotNull(), F.col("nth"))), F.first("parent_id")).cast("string").alias("own"),
+    shown = kind.isin(_GROUPED) | (F.trim("text") != "")
+    rows = elements.where(shown).select(
+        "doc_id", "position", "element_id", own[0].alias("own"), own[1].alias("parent"), kind.alias("kind"), F.col("level").cast("int").alias("level"), "text"
     )
-    none = lambda c, k: F.lit(None).cast(k).alias(c)
-    columns = ["doc_id", "position", "element_id", "kind", "level", "text", "cells", "head", "depth", "own"]
-    plain = elements.where(~cell & (kind != "list_item") & (F.trim("text") != "")).select(
-        "doc_id", "position", "element_id", kind.alias("kind"), F.col("level").cast("int").alias("level"), "text",
-        none("cells", "array<string>"), none("head", "boolean"), none("depth", "int"), none("own", "string"),
-    )
-    table_rows = rows.withColumns({"kind": F.lit("cell"), "level": F.lit(None).cast("int"), "text": F.lit("-"), "depth": F.lit(None).cast("int")}).select(*columns)
-    list_items = lists.withColumns(
-        {"kind": F.lit("item"), "level": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<string>"), "head": F.lit(None).cast("boolean")}
-    ).where("trim(text) <> ''").select(*columns)
-    w = Window.partitionBy("doc_id").orderBy("position", "element_id")
-    side = F.struct("kind", "own", "head", "depth")
+    fields = [("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("cells", pa.list_(pa.string())), ("head", pa.bool_()), ("depth", pa.int32()), ("joined", pa.bool_())]
+    schema = f"doc_id {kinds['doc_id']}, blocks array<struct<kind:string,level:int,text:string,cells:array<string>,head:boolean,depth:int,joined:boolean>>"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = object()
+        page = _Page()
+        docs, ends, out, doc_type = [], [0], [], None
 
-    def same(neighbour: Column) -> Column:
-        return F.when((neighbour["kind"] == F.col("kind")) & F.col("kind").isin("cell", "item") & neighbour["own"].eqNullSafe(F.col("own")), neighbour)
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)]
+            blocks = pa.StructArray.from_arrays(columns, names=[n for n, _ in fields])
+            batch = pa.RecordBatch.from_arrays([pa.array(docs, doc_type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks)], names=["doc_id", "blocks"])
+            docs.clear(), out.clear()
+            ends[:] = [0]
+            return batch
+
+        def close() -> None:
+            before = len(out)
+            out.extend(page.blocks())
+            if len(out) > before:
+                docs.append(doc)
+                ends.append(len(out))
 
-    everything = plain.unionByName(table_rows).unionByName(list_items)
-    return everything.withColumns({"__b": F.lag(side).over(w), "__a": F.lead(side).over(w), "__first": F.row_number().over(w) == 1}).select(
-        *columns, same(F.col("__b")).alias("before"), same(F.col("__a")).alias("after"), F.col("__first").alias("first")
-    )
+        for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
+            for d, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if d != doc:
+                    close()
+                    doc, page = d, _Page()
+                    if len(out) >= 10_000:
+                        yield flushed()
+                page.add(*row)
+        close()
+        if out:
+            yield flushed()
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "position", "element_id").mapInArrow(walk, schema)
+
+
+class _Page:
+    """Blocks of one document, whose elements come by position.
+
+    Only elements of the grouped types have places in the tree; those above an item or a
+    cell are found as ``labels`` finds them.
+    """
 
+    def __init__(self) -> None:
+        self.found: list[list] = []  # position, id, kind, level, text, cells, head, own, node
+        self.rows: dict[object, list] = {}
+        self.holders: dict[object, object] = {}  # of list items
+        self.nodes: list[list] = []  # id, the node above, items up to here, the holder of the outermost of those
+        self.open: list[list] = []
+        self.at: dict[object, int] = {}
+        self.moved = False
+
+    def _place(self, own: object, parent: object) -> list:
+        stack, at = self.open, self.at
+        root = parent is None or parent == own
+        known = not root and parent in at
+        for _ in range(len(stack) - (at[parent] + 1 if known else 0)):
+            at.pop(stack.pop()[0], None)
+        if not root and not known:
+            self._push(parent)
+        return self._push(own)
+
+    def _push(self, own: object) -> list:
+        node = [own, self.open[-1] if self.open else None, 0, None]
+        self.at[own] = len(self.open)
+        self.open.append(node)
+        self.nodes.append(node)
+        return node
+
+    def add(self, position, element_id, own, parent, kind, level, text) -> None:
+        node = self._place(own, parent) if kind in _GROUPED_SET else None
+        if kind == "table_cell" or kind == "table_header":
+            above = node[1] and node[1][1]
+            table = above[0] if above else None
+            row = self.rows.get(parent)
+            if row is None:
+                row = self.rows[parent] = [position, element_id, "cell", None, None, [], False, table, None]
+                self.found.append(row)
+            elif element_id is not None and (row[1] is None or element_id < row[1]):
+                row[1], self.moved = element_id, True
+            row[5].append(text)
+            row[6] = row[6] or kind == "table_header"
+            if table is not None and (row[7] is None or table < row[7]):
+                row[7] = table
+        elif kind == "list_item":
+            self.holders[own] = parent
+            if text is not None and text.strip(" "):
+                self.found.append([position, element_id, "item", None, text, None, None, parent, node])
+        elif text is not None and text.strip(" "):
+            self.found.append([position, element_id, kind, level, text, None, None, None, None])
+
+    def blocks(self) -> Iterator[tuple]:
+        for node in self.nodes:  # those above come first
+            up = node[1]
+            items, holder = (up[2], up[3]) if up else (0, None)
+            if node[0] in self.holders:
+                node[2], node[3] = items + 1, holder if items else self.holders[node[0]]
+            else:
+                node[2], node[3] = items, holder
+        if self.moved:
+            self.found.sort(key=lambda b: (b[0] is not None, b[0], b[1] is not None, b[1]))
+        last, last_own = None, None
+        for _, _, kind, level, text, cells, head, own, node in self.found:
+            depth = None
+            if node:
+                up = node[1]
+                depth = up[2] if up else 0
+                if depth and up[3] is not None:
+                    own = up[3]
+            joined = kind == last and own == last_own and kind in ("cell", "item")
+            last, last_own = kind, own
+            yield kind, level, text, cells, head, depth, joined
+
+
+def _laid(elements: DataFrame, body: Callable[[Column, Column, Column], Column], gap: tuple[str, str], name: str) -> DataFrame:
+    """(doc_id, name): the bodies of the blocks in order, each after its gap but for the first.
+
+    body gets a block and its neighbours, which are null unless they belong to the same
+    table or list; gap: inside of those, and elsewhere.
+    """
+
+    def shown(block: Column, i: Column) -> Column:
+        after = F.get("blocks", i + 1)
+        between = F.when(i == 0, "").when(block["joined"], gap[0]).otherwise(gap[1])
+        return F.concat(between, body(block, F.when(block["joined"], F.get("blocks", i - 1)), F.when(after["joined"], after)))
 
-def _laid(blocks: DataFrame, body: Column, gap: Column, name: str) -> DataFrame:
-    """(doc_id, name): the bodies in order, each after its gap but for the first."""
-    shown = F.concat(F.when(F.col("first"), F.lit("")).otherwise(gap), body)
-    return blocks.groupBy("doc_id").agg(_joined(shown, "").alias(name))
+    return _blocks(elements).select("doc_id", F.array_join(F.transform("blocks", shown), "").alias(name))
 
 
 def as_markdown(elements: DataFrame) -> DataFrame:
@@ -345,18 +434,21 @@ def as_markdown(elements: DataFrame) -> DataFrame:
 
     Blocks are parted by a blank line, rows of a table and items of a list by a line's end.
     """
-    kind = F.col("kind")
-    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size("cells")))
-    body = (
-        F.when(kind == "cell", F.when(F.col("before").isNull(), F.concat(line, rule)).otherwise(line))
-        .when(kind == "item", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("text")))
-        .when(kind == "header", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), F.col("text")))
-        .when(kind == "code_block", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
-        .when(kind == "blockquote", F.concat(F.lit("> "), F.col("text")))
-        .otherwise(F.col("text"))
-    )
-    return _laid(_blocks(elements), body, F.when(F.col("before").isNotNull(), "\n").otherwise("\n\n"), "markdown")
+
+    def body(block: Column, before: Column, after: Column) -> Column:
+        kind, text, cells = block["kind"], block["text"], block["cells"]
+        line = F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size(cells)))
+        return (
+            F.when(kind == "cell", F.when(before.isNull(), F.concat(line, rule)).otherwise(line))
+            .when(kind == "item", F.concat(F.repeat(F.lit("  "), block["depth"]), F.lit("- "), text))
+            .when(kind == "header", F.concat(F.repeat(F.lit("#"), F.coalesce(block["level"], F.lit(1))), F.lit(" "), text))
+            .when(kind == "code_block", F.concat(F.lit("```\n"), text, F.lit("\n```")))
+            .when(kind == "blockquote", F.concat(F.lit("> "), text))
+            .otherwise(text)
+        )
+
+    return _laid(elements, body, ("\n", "\n\n"), "markdown")
 
 
 def _safe(text: Column) -> Column:
@@ -365,37 +457,40 @@ def _safe(text: Column) -> Column:
 
 def as_html(elements: DataFrame) -> DataFrame:
     """(doc_id, html): a tag per element; one table with head and body for the rows of a table, nested lists for nested items."""
-    kind, before, after = F.col("kind"), F.col("before"), F.col("after")
-    head, no = F.col("head"), F.lit("")
-    tag = F.when(head, "th").otherwise("td")
-    cells = F.transform("cells", lambda t: F.concat(F.lit("<"), tag, F.lit(">"), _safe(t), F.lit("</"), tag, F.lit(">")))
-    part = F.when(head, "thead").otherwise("tbody")
-    row = F.concat(
-        F.when(before.isNull(), "<table>").otherwise(no),
-        F.when(before.isNull() | (before["head"] != head), F.concat(F.lit("<"), part, F.lit(">"))).otherwise(no),
-        F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"),
-        F.when(after.isNull() | (after["head"] != head), F.concat(F.lit("</"), part, F.lit(">"))).otherwise(no),
-        F.when(after.isNull(), "</table>").otherwise(no),
-    )
-    # an item stays open while deeper ones follow, and closes the lists that end with it
-    depth = F.col("depth")
-    up, down = F.coalesce(before["depth"], F.lit(-1)), F.coalesce(after["depth"], F.lit(-1))
-    item = F.concat(
-        F.repeat(F.lit("<ul>"), F.greatest(depth - up, F.lit(0))),
-        F.lit("<li>"), _safe(F.col("text")),
-        F.when(down > depth, no).otherwise(F.lit("</li>")),
-        F.repeat(F.lit("</ul></li>"), F.greatest(depth - F.greatest(down, F.lit(0)), F.lit(0))),
-        F.when(after.isNull(), "</ul>").otherwise(no),
-    )
-    plain = (
-        F.when(kind == "header", F.concat(F.lit("h"), F.coalesce("level", F.lit(1)).cast("string")))
-        .when(kind == "code_block", "pre")
-        .when(kind == "blockquote", "blockquote")
-        .otherwise("p")
-    )
-    other = F.concat(F.lit("<"), plain, F.lit(">"), _safe(F.col("text")), F.lit("</"), plain, F.lit(">"))
-    body = F.when(kind == "cell", row).when(kind == "item", item).otherwise(other)
-    return _laid(_blocks(elements), body, F.when(before.isNotNull(), no).otherwise("\n"), "html")
+    no = F.lit("")
+
+    def body(block: Column, before: Column, after: Column) -> Column:
+        kind, head, text = block["kind"], block["head"], block["text"]
+        tag = F.when(head, "th").otherwise("td")
+        cells = F.transform(block["cells"], lambda t: F.concat(F.lit("<"), tag, F.lit(">"), _safe(t), F.lit("</"), tag, F.lit(">")))
+        part = F.when(head, "thead").otherwise("tbody")
+        row = F.concat(
+            F.when(before.isNull(), "<table>").otherwise(no),
+            F.when(before.isNull() | (before["head"] != head), F.concat(F.lit("<"), part, F.lit(">"))).otherwise(no),
+            F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"),
+            F.when(after.isNull() | (after["head"] != head), F.concat(F.lit("</"), part, F.lit(">"))).otherwise(no),
+            F.when(after.isNull(), "</table>").otherwise(no),
+        )
+        # an item stays open while deeper ones follow, and closes the lists that end with it
+        depth = block["depth"]
+        up, down = F.coalesce(before["depth"], F.lit(-1)), F.coalesce(after["depth"], F.lit(-1))
+        item = F.concat(
+            F.repeat(F.lit("<ul>"), F.greatest(depth - up, F.lit(0))),
+            F.lit("<li>"), _safe(text),
+            F.when(down > depth, no).otherwise(F.lit("</li>")),
+            F.repeat(F.lit("</ul></li>"), F.greatest(depth - F.greatest(down, F.lit(0)), F.lit(0))),
+            F.when(after.isNull(), "</ul>").otherwise(no),
+        )
+        plain = (
+            F.when(kind == "header", F.concat(F.lit("h"), F.coalesce(block["level"], F.lit(1)).cast("string")))
+            .when(kind == "code_block", "pre")
+            .when(kind == "blockquote", "blockquote")
+            .otherwise("p")
+        )
+        other = F.concat(F.lit("<"), plain, F.lit(">"), _safe(text), F.lit("</"), plain, F.lit(">"))
+        return F.when(kind == "cell", row).when(kind == "item", item).otherwise(other)
+
+    return _laid(elements, body, ("", "\n"), "html")
 
 
 def as_office_html(elements: DataFrame) -> DataFrame:
