@@ -34,3 +34,27 @@ def test_documents_are_laid_out_with_one_shuffle(spark):
     assert html[None] == "<ul><li>kept</li></ul>"
     text = {r["doc_id"]: r["markdown"] for r in tree.as_markdown(e).collect()}
     assert text[1] == "# T\n\n- one\n  - two\n- three\n\n| k\\| |\n| --- | --- |\n| v |"
+
+
+def test_small_dictionary_is_looked_up_without_a_shuffle(spark):
+    from arborlake.operators import dictionary
+
+    terms = spark.createDataFrame([("New York", "city"), ("new york", "state"), ("York", "city"), ("york city hall", "place"), ("!", "none"), ("ΟΔΟΣ", "road")], "term string, entity_type string")
+    rows = [(1, "To NEW-York City!"), (1, "york, York City Hall"), (2, None), (3, " ?! "), (None, "οδος İYork york")]
+    e = spark.createDataFrame(rows, "element_pk long, text string")
+    found = dictionary.matches(e, terms)
+    assert "Exchange" not in _plan(found) and "Window" not in _plan(found)
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted(
+        [
+            (1, "city", "new york", 1, 2, "NEW York"),
+            (1, "state", "new york", 1, 2, "NEW York"),
+            (1, "city", "york", 0, 1, "york"),
+            (1, "place", "york city hall", 1, 3, "York City Hall"),
+            (None, "road", "οδος", 0, 1, "οδος"),
+            (None, "city", "york", 2, 1, "york"),
+        ],
+        key=repr,
+    )
+    inner = {tuple(r)[1:5] for r in dictionary.matches(e.limit(1), terms, longest=False).collect()}
+    assert inner == {("city", "new york", 1, 2), ("state", "new york", 1, 2), ("city", "york", 2, 1)}
