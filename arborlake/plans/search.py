@@ -318,5 +318,6 @@ z AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS z FROM c GROUP BY ALL)
 SELECT conv_id, turn, i, round(CASE WHEN z > 0 THEN n / z ELSE 0 END, 6) AS x FROM c JOIN z USING (conv_id, turn) WHERE n <> 0""".replace("\\\\p", "\\p"))
 def hashing_embedding(spark, sf_dir):
     rows = b.table(spark, sf_dir, "conversations")
-    long = rows.select("conv_id", "turn", F.posexplode(vectors.hashing_embedding(F.col("text"), 8)).alias("i", "x"))
+    found = vectors.hashing_embeddings(rows.select(F.struct("conv_id", "turn").alias("key"), "text"), "key", "text", 8)
+    long = found.select("key.conv_id", "key.turn", F.posexplode("embedding").alias("i", "x"))
     return long.where("x <> 0").select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

@@ -58,3 +58,17 @@ def test_small_dictionary_is_looked_up_without_a_shuffle(spark):
     )
     inner = {tuple(r)[1:5] for r in dictionary.matches(e.limit(1), terms, longest=False).collect()}
     assert inner == {("city", "new york", 1, 2), ("state", "new york", 1, 2), ("city", "york", 2, 1)}
+
+
+def test_embeddings_of_a_table_take_no_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.functions import vectors
+
+    rows = [((1, "a"), "one Two, two-ÉTÉ ΟΔΟΣ'ΟΔΟΣ"), ((1, "a"), "two"), ((2, None), None), (None, "--"), ((3, "c"), "x " * 5000)]
+    e = spark.createDataFrame(rows, "k struct<i:long,s:string>, t string")
+    found = vectors.hashing_embeddings(e, "k", "t", 8)
+    assert "Exchange" not in _plan(found)
+    one = e.select("k", vectors.hashing_embedding(F.col("t"), 8).alias("embedding"))
+    got, want = ([(r["k"], [round(x, 12) for x in r["embedding"]]) for r in df.collect()] for df in (found, one))
+    assert got == want and len(got) == 5
