@@ -37,6 +37,9 @@ _REMEMBER, _KEY = 400_000, 48
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters for which lower case, composition and splitting need no library.
 _PLAIN_END = "ɐ"
+#: What byte-level vocabularies write for the bytes that are not shown as themselves.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 
@@ -53,6 +56,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        #: The model alone, for parts that normalisation and splitting leave as they are.
+        self.model = self.tokenizer.model if steps[-1].get("type") == "ByteLevel" else None
         vocabulary = spec["model"]["vocab"]
         size = max([*vocabulary.values(), *[x["id"] for x in spec.get("added_tokens", ())], END]) + 1
         self.ends_sentence = np.zeros(size, dtype=bool)
@@ -69,7 +75,11 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self._encode(part)
+            if self.model is None:
+                ids = self._encode(part)
+            else:
+                shown = part.encode().decode("latin-1").translate(_SHOWN)
+                ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
             if len(self.parts) < _REMEMBER and len(part) <= _KEY:
                 self.parts[part] = ids
         return ids
