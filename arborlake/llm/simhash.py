@@ -14,8 +14,9 @@ groups are small by construction, and a bucket costs rows in proportion to its
 members.
 
 ``similar_groups`` links texts by the Jaccard similarity of their shingle sets instead.
-Two texts at 0.8 differ in some ten of 64 fingerprint bits, too many for masks over one
-fingerprint.  There the masks cut the shingle set: one of P masks keeps the shingles
+Texts whose whole fingerprints are within the radius meet under the covering masks, as
+above.  Two texts at 0.8 differ in some ten of 64 bits, too many for masks over one
+fingerprint, so further masks cut the shingle set: one of P masks keeps the shingles
 whose hash falls into its class, and texts meet where the shingles kept have one
 fingerprint.  Fewer than P differing shingles leave some class untouched, so with P over
 a quarter of the shingles every pair in reach agrees in a class.  Texts meet in all
@@ -241,13 +242,29 @@ def class_buckets(sets: list[np.ndarray], ladder: np.ndarray) -> list[np.ndarray
     return np.split(keys, np.searchsorted(who[first], np.arange(1, len(sets))))
 
 
-def _entries(documents: DataFrame, words_per_shingle: int, least: tuple[int, int]) -> DataFrame:
+def set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash fingerprint of each whole shingle set: a bit is set if set in over half its hashes."""
+    votes = [np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for s in sets]
+    half = np.array([len(s) for s in sets], np.int64)[:, None]
+    if not votes:
+        return np.zeros(0, np.uint64)
+    return np.packbits(2 * np.array(votes) > half, axis=1).reshape(-1).view(">u8").astype(np.uint64)
+
+
+def print_buckets(prints: np.ndarray, covers: np.ndarray) -> np.ndarray:
+    """A row of buckets per fingerprint, one for each covering mask: prints within the radius share one."""
+    tables = _mixed(np.arange(1, len(covers) + 1, dtype=np.uint64) << np.uint64(40))
+    return _mixed(tables + _mixed(prints[:, None] & covers)).view(np.int64)
+
+
+def _entries(documents: DataFrame, words_per_shingle: int, least: tuple[int, int], radius: int) -> DataFrame:
     """(id, size, buckets) of the documents (id, text) that have words."""
-    ladder = _ladder(least)
+    ladder, covers = _ladder(least), np.array(masks(radius), np.uint64)
 
     def per_batch(batch):
         sets = [shingle_set(t, words_per_shingle) for t in utf8(batch.column("text"))]
-        buckets = [b for i in range(0, len(sets), 512) for b in class_buckets(sets[i : i + 512], ladder)]
+        by_class = [b for i in range(0, len(sets), 512) for b in class_buckets(sets[i : i + 512], ladder)]
+        buckets = [np.concatenate(both) for both in zip(print_buckets(set_prints(sets), covers), by_class)]
         return {"id": batch.column("id"), "size": [len(s) for s in sets], "buckets": buckets}
 
     kind = documents.schema["id"].dataType.simpleString()
@@ -291,7 +308,7 @@ def spanning_links(sets: list[np.ndarray], least: tuple[int, int]) -> list[tuple
     return found
 
 
-def similar_links(documents: DataFrame, words_per_shingle: int, least: tuple[int, int], cell_shingles: int) -> DataFrame:
+def similar_links(documents: DataFrame, words_per_shingle: int, least: tuple[int, int], cell_shingles: int, radius: int = 2) -> DataFrame:
     """(a, b): true links that connect the ids of all similar texts that meet in a bucket.
 
     A bucket's leader is the member that shares most buckets, and a leader's buckets form
@@ -299,7 +316,7 @@ def similar_links(documents: DataFrame, words_per_shingle: int, least: tuple[int
     into blocks of about ``cell_shingles`` shingles, and every two blocks meet in a task
     of their own, which emits less links than it has members.
     """
-    found = written(_entries(documents, words_per_shingle, least), "near-entries")
+    found = written(_entries(documents, words_per_shingle, least, radius), "near-entries")
     entries = found.select("id", "size", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(entries.join(shared, "bucket"), "near-members")
@@ -331,16 +348,19 @@ def similar_groups(
     words_per_shingle: int = 5,
     least: tuple[int, int] = (4, 5),
     cell_shingles: int = 1 << 19,
+    radius: int = 2,
 ) -> DataFrame:
     """(key, component_id) of the keys in a group of several: the smallest key reachable over similar texts.
 
-    Texts are similar if shared / all distinct shingles >= least[0] / least[1], confirmed
-    on the whole sets, so every link is true.  A pair at exactly 0.8 is missed with a
+    Candidates are texts whose SimHash fingerprints are within ``radius`` bits, by covering
+    masks and without loss, and those that agree in the fingerprint of a class of their
+    shingles.  They are similar if shared / all distinct shingles >= least[0] / least[1],
+    confirmed on the whole sets, so every link is true.  A pair at exactly 0.8 is missed with a
     probability of about 2 in 100,000, closer and shorter ones less often.  Texts without
     words are in no group; null keys are left out; rows that repeat a key with other texts
     are compared as they come, and the key is in the groups of all of them.
     """
     prepare(documents.sparkSession)
     docs = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    label = components(similar_links(docs, words_per_shingle, least, cell_shingles))
+    label = components(similar_links(docs, words_per_shingle, least, cell_shingles, radius))
     return label.select(F.col("v").alias(key), F.col("c").alias("component_id"))
