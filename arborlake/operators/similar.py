@@ -5,6 +5,10 @@ inequality, so a target at an angle of at most ``t`` to a source lies in a list
 centroid is at most ``t`` and the list's radius away.  Beyond that, a source may look
 only at its nearest lists, as many as hold the stated share of true matches of a
 bounded sample of sources.
+
+Neighbouring lists are packed, and a source meets a pack once, however many of its
+lists can hold a match: where vectors lie so that hardly a list can be passed by, what
+is moved grows with the number of packs, not with that of lists.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 from ..session import shared_scratch
 
 _SLICE = 512  # sources compared with centroids or targets at a time
+_COLUMNS = (1024, 8192)  # targets that a slice of sources is compared with at first and, doubled from piece to piece, at most
+_HELD = 1 << 22  # numbers in the vectors of a pack of targets
+_SHARES = 8  # least number of shares of sources, and of packs of targets where these hold a block or more
 _SCALE = 14  # decimals of a similarity, so that equal vectors tie wherever they meet
 
 
@@ -60,9 +67,33 @@ class Index:
     block: int
     probes: int | None = None  # lists that a source looks at; None: all that can hold a match
 
-    @property
-    def blocks(self) -> np.ndarray:
-        return np.maximum(1, np.ceil(self.sizes / self.block)).astype(np.int64)
+    def packs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per list its first pack and its number of packs.
+
+        A pack has about ``block`` to _HELD / dim targets of lists in a row; a list of
+        more is cut into packs of its own.
+        """
+        most = max(1, min(max(self.block, math.ceil(self.sizes.sum() / _SHARES)), max(self.block, _HELD // self.dim)))
+        first, parts = np.zeros(len(self.sizes), np.int64), np.maximum(1, np.ceil(self.sizes / most)).astype(np.int64)
+        pack, filled = 0, 0
+        for i, n in enumerate(self.sizes.tolist()):
+            if filled and filled + n > most:
+                pack, filled = pack + 1, 0
+            first[i] = pack
+            filled += n
+            if parts[i] > 1:
+                pack, filled = pack + int(parts[i]), 0
+        return first, parts
+
+    def allowed(self, unit: np.ndarray, threshold: float) -> np.ndarray:
+        """For each row, which lists it looks at."""
+        if self.probes is not None:
+            row, at = self.lists(unit, threshold)
+            out = np.zeros((len(unit), len(self.sizes)), bool)
+            out[row, at] = True
+            return out
+        reach = math.acos(max(-1.0, min(1.0, threshold))) + self.radii + 1e-7
+        return (unit @ self.centroids.T >= np.where(reach < math.pi, np.cos(np.minimum(reach, math.pi)), -2) - 1e-14) & (self.sizes > 0)
 
     def lists(self, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that each row looks at, nearest first."""
@@ -76,6 +107,17 @@ class Index:
         return row, order[row, at]
 
 
+def _in_a_row(centroids: np.ndarray) -> np.ndarray:
+    """The centroids in an order in which each is followed by the nearest of the rest."""
+    left = np.ones(len(centroids), bool)
+    order = [0]
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, centroids @ centroids[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return centroids[order]
+
+
 def build(targets: DataFrame, *, lists: int | None = None, block: int = 4096, seed: int = 7) -> Index | None:
     """Index all targets; None if no vector is usable.
 
@@ -99,7 +141,7 @@ def build(targets: DataFrame, *, lists: int | None = None, block: int = 4096, se
         means = KMeans(k=lists, distanceMeasure="cosine", initMode="random", maxIter=6, seed=seed, featuresCol="f")
         found = np.array(means.fit(some.select(array_to_vector(unit).alias("f"))).clusterCenters())
         norm = np.linalg.norm(found, axis=1, keepdims=True)
-        centroids = found[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
+        centroids = _in_a_row(found[norm[:, 0] > 0] / norm[norm[:, 0] > 0])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,44 +205,84 @@ def _same(left: list, right: list) -> np.ndarray:
     return a[:, None] == b[None, :]
 
 
+def _codes(docs: list, known: dict) -> np.ndarray:
+    """Numbers of documents; null is none, and each null is another one."""
+    return np.array([-1 if d is None else known.setdefault(d, len(known)) for d in docs], dtype=np.int64)
+
+
+def _nearest(unit: np.ndarray, doc: np.ndarray, targets: np.ndarray, target_doc: np.ndarray, threshold: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, target, similarity): each row's ``top`` most similar targets of other documents, ties to the first.
+
+    Targets are compared piece by piece; of a piece only what beats a row's last hit so far is looked at again.
+    """
+    row, at, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(unit), threshold - 1e-14)
+    end, columns = 0, _COLUMNS[0]
+    while end < len(targets):
+        start, end, columns = end, end + columns, min(2 * columns, _COLUMNS[1])
+        s = unit @ targets[start:end].T
+        hit = np.flatnonzero(s >= least[:, None])
+        value = np.round(s.ravel()[hit], _SCALE)
+        r, c = np.divmod(hit, s.shape[1])
+        c += start
+        kept = (value >= threshold) & ((doc[r] != target_doc[c]) | (doc[r] < 0))
+        if not kept.any():
+            continue
+        row, at, near = np.append(row, r[kept]), np.append(at, c[kept]), np.append(near, value[kept])
+        best = np.lexsort((at, -near, row))
+        row, at, near = row[best], at[best], near[best]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        held = nth < top
+        last = nth == top - 1
+        # later targets of the same similarity come after those held
+        least[row[last]] = near[last] + 4e-15
+        row, at, near = row[held], at[held], near[held]
+    return row, at, near
+
+
 def search(index: Index, sources: DataFrame, *, threshold: float, top: int) -> DataFrame:
     """(source_id, target_reference, similarity): each source's ``top`` most similar targets of other documents.
 
-    A list of many targets is cut into blocks, and its sources into as many shares: a
-    task holds one block and streams one share, whatever the list's size.
+    Every pack meets every share of the sources in a cell of its own; a source is sent to
+    the packs in which a list can hold a match.  A task holds one pack and streams one share.
     """
     rows, dim = usable(sources, index.dim)
-    kinds, blocks = dict(index.targets.dtypes), index.blocks
-    first = np.cumsum(np.append(0, blocks * blocks))
-    row_schema = f"cell long, kind int, id {kinds['id']}, doc {kinds['doc']}, v array<double>"
-
-    def dealt(batch: pa.RecordBatch, at: np.ndarray, lists: np.ndarray, kind: int) -> pa.RecordBatch:
-        """Rows ``at`` of the batch in all cells of their block (kind 0) or share (kind 1) of the lists."""
-        n = blocks[lists]
-        own = np.asarray(batch.column("h"))[at] % n
-        each = np.repeat(np.arange(len(at)), n)
-        other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        block, share = (own[each], other) if kind == 0 else (other, own[each])
-        cell = first[lists][each] + block * n[each] + share
-        taken = pa.array(at[each])
-        columns = [pa.array(cell), pa.array(np.full(len(cell), kind, np.int32)), *[batch.column(c).take(taken) for c in ("id", "doc", "v")]]
-        return pa.RecordBatch.from_arrays(columns, names=["cell", "kind", "id", "doc", "v"])
+    kinds = dict(index.targets.dtypes)
+    first, parts = index.packs()
+    packs = int((first + parts).max())
+    shares = max(packs, _SHARES)
+    lean = replace(index, targets=None)  # what tasks need of the index
+    row_schema = f"cell int, kind int, list int, id {kinds['id']}, doc {kinds['doc']}, v array<double>"
+
+    def dealt(batch: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, lists: np.ndarray, kind: int) -> pa.RecordBatch:
+        taken = pa.array(at)
+        numbers = [pa.array(x.astype(np.int32)) for x in (cell, np.full(len(cell), kind), lists)]
+        return pa.RecordBatch.from_arrays([*numbers, *[batch.column(c).take(taken) for c in ("id", "doc", "v")]], names=["cell", "kind", "list", "id", "doc", "v"])
 
     def targets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield dealt(batch, np.arange(batch.num_rows), np.asarray(batch.column("list")).astype(np.int64), 0)
+            own = np.asarray(batch.column("list")).astype(np.int64)
+            pack = first[own] + np.asarray(batch.column("h")) % parts[own]
+            at = np.repeat(np.arange(batch.num_rows), shares)
+            yield dealt(batch, at, pack[at] * shares + np.tile(np.arange(shares), batch.num_rows), own[at], 0)
 
     def sources_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(s, _SLICE)
-                yield dealt(part, *index_lists(_unit(part.column("v"), dim)), 1)
+                unit = _unit(part.column("v"), dim)
+                row, at = np.nonzero(lean.allowed(unit, threshold))
+                met = np.zeros((len(unit), packs), bool)
+                met[row, first[at]] = True
+                for i in np.unique(at[parts[at] > 1]):
+                    met[row[at == i], first[i] : first[i] + parts[i]] = True
+                row, pack = np.nonzero(met)
+                nearest = (unit @ lean.centroids.T).argmax(axis=1)
+                yield dealt(part, row, pack * shares + (np.asarray(part.column("h")) % shares)[row], nearest[row], 1)
 
-    lean = replace(index, targets=None)  # what tasks need of the index
-    index_lists = lambda unit: lean.lists(unit, threshold)
     together = index.targets.mapInArrow(targets_in, row_schema).union(rows.select("id", "doc", "h", "v").mapInArrow(sources_in, row_schema))
-    # a target's place in its cell is that of its id, which decides ties
-    met = together.repartition("cell").sortWithinPartitions("cell", "kind", "id")
+    # a target's place in its cell is that of its id, which decides ties; sources that look at the same lists come in a row
+    met = together.repartitionById(packs * shares, "cell").sortWithinPartitions("cell", "kind", F.when(F.col("kind") == 1, F.col("list")), "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
@@ -218,18 +300,29 @@ def search(index: Index, sources: DataFrame, *, threshold: float, top: int) -> D
                     held.append(part)
                     continue
                 if ready is None and held:
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    ready = (whole.column("id").combine_chunks(), whole.column("doc").to_pylist(), _unit(whole.column("v").combine_chunks(), dim))
+                    whole, known = pa.Table.from_batches(held).combine_chunks(), {}
+                    ready = (
+                        whole.column("id").combine_chunks(),
+                        np.asarray(whole.column("list")),
+                        _codes(whole.column("doc").to_pylist(), known),
+                        _unit(whole.column("v").combine_chunks(), dim),
+                        known,
+                    )
+                    del whole, held[:]
                 for s in range(0, part.num_rows if ready else 0, _SLICE):
                     yield compared(part.slice(s, _SLICE), *ready)
 
-    def compared(part: pa.RecordBatch, ids: pa.Array, docs: list, unit: np.ndarray) -> pa.RecordBatch:
-        s = np.round(_unit(part.column("v"), dim) @ unit.T, _SCALE)
-        s[_same(part.column("doc").to_pylist(), docs)] = -2
-        best = np.argsort(-s, axis=1, kind="stable")[:, :top]
-        near = np.take_along_axis(s, best, 1)
-        row, at = np.nonzero((near >= threshold) & (near > -2))
-        columns = [part.column("id").take(pa.array(row)), ids.take(pa.array(best[row, at])), pa.array(near[row, at])]
+    def compared(part: pa.RecordBatch, ids: pa.Array, lists: np.ndarray, docs: np.ndarray, targets: np.ndarray, known: dict) -> pa.RecordBatch:
+        unit = _unit(part.column("v"), dim)
+        doc = np.array([-1 if d is None else known.get(d, len(known)) for d in part.column("doc").to_pylist()], dtype=np.int64)
+        looked = lean.allowed(unit, threshold).any(axis=0)[lists]
+        if looked.all():
+            row, at, near = _nearest(unit, doc, targets, docs, threshold, top)
+        else:
+            some = np.flatnonzero(looked)
+            row, at, near = _nearest(unit, doc, targets[some], docs[some], threshold, top)
+            at = some[at]
+        columns = [part.column("id").take(pa.array(row)), ids.take(pa.array(at)), pa.array(near)]
         return pa.RecordBatch.from_arrays(columns, names=["source_id", "target_reference", "similarity"])
 
     source_kind = dict(rows.dtypes)["id"]

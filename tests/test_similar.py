@@ -88,3 +88,18 @@ def test_empty_and_other_ids(spark):
     assert similar.join(none, some, threshold=0.5, top=3, recall=0.9).collect() == []
     held = some.selectExpr("element_pk", "doc_id", "embedding", "'header' AS element_type")
     assert {(r["source_id"], r["target_reference"]) for r in edges.section_edges(held, 0.5).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_sources_meet_packs_of_lists(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"e{i:04d}", f"d{i % 41}", v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)))]
+    df = table(spark, rows)
+    index = similar.build(df, lists=60, block=400)
+    unit = np.array([v for _, _, v in rows])
+    row, _ = index.lists(unit / np.linalg.norm(unit, axis=1, keepdims=True), 0.5)
+    assert len(row) > 30 * len(rows)  # hardly a list can be passed by
+    first, parts = index.packs()
+    assert int((first + parts).max()) <= 12  # what a source is sent to at most
+    assert found(similar.search(index, df, threshold=0.5, top=4)) == brute(rows, rows, 0.5, 4)
+    first, parts = similar.replace(index, sizes=np.array([5, 2000, 5, 0, 990])).packs()
+    assert first.tolist() == [0, 1, 6, 6, 7] and parts.tolist() == [1, 5, 1, 1, 3]
