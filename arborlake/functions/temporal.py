@@ -5,6 +5,8 @@ All functions map Columns to Columns and stay in code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +105,18 @@ DATE_FORMS = {
     "written_uk": rf"\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}\b",
     "abbreviated": rf"\b(?:{SHORT_MONTHS})\.?\s+\d{{1,2}},?\s+\d{{4}}\b",
 }
+#: What each form starts with.
+DATE_LEADS = {"iso": r"\d", "us": r"\d", "european": r"\d", "written": "[JFMASOND]", "written_uk": r"\d", "abbreviated": "[JFMASOND]"}
 DECADE = r"\b((?:19|20)\d)0s\b"
 QUARTER = r"\bQ([1-4])(?:\s+((?:19|20)\d{2}))?\b"
 SEASON = r"(?i)\b(spring|summer|fall|autumn|winter)(?:\s+((?:19|20)\d{2}))?\b"
 
 
+def led(pattern: str, first: str | None) -> str:
+    """The pattern behind a look for the class of its first character, which spares most places the rest of it."""
+    return f"(?={first}){pattern}" if first else pattern
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -189,25 +198,45 @@ def relative_reference(found: Column, context: Column) -> Column:
     return F.concat_ws(", ", *[F.when(both.contains(c), F.lit(c)) for c in REFERENCE_CUES])
 
 
+#: Written before and behind each match where texts are cut at their matches.
+_BEFORE, _BEHIND = "\0", "\1"
+
+
 def find_all_at(text: Column, pattern: str) -> Column:
     """array of (raw, start): all matches of a pattern and where they start, from 0.
 
-    The pieces between the matches are those of a split, so offsets are sums of lengths.
+    A text is looked through once: its matches are put between marks, and what the marks
+    part gives matches and offsets.  Texts that hold a mark are cut at their matches by a split.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("found"))
+    none = F.array().cast("array<struct<raw:string,start:int>>")
+
+    def step(raw: Column, before: Column, after: Column) -> Callable[[Column], Column]:
+        return lambda s: F.struct(
+            (s["at"] + before + F.length(raw) + after).alias("at"),
+            F.concat(s["found"], F.array(F.struct(raw.alias("raw"), (s["at"] + before).alias("start")))).alias("found"),
+        )
+
+    def walked(pieces: Column) -> Column:
+        start = F.struct(F.length(pieces[0]).alias("at"), none.alias("found"))
+
+        def one(s: Column, x: Column) -> Column:
+            raw = F.substring_index(x, _BEHIND, 1)
+            return step(raw, F.lit(0), F.length(x) - F.length(raw) - 1)(s)
+
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, one, lambda s: s["found"])
+
     # there is one piece more than matches, so the last pair has no match
-    walked = F.aggregate(
-        F.arrays_zip(find_all(text, pattern).alias("raw"), F.split(text, pattern).alias("before")),
-        start,
-        lambda s, x: F.when(x["raw"].isNull(), s).otherwise(
-            F.struct(
-                (s["at"] + F.length(x["before"]) + F.length(x["raw"])).alias("at"),
-                F.concat(s["found"], F.array(F.struct(x["raw"].alias("raw"), (s["at"] + F.length(x["before"])).alias("start")))).alias("found"),
-            )
-        ),
+    paired = F.arrays_zip(find_all(text, pattern).alias("raw"), F.split(text, pattern).alias("before"))
+    split = F.aggregate(
+        paired,
+        F.struct(F.lit(0).alias("at"), none.alias("found")),
+        lambda s, x: F.when(x["raw"].isNull(), s).otherwise(step(x["raw"], F.length(x["before"]), F.lit(0))(s)),
         lambda s: s["found"],
     )
-    return walked
+    marked = F.split(F.regexp_replace(text, pattern, f"{_BEFORE}$0{_BEHIND}"), _BEFORE)
+    # a list of one, so that the pieces are made once
+    quick = F.transform(F.array(marked), lambda pieces: F.when(F.size(pieces) > 1, walked(pieces)).when(pieces.isNotNull(), none))[0]
+    return F.when(F.contains(text, F.lit(_BEFORE)) | F.contains(text, F.lit(_BEHIND)), split).otherwise(quick)
 
 
 def around(text: Column, start: Column, length: Column, window: int = 50) -> Column:
@@ -220,7 +249,7 @@ def dates_in_context(rows: DataFrame, key: str = "element_pk", text: str = "text
     """(key, form, raw, start, context, date): dates of DATE_FORMS with their place and surroundings."""
 
     def of_form(name: str) -> Column:
-        return F.transform(find_all_at(F.col(text), DATE_FORMS[name]), lambda x: F.struct(F.lit(name).alias("form"), x["raw"].alias("raw"), x["start"].alias("start")))
+        return F.transform(find_all_at(F.col(text), led(DATE_FORMS[name], DATE_LEADS.get(name))), lambda x: F.struct(F.lit(name).alias("form"), x["raw"].alias("raw"), x["start"].alias("start")))
 
     found = F.flatten(F.array(*map(of_form, DATE_FORMS)))
     hits = rows.select(key, F.col(text).alias("__text"), F.inline(found))

@@ -235,3 +235,50 @@ def test_entities_of_all_types_read_the_texts_once(spark, tmp_path):
     spark.createDataFrame([(1, "BP 120/80")], "element_pk long, text string").write.parquet(str(tmp_path / "t"))
     plan = extract.entities(spark.read.parquet(str(tmp_path / "t")), list(extract.EXTRACTORS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
+def test_marked_matches_are_those_of_a_split(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.functions import extract, temporal
+
+    texts = ["5x a5x 5x5 5 x", "x", "", None, "a\x005x\x01 7x", "é 5x 日本 6 fold", "-5% $1.5 million, +3%4% usd 7 €8", "$5$6 \x015%"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    t = F.col("text")
+    for pattern in (extract.CURRENCY, extract.PERCENT, extract.MULTIPLIER, r"\d", "zz"):
+        found = {r["k"]: r["f"] for r in rows.select("k", temporal.find_all_at(t, pattern).alias("f")).collect()}
+        raws = {r["k"]: r["f"] for r in rows.select("k", temporal.find_all(t, pattern).alias("f")).collect()}
+        for k, text in enumerate(texts):
+            if text is None:
+                assert found[k] is None
+                continue
+            assert [x["raw"] for x in found[k]] == raws[k], (pattern, text)
+            assert all(text[x["start"] :].startswith(x["raw"]) for x in found[k])
+            assert [x["start"] for x in found[k]] == sorted({x["start"] for x in found[k]})
+
+
+def test_guarded_patterns_lose_no_match(spark):
+    from dataclasses import replace
+
+    from arborlake.functions import extract
+
+    said = """$ 5.2M 1,000 dollars 5 USD 3 Billion 5 Percent Twenty-five percent (ABC) NYSE: XY Acme Corp. Q3 2020 first Quarter of 2020 3q 21 FY22
+    2020-01-02 1/2/2020 1.2.2020 March 3, 2020 3 March 2020 Mar. 3 2020 5 Weeks Weekly H1 20 second HALF YTD Today Next Friday this quarter 3 days From Now End of the year
+    fiscal year 2020 FQ2 20 2020 Fiscal Year 1 F.2d 3 1 U.S. 3 1 S. Ct. 3 1 F. Supp. 2d 3 1 Cal. App. 2d 3 1 Ohio. 3 [2020] UKSC 3 C-1/20 18 U.S.C. § 5 17 C.F.R. § 2.4
+    Section 5 of the Clean Air Act Sec. 4 § 5 Public Law 1-2 H.R. 5 S. 6 Chapter 5 of Title 3 Supreme Court of Ohio SUPREME  COURT tax court Habeas Corpus DE FACTO Rule 10b-5 Reg. 5
+    Form 10-K Art. IV Article 5.1 Title IX GDPR Clause 5 Cl. 5.1 Para. 4(a) Paragraph 3 Ex. B Exhibit A-1 Sch. 4 Schedule B Appendix A App. 2 Aspirin 5 mg ATORVASTATIN Lipitor XR OxyContin abc/def
+    5 Tablets 5mg/ml 5% cream Twice a day q8H BID E11.9 12345-6 1234-567-89 CPT 12345 DRG 123 Hearts ANKLE Arthritis fibrosis Anemia Melanoma Neuropathy Down Syndrome Crohn Disease
+    Panic disorder BP 120/80 blood pressure: 120/80 HR 60 Pulse: 60 Temp 98.6 RR 12 respiratory rate 12 SpO2 98% O2 sat 98 BMI 22.5 Wt 70 kg weight: 70kg Ht 180 cm height 6 ft Glucose 90 WBC 5"""
+    texts = [said, said.upper(), said.lower(), "", *said.split("\n"), *said.split()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "element_pk int, text string").repartition(4)
+    plain = [replace(x, cues={}, leads={}, gate=None) for x in extract.EXTRACTORS.values()]
+
+    def hits(chosen):
+        found = extract.extracted(rows, chosen).select("element_pk", "entity_type", "pattern", "raw")
+        return sorted(map(tuple, found.collect()))
+
+    with_guards, without = hits(list(extract.EXTRACTORS.values())), hits(plain)
+    assert with_guards == without
+    guarded = {(t, p) for t, x in extract.EXTRACTORS.items() for p in x.patterns if p in x.cues or p in x.leads}
+    missed = {g for g in guarded if g[0] not in ("legal_term", "court_name", "anatomy")} - {(t, p) for _, t, p, _ in without}
+    assert len(guarded) > 120 and not missed, missed
