@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import sys
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -35,6 +38,8 @@ BLOCK = 1 << 17
 _REMEMBER, _KEY = 400_000, 48
 # Fixed value: the split pattern of the word vocabulary.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same for words of ASCII in lower case.
+_ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Characters for which lower case, composition and splitting need no library.
 _PLAIN_END = "ɐ"
 #: What byte-level vocabularies write for the bytes that are not shown as themselves.
@@ -43,6 +48,14 @@ _SHOWN = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Unsigned 32-bit numbers, little-endian."""
+    numbers = array("I", ids)
+    if sys.byteorder != "little":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class WordIds:
     """Token ids of whole texts under a vocabulary that drops white space, word by word.
 
@@ -78,15 +91,19 @@ class WordIds:
             if self.model is None:
                 ids = self._encode(part)
             else:
-                shown = part.encode().decode("latin-1").translate(_SHOWN)
-                ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+                plain = part.isascii() and part.isprintable()  # bytes that are shown as themselves
+                shown = part if plain else part.encode().decode("latin-1").translate(_SHOWN)
+                ids = _packed([t.id for t in self.model.tokenize(shown)])
             if len(self.parts) < _REMEMBER and len(part) <= _KEY:
                 self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word or max(word) >= _PLAIN_END:
+        if "<|" in word or not word.isascii() and max(word) >= _PLAIN_END:
             ids = self._encode(word)
+        elif word.isascii():
+            low = word.lower()
+            ids = self._part(low) if low.isalpha() else b"".join(map(self._part, _ASCII_PRETOKEN.findall(low)))
         else:
             ids = b"".join(map(self._part, _PRETOKEN.findall(word.lower())))
         if len(self.words) < _REMEMBER and len(word) <= _KEY:
