@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,26 +105,43 @@ def greedy(items: Column, budget: int) -> Column:
     return F.aggregate(F.array_sort(items), start, step)["chosen"]
 
 
-def first_tokens(text: Column, tokens: Column) -> Column:
-    """About ``tokens`` tokens of a text's start: words in proportion to the estimate; the text itself if it is shorter."""
-    words = F.split(F.trim(text), r"\s+")
-    now = vectors.token_estimate(text)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cut(text: Column, words: Column, now: Column, tokens: Column) -> Column:
     most = F.floor(F.size(words) * tokens / F.greatest(now, F.lit(1))).cast("int")
     return F.when(now <= tokens, text).otherwise(F.array_join(F.slice(words, 1, F.greatest(most, F.lit(0))), " "))
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
+
+
+def first_tokens(text: Column, tokens: Column) -> Column:
+    """About ``tokens`` tokens of a text's start: words in proportion to the estimate; the text itself if it is shorter."""
+    return _let(vectors.token_estimate(text), lambda now: F.when(now <= tokens, text).otherwise(_let(_words(text), lambda words: _cut(text, words, now, tokens))))
+
+
 ELLIPSIS, ELLIPSIS_TOKENS = "\n[...truncated...]\n", 4
 
 
 def both_ends(text: Column, tokens: Column) -> Column:
     """A text cut to about ``tokens``: two thirds from its start and one third from its end."""
-    words, now = F.split(F.trim(text), r"\s+"), vectors.token_estimate(text)
-    room = tokens - ELLIPSIS_TOKENS
-    head = F.floor(room * 2 / 3)
-    tail = F.floor((room - head) * F.size(words) / F.greatest(now, F.lit(1))).cast("int")
-    end = F.when(tail > 0, F.array_join(F.slice(words, F.size(words) - tail + 1, tail), " ")).otherwise("")
-    cut = F.concat(first_tokens(text, head), F.lit(ELLIPSIS), end)
-    return F.when(now <= tokens, text).when(tokens <= ELLIPSIS_TOKENS, first_tokens(text, tokens)).otherwise(cut)
+    return _let(vectors.token_estimate(text), lambda now: _both_ends(text, now, tokens))
+
+
+def _both_ends(text: Column, now: Column, tokens: Column) -> Column:
+    def parts(words: Column) -> Column:
+        room = tokens - ELLIPSIS_TOKENS
+        head = F.floor(room * 2 / 3)
+        tail = F.floor((room - head) * F.size(words) / F.greatest(now, F.lit(1))).cast("int")
+        end = F.when(tail > 0, F.array_join(F.slice(words, F.size(words) - tail + 1, tail), " ")).otherwise("")
+        cut = F.concat(_cut(text, words, now, head), F.lit(ELLIPSIS), end)
+        return F.when(tokens <= ELLIPSIS_TOKENS, _cut(text, words, now, tokens)).otherwise(cut)
+
+    return F.when(now <= tokens, text).otherwise(_let(_words(text), parts))
 
 
 def fitting(texts: Column, budget: Column, least: int = 50) -> Column:
@@ -135,16 +154,19 @@ def fitting(texts: Column, budget: Column, least: int = 50) -> Column:
     )
 
     def step(s: Column, x: Column) -> Column:
-        n = vectors.token_estimate(x)
         left = budget - s["used"]
         state = lambda used, full, more: F.struct(used.cast("long").alias("used"), F.lit(full).alias("full"), F.concat(s["chosen"], more).alias("chosen"))
         nothing = F.array().cast("array<string>")
-        return (
-            F.when(s["full"], s)
-            .when(n <= left, state(s["used"] + n, False, F.array(x)))
-            .when(left > least, state(s["used"], True, F.array(F.concat(first_tokens(x, left), F.lit(" [...]")))))
-            .otherwise(state(s["used"], True, nothing))
-        )
+
+        def taken(n: Column) -> Column:
+            cut = _let(_words(x), lambda words: _cut(x, words, n, left))
+            return (
+                F.when(n <= left, state(s["used"] + n, False, F.array(x)))
+                .when(left > least, state(s["used"], True, F.array(F.concat(cut, F.lit(" [...]")))))
+                .otherwise(state(s["used"], True, nothing))
+            )
+
+        return F.when(s["full"], s).otherwise(_let(vectors.token_estimate(x), taken))
 
     return F.array_join(F.aggregate(texts, start, step)["chosen"], "\n---\n")
 
@@ -153,23 +175,34 @@ def fitting(texts: Column, budget: Column, least: int = 50) -> Column:
 SHARES = (0.40, 0.25, 0.20, 0.15)
 
 
-def budgets(text: Column, most: int, shares: tuple[float, ...] = SHARES) -> list[Column]:
-    """Tokens for element, parents, siblings and children; what the element leaves goes to the others by thirds."""
+def budgets(now: Column, most: int, shares: tuple[float, ...] = SHARES) -> Column:
+    """Tokens for element (of ``now`` tokens), parents, siblings and children, as an array; what the element leaves goes to the others by thirds."""
     own, *others = [int(most * s) for s in shares]
-    unused = F.greatest(F.lit(own) - vectors.token_estimate(text), F.lit(0))
-    third = F.floor(unused / 3)
-    extra = [third, third, unused - 2 * third]
-    return [F.lit(own), *[F.lit(o) + e for o, e in zip(others, extra)]]
+
+    def rooms(unused: Column) -> Column:
+        third = F.floor(unused / 3)
+        extra = [third, third, unused - 2 * third]
+        return F.array(F.lit(own).cast("long"), *[(F.lit(o) + e).cast("long") for o, e in zip(others, extra)])
+
+    return _let(F.greatest(F.lit(own) - now, F.lit(0)), rooms)
 
 
 def structured(text: Column, parents: Column, siblings: Column, children: Column, most: int, shares: tuple[float, ...] = SHARES) -> Column:
     """An element's text with its parents', siblings' and children's (arrays in order of nearness), in about ``most`` tokens."""
-    own, *rest = budgets(text, most, shares)
-    parts = [F.concat(F.lit("=== Main Content ===\n"), both_ends(text, own))]
-    for name, texts, room in zip(("Parent", "Sibling", "Child"), (parents, siblings, children), rest):
-        body = fitting(texts, room)
-        parts.append(F.when(body != "", F.concat(F.lit(f"=== {name} Context ===\n"), body)))
-    return F.concat_ws("\n\n", *parts)
+
+    def whole(now: Column) -> Column:
+        return _let(budgets(now, most, shares), lambda rooms: parts(now, rooms))
+
+    def headed(title: str) -> Callable[[Column], Column]:
+        return lambda body: F.when(body != "", F.concat(F.lit(title), body))
+
+    def parts(now: Column, rooms: Column) -> Column:
+        found = [F.concat(F.lit("=== Main Content ===\n"), _both_ends(text, now, F.get(rooms, F.lit(0))))]
+        for i, (name, texts) in enumerate(zip(("Parent", "Sibling", "Child"), (parents, siblings, children)), 1):
+            found.append(_let(fitting(texts, F.get(rooms, F.lit(i))), headed(f"=== {name} Context ===\n")))
+        return F.concat_ws("\n\n", *found)
+
+    return _let(vectors.token_estimate(text), whole)
 
 
 def _escaped(text: Column) -> Column:

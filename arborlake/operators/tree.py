@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -151,8 +152,8 @@ def containment(elements: DataFrame) -> DataFrame:
     return down.union(up)
 
 
-def sections(elements: DataFrame, levels: int = 6) -> DataFrame:
-    """(element_id, section_id): the nearest header above whose level is lower (any header, for other elements).
+def sectioned(elements: DataFrame, levels: int = 6) -> DataFrame:
+    """The elements with section_id: the nearest header above whose level is lower (any header, for other elements).
 
     For each level the last header of that level before the row is known by a window;
     it is open if no header of the same or a lower level came after it.
@@ -169,7 +170,12 @@ def sections(elements: DataFrame, levels: int = 6) -> DataFrame:
         above = chosen["position"]
         open_ = last.isNotNull() & (above.isNull() | (last["position"] > above)) & (~header | (F.col("level") > n))
         chosen = F.when(open_, last).otherwise(chosen)
-    return out.select("element_id", chosen["element_id"].alias("section_id"))
+    return out.select(*elements.columns, chosen["element_id"].alias("section_id"))
+
+
+def sections(elements: DataFrame, levels: int = 6) -> DataFrame:
+    """(element_id, section_id) of ``sectioned``."""
+    return sectioned(elements, levels).select("element_id", "section_id")
 
 
 def neighbours(elements: DataFrame, before: int, after: int) -> DataFrame:
@@ -217,8 +223,144 @@ def contexts(elements: DataFrame, before: int = 1, after: int = 1, children: int
     """(element_id, text, parents, siblings, children): each element's text with those around it, as arrays of texts.
 
     parents from the nearest up, siblings the nearest elements before and after in the
-    document, children the first with text; empty texts and roots are left out.
+    document, children the first with text; empty texts and roots are left out.  Elements
+    in document order are walked once, after a check of their ids; others are joined.
     """
+    shared_scratch(elements.sparkSession)
+    late = _late_parents(elements).distinct().checkpoint()
+    if late.isEmpty() or late.join(elements.select(F.col("element_id").alias("up")), "up", "left_semi").isEmpty():
+        return _contexts_walked(elements, before, after, children)
+    return _contexts_joined(elements, before, after, children)
+
+
+def _in_order(elements: DataFrame, *columns: str | Column) -> DataFrame:
+    """doc_id and columns, documents side by side in order: a window lays them so, without a shuffle if they lie so already."""
+    w = Window.partitionBy("doc_id").orderBy("position", "element_id")
+    return elements.select("doc_id", *columns, F.row_number().over(w).alias("nth"))
+
+
+def _late_parents(elements: DataFrame) -> DataFrame:
+    """(up): parents that are no open ancestor where their child stands; they are missing or out of document order."""
+    kind = elements.schema["parent_id"].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = object()
+        stack: list = []
+        at: dict = {}
+        for batch in batches:
+            late = set()
+            for d, own, parent in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if d != doc:
+                    doc = d
+                    stack.clear()
+                    at.clear()
+                inner = parent is not None and parent != own
+                if inner and parent not in at:
+                    late.add(parent)
+                keep = at[parent] + 1 if inner and parent in at else 0
+                while len(stack) > keep:
+                    at.pop(stack.pop(), None)
+                at[own] = len(stack)
+                stack.append(own)
+            if late:
+                yield pa.RecordBatch.from_arrays([pa.array(list(late), batch.column(2).type)], names=["up"])
+
+    return _in_order(elements, "element_id", "parent_id").mapInArrow(walk, f"up {kind}")
+
+
+def _contexts_walked(elements: DataFrame, before: int, after: int, children: int) -> DataFrame:
+    """Contexts of elements in document order: a task holds the ancestors of the current row and its last neighbours only."""
+    kind = elements.schema["element_id"].dataType.simpleString()
+    names = ["element_id", "text", "parents", "siblings", "children"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = object()
+        # an element: [id, text or None, parents, texts before, texts after, children, number of children, is it closed]
+        stack: list[list] = []
+        at: dict = {}
+        recent: deque = deque()  # shown elements that texts after them may still join
+        last: deque = deque(maxlen=before)
+        out, size, own_type = [], 0, None
+
+        def show(e: list) -> None:
+            nonlocal size
+            row = (e[0], e[1], e[2], e[3] + e[4], e[5])
+            size += len(e[1]) + sum(len(t) for texts in row[2:] for t in texts)
+            out.append(row)
+
+        def close(down_to: int) -> None:
+            while len(stack) > down_to:
+                e = stack.pop()
+                at.pop(e[0], None)
+                e[7] = True
+                if e[1] is not None and len(e[4]) == after:
+                    show(e)
+
+        def end() -> None:
+            close(0)
+            for e in recent:
+                show(e)
+            recent.clear()
+            last.clear()
+
+        def flushed() -> pa.RecordBatch:
+            nonlocal size
+            texts = pa.list_(pa.string())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (own_type, pa.string(), texts, texts, texts))]
+            out.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            own_type = batch.schema.field("element_id").type
+            for d, own, parent, text, shown, counted in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if d != doc:
+                    end()
+                    doc = d
+                above = None
+                if parent is not None and parent != own and parent in at:
+                    close(at[parent] + 1)
+                    above = stack[-1]
+                else:
+                    close(0)
+                parents = [] if above is None else above[2] if above[1] is None else [above[1], *above[2]]
+                e = [own, text if shown else None, parents, list(last), [], [], 0, False]
+                at[own] = len(stack)
+                stack.append(e)
+                up = e if parent == own else above
+                if counted and up is not None:
+                    up[6] += 1
+                    if shown and up[6] <= children:
+                        up[5].append(text)
+                if shown:
+                    for r in recent:
+                        r[4].append(text)
+                    while recent and len(recent[0][4]) == after:
+                        r = recent.popleft()
+                        if r[7]:
+                            show(r)
+                    if after:
+                        recent.append(e)
+                    last.append(text)
+                if len(out) >= 10_000 or size >= 4_000_000:
+                    yield flushed()
+        end()
+        if out:
+            yield flushed()
+
+    has_text = F.coalesce(F.trim("text") != "", F.lit(False))
+    rows = _in_order(
+        elements,
+        "element_id",
+        "parent_id",
+        "text",
+        (has_text & F.coalesce(F.col("element_type") != "root", F.lit(False))).alias("shown"),
+        (has_text & F.col("parent_id").isNotNull()).alias("counted"),
+    )
+    return rows.mapInArrow(walk, f"element_id {kind}, text string, parents array<string>, siblings array<string>, children array<string>")
+
+
+def _contexts_joined(elements: DataFrame, before: int, after: int, children: int) -> DataFrame:
     full = elements.where("element_type <> 'root' AND trim(text) <> ''").select("element_id", "doc_id", "parent_id", "position", "text")
     texts = full.select(F.col("element_id").alias("__id"), F.col("text").alias("__text"))
 

@@ -72,3 +72,51 @@ def test_embeddings_of_a_table_take_no_shuffle(spark):
     one = e.select("k", vectors.hashing_embedding(F.col("t"), 8).alias("embedding"))
     got, want = ([(r["k"], [round(x, 12) for x in r["embedding"]]) for r in df.collect()] for df in (found, one))
     assert got == want and len(got) == 5
+
+
+def _forest(rng, docs):
+    """Rows in document order: trees with elements without text, unknown parents and elements that are their own parents."""
+    rows = []
+    for doc in docs:
+        stack = []
+        for i in range(rng.randrange(1, 40)):
+            own = f"d{doc}e{i}"
+            del stack[rng.randint(0, len(stack)) :]
+            parent = stack[-1] if stack else rng.choice([None, own, f"gone{doc}"])
+            kind = rng.choice(["root", "p", "p", "p", None])
+            rows.append((own, doc, parent, kind, i, rng.choice([f"text {own}", f"text {own}", " ", "", None])))
+            stack.append(own)
+    return rows
+
+
+def test_contexts_take_one_shuffle(spark):
+    import random
+
+    rng = random.Random(6)
+    kinds = "element_id string, doc_id long, parent_id string, element_type string, position int, text string"
+    rows = _forest(rng, [*range(30), None])
+    in_order = spark.createDataFrame(rows, kinds).repartition(3)
+    found = tree.contexts(in_order, 2, 1, 2)
+    plan = _plan(found)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+    for before, after, children in ((2, 1, 2), (0, 0, 1), (1, 2, 0), (3, 0, 9)):
+        got, want = (
+            sorted(map(tuple, f(in_order, before, after, children).select("element_id", "text", "parents", "siblings", "children").collect()))
+            for f in (tree.contexts, tree._contexts_joined)
+        )
+        assert got == want and len(got) > 100
+    moved = spark.createDataFrame([*rows, ("x1", 50, "x2", "p", 0, "late"), ("x2", 50, None, "p", 1, "up"), ("x3", 51, "x1", "p", 0, "far")], kinds)
+    by_id = {r["element_id"]: r for r in tree.contexts(moved).collect()}
+    assert by_id["x1"]["parents"] == ["up"] and by_id["x2"]["children"] == ["late"] and by_id["x3"]["parents"] == ["late", "up"]
+
+
+def test_contexts_count_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.functions import context
+
+    e = spark.createDataFrame([("a b", ["c"], None, [None, "d"])], "text string, p array<string>, s array<string>, c array<string>")
+    whole = e.select(context.structured(F.col("text"), F.col("p"), F.col("s"), F.col("c"), 200).alias("x"))
+    counts = whole._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert counts <= 8, counts
+    assert whole.first()["x"] == "=== Main Content ===\na b\n\n=== Parent Context ===\nc"
