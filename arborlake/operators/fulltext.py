@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +32,50 @@ def tokens(text: Column) -> Column:
 
 
 def postings(elements: DataFrame, key: str = "element_pk", text: str = "text") -> DataFrame:
-    """(token, key, tf, length): one row per token and element."""
-    listed = elements.select(F.col(key).alias("element_pk"), tokens(F.col(text)).alias("tokens"))
-    exploded = listed.select("element_pk", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return exploded.groupBy("token", "element_pk", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """(token, element_pk, length, tf): one row per token and element; elements of one key and length count as one.
+
+    Spark splits the texts, which are shuffled by key and counted element by element; tokens are not shuffled.
+    """
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _SPLIT, " "))
+    split = elements.select(F.col(key).alias("element_pk"), spaced.alias("tokens")).where("tokens <> ''")
+    gaps = F.length("tokens") - F.length(F.replace("tokens", F.lit(" "), F.lit("")))
+    sized = split.select("element_pk", (gaps + 1).alias("length"), "tokens")
+    kind = sized.schema["element_pk"].dataType.simpleString()
+    names = ["token", "element_pk", "length", "tf"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple | None = None
+        found: Counter = Counter()
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        kinds = None
+
+        def close() -> None:
+            n = len(found)
+            for column, values in zip(out, (found, [own[0]] * n, [own[1]] * n, found.values())):
+                column.extend(values)
+
+        def flushed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            for column in out:
+                column.clear()
+            return batch
+
+        for batch in batches:
+            kinds = (pa.string(), batch.column(0).type, pa.int32(), pa.int64())
+            for pk, length, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if own != (pk, length):
+                    if own is not None:
+                        close()
+                    own, found = (pk, length), Counter()
+                    if len(out[0]) >= 100_000:
+                        yield flushed()
+                found.update(text.split(" "))
+        if own is not None:
+            close()
+            yield flushed()
+
+    laid = sized.repartition("element_pk").sortWithinPartitions("element_pk", "length")
+    return laid.mapInArrow(count, f"token string, element_pk {kind}, length int, tf long")
 
 
 def index_statistics(elements: DataFrame, text: str = "text") -> DataFrame:

@@ -120,3 +120,21 @@ def test_contexts_count_each_text_once(spark):
     counts = whole._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
     assert counts <= 8, counts
     assert whole.first()["x"] == "=== Main Content ===\na b\n\n=== Parent Context ===\nc"
+
+
+def test_postings_do_not_shuffle_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.operators import fulltext
+
+    rows = [(1, "One two, one-TWO ΟΔΟΣ"), (1, "two three four five six"), (1, "seven two"), (2, None), (3, " -- "), (None, "x"), (None, "x"), (4, "İstanbul 𐐀x ½ a_b")]
+    rows += [(10 + i, f"w{i % 7} " * 3 + f"v{i}") for i in range(300)]
+    e = spark.createDataFrame(rows, "element_pk long, text string").repartition(3)
+    index = fulltext.postings(e)
+    plan = _plan(index)
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
+    listed = e.select("element_pk", fulltext.tokens(F.col("text")).alias("tokens")).select("element_pk", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    want = listed.groupBy("token", "element_pk", "length").agg(F.count(F.lit(1)).alias("tf"))
+    assert index.schema.simpleString() == want.schema.simpleString()
+    got, want = (sorted(map(tuple, df.collect()), key=repr) for df in (index, want))
+    assert got == want and ("two", 1, 5, 3) in got and ("x", None, 1, 2) in got
