@@ -159,8 +159,7 @@ def _entity_counts_sql() -> str:
 
 @R.query("entity_counts", _entity_counts_sql())
 def entity_counts(spark, sf_dir):
-    found = extract.entities(b.rendered(spark, sf_dir), list(extract.EXTRACTORS))
-    return found.groupBy("entity_type", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return extract.counted(b.rendered(spark, sf_dir), list(extract.EXTRACTORS.values()))
 
 
 @R.query("text_dates", f"""WITH {b.RENDERED} SELECT element_pk, regexp_extract(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS raw,

@@ -282,3 +282,29 @@ def test_guarded_patterns_lose_no_match(spark):
     guarded = {(t, p) for t, x in extract.EXTRACTORS.items() for p in x.patterns if p in x.cues or p in x.leads}
     missed = {g for g in guarded if g[0] not in ("legal_term", "court_name", "anatomy")} - {(t, p) for _, t, p, _ in without}
     assert len(guarded) > 120 and not missed, missed
+
+
+def test_counted_matches_are_those_of_extracted(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.functions import extract
+
+    own = [
+        extract.Extractor("own", {"start": r"\bab", "behind": r"(?<=#)\d+", "marks": "[\x01\x02]+"}),
+        extract.Extractor("kept", {"number": r"\d+", "ahead": r"\d+(?=;)"}, valid=lambda _, raw: raw != "7"),
+    ]
+    said = ["abab ab \x01\x02 #12; 7 7; 88", "Lipitor and Table in NYSE: XY, NYSE: CEO (ETF) (ABCD)", "BP 120/80 BP 130/85 5% 6% Hearts", "", None, "\x02", "plain words"]
+    texts = said + ["Order 5 of $7.5 million on 2020-01-02 by Acme Corp. for Aspirin 5 mg"] * 2000 + said * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    chosen = [*extract.EXTRACTORS.values(), *own]
+    wanted = extract.extracted(rows.withColumn("k", F.lit(1)), chosen, "k").groupBy("entity_type", "pattern").count()
+    found = {(r["entity_type"], r["pattern"]): r["n"] for r in extract.counted(rows, chosen).collect()}
+    assert found == {(r["entity_type"], r["pattern"]): r["count"] for r in wanted.collect()}
+    assert found["own", "start"] == 8 and found["own", "behind"] == 4 and found["kept", "ahead"] == 4 and len(found) > 12
+
+
+def test_entity_counts_leave_the_texts_to_arrow(spark, sf_dir):
+    from arborlake import catalog
+
+    plan = catalog.queries()["entity_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
