@@ -138,3 +138,33 @@ def test_postings_do_not_shuffle_tokens(spark):
     assert index.schema.simpleString() == want.schema.simpleString()
     got, want = (sorted(map(tuple, df.collect()), key=repr) for df in (index, want))
     assert got == want and ("two", 1, 5, 3) in got and ("x", None, 1, 2) in got
+
+
+def test_entity_pairs_of_many_bins(spark, monkeypatch):
+    import random
+
+    from arborlake.operators import edges
+
+    for name, most in (("_SOURCES", 5), ("_TARGETS", 3), ("_RUN", 2)):
+        monkeypatch.setattr(edges, name, most)
+    draw = random.Random(3)
+    rows = [(f"{t}{i % 60}", t, draw.choice("ABCd"), draw.sample(range(6), draw.randint(0, 3))) for i in range(90) for t in "xy"]
+    rows += [("z", "x", "a", [1]), ("z", "y", "a", [1]), (None, "x", "a", [1]), ("n", "y", None, [1])]
+    table = spark.createDataFrame(rows, "entity_id string, entity_type string, name string, elements array<int>")
+
+    def wanted(agree):
+        return sorted({(a[0], b[0]) for a in rows for b in rows if a[1] == "x" and b[1] == "y" and a[0] and a[0] != b[0] and a[2] and b[2] and agree(a, b)})
+
+    found = lambda **by: sorted(map(tuple, edges.entity_pairs(table, "x", "y", **by).collect()))
+    assert found(same=["name"]) == wanted(lambda a, b: a[2].lower() == b[2].lower())
+    assert found(same=["name"], overlap="elements") == wanted(lambda a, b: a[2].lower() == b[2].lower() and set(a[3]) & set(b[3]))
+
+
+def test_entity_pairs_take_less_than_a_byte_in_a_file(spark, tmp_path):
+    from arborlake.operators import edges
+
+    ids = spark.range(20_000).selectExpr("concat('s', id * 7919) AS entity_id", "'x' AS entity_type", "concat('k', id % 50) AS name")
+    ids = ids.union(spark.range(2500).selectExpr("concat('t', id * 7919)", "'y'", "concat('k', xxhash64(id) % 25 + 25)"))
+    edges.entity_pairs(ids, "x", "y", same=["name"]).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 600_000
